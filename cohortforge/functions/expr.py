@@ -132,8 +132,9 @@ AMOUNT_BAND_LABELS = ("a0 to 100", "b101 to 200", "c201 to 300", "d301 to 400",
 def amount_band(c: ColumnOrName) -> Column:
     col = _c(c)
     out = F.when((col >= 0) & (col <= AMOUNT_BAND_BOUNDS[0]), F.lit(AMOUNT_BAND_LABELS[0]))
-    for bound, label in zip(AMOUNT_BAND_BOUNDS[1:], AMOUNT_BAND_LABELS[1:-1]):
-        out = out.when(col <= bound, F.lit(label))
+    bands = zip(AMOUNT_BAND_BOUNDS, AMOUNT_BAND_BOUNDS[1:], AMOUNT_BAND_LABELS[1:-1])
+    for lower, bound, label in bands:
+        out = out.when((col > lower) & (col <= bound), F.lit(label))
     return out.when(col > AMOUNT_BAND_BOUNDS[-1], F.lit(AMOUNT_BAND_LABELS[-1]))
 
 

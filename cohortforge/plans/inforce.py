@@ -111,6 +111,44 @@ def inforce_detail(inforce_df: DataFrame, pets: DataFrame, header: DataFrame,
 
 # -- B3 / B4 -------------------------------------------------------------------
 
+def _claim_groups(header: DataFrame, claim_header: DataFrame, revision: DataFrame,
+                  diagnosis: DataFrame, details: DataFrame, coverage: DataFrame,
+                  kinds: tuple[str, ...]) -> DataFrame:
+    """(policy_no, claim_no, is_well) groups with their three amount sums.
+
+    Amounts are summed per (policyid, claim_no) before the header lookup (sums
+    distribute over the join, fan-out included), so the header join sees one
+    row per claim instead of one per detail line.
+    """
+    ctype = F.col("coverage_product_type")
+    if kinds == ("wellness",):
+        cov = coverage.filter(ctype == "Wellcare")
+    elif kinds == ("medical",):
+        cov = coverage.filter(ctype != "Wellcare")
+    else:
+        cov = coverage.filter(ctype.isNotNull())
+    cov = cov.select(F.col("coverage_id").alias("claim_coverage_id"),
+                     (ctype == "Wellcare").alias("is_well"))
+    rev = revision.filter(F.col("claim_revision_status") != "Reopened")
+    lines = (
+        claim_header.select("claim_id", "policyid", "claim_no")
+        .join(rev.select("claim_id", "claim_revision_no"), "claim_id")
+        .join(diagnosis.select("claim_diagnosis_id", "claim_id", "claim_revision_no",
+                               "claim_coverage_id"), ["claim_id", "claim_revision_no"])
+        .join(cov, "claim_coverage_id")
+        .join(details, "claim_diagnosis_id")
+    )
+    sums = [F.sum(a).alias(a) for a in CLAIM_AMOUNTS]
+    per_term_claim = lines.groupBy("policyid", "claim_no", "is_well").agg(*sums)
+    return (per_term_claim.join(header.select("policyid", "policy_no"), "policyid")
+            .groupBy("policy_no", "claim_no", "is_well")
+            .agg(*[F.sum(a).alias(a) for a in CLAIM_AMOUNTS]))
+
+
+CLAIM_AMOUNTS = ("claimedamount", "paidamount", "eligibleamount")
+_ROLLUP_NAMES = ("claimamount", "paidamount", "eligibleamount")
+
+
 def claim_rollup(header: DataFrame, claim_header: DataFrame, revision: DataFrame,
                  diagnosis: DataFrame, details: DataFrame, coverage: DataFrame,
                  kind: str) -> DataFrame:
@@ -120,38 +158,37 @@ def claim_rollup(header: DataFrame, claim_header: DataFrame, revision: DataFrame
     numbers.  ``kind='medical'``: coverage type <> 'Wellcare', count of all
     claim groups.  NULL coverage types and NULL revision statuses fall out of
     both; every surviving revision's amounts add up.
-
-    Amounts are summed per (policyid, claim_no) before the header lookup (the
-    sums distribute over the join, fan-out included), so the header join sees
-    one row per claim instead of one per detail line.
     """
     if kind not in ("wellness", "medical"):
         raise ValueError(kind)
     well = kind == "wellness"
-    cov = coverage.filter(F.col("coverage_product_type") == "Wellcare" if well
-                          else F.col("coverage_product_type") != "Wellcare")
-    rev = revision.filter(F.col("claim_revision_status") != "Reopened")
-    lines = (
-        claim_header.select("claim_id", "policyid", "claim_no")
-        .join(rev.select("claim_id", "claim_revision_no"), "claim_id")
-        .join(diagnosis.select("claim_diagnosis_id", "claim_id", "claim_revision_no",
-                               "claim_coverage_id"), ["claim_id", "claim_revision_no"])
-        .join(cov.select(F.col("coverage_id").alias("claim_coverage_id")), "claim_coverage_id")
-        .join(details, "claim_diagnosis_id")
-    )
-    amounts = ("claimedamount", "paidamount", "eligibleamount")
-    per_term_claim = lines.groupBy("policyid", "claim_no").agg(
-        *[F.sum(a).alias(a) for a in amounts])
-    per_claim = (per_term_claim.join(header.select("policyid", "policy_no"), "policyid")
-                 .groupBy("policy_no", "claim_no")
-                 .agg(*[F.sum(a).alias(a) for a in amounts]))
+    groups = _claim_groups(header, claim_header, revision, diagnosis, details, coverage, (kind,))
     count = (F.count("claim_no").alias("wccount") if well
              else F.count(F.lit(1)).alias("medcount"))
-    return per_claim.groupBy("policy_no").agg(
-        count,
-        F.sum("claimedamount").cast(MONEY).alias("claimamount"),
-        F.sum("paidamount").cast(MONEY).alias("paidamount"),
-        F.sum("eligibleamount").cast(MONEY).alias("eligibleamount"),
+    return groups.groupBy("policy_no").agg(
+        count, *[F.sum(a).cast(MONEY).alias(n) for a, n in zip(CLAIM_AMOUNTS, _ROLLUP_NAMES)])
+
+
+def claim_rollups(header: DataFrame, claim_header: DataFrame, revision: DataFrame,
+                  diagnosis: DataFrame, details: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Medical and wellness totals side by side from one pass over the claims.
+
+    Columns: policy_no, medcount, med_claimamount, med_paidamount,
+    med_eligibleamount, wccount, well_claimamount, well_paidamount,
+    well_eligibleamount.  A policy with claims of one kind only gets count 0
+    and NULL sums for the other, which the in-force aggregate zero-fills just
+    as it does for a missing row of :func:`claim_rollup`.
+    """
+    g = _claim_groups(header, claim_header, revision, diagnosis, details, coverage,
+                      ("wellness", "medical"))
+    med, well = ~F.col("is_well"), F.col("is_well")
+    return g.groupBy("policy_no").agg(
+        F.count(F.when(med, F.lit(1))).alias("medcount"),
+        *[F.sum(F.when(med, F.col(a))).cast(MONEY).alias(f"med_{n}")
+          for a, n in zip(CLAIM_AMOUNTS, _ROLLUP_NAMES)],
+        F.count(F.when(well, F.col("claim_no"))).alias("wccount"),
+        *[F.sum(F.when(well, F.col(a))).cast(MONEY).alias(f"well_{n}")
+          for a, n in zip(CLAIM_AMOUNTS, _ROLLUP_NAMES)],
     )
 
 
@@ -182,40 +219,40 @@ def premium_rollup(premium: DataFrame, fees: DataFrame) -> DataFrame:
 # -- B6 ----------------------------------------------------------------------
 
 ZERO_FILLED = (
-    ("medicalclaimcount", "med", "medcount"),
-    ("welcareclaimcount", "well", "wccount"),
-    ("medicalclaimamount", "med", "claimamount"),
-    ("medicalpaidamount", "med", "paidamount"),
-    ("medicaleligibleamount", "med", "eligibleamount"),
-    ("welcareclaimamount", "well", "claimamount"),
-    ("welcarepaidamount", "well", "paidamount"),
-    ("welcareeligibleamount", "well", "eligibleamount"),
+    ("medicalclaimcount", "medcount"),
+    ("welcareclaimcount", "wccount"),
+    ("medicalclaimamount", "med_claimamount"),
+    ("medicalpaidamount", "med_paidamount"),
+    ("medicaleligibleamount", "med_eligibleamount"),
+    ("welcareclaimamount", "well_claimamount"),
+    ("welcarepaidamount", "well_paidamount"),
+    ("welcareeligibleamount", "well_eligibleamount"),
 )
 
 
-def inforce_aggregate(detail: DataFrame, med: DataFrame, well: DataFrame, prem: DataFrame,
+def inforce_aggregate(detail: DataFrame, claims: DataFrame, prem: DataFrame,
                       group: DataFrame) -> DataFrame:
     """Detail plus claim / premium totals, pets per holder, group name, household counts.
 
-    The eight claim columns are zero-filled; premium, fees and total_pets stay
-    NULL when missing.  The household columns (min/max term, dogs, cats,
-    avian, exotic/other) are whole-household aggregates over the rows *after*
-    the group-name join, so a group code held by two groups doubles them, as
-    in the source; a NULL insured_code forms one household.
+    ``claims`` is :func:`claim_rollups` (both kinds, one row per policy
+    number).  The eight claim columns are zero-filled; premium, fees and
+    total_pets stay NULL when missing.  The household columns (min/max term,
+    dogs, cats, avian, exotic/other) are whole-household aggregates over the
+    rows *after* the group-name join, so a group code held by two groups
+    doubles them, as in the source; a NULL insured_code forms one household.
     """
     t = detail.alias("t")
     pets = (detail.groupBy("insured_code").agg(F.count("policy_no").alias("total_pets"))
                   .withColumnRenamed("insured_code", "p_insured_code").alias("p"))
-    m, w, e = med.alias("med"), well.alias("well"), prem.alias("earn")
-    j = (t.join(m, F.col("t.policy_no") == F.col("med.policy_no"), "left")
-          .join(w, F.col("t.policy_no") == F.col("well.policy_no"), "left")
+    c, e = claims.alias("c"), prem.alias("earn")
+    j = (t.join(c, F.col("t.policy_no") == F.col("c.policy_no"), "left")
           .join(e, F.col("t.policy_no") == F.col("earn.policy_no"), "left")
           .join(pets, F.col("t.insured_code") == F.col("p.p_insured_code"), "left"))
-    filled = [F.coalesce(F.col(f"{src}.{c}"), F.lit(0)).alias(name)
-              if c.endswith("count") else
-              F.coalesce(F.col(f"{src}.{c}"), F.lit(0).cast(MONEY)).cast(MONEY).alias(name)
-              for name, src, c in ZERO_FILLED]
-    a = j.select(*[F.col(f"t.{c}") for c in detail.columns], *filled,
+    filled = [F.coalesce(F.col(f"c.{src}"), F.lit(0)).alias(name)
+              if src.endswith("count") else
+              F.coalesce(F.col(f"c.{src}"), F.lit(0).cast(MONEY)).cast(MONEY).alias(name)
+              for name, src in ZERO_FILLED]
+    a = j.select(*[F.col(f"t.{col}") for col in detail.columns], *filled,
                  F.col("earn.earned_pre").alias("premium"),
                  F.col("earn.earned_fee").alias("fees"),
                  F.col("p.total_pets"))
@@ -268,11 +305,11 @@ def build_inforce(w, report_date: str | dt.date, stage=None) -> dict[str, DataFr
                                w.dim_paymentplan, w.dim_provider), "inforce_detail")
     claims = (w.policy_header, w.claim_header, w.claim_revision, w.claim_diagnosis,
               w.claim_details, w.dim_coverage)
-    well = claim_rollup(*claims, kind="wellness")
-    med = claim_rollup(*claims, kind="medical")
+    both = claim_rollups(*claims)
     prem = premium_rollup(w.epremium, w.efees)
-    agg = inforce_aggregate(dtl, med, well, prem, w.dim_group)
+    agg = inforce_aggregate(dtl, both, prem, w.dim_group)
     final = stage(add_referrals(agg, w.vouchers_issued, w.policy_header), "inforce_final")
-    return {"inforce": inf, "inforce_detail": dtl, "wellness_claims": well,
-            "medical_claims": med, "premium_fees": prem, "inforce_aggregate": agg,
+    return {"inforce": inf, "inforce_detail": dtl, "claim_totals": both,
+            "wellness_claims": claim_rollup(*claims, kind="wellness"),
+            "medical_claims": claim_rollup(*claims, kind="medical"), "premium_fees": prem, "inforce_aggregate": agg,
             "inforce_final": final}

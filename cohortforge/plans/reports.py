@@ -18,14 +18,17 @@ from cohortforge.operators.aggregates import distinct_row_count, duplicates, row
 from cohortforge.operators.joins import anti_join
 from cohortforge.plans.consumer import INSURED_GROUP, consumer_keys, insured_keys
 
-COUNT = F.count(F.lit(1))
+
+def _n() -> 'Column':
+    """COUNT(*)."""
+    return F.count(F.lit(1))
 
 
 # -- V1 / V2 -----------------------------------------------------------------
 
 def import_sources(scrub: DataFrame) -> DataFrame:
     """V1: rows per import source."""
-    return (scrub.groupBy("source").agg(COUNT.alias("row_count"))
+    return (scrub.groupBy("source").agg(_n().alias("row_count"))
                  .orderBy(F.col("source").asc_nulls_last()))
 
 
@@ -43,9 +46,9 @@ def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
 
 def species_side_by_side(t1: DataFrame, t2: DataFrame, t3: DataFrame) -> DataFrame:
     """V3: species counts of three tables; a species missing from one drops out."""
-    a = t1.groupBy("speciescode").agg(COUNT.alias("tot_pet_f1"))
-    b = t2.groupBy("speciescode").agg(COUNT.alias("tot_pet_f2"))
-    c = t3.groupBy("speciescode").agg(COUNT.alias("tot_pet_f3"))
+    a = t1.groupBy("speciescode").agg(_n().alias("tot_pet_f1"))
+    b = t2.groupBy("speciescode").agg(_n().alias("tot_pet_f2"))
+    c = t3.groupBy("speciescode").agg(_n().alias("tot_pet_f3"))
     return a.join(b, "speciescode").join(c, "speciescode")
 
 
@@ -54,9 +57,9 @@ TERM_TAIL = 18
 
 def _term_histogram(df: DataFrame, name: str) -> DataFrame:
     head = (df.filter(F.col("policy_renew_no") < TERM_TAIL)
-              .groupBy("policy_renew_no").agg(COUNT.alias(name)))
+              .groupBy("policy_renew_no").agg(_n().alias(name)))
     tail = (df.filter(F.col("policy_renew_no") >= TERM_TAIL)
-              .agg(COUNT.alias(name))
+              .agg(_n().alias(name))
               .select(F.lit(TERM_TAIL).cast("int").alias("policy_renew_no"), name))
     return head.union(tail).distinct()
 
@@ -90,20 +93,20 @@ def pet_mix_report(df: DataFrame, term_col: str | None = None) -> DataFrame:
     keys = [pet_mix().alias("multi_pet")]
     if term_col:
         keys.append(term_band(term_col).alias("term_group"))
-    out = multi.groupBy(*keys).agg(COUNT.alias("ph"))
+    out = multi.groupBy(*keys).agg(_n().alias("ph"))
     return out.orderBy(*[F.col(k).asc_nulls_last() for k in out.columns[:-1]])
 
 
 def product_mix(df: DataFrame) -> DataFrame:
     """V9: rows per base product, I250 variants folded together."""
     return (df.groupBy(product_class("baseproduct").alias("baseproduct"))
-              .agg(COUNT.alias("tot_pet"))
+              .agg(_n().alias("tot_pet"))
               .orderBy(F.col("baseproduct").asc_nulls_last()))
 
 
 def state_counts(df: DataFrame) -> DataFrame:
     """Rows per holder state."""
-    return (df.groupBy("insured_state").agg(COUNT.alias("row_count"))
+    return (df.groupBy("insured_state").agg(_n().alias("row_count"))
               .orderBy(F.col("insured_state").asc_nulls_last()))
 
 
@@ -121,7 +124,7 @@ def top_states_by_plan_type(df: DataFrame, header: DataFrame, plan: DataFrame,
     j = (df.select("policyid", "insured_state")
            .join(ph, F.col("policyid") == F.col("h_policyid"))
            .join(p, "paymentplan_id").join(t, "paymentplantype_id"))
-    return (j.groupBy("insured_state").agg(COUNT.alias("row_count"))
+    return (j.groupBy("insured_state").agg(_n().alias("row_count"))
              .orderBy(F.col("row_count").desc(), F.col("insured_state").asc_nulls_last())
              .limit(top))
 
@@ -178,7 +181,7 @@ def claim_band_reports(df: DataFrame, measures: Sequence[str] | None = None) ->
 def holders_by_pet_count(df: DataFrame) -> DataFrame:
     """Rows by pet count capped at 7 (NULL and 0 stay as they are)."""
     return (df.groupBy(pet_count_cap("total_pets").alias("total_pets"))
-              .agg(COUNT.alias("row_count"))
+              .agg(_n().alias("row_count"))
               .orderBy(F.col("total_pets").asc_nulls_last()))
 
 

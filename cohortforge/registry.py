@@ -69,9 +69,14 @@ class Run:
     def _premium_fees(self):
         return IN.premium_rollup(self.w.epremium, self.w.efees)
 
+    def _claim_totals(self):
+        w = self.w
+        return IN.claim_rollups(w.policy_header, w.claim_header, w.claim_revision,
+                                w.claim_diagnosis, w.claim_details, w.dim_coverage)
+
     def _inforce_aggregate(self):
-        return IN.inforce_aggregate(self["inforce_detail"], self["medical_claims"],
-                                    self["wellness_claims"], self["premium_fees"], self.w.dim_group)
+        return IN.inforce_aggregate(self["inforce_detail"], self["claim_totals"],
+                                    self["premium_fees"], self.w.dim_group)
 
     def _inforce_final(self):
         return IN.add_referrals(self["inforce_aggregate"], self.w.vouchers_issued,

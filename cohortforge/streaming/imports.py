@@ -1,0 +1,42 @@
+"""Incremental import of suppression-list drops.
+
+The scripts import list files by hand and append them to the scrub table.
+Here a Structured Streaming file source picks up every new CSV in a drop
+folder exactly once (the checkpoint remembers which files were taken) and
+appends its rows to the list table; ``availableNow`` processes what is there
+and stops, so the import runs as a scheduled batch that survives restarts.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from cohortforge.session import staging_dir
+from cohortforge.sources.files import SCRUB_LIST_SCHEMA, source_from_file_name
+
+
+def ingest_list_drops(spark: SparkSession, drop_dir: str, table_path: str,
+                      schema: StructType = SCRUB_LIST_SCHEMA,
+                      checkpoint: str | None = None) -> int:
+    """Append every not-yet-imported CSV of ``drop_dir`` to the parquet table.
+
+    Returns the number of micro-batches run.  The checkpoint defaults to a
+    folder under the shared staging location.
+    """
+    checkpoint = checkpoint or os.path.join(staging_dir(spark), "ingest-" +
+                                            os.path.basename(table_path.rstrip("/")))
+    stream = (spark.readStream.schema(schema).option("header", True)
+              .option("emptyValue", None).csv(drop_dir))
+    if "source" in schema.fieldNames():
+        stream = stream.withColumn("source", F.coalesce(F.col("source"), source_from_file_name()))
+    query = (stream.writeStream.format("parquet")
+             .option("checkpointLocation", checkpoint)
+             .outputMode("append")
+             .trigger(availableNow=True)
+             .start(table_path))
+    query.awaitTermination()
+    return len(query.recentProgress)
