@@ -30,4 +30,19 @@ def frame(spark):
 def rows(df, *cols):
     """Sorted list of tuples (NULL-safe) of the given columns, or all."""
     sel = df.select(*cols) if cols else df
-    return sorted((tuple(r) for r in sel.collect()), key=repr)
+    def key(t):
+        return tuple((v is None, type(v).__name__, v if v is not None else 0) for v in t)
+    return sorted((tuple(r) for r in sel.collect()), key=key)
+
+
+@pytest.fixture
+def table(spark):
+    """Build a warehouse-shaped frame from dicts; unspecified columns are NULL."""
+    from pyspark.sql.types import _parse_datatype_string
+    from cohortforge.schemas import SCHEMAS
+
+    def make(name, dict_rows, schema=None):
+        st = _parse_datatype_string(schema or SCHEMAS[name])
+        data = [tuple(r.get(f.name) for f in st.fields) for r in dict_rows]
+        return spark.createDataFrame(data, st)
+    return make

@@ -1,0 +1,138 @@
+import datetime as dt
+from decimal import Decimal as D
+
+from pyspark.sql import functions as F
+
+from cohortforge.plans import inforce as IN
+from conftest import rows
+
+
+def test_inforce_snapshot_midnight_only(table):
+    header = table("policy_header", [dict(policyid=i, policy_no=f"P{i}", policy_renew_no=0,
+                                          insured_code="I1") for i in (1, 2, 3)])
+    fact = table("data_inforce", [
+        dict(policyid=1, reportperiod=dt.datetime(2013, 2, 28)),
+        dict(policyid=2, reportperiod=dt.datetime(2013, 2, 28, 10)),
+        dict(policyid=3, reportperiod=dt.datetime(2013, 1, 31))])
+    out = IN.inforce(header, fact, "2013-02-28")
+    assert rows(out, "policyid") == [(1,)]
+    assert out.columns == ["policyid", "policy_no", "policy_renew_no", "insured_code"]
+
+
+def _claims(table):
+    header = table("policy_header", [dict(policyid=1, policy_no="P1"), dict(policyid=2, policy_no="P1"),
+                                     dict(policyid=3, policy_no="P3")])
+    ch = table("claim_header", [dict(claim_id=10, policyid=1, claim_no="C1"),
+                                dict(claim_id=11, policyid=2, claim_no="C1"),
+                                dict(claim_id=12, policyid=1, claim_no=None),
+                                dict(claim_id=13, policyid=3, claim_no="C3")])
+    rev = table("claim_revision", [dict(claim_id=10, claim_revision_no=1, claim_revision_status="Closed"),
+                                   dict(claim_id=10, claim_revision_no=2, claim_revision_status="Filed"),
+                                   dict(claim_id=11, claim_revision_no=1, claim_revision_status="Reopened"),
+                                   dict(claim_id=12, claim_revision_no=1, claim_revision_status="Closed"),
+                                   dict(claim_id=13, claim_revision_no=1, claim_revision_status=None)])
+    dg = table("claim_diagnosis", [
+        dict(claim_diagnosis_id=100, claim_id=10, claim_revision_no=1, claim_coverage_id=1),
+        dict(claim_diagnosis_id=101, claim_id=10, claim_revision_no=2, claim_coverage_id=2),
+        dict(claim_diagnosis_id=102, claim_id=11, claim_revision_no=1, claim_coverage_id=2),
+        dict(claim_diagnosis_id=103, claim_id=12, claim_revision_no=1, claim_coverage_id=1),
+        dict(claim_diagnosis_id=104, claim_id=12, claim_revision_no=1, claim_coverage_id=3),
+        dict(claim_diagnosis_id=105, claim_id=13, claim_revision_no=1, claim_coverage_id=2)])
+
+    def d(i, a, b, c):
+        return dict(claim_diagnosis_id=i, claimedamount=D(a), paidamount=D(b), eligibleamount=D(c))
+    det = table("claim_details", [d(100, 10, 8, 9), d(101, 20, 15, 18), d(101, 5, 4, 4), d(102, 7, 7, 7),
+                                  d(103, 3, 3, 3), d(104, 100, 100, 100), d(105, 50, 50, 50)])
+    cov = table("dim_coverage", [dict(coverage_id=1, coverage_product_type="Wellcare"),
+                                 dict(coverage_id=2, coverage_product_type="Base"),
+                                 dict(coverage_id=3, coverage_product_type=None)])
+    return header, ch, rev, dg, det, cov
+
+
+def test_claim_rollups_semantics(table):
+    args = _claims(table)
+    well = IN.claim_rollup(*args, kind="wellness")
+    med = IN.claim_rollup(*args, kind="medical")
+    # NULL claim_no is a group but not counted by COUNT(claim_no); amounts still add
+    assert rows(well) == [("P1", 1, D("13.00"), D("11.00"), D("12.00"))]
+    # two surviving revisions add up; Reopened, NULL status and NULL coverage type drop out
+    assert rows(med) == [("P1", 1, D("25.00"), D("19.00"), D("22.00"))]
+    both = IN.claim_rollups(*args)
+    assert rows(both) == [("P1", 1, D("25.00"), D("19.00"), D("22.00"),
+                           1, D("13.00"), D("11.00"), D("12.00"))]
+
+
+def test_medical_counts_null_claim_no_group(table):
+    header, ch, rev, dg, det, cov = _claims(table)
+    cov2 = table("dim_coverage", [dict(coverage_id=1, coverage_product_type="Base"),
+                                  dict(coverage_id=2, coverage_product_type="Base")])
+    med = IN.claim_rollup(header, ch, rev, dg, det, cov2, "medical")
+    # groups (P1,C1) and (P1,NULL): COUNT(*) counts both
+    assert rows(med, "policy_no", "medcount") == [("P1", 2)]
+
+
+def test_premium_fee_fan_out_multiplies(table):
+    d1, d2 = dt.date(2013, 1, 1), dt.date(2013, 2, 1)
+    prem = table("epremium", [dict(policy_no="P1", policy_renew_no=0, reportperiod=d1, earnedpremium=D(100)),
+                              dict(policy_no="P1", policy_renew_no=0, reportperiod=d2, earnedpremium=D(50)),
+                              dict(policy_no="P2", policy_renew_no=0, reportperiod=d1, earnedpremium=D(30))])
+    fees = table("efees", [dict(policy_no="P1", policy_renew_no=0, reportperiod=d1, earnedfees=D(5)),
+                           dict(policy_no="P1", policy_renew_no=0, reportperiod=d1, earnedfees=D(6))])
+    out = IN.premium_rollup(prem, fees)
+    assert rows(out) == [("P1", 3, D("250.00"), D("11.00")), ("P2", 1, D("30.00"), None)]
+    # same as the row-level join the scripts run
+    j = prem.join(fees, ["policy_no", "policy_renew_no", "reportperiod"], "left")
+    ref = j.groupBy("policy_no").agg(F.count(F.lit(1)), F.sum("earnedpremium"), F.sum("earnedfees"))
+    assert [(r[0], r[1]) for r in rows(ref)] == [(r[0], r[1]) for r in rows(out)]
+
+
+def _detail(spark, data):
+    base = spark.createDataFrame(data, "policyid bigint, policy_no string, policy_renew_no int, "
+                                       "insured_code string, speciescode string, group_code string")
+    cols = []
+    for c in IN.DETAIL_COLUMNS:
+        cols.append(F.col(c) if c in base.columns else F.lit(None).cast("string").alias(c))
+    return base.select(*cols)
+
+
+def test_inforce_aggregate_households_and_zero_fill(spark, table):
+    detail = _detail(spark, [(1, "P1", 0, "I1", "C", "G1"), (2, "P2", 3, "I1", "F", "G1"),
+                             (3, "P3", 1, None, "C", "G1"), (4, "P4", 2, None, "E", "G1"),
+                             (5, "P5", 4, "I5", "A", "G0")])
+    group = table("dim_group", [dict(group_id=1, group_code="G1", group_name="One"),
+                                dict(group_id=2, group_code="G0", group_name="ZeroA"),
+                                dict(group_id=3, group_code="G0", group_name="ZeroB")])
+    claims = IN.claim_rollups(*_claims(table))
+    prem = spark.createDataFrame([("P1", 1, D("9.00"), None)],
+                                 "policy_no string, earncount bigint, earned_pre decimal(18,2), "
+                                 "earned_fee decimal(18,2)")
+    out = IN.inforce_aggregate(detail, claims, prem, group)
+    assert len(out.columns) == 53
+    got = rows(out, "policyid", "group_name", "min_term", "max_term", "dogs", "cats", "avian",
+               "exoticothers", "total_pets")
+    assert got == [
+        (1, "One", 0, 3, 1, 1, 0, 0, 2), (2, "One", 0, 3, 1, 1, 0, 0, 2),
+        (3, "One", 1, 2, 1, 0, 0, 1, None), (4, "One", 1, 2, 1, 0, 0, 1, None),
+        # group code held by two groups: the row doubles and so do its household counts
+        (5, "ZeroA", 4, 4, 0, 0, 2, 0, 1), (5, "ZeroB", 4, 4, 0, 0, 2, 0, 1)]
+    p1 = out.filter("policyid = 1").first()
+    assert (p1.medicalclaimcount, p1.welcareclaimcount, p1.medicalpaidamount, p1.premium, p1.fees) == \
+        (1, 1, D("19.00"), D("9.00"), None)
+    p2 = out.filter("policyid = 2").first()
+    assert (p2.medicalclaimcount, p2.welcarepaidamount, p2.premium) == (0, D("0.00"), None)
+
+
+def test_referrals_distinct_redeemed_not_self(table, spark):
+    header = table("policy_header", [dict(policyid=9, policy_no="P9", policy_renew_no=0, insured_code="I3"),
+                                     dict(policyid=8, policy_no="P8", policy_renew_no=1, insured_code="I4"),
+                                     dict(policyid=7, policy_no="P7", policy_renew_no=0, insured_code="I3"),
+                                     dict(policyid=6, policy_no="P6", policy_renew_no=0, insured_code="I2")])
+    v = table("vouchers_issued", [
+        dict(vi_insured="I1", vi_ref_policy_no="P9", vi_ref_policy_renew_no=0, vi_redeemed_yn="Y"),
+        dict(vi_insured="I1", vi_ref_policy_no="P9", vi_ref_policy_renew_no=0, vi_redeemed_yn="Y"),
+        dict(vi_insured="I1", vi_ref_policy_no="P8", vi_ref_policy_renew_no=1, vi_redeemed_yn="Y"),
+        dict(vi_insured="I1", vi_ref_policy_no="P7", vi_ref_policy_renew_no=0, vi_redeemed_yn="N"),
+        dict(vi_insured="I2", vi_ref_policy_no="P6", vi_ref_policy_renew_no=0, vi_redeemed_yn="Y")])
+    agg = spark.createDataFrame([("I1", 1), ("I2", 2), (None, 3)], "insured_code string, x int")
+    out = IN.add_referrals(agg, v, header)
+    assert rows(out) == [("I1", 1, 2), ("I2", 2, None), (None, 3, None)]
