@@ -4,8 +4,9 @@ The scripts order by a random number and keep the first N rows.  A random
 sort is not repeatable in Spark (``rand(seed)`` depends on partitioning), so
 rows are ordered by an MD5 hash of their key and a seed instead: the same
 rows come back for the same seed however the data is partitioned, and the
-sample is fixed before anything else (the set difference of the next stratum)
-subtracts it.
+sample is fixed before anything else (the set difference of the next
+stratum) subtracts it.  The key is the sampling unit: rows sharing a key
+(join fan-out copies) share a position and are drawn together.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Leading hex digits of the hash used as a uniform fraction for the cut.
+_PREFIX_DIGITS = 12
+_SLACK = 1.05
+
 
 def sample_order_key(key_cols: Sequence[str], seed: int) -> Column:
     """md5(key1|key2|...|seed) as the sort key of the sample."""
@@ -22,33 +27,39 @@ def sample_order_key(key_cols: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
 
 
+def _hash_fraction(h: Column) -> Column:
+    """Leading 48 bits of the hex hash as a fraction in [0, 1)."""
+    return (F.conv(F.substring(h, 1, _PREFIX_DIGITS), 16, 10).cast("double")
+            / float(16 ** _PREFIX_DIGITS))
+
+
 def sample_n(df: DataFrame, n: int, key_cols: Sequence[str], seed: int = 42,
-             exact_threshold: int = 5_000_000) -> DataFrame:
+             direct_max_rows: int = 2_000_000) -> DataFrame:
     """Uniform sample of ``min(n, rows)`` rows, ordered by hash of key and seed.
 
-    For ``n`` up to ``exact_threshold`` this is a top-N (``TakeOrderedAndProject``):
-    each task keeps its N smallest hashes and one task merges them.  Beyond
-    that, merging N rows in one task is the bottleneck, so rows are first
-    cut by the leading hash bits to a fraction a little above ``n / rows``
-    (one extra count pass) and only the survivors are ranked; the cut is
-    widened until it holds at least ``n`` rows, so the result is the same
-    set as the exact top-N.
+    Small inputs (at most ``direct_max_rows`` rows) take the top ``n`` hashes
+    directly (``TakeOrderedAndProject``).  For larger inputs that plan would
+    merge up to ``n`` rows from *every* partition in one task, so rows are
+    first cut to those whose hash prefix lies below ``n / rows`` (plus 5 %
+    slack) and only the survivors are ranked; if the cut ever holds fewer
+    than ``n`` rows it is widened.  Ordering by the full hash is consistent
+    with the prefix, so both paths return the same rows.
+
+    Counts the input once: stage (write) a computed input before sampling it.
     """
-    h = sample_order_key(key_cols, seed)
-    keyed = df.withColumn("__sample_h", h)
-    cols = [c for c in df.columns]
-    if n <= exact_threshold:
-        return keyed.orderBy("__sample_h", *key_cols).limit(n).select(*cols)
+    keyed = df.withColumn("__sample_h", sample_order_key(key_cols, seed))
+    cols = list(df.columns)
+    order = [F.col("__sample_h"), *[F.col(k) for k in key_cols]]
     total = df.count()
     if total <= n:
         return df
-    # leading 32 bits of the hash as a uniform fraction in [0, 1)
-    frac = F.conv(F.substring("__sample_h", 1, 8), 16, 10).cast("double") / float(2 ** 32)
-    cut = min(1.0, n / total * 1.05)
+    if total <= direct_max_rows:
+        return keyed.orderBy(*order).limit(n).select(*cols)
+    cut = min(1.0, n / total * _SLACK)
+    frac = _hash_fraction(F.col("__sample_h"))
     while True:
         kept = keyed.filter(frac < F.lit(cut))
         if cut >= 1.0 or kept.count() >= n:
             break
         cut = min(1.0, cut * 1.25)
-    ranked = kept.repartitionByRange(max(1, n // 1_000_000), "__sample_h", *key_cols)
-    return ranked.orderBy("__sample_h", *key_cols).limit(n).select(*cols)
+    return kept.orderBy(*order).limit(n).select(*cols)

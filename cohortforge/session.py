@@ -51,10 +51,16 @@ def staging_dir(spark: SparkSession) -> str:
     unset (local tests) a private folder under the system temp dir is chosen
     and registered, so ``DataFrame.checkpoint()`` works too.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    conf_dir = (spark.conf.get("spark.checkpoint.dir", None)
+                or sc.getConf().get("spark.checkpoint.dir", None))
     if conf_dir:
-        spark.sparkContext.setCheckpointDir(conf_dir)
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(conf_dir)
         return conf_dir
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder every executor "
+                           "and the driver can reach (e.g. on the cluster file system)")
     local = tempfile.mkdtemp(prefix="cohortforge-stage-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

@@ -60,7 +60,7 @@ def test_sample_is_exact_size_distinct_and_partition_independent(spark):
 def test_sample_threshold_path_matches_exact(spark):
     df = spark.range(0, 20000).withColumnRenamed("id", "policyid")
     exact = rows(sample_n(df, 3000, ["policyid"], 3))
-    cut = rows(sample_n(df, 3000, ["policyid"], 3, exact_threshold=100))
+    cut = rows(sample_n(df, 3000, ["policyid"], 3, direct_max_rows=100))
     assert exact == cut
 
 
