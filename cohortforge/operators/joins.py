@@ -13,10 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-
-def _keys(keys: str | Sequence[str]) -> list[str]:
-    return [keys] if isinstance(keys, str) else list(keys)
+from pyspark.sql import types as T
 
 
 def anti_join(left: DataFrame, right: DataFrame, cond: Column | str | Sequence[str]) -> DataFrame:
@@ -60,18 +57,27 @@ def left_join_skip_null_keys(left: DataFrame, right: DataFrame, left_key: str,
                              right_key: str) -> DataFrame:
     """LEFT JOIN on one key where many left rows may carry a NULL key.
 
-    A NULL key never matches, but a shuffle join still sends every NULL-keyed
-    row to one task.  The NULL-keyed rows bypass the join and get NULL right
-    columns, which is the same result without the hot partition.
+    A NULL key never matches, but a shuffle join still hashes every NULL-keyed
+    row to the same task.  The join runs on (key is NULL, key or row hash):
+    NULL-keyed rows get a spread-out surrogate and a flag no right row has, so
+    they are distributed over all tasks and come out with NULL right columns,
+    exactly as in the plain left join.  The left side is read once.
     """
-    right_cols = [c for c in right.columns if c != right_key] + [right_key]
-    keyed = left.filter(F.col(left_key).isNotNull())
-    unkeyed = left.filter(F.col(left_key).isNull())
-    joined = keyed.join(right, keyed[left_key] == right[right_key], "left")
-    pad = unkeyed.select(*[unkeyed[c] for c in left.columns],
-                         *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in right_cols])
-    joined = joined.select(*[keyed[c] for c in left.columns], *[right[c] for c in right_cols])
-    return joined.unionByName(pad)
+    ktype = left.schema[left_key].dataType
+    h = F.xxhash64(*[F.col(c) for c in left.columns])
+    if isinstance(ktype, T.StringType):
+        salt = h.cast("string")
+    elif isinstance(ktype, T.LongType):
+        salt = h
+    elif isinstance(ktype, (T.IntegerType, T.ShortType, T.ByteType)):
+        salt = F.pmod(h, F.lit(32767)).cast(ktype)
+    else:
+        return left.join(right, left[left_key] == right[right_key], "left")
+    lk = (left.withColumn("__kn", F.col(left_key).isNull())
+              .withColumn("__kv", F.coalesce(F.col(left_key), salt)))
+    rk = right.withColumn("__rkn", F.lit(False)).withColumn("__rkv", F.col(right_key))
+    joined = lk.join(rk, (lk["__kn"] == rk["__rkn"]) & (lk["__kv"] == rk["__rkv"]), "left")
+    return joined.select(*[lk[c] for c in left.columns], *[rk[c] for c in right.columns])
 
 
 def attach_group_aggregates(df: DataFrame, key: str, aggs: Sequence[Column],

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortforge.functions.expr import SPECIES_CLASSES, cancer_flag, species_flag, wellcare_type
-from cohortforge.operators.joins import attach_group_aggregates
+from cohortforge.operators.joins import attach_group_aggregates, left_join_skip_null_keys
 
 MONEY = "decimal(18,2)"
 
@@ -241,13 +241,13 @@ def inforce_aggregate(detail: DataFrame, claims: DataFrame, prem: DataFrame,
     rows *after* the group-name join, so a group code held by two groups
     doubles them, as in the source; a NULL insured_code forms one household.
     """
-    t = detail.alias("t")
     pets = (detail.groupBy("insured_code").agg(F.count("policy_no").alias("total_pets"))
-                  .withColumnRenamed("insured_code", "p_insured_code").alias("p"))
+                  .withColumnRenamed("insured_code", "p_insured_code"))
+    # a NULL holder never matches its pet count; keep those rows off one task
+    t = left_join_skip_null_keys(detail, pets, "insured_code", "p_insured_code").alias("t")
     c, e = claims.alias("c"), prem.alias("earn")
     j = (t.join(c, F.col("t.policy_no") == F.col("c.policy_no"), "left")
-          .join(e, F.col("t.policy_no") == F.col("earn.policy_no"), "left")
-          .join(pets, F.col("t.insured_code") == F.col("p.p_insured_code"), "left"))
+          .join(e, F.col("t.policy_no") == F.col("earn.policy_no"), "left"))
     filled = [F.coalesce(F.col(f"c.{src}"), F.lit(0)).alias(name)
               if src.endswith("count") else
               F.coalesce(F.col(f"c.{src}"), F.lit(0).cast(MONEY)).cast(MONEY).alias(name)
@@ -255,7 +255,7 @@ def inforce_aggregate(detail: DataFrame, claims: DataFrame, prem: DataFrame,
     a = j.select(*[F.col(f"t.{col}") for col in detail.columns], *filled,
                  F.col("earn.earned_pre").alias("premium"),
                  F.col("earn.earned_fee").alias("fees"),
-                 F.col("p.total_pets"))
+                 F.col("t.total_pets"))
     g = group.select(F.col("group_code").alias("g_code"), "group_name")
     a = a.join(g, a["group_code"] == g["g_code"], "left").drop("g_code")
     # The claim, premium and pet rollups are one row per key, so they never
@@ -286,8 +286,8 @@ def referrals(vouchers: DataFrame, header: DataFrame) -> DataFrame:
 def add_referrals(agg: DataFrame, vouchers: DataFrame, header: DataFrame) -> DataFrame:
     """Append the referral count; holders without referrals get NULL, not 0."""
     r = referrals(vouchers, header)
-    out = agg.join(r, agg["insured_code"] == r["vi_insured"], "left")
-    return out.select(*[agg[c] for c in agg.columns], r["policy_referred_count"])
+    out = left_join_skip_null_keys(agg, r, "insured_code", "vi_insured")
+    return out.select(*agg.columns, "policy_referred_count")
 
 
 # -- whole entry ---------------------------------------------------------------
