@@ -70,7 +70,8 @@ def left_join_skip_null_keys(left: DataFrame, right: DataFrame, left_key: str,
     elif isinstance(ktype, T.LongType):
         salt = h
     elif isinstance(ktype, (T.IntegerType, T.ShortType, T.ByteType)):
-        salt = F.pmod(h, F.lit(32767)).cast(ktype)
+        top = {T.IntegerType: 2**31 - 1, T.ShortType: 2**15 - 1, T.ByteType: 2**7 - 1}[type(ktype)]
+        salt = F.pmod(h, F.lit(top)).cast(ktype)
     else:
         return left.join(right, left[left_key] == right[right_key], "left")
     lk = (left.withColumn("__kn", F.col(left_key).isNull())

@@ -116,9 +116,10 @@ def _claim_groups(header: DataFrame, claim_header: DataFrame, revision: DataFram
                   kinds: tuple[str, ...]) -> DataFrame:
     """(policy_no, claim_no, is_well) groups with their three amount sums.
 
-    Amounts are summed per (policyid, claim_no) before the header lookup (sums
-    distribute over the join, fan-out included), so the header join sees one
-    row per claim instead of one per detail line.
+    Sums distribute over joins (a row matched k times adds k times either
+    way), so amounts are reduced before each widening step: per diagnosis
+    before the claim joins, per (policyid, claim_no) before the header lookup.
+    The results equal the row-level join of the source.
     """
     ctype = F.col("coverage_product_type")
     if kinds == ("wellness",):
@@ -130,13 +131,17 @@ def _claim_groups(header: DataFrame, claim_header: DataFrame, revision: DataFram
     cov = cov.select(F.col("coverage_id").alias("claim_coverage_id"),
                      (ctype == "Wellcare").alias("is_well"))
     rev = revision.filter(F.col("claim_revision_status") != "Reopened")
+    # Detail lines (the largest table) are summed per diagnosis first; that
+    # aggregate's exchange is the partitioning the diagnosis join needs anyway.
+    per_diag = details.groupBy("claim_diagnosis_id").agg(
+        *[F.sum(a).alias(a) for a in CLAIM_AMOUNTS])
     lines = (
         claim_header.select("claim_id", "policyid", "claim_no")
         .join(rev.select("claim_id", "claim_revision_no"), "claim_id")
         .join(diagnosis.select("claim_diagnosis_id", "claim_id", "claim_revision_no",
                                "claim_coverage_id"), ["claim_id", "claim_revision_no"])
         .join(cov, "claim_coverage_id")
-        .join(details, "claim_diagnosis_id")
+        .join(per_diag, "claim_diagnosis_id")
     )
     sums = [F.sum(a).alias(a) for a in CLAIM_AMOUNTS]
     per_term_claim = lines.groupBy("policyid", "claim_no", "is_well").agg(*sums)
