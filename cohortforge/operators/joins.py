@@ -81,17 +81,57 @@ def left_join_skip_null_keys(left: DataFrame, right: DataFrame, left_key: str,
     return joined.select(*[lk[c] for c in left.columns], *[rk[c] for c in right.columns])
 
 
+NULL_SALT_BUCKETS = 256
+
+
+def _salt_for(ktype: T.DataType, h):
+    if isinstance(ktype, T.StringType):
+        return h.cast("string")
+    if isinstance(ktype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        return h.cast(ktype)
+    return None
+
+
+def attach_by_key(df: DataFrame, stats: DataFrame, key: str, null_matches: bool = True,
+                  buckets: int = NULL_SALT_BUCKETS) -> DataFrame:
+    """LEFT JOIN a one-row-per-key table on ``key``; the NULL key matches NULL.
+
+    Rows with a NULL key all want the same stats row, which would put them in
+    one task.  Instead they carry a salt (hash of the row, ``buckets`` values)
+    and the NULL stats row is replicated once per salt, so they spread over
+    ``buckets`` tasks.  Other hot keys are split by AQE's skew-join handling
+    (one stats row per key is cheap to replicate).
+    """
+    ktype = df.schema[key].dataType
+    salt = _salt_for(ktype, F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(buckets)))
+    if salt is None:
+        cond = df[key].eqNullSafe(stats[key]) if null_matches else df[key] == stats[key]
+        return df.join(stats.withColumnRenamed(key, "__sk"), cond, "left").drop("__sk")
+    left = (df.withColumn("__kn", F.col(key).isNull())
+              .withColumn("__kv", F.coalesce(F.col(key), salt)))
+    vals = [c for c in stats.columns if c != key]
+    keyed = stats.filter(F.col(key).isNotNull()).select(
+        F.lit(False).alias("__skn"), F.col(key).alias("__skv"), *vals)
+    parts = keyed
+    if null_matches:
+        fan = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long")))
+        nulls = (stats.filter(F.col(key).isNull())
+                 .select(fan.alias("__salt"), *vals)
+                 .select(F.lit(True).alias("__skn"), _salt_for(ktype, F.col("__salt")).alias("__skv"),
+                         *vals))
+        parts = keyed.unionByName(nulls)
+    out = left.join(parts, (left["__kn"] == parts["__skn"]) & (left["__kv"] == parts["__skv"]), "left")
+    return out.select(*[left[c] for c in df.columns], *[parts[c] for c in vals])
+
+
 def attach_group_aggregates(df: DataFrame, key: str, aggs: Sequence[Column],
                             source: DataFrame | None = None) -> DataFrame:
     """Add whole-partition aggregates (``agg() OVER (PARTITION BY key)``) to every row.
 
-    Computed as a grouped aggregate joined back on ``key`` (NULL-safe, so the
-    NULL key forms one group as it does in a window).  A window would sort a
-    hot key's rows inside one task; the grouped form combines map-side and the
-    join back is a one-row-per-key lookup that AQE can split when skewed.
+    Computed as a grouped aggregate (partial aggregation map-side) joined back
+    with :func:`attach_by_key`, where the NULL key forms one group as it does
+    in a window.  A window would sort a hot key's rows inside one task.
     ``source`` may supply a narrower frame with the same rows per key.
     """
     stats = (source if source is not None else df).groupBy(key).agg(*aggs)
-    stats = stats.withColumnRenamed(key, "__gk")
-    out = df.join(stats, df[key].eqNullSafe(stats["__gk"]), "left")
-    return out.drop("__gk")
+    return attach_by_key(df, stats, key)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortforge.functions.expr import SPECIES_CLASSES, cancer_flag, species_flag, wellcare_type
-from cohortforge.operators.joins import attach_group_aggregates, left_join_skip_null_keys
+from cohortforge.operators.joins import attach_by_key, left_join_skip_null_keys
 
 MONEY = "decimal(18,2)"
 
@@ -235,8 +235,40 @@ ZERO_FILLED = (
 )
 
 
+def household_stats(detail: DataFrame, group: DataFrame,
+                    referral_counts: DataFrame | None = None) -> DataFrame:
+    """One row per holder (the NULL holder included): pets, term range, species counts.
+
+    ``total_pets`` counts the holder's detail rows and is NULL for the NULL
+    holder (that join never matches).  The other columns are household totals
+    over the rows *after* the group-name join, where a group code held by m
+    groups repeats each of its rows m times: each row is weighted by m
+    instead of being repeated.  With ``referral_counts`` (vi_insured,
+    policy_referred_count) the referral count rides along (NULL for the NULL
+    holder and for holders without referrals).
+    """
+    mult = group.groupBy("group_code").agg(F.count(F.lit(1)).alias("__m"))
+    narrow = (detail.select("insured_code", "policy_no", "policy_renew_no", "speciescode", "group_code")
+              .join(mult, "group_code", "left")
+              .withColumn("__m", F.coalesce(F.col("__m"), F.lit(1))))
+    aggs = [F.count("policy_no").alias("total_pets"),
+            F.min("policy_renew_no").alias("min_term"),
+            F.max("policy_renew_no").alias("max_term")]
+    aggs += [F.sum(species_flag("speciescode", codes) * F.col("__m")).alias(name)
+             for name, codes in SPECIES_CLASSES]
+    stats = narrow.groupBy("insured_code").agg(*aggs)
+    stats = stats.withColumn("total_pets", F.when(F.col("insured_code").isNotNull(), F.col("total_pets")))
+    if referral_counts is not None:
+        r = referral_counts.select(F.col("vi_insured").alias("insured_code"), "policy_referred_count")
+        stats = stats.join(r, "insured_code", "left")
+    return stats
+
+
+HOUSEHOLD_COLUMNS = ("min_term", "max_term") + tuple(n for n, _ in SPECIES_CLASSES)
+
+
 def inforce_aggregate(detail: DataFrame, claims: DataFrame, prem: DataFrame,
-                      group: DataFrame) -> DataFrame:
+                      group: DataFrame, referral_counts: DataFrame | None = None) -> DataFrame:
     """Detail plus claim / premium totals, pets per holder, group name, household counts.
 
     ``claims`` is :func:`claim_rollups` (both kinds, one row per policy
@@ -245,12 +277,13 @@ def inforce_aggregate(detail: DataFrame, claims: DataFrame, prem: DataFrame,
     dogs, cats, avian, exotic/other) are whole-household aggregates over the
     rows *after* the group-name join, so a group code held by two groups
     doubles them, as in the source; a NULL insured_code forms one household.
+
+    The wide rows are shuffled twice: by policy number for the claim and
+    premium totals, and by holder for one table carrying pets, household
+    totals and (when ``referral_counts`` is given, fusing :func:`add_referrals`)
+    the referral count.
     """
-    pets = (detail.groupBy("insured_code").agg(F.count("policy_no").alias("total_pets"))
-                  .withColumnRenamed("insured_code", "p_insured_code"))
-    # a NULL holder never matches its pet count; keep those rows off one task
-    t = left_join_skip_null_keys(detail, pets, "insured_code", "p_insured_code").alias("t")
-    c, e = claims.alias("c"), prem.alias("earn")
+    t, c, e = detail.alias("t"), claims.alias("c"), prem.alias("earn")
     j = (t.join(c, F.col("t.policy_no") == F.col("c.policy_no"), "left")
           .join(e, F.col("t.policy_no") == F.col("earn.policy_no"), "left"))
     filled = [F.coalesce(F.col(f"c.{src}"), F.lit(0)).alias(name)
@@ -259,20 +292,14 @@ def inforce_aggregate(detail: DataFrame, claims: DataFrame, prem: DataFrame,
               for name, src in ZERO_FILLED]
     a = j.select(*[F.col(f"t.{col}") for col in detail.columns], *filled,
                  F.col("earn.earned_pre").alias("premium"),
-                 F.col("earn.earned_fee").alias("fees"),
-                 F.col("t.total_pets"))
+                 F.col("earn.earned_fee").alias("fees"))
     g = group.select(F.col("group_code").alias("g_code"), "group_name")
     a = a.join(g, a["group_code"] == g["g_code"], "left").drop("g_code")
-    # The claim, premium and pet rollups are one row per key, so they never
-    # change the row set: the household totals over ``a`` equal those over
-    # detail LEFT JOIN group, which needs four columns instead of the whole row.
-    narrow = detail.select("insured_code", "policy_renew_no", "speciescode", "group_code")
-    narrow = narrow.join(g.select("g_code"), narrow["group_code"] == g["g_code"], "left")
-    household = [F.min("policy_renew_no").alias("min_term"),
-                 F.max("policy_renew_no").alias("max_term")]
-    household += [F.sum(species_flag("speciescode", codes)).alias(name)
-                  for name, codes in SPECIES_CLASSES]
-    return attach_group_aggregates(a, "insured_code", household, source=narrow)
+    stats = household_stats(detail, group, referral_counts)
+    out = attach_by_key(a, stats, "insured_code")
+    tail = ["policy_referred_count"] if referral_counts is not None else []
+    base = [x for x in a.columns if x != "group_name"]
+    return out.select(*base, "total_pets", "group_name", *HOUSEHOLD_COLUMNS, *tail)
 
 
 # -- B7 ----------------------------------------------------------------------
@@ -313,7 +340,8 @@ def build_inforce(w, report_date: str | dt.date, stage=None) -> dict[str, DataFr
     both = claim_rollups(*claims)
     prem = premium_rollup(w.epremium, w.efees)
     agg = inforce_aggregate(dtl, both, prem, w.dim_group)
-    final = stage(add_referrals(agg, w.vouchers_issued, w.policy_header), "inforce_final")
+    final = stage(inforce_aggregate(dtl, both, prem, w.dim_group,
+                                    referrals(w.vouchers_issued, w.policy_header)), "inforce_final")
     return {"inforce": inf, "inforce_detail": dtl, "claim_totals": both,
             "wellness_claims": claim_rollup(*claims, kind="wellness"),
             "medical_claims": claim_rollup(*claims, kind="medical"), "premium_fees": prem, "inforce_aggregate": agg,

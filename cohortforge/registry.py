@@ -79,8 +79,11 @@ class Run:
                                     self["premium_fees"], self.w.dim_group)
 
     def _inforce_final(self):
-        return IN.add_referrals(self["inforce_aggregate"], self.w.vouchers_issued,
-                                self.w.policy_header)
+        # B6 + B7 fused: the referral count rides on the per-holder join
+        w = self.w
+        return IN.inforce_aggregate(self["inforce_detail"], self["claim_totals"],
+                                    self["premium_fees"], w.dim_group,
+                                    IN.referrals(w.vouchers_issued, w.policy_header))
 
     # survey funnel
     def _f1a(self):
