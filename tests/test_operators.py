@@ -82,3 +82,19 @@ def test_counts(frame):
     assert row_count(df).first()[0] == 5
     assert distinct_row_count(df, ["k"]).first()[0] == 3
     assert rows(duplicates(df, F.col("k"), "k")) == [("a", 2), (None, 2)]
+
+
+def test_attach_by_key_spreads_null_group(frame):
+    from cohortforge.operators.joins import attach_by_key
+    df = frame([(i, None if i % 3 == 0 else f"k{i % 4}") for i in range(60)], "id int, k string")
+    stats = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = attach_by_key(df, stats, "k")
+    want = df.join(stats.withColumnRenamed("k", "sk"), df["k"].eqNullSafe(F.col("sk")), "left")
+    assert rows(got, "id", "k", "n") == rows(want, "id", "k", "n")
+    strict = attach_by_key(df, stats, "k", null_matches=False)
+    assert strict.filter("k IS NULL AND n IS NOT NULL").count() == 0
+    assert strict.count() == 60
+    ids = frame([(i, None if i % 2 else i % 5) for i in range(40)], "id int, k bigint")
+    st = ids.groupBy("k").agg(F.sum("id").alias("s"))
+    assert rows(attach_by_key(ids, st, "k"), "id", "s") == rows(
+        ids.join(st.withColumnRenamed("k", "sk"), ids["k"].eqNullSafe(F.col("sk")), "left"), "id", "s")
