@@ -3,7 +3,7 @@
 Usage::
 
     spark-submit --py-files cohortforge.zip cohortforge/jobs.py \\
-        --warehouse s3://bucket/warehouse --out s3://bucket/out \\
+        --warehouse /shared/warehouse --out /shared/out \\
         --report-date 2013-02-28 --as-of 2013-05-14 [--first-sample 80000] [--second-sample 60000]
 
 ``--warehouse`` holds one parquet folder per input table named as in
