@@ -17,6 +17,13 @@ two dialect slots (``{ts}`` timestamp type, ``{mk_ts}`` timestamp constructor).
 Spark runs them with ``spark.sql(text, orders=df, ...)``; the DuckDB oracle
 inlines the same text as CTEs, so the oracle comparison checks the jobs and
 not this mapping.  Every table grows with the scale factor.
+
+The WHERE clauses here assign roles (event types become vouchers, list
+entries or survey answers) and carve out the unmatched cases the jobs must
+handle (terms without a pet row, products without a written-premium row,
+agents in the entity master, people missing from the consumer file).  They
+are never there to make a query cheaper: the jobs always read the whole
+tables defined here.
 """
 
 from __future__ import annotations
