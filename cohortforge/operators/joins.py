@@ -110,16 +110,18 @@ def attach_by_key(df: DataFrame, stats: DataFrame, key: str, null_matches: bool
     left = (df.withColumn("__kn", F.col(key).isNull())
               .withColumn("__kv", F.coalesce(F.col(key), salt)))
     vals = [c for c in stats.columns if c != key]
-    keyed = stats.filter(F.col(key).isNotNull()).select(
-        F.lit(False).alias("__skn"), F.col(key).alias("__skv"), *vals)
-    parts = keyed
     if null_matches:
-        fan = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long")))
-        nulls = (stats.filter(F.col(key).isNull())
-                 .select(fan.alias("__salt"), *vals)
-                 .select(F.lit(True).alias("__skn"), _salt_for(ktype, F.col("__salt")).alias("__skv"),
+        # one pass: a keyed row stays one row, the NULL row fans out to every salt
+        fan = F.when(F.col(key).isNull(),
+                     F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))
+                     ).otherwise(F.array(F.lit(None).cast("long")))
+        parts = (stats.select(F.col(key), F.explode(fan).alias("__salt"), *vals)
+                 .select(F.col(key).isNull().alias("__skn"),
+                         F.coalesce(F.col(key), _salt_for(ktype, F.col("__salt"))).alias("__skv"),
                          *vals))
-        parts = keyed.unionByName(nulls)
+    else:
+        parts = stats.filter(F.col(key).isNotNull()).select(
+            F.lit(False).alias("__skn"), F.col(key).alias("__skv"), *vals)
     out = left.join(parts, (left["__kn"] == parts["__skn"]) & (left["__kv"] == parts["__skv"]), "left")
     return out.select(*[left[c] for c in df.columns], *[parts[c] for c in vals])
 
