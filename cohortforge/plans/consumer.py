@@ -142,7 +142,9 @@ def match_left(consumer_type: DataFrame, inforce_final: DataFrame, key_len: int
     Consumers with no match keep one row of NULLs, so they reach the totals.
     """
     t = name_key(inforce_final, key_len).filter(F.col("t_key").isNotNull())
-    ct = consumer_type.select(F.col("source_str").alias("unique_id"))
+    # consumers sharing a key give identical (unique_id, t.*) rows: take each key
+    # once before the join, so a popular key never emits consumer x policy pairs
+    ct = consumer_type.select(F.col("source_str").alias("unique_id")).distinct()
     j = left_join_skip_null_keys(ct, t, "unique_id", "t_key")
     return j.select("unique_id", *inforce_final.columns).distinct()
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cohortforge.functions.expr import (amount_band, household_size_band, match_key,
                                         pet_count_cap, pet_mix, product_class, term_band)
 from cohortforge.operators.aggregates import distinct_row_count, duplicates, row_count
-from cohortforge.operators.joins import anti_join
+from cohortforge.operators.joins import anti_join, left_join_skip_null_keys
 from cohortforge.plans.consumer import INSURED_GROUP, consumer_keys, insured_keys
 
 
@@ -232,24 +232,40 @@ def insured_with_policy_keys(entity: DataFrame, insured: DataFrame, policy_pet:
                     F.to_date("enty_created_on").alias("vpi_create"), "pol_cnt")
 
 
+def _left_join_row_counts(left_keys: DataFrame, right_keys: DataFrame) -> DataFrame:
+    """Per left key: rows a LEFT JOIN on that key would produce, without the pairs.
+
+    ``left_keys`` / ``right_keys`` hold one column ``k``.  A key held m times on
+    the left and n times on the right yields m * max(n, 1) joined rows (a NULL
+    key never matches, so n = 0 for it).
+    """
+    m = left_keys.groupBy("k").agg(F.count(F.lit(1)).alias("m"))
+    n = right_keys.filter(F.col("k").isNotNull()).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    j = left_join_skip_null_keys(m, n.withColumnRenamed("k", "rk"), "k", "rk")
+    return j.select("k", (F.col("m") * F.greatest(F.coalesce(F.col("n"), F.lit(0)), F.lit(1)))
+                    .alias("row_count"))
+
+
 def matches_with_policy(source: DataFrame, entity: DataFrame, insured: DataFrame,
                         policy_pet: DataFrame, key_len: int = 8) -> DataFrame:
     """Consumer x insured matches (8-char key, no state) where the insured
-    holds at least one pet policy, counted over the consumer LEFT JOIN."""
-    src = consumer_keys(source, key_len, with_state=False)
-    vpi = insured_with_policy_keys(entity, insured, policy_pet, key_len)
-    vpi = vpi.filter(F.col("vpi_str").isNotNull())
-    j = src.select("source_str").join(vpi.select("vpi_str"),
-                                      F.col("source_str") == F.col("vpi_str"), "left")
-    return row_count(j)
+    holds at least one pet policy, counted over the consumer LEFT JOIN.
+
+    Counted from per-key counts on both sides, so a popular key never
+    materialises its consumer x insured pairs.
+    """
+    src = consumer_keys(source, key_len, with_state=False).select(F.col("source_str").alias("k"))
+    vpi = insured_with_policy_keys(entity, insured, policy_pet, key_len).select(F.col("vpi_str").alias("k"))
+    counts = _left_join_row_counts(src, vpi)
+    return counts.agg(F.coalesce(F.sum("row_count"), F.lit(0)).cast("bigint").alias("row_count"))
 
 
 def consumers_with_many_codes(source: DataFrame, entity: DataFrame, key_len: int = 8) -> DataFrame:
-    """Consumer keys that match more than one insured row (LEFT JOIN count > 1)."""
-    src = consumer_keys(source, key_len, with_state=False).select("source_str")
-    vpi = insured_keys(entity, key_len, with_state=False).filter(F.col("vpi_str").isNotNull())
-    j = src.join(vpi.select("vpi_str"), F.col("source_str") == F.col("vpi_str"), "left")
-    return (duplicates(j, F.col("source_str"), "source_str", 2, "row_count")
+    """Consumer keys whose LEFT JOIN to the INSURED rows gives more than one row."""
+    src = consumer_keys(source, key_len, with_state=False).select(F.col("source_str").alias("k"))
+    vpi = insured_keys(entity, key_len, with_state=False).select(F.col("vpi_str").alias("k"))
+    counts = _left_join_row_counts(src, vpi).filter(F.col("row_count") > 1)
+    return (counts.select(F.col("k").alias("source_str"), "row_count")
             .orderBy(F.col("row_count").desc(), F.col("source_str").asc_nulls_last()))
 
 
@@ -277,18 +293,22 @@ def insureds_with_many_policies(insured: DataFrame, policy_pet: DataFrame) -> Da
 # -- V27 / V28 ---------------------------------------------------------------
 
 def policies_mapped(link_pid: DataFrame, inforce_final: DataFrame) -> DataFrame:
-    """Distinct in-force rows reached from the consumer link (count)."""
+    """Distinct in-force rows reached from the consumer link (count).
+
+    DISTINCT t.* over the join equals the distinct in-force rows with at least
+    one link row, so a semi join replaces the consumer x policy pairs.
+    """
     t = inforce_final
-    j = t.join(link_pid.select(F.col("policyid").alias("ct_policyid")),
-               t["policyid"] == F.col("ct_policyid"))
-    return row_count(j.select(*[t[c] for c in t.columns]).distinct())
+    hit = t.join(link_pid.select(F.col("policyid").alias("ct_policyid")),
+                 t["policyid"] == F.col("ct_policyid"), "left_semi")
+    return row_count(hit.distinct())
 
 
 def people_with_score(link_pid: DataFrame, inforce_final: DataFrame, csat: DataFrame) -> DataFrame:
     """Distinct people whose linked in-force policy has a survey score (count)."""
-    ct = link_pid.select("source_str", F.col("policyid").alias("ct_policyid"))
-    t = inforce_final.select("policyid")
-    cs = csat.filter(F.col("nps").isNotNull()).select(F.col("policyid").alias("cs_policyid"))
-    j = (ct.join(t, F.col("ct_policyid") == F.col("policyid"))
-           .join(cs, F.col("policyid") == F.col("cs_policyid")))
-    return distinct_row_count(j, ["source_str"])
+    scored = (inforce_final.select("policyid")
+              .join(csat.filter(F.col("nps").isNotNull()).select(F.col("policyid").alias("cs_policyid")),
+                    F.col("policyid") == F.col("cs_policyid"), "left_semi"))
+    people = link_pid.select("source_str", F.col("policyid").alias("ct_policyid"))
+    people = people.join(scored, F.col("ct_policyid") == scored["policyid"], "left_semi")
+    return distinct_row_count(people, ["source_str"])
