@@ -34,7 +34,7 @@ def rows_key(rows, cols):
     return sorted((tuple(norm(r[i]) for i in order) for r in rows), key=repr)
 
 
-def compare(spark, sf_dir, names=None, verbose=True):
+def compare(spark, sf_dir, names=None, verbose=True, plans=None):
     import __spark_entry__ as E
     con = duckdb.connect()
     for t in TABLES:
@@ -48,6 +48,8 @@ def compare(spark, sf_dir, names=None, verbose=True):
         df = qs[name](spark, sf_dir)
         s_cols = df.columns
         s_rows = [tuple(r) for r in df.collect()]
+        if plans is not None:
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
         t1 = time.time()
         if name not in sqls:
             results[name] = ("rows-only", len(s_rows))
