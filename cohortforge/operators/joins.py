@@ -27,6 +27,24 @@ def anti_join(left: DataFrame, right: DataFrame, cond: Column | str | Sequence[s
     return left.join(right, on=cond, how="left_anti")
 
 
+def anti_join_on_key(left: DataFrame, right: DataFrame, left_key: Column,
+                     right_key: str) -> DataFrame:
+    """Rows of ``left`` whose ``left_key`` value is not among ``right[right_key]``.
+
+    Same result as :func:`anti_join` on ``left_key == right_key`` (a NULL key
+    never matches, so its row is kept), but NULL keys are spread by row hash
+    instead of all hashing to one task when the right side is too big to
+    broadcast.
+    """
+    salt = F.xxhash64(*[F.col(c) for c in left.columns]).cast("string")
+    lk = (left.withColumn("__ak", left_key.cast("string"))
+              .withColumn("__akn", F.col("__ak").isNull())
+              .withColumn("__akv", F.coalesce(F.col("__ak"), salt)))
+    rk = right.select(F.lit(False).alias("__rkn"), F.col(right_key).cast("string").alias("__rkv"))
+    out = lk.join(rk, (lk["__akn"] == rk["__rkn"]) & (lk["__akv"] == rk["__rkv"]), "left_anti")
+    return out.select(*left.columns)
+
+
 def semi_join(left: DataFrame, right: DataFrame, cond: Column | str | Sequence[str]) -> DataFrame:
     return left.join(right, on=cond, how="left_semi")
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortforge.functions.expr import like_any, loose_email
-from cohortforge.operators.joins import anti_join, join_group_min
+from cohortforge.operators.joins import anti_join, anti_join_on_key, join_group_min
 from cohortforge.operators.sampling import sample_n
 from cohortforge.operators.setops import append, minus
 
@@ -90,7 +90,8 @@ def suppress(f1a: DataFrame, scrub: DataFrame, bad_email: DataFrame, policy_pet:
     a = anti_join(a, scrub.select(F.trim("insured_code").alias("s_code")),
                   a["insured_code"] == F.col("s_code"))
     bad = bad_email.select(F.upper("bad_email").alias("b_email"))
-    a = anti_join(a, bad, F.upper(a["insured_email"]) == F.col("b_email"))
+    # many holders may lack an e-mail: spread those NULL keys instead of one task
+    a = anti_join_on_key(a, bad, F.upper(a["insured_email"]), "b_email")
     canc = future_cancellations(f1a, term, cancel, as_of).withColumnRenamed("insured_code", "c_code")
     a = anti_join(a, canc, a["insured_code"] == F.col("c_code"))
     a = a.filter(~F.col("origin_code").isin(*EXCLUDED_ORIGIN_CODES))

@@ -98,3 +98,12 @@ def test_attach_by_key_spreads_null_group(frame):
     st = ids.groupBy("k").agg(F.sum("id").alias("s"))
     assert rows(attach_by_key(ids, st, "k"), "id", "s") == rows(
         ids.join(st.withColumnRenamed("k", "sk"), ids["k"].eqNullSafe(F.col("sk")), "left"), "id", "s")
+
+
+def test_anti_join_on_key_matches_plain_anti_join(frame):
+    from cohortforge.operators.joins import anti_join_on_key
+    left = frame([(1, "a@x"), (2, None), (3, "B@X"), (4, None), (5, "c@x")], "id int, e string")
+    right = frame([("A@X",), ("B@X",), (None,)], "b string")
+    got = anti_join_on_key(left, right, F.upper(left["e"]), "b")
+    want = left.join(right, F.upper(left["e"]) == right["b"], "left_anti")
+    assert rows(got) == rows(want) == [(2, None), (4, None), (5, "c@x")]
