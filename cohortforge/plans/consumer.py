@@ -36,7 +36,7 @@ def consumer_keys(source: DataFrame, key_len: int = 12, with_state: bool = True)
 
 
 def insured_keys(entity: DataFrame, key_len: int = 12, with_state: bool = True) -> DataFrame:
-    """INSURED rows of the entity master as (vpi_str, vpi_ins_code, vpi_create).
+    """INSURED rows of the entity master as (ins_key, ins_code, ins_created).
 
     No upper-casing on this side (names are stored upper-case); the creation
     timestamp is truncated to its day.
@@ -44,8 +44,8 @@ def insured_keys(entity: DataFrame, key_len: int = 12, with_state: bool = True)
     key = match_key("enty_first_name", "enty_last_name", "enty_address1", key_len,
                     "enty_state" if with_state else None, upper=False)
     return (entity.filter(F.col("enty_group_code") == INSURED_GROUP)
-                  .select(key.alias("vpi_str"), F.col("enty_code").alias("vpi_ins_code"),
-                          F.to_date("enty_created_on").alias("vpi_create")))
+                  .select(key.alias("ins_key"), F.col("enty_code").alias("ins_code"),
+                          F.to_date("enty_created_on").alias("ins_created")))
 
 
 # -- B15 ---------------------------------------------------------------------
@@ -59,10 +59,10 @@ def link_consumers(source: DataFrame, entity: DataFrame, key_len: int = 12,
     match and skip the shuffle join, so blank names do not pile into one task.
     """
     src = consumer_keys(source, key_len, with_state)
-    vpi = insured_keys(entity, key_len, with_state).filter(F.col("vpi_str").isNotNull())
-    j = left_join_skip_null_keys(src, vpi, "source_str", "vpi_str")
-    return j.select(F.col("vpi_ins_code").alias("insured_code"),
-                    F.col("vpi_create").alias("create_date"),
+    ins = insured_keys(entity, key_len, with_state).filter(F.col("ins_key").isNotNull())
+    j = left_join_skip_null_keys(src, ins, "source_str", "ins_key")
+    return j.select(F.col("ins_code").alias("insured_code"),
+                    F.col("ins_created").alias("create_date"),
                     *[F.col(c) for c in src.columns]).distinct()
 
 

@@ -204,13 +204,13 @@ def consumer_key_distinct(source: DataFrame, key_len: int = 12, with_state: bool
 def insured_key_duplicates(entity: DataFrame, key_len: int = 8) -> DataFrame:
     """Insured match keys (no state) held by more than one INSURED row."""
     k = insured_keys(entity, key_len, with_state=False)
-    return (duplicates(k, F.col("vpi_str"), "vpi_str", 2, "row_count")
-            .orderBy(F.col("row_count").desc(), F.col("vpi_str").asc_nulls_last()))
+    return (duplicates(k, F.col("ins_key"), "ins_key", 2, "row_count")
+            .orderBy(F.col("row_count").desc(), F.col("ins_key").asc_nulls_last()))
 
 
 def insured_key_distinct(entity: DataFrame, key_len: int = 8) -> DataFrame:
     """Number of distinct insured match keys."""
-    return distinct_row_count(insured_keys(entity, key_len, with_state=False), ["vpi_str"])
+    return distinct_row_count(insured_keys(entity, key_len, with_state=False), ["ins_key"])
 
 
 def policy_counts(insured: DataFrame, policy_pet: DataFrame) -> DataFrame:
@@ -227,9 +227,9 @@ def insured_with_policy_keys(entity: DataFrame, insured: DataFrame, policy_pet:
     e = entity.filter(F.col("enty_group_code") == INSURED_GROUP)
     e = e.join(x, e["enty_code"] == x["x_code"])
     return e.select(match_key("enty_first_name", "enty_last_name", "enty_address1", key_len,
-                              upper=False).alias("vpi_str"),
-                    F.col("enty_code").alias("vpi_ins_code"),
-                    F.to_date("enty_created_on").alias("vpi_create"), "pol_cnt")
+                              upper=False).alias("ins_key"),
+                    F.col("enty_code").alias("ins_code"),
+                    F.to_date("enty_created_on").alias("ins_created"), "pol_cnt")
 
 
 def _left_join_row_counts(left_keys: DataFrame, right_keys: DataFrame) -> DataFrame:
@@ -255,16 +255,16 @@ def matches_with_policy(source: DataFrame, entity: DataFrame, insured: DataFrame
     materialises its consumer x insured pairs.
     """
     src = consumer_keys(source, key_len, with_state=False).select(F.col("source_str").alias("k"))
-    vpi = insured_with_policy_keys(entity, insured, policy_pet, key_len).select(F.col("vpi_str").alias("k"))
-    counts = _left_join_row_counts(src, vpi)
+    ins = insured_with_policy_keys(entity, insured, policy_pet, key_len).select(F.col("ins_key").alias("k"))
+    counts = _left_join_row_counts(src, ins)
     return counts.agg(F.coalesce(F.sum("row_count"), F.lit(0)).cast("bigint").alias("row_count"))
 
 
 def consumers_with_many_codes(source: DataFrame, entity: DataFrame, key_len: int = 8) -> DataFrame:
     """Consumer keys whose LEFT JOIN to the INSURED rows gives more than one row."""
     src = consumer_keys(source, key_len, with_state=False).select(F.col("source_str").alias("k"))
-    vpi = insured_keys(entity, key_len, with_state=False).select(F.col("vpi_str").alias("k"))
-    counts = _left_join_row_counts(src, vpi).filter(F.col("row_count") > 1)
+    ins = insured_keys(entity, key_len, with_state=False).select(F.col("ins_key").alias("k"))
+    counts = _left_join_row_counts(src, ins).filter(F.col("row_count") > 1)
     return (counts.select(F.col("k").alias("source_str"), "row_count")
             .orderBy(F.col("row_count").desc(), F.col("source_str").asc_nulls_last()))
 
