@@ -49,7 +49,11 @@ def sample_n(df: DataFrame, n: int, key_cols: Sequence[str], seed: int = 42,
     """
     keyed = df.withColumn("__sample_h", sample_order_key(key_cols, seed))
     cols = list(df.columns)
-    order = [F.col("__sample_h"), *[F.col(k) for k in key_cols]]
+    # hash, then key, then every other column: a total order, so rows that tie
+    # on the key (and differ elsewhere) are cut at the same place everywhere
+    rest = [c for c in cols if c not in key_cols]
+    order = [F.col("__sample_h"), *[F.col(k).asc_nulls_first() for k in key_cols],
+             *[F.col(c).asc_nulls_first() for c in rest]]
     total = df.count()
     if total <= n:
         return df

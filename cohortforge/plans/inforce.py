@@ -346,3 +346,9 @@ def build_inforce(w, report_date: str | dt.date, stage=None) -> dict[str, DataFr
             "wellness_claims": claim_rollup(*claims, kind="wellness"),
             "medical_claims": claim_rollup(*claims, kind="medical"), "premium_fees": prem, "inforce_aggregate": agg,
             "inforce_final": final}
+
+
+# Column order of the in-force aggregate and final tables.
+AGGREGATE_COLUMNS = (DETAIL_COLUMNS + tuple(n for n, _ in ZERO_FILLED)
+                     + ("premium", "fees", "total_pets", "group_name") + HOUSEHOLD_COLUMNS)
+FINAL_COLUMNS = AGGREGATE_COLUMNS + ("policy_referred_count",)
