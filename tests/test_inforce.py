@@ -136,3 +136,35 @@ def test_referrals_distinct_redeemed_not_self(table, spark):
     agg = spark.createDataFrame([("I1", 1), ("I2", 2), (None, 3)], "insured_code string, x int")
     out = IN.add_referrals(agg, v, header)
     assert rows(out) == [("I1", 1, 2), ("I2", 2, None), (None, 3, None)]
+
+
+def test_inforce_detail_joins_and_distinct(table):
+    inf = table("policy_header", [dict(policyid=i, policy_no=f"P{i}", policy_renew_no=0, insured_code=f"I{i}")
+                                  for i in (1, 2, 3, 4, 5)]).select("policyid", "policy_no", "policy_renew_no",
+                                                                     "insured_code")
+    header = table("policy_header", [
+        dict(policyid=i, policy_no=f"P{i}", policy_renew_no=0, insured_code=f"I{i}", group_id=g, breed_id=b,
+             source_id=1, origin_id=1, paymentplan_id=1, provider_id=p)
+        for i, g, b, p in [(1, 1, 1, 1), (2, 9, 1, 9), (3, 1, 7, 1), (4, 1, 1, 1), (5, 1, 1, 1)]])
+    pets = table("policy_pets", [
+        dict(pp_policy_no="P1", pp_policy_renew_no=0, pp_petname="Rex"),
+        dict(pp_policy_no="P1", pp_policy_renew_no=0, pp_petname="Rex"),    # exact duplicate: merged
+        dict(pp_policy_no="P2", pp_policy_renew_no=0, pp_petname="Tom"),
+        dict(pp_policy_no="P3", pp_policy_renew_no=0, pp_petname="Kit"),
+        dict(pp_policy_no="P5", pp_policy_renew_no=0, pp_petname="A"),
+        dict(pp_policy_no="P5", pp_policy_renew_no=0, pp_petname="B")])     # two pets: two rows
+    insured = table("dim_insured", [dict(insured_code=f"I{i}") for i in (1, 2, 3, 5)])
+    group = table("dim_group", [dict(group_id=1, group_code="G1")])
+    breed = table("dim_breed", [dict(breed_id=1, speciescode="C")])
+    wp = table("dim_wp", [dict(policyid=1, vrcc=144, cancer=0), dict(policyid=2, vrcc=7, cancer=None),
+                          dict(policyid=3, vrcc=99), dict(policyid=4), dict(policyid=5, vrcc=264, cancer=1)])
+    one = lambda name, col: table(name, [{col: 1}])
+    out = IN.inforce_detail(inf, pets, header, insured, group, breed, wp, one("dim_source", "source_id"),
+                            one("dim_origin", "origin_id"), one("dim_paymentplan", "paymentplan_id"),
+                            table("dim_provider", [dict(provider_id=1, provider_name="Vet")]))
+    assert tuple(out.columns) == IN.DETAIL_COLUMNS
+    got = rows(out, "policyid", "pp_petname", "group_code", "provider_name", "wellcare_type", "canceryn")
+    # Breed 7 missing (inner) -> dropped; P4: no pet and no holder -> dropped;
+    # Group 9 and provider 9 missing (left) -> kept with NULLs
+    assert got == [(1, "Rex", "G1", "Vet", "Core", "N"), (2, "Tom", None, None, None, "Y"),
+                   (5, "A", "G1", "Vet", "Premier", "Y"), (5, "B", "G1", "Vet", "Premier", "Y")]
