@@ -7,7 +7,9 @@ SQL lives in :mod:`cohortforge.oracle`.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,19 +34,36 @@ class Run:
     stay lazy plans.  Only the stages a query depends on are computed.
     """
 
-    STAGED = {"inforce_detail", "inforce_final", "f1a", "f2", "f2a", "f3",
-              "consumer_type", "consumer_policies"}
+    STAGED = {"inforce_detail", "claim_totals", "premium_fees", "inforce_final", "f1a", "f2",
+              "f2a", "f3", "consumer_type", "consumer_policies"}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.w = Warehouse(spark, sf_dir)
         self._memo: dict[str, DataFrame] = {}
+        self._locks: dict[str, threading.Lock] = {}
+        self._guard = threading.Lock()
 
     def __getitem__(self, name: str) -> DataFrame:
-        if name not in self._memo:
-            df = getattr(self, "_" + name)()
-            self._memo[name] = stage(df, name) if name in self.STAGED else df
+        with self._guard:
+            lock = self._locks.setdefault(name, threading.Lock())
+        with lock:
+            if name not in self._memo:
+                df = getattr(self, "_" + name)()
+                self._memo[name] = stage(df, name) if name in self.STAGED else df
         return self._memo[name]
 
+    def ready(self, *names: str) -> list[DataFrame]:
+        """The named stages, independent ones built concurrently."""
+        self._ready(*names)
+        return [self[n] for n in names]
+
+    def _ready(self, *names: str) -> None:
+        """Stage independent prerequisites as concurrent Spark jobs."""
+        todo = [n for n in names if n not in self._memo]
+        if len(todo) > 1:
+            with ThreadPoolExecutor(len(todo)) as pool:
+                list(pool.map(self.__getitem__, todo))
+
     # in-force build
     def _inforce(self):
         return IN.inforce(self.w.policy_header, self.w.data_inforce, REPORT_DATE)
@@ -75,11 +94,13 @@ class Run:
                                 w.claim_diagnosis, w.claim_details, w.dim_coverage)
 
     def _inforce_aggregate(self):
+        self._ready("inforce_detail", "claim_totals", "premium_fees")
         return IN.inforce_aggregate(self["inforce_detail"], self["claim_totals"],
                                     self["premium_fees"], self.w.dim_group)
 
     def _inforce_final(self):
         # B6 + B7 fused: the referral count rides on the per-holder join
+        self._ready("inforce_detail", "claim_totals", "premium_fees")
         w = self.w
         return IN.inforce_aggregate(self["inforce_detail"], self["claim_totals"],
                                     self["premium_fees"], w.dim_group,
@@ -96,6 +117,7 @@ class Run:
                                    w.policy_header, w.dim_insured)
 
     def _f2(self):
+        self._ready("f1a", "scrub")
         w = self.w
         return FN.suppress(self["f1a"], self["scrub"], w.bad_email, w.policy_pet,
                            w.dim_policy_status, w.policy_term, w.cancel, AS_OF)
@@ -120,9 +142,11 @@ class Run:
         return C.link_policies(self["consumer_type"], self.w.policy_header)
 
     def _consumer_inforce(self):
+        self._ready("inforce_final", "consumer_policies")
         return C.consumer_policy(self["consumer_policies"], self["inforce_final"])
 
     def _consumer_inforce_csat(self):
+        self._ready("inforce_final", "consumer_policies")
         return C.consumer_policy(self["consumer_policies"], self["inforce_final"], self.w.csat)
 
     def _person_totals(self):
@@ -132,6 +156,7 @@ class Run:
         return C.consumer_keys(self.w.demographics, 8, with_state=False)
 
     def _person_totals_direct(self):
+        self._ready("inforce_final", "consumer_keys8")
         return C.person_totals_direct(self["consumer_keys8"], self["inforce_final"])
 
     def _person_profile(self):
@@ -213,7 +238,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_insured_many_policies": _report(lambda r: R.insureds_with_many_policies(
         r.w.dim_insured, r.w.policy_pet)),
     "report_policies_mapped": _report(lambda r: R.policies_mapped(
-        r["consumer_policies"], r["inforce_final"])),
+        *r.ready("consumer_policies", "inforce_final"))),
     "report_people_with_score": _report(lambda r: R.people_with_score(
-        r["consumer_policies"], r["inforce_final"], r.w.csat)),
+        *r.ready("consumer_policies", "inforce_final"), r.w.csat)),
 }

@@ -19,7 +19,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = stage_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    # the schema is known: no footer-reading job to infer it
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def no_stage(df: DataFrame, name: str) -> DataFrame:
