@@ -48,3 +48,8 @@ def test_streaming_ingest_is_incremental(spark):
     _write(os.path.join(drop, "D1.csv"), "insured_code,source\nI3,\n")
     ingest_list_drops(spark, drop, target, checkpoint=cp)
     assert rows(spark.read.parquet(target)) == [("I1", "C1"), ("I2", "C1"), ("I3", "D1")]
+
+
+def test_staging_dir_uses_session_setting(spark):
+    from cohortforge.session import staging_dir
+    assert staging_dir(spark) == spark.conf.get("spark.checkpoint.dir")
