@@ -113,7 +113,7 @@ def inforce_detail(inforce_df: DataFrame, pets: DataFrame, header: DataFrame,
 
 def _claim_groups(header: DataFrame, claim_header: DataFrame, revision: DataFrame,
                   diagnosis: DataFrame, details: DataFrame, coverage: DataFrame,
-                  kinds: tuple[str, ...]) -> DataFrame:
+                  kinds: tuple[str, ...], policy_nos: DataFrame | None = None) -> DataFrame:
     """(policy_no, claim_no, is_well) groups with their three amount sums.
 
     Sums distribute over joins (a row matched k times adds k times either
@@ -131,6 +131,11 @@ def _claim_groups(header: DataFrame, claim_header: DataFrame, revision: DataFram
     cov = cov.select(F.col("coverage_id").alias("claim_coverage_id"),
                      (ctype == "Wellcare").alias("is_well"))
     rev = revision.filter(F.col("claim_revision_status") != "Reopened")
+    if policy_nos is not None:
+        # only these policy numbers are wanted: keep all their terms, and only
+        # their claims, before any claim join
+        header = header.join(policy_nos.select("policy_no"), "policy_no", "left_semi")
+        claim_header = claim_header.join(header.select("policyid"), "policyid", "left_semi")
     # Detail lines (the largest table) are summed per diagnosis first; that
     # aggregate's exchange is the partitioning the diagnosis join needs anyway.
     per_diag = details.groupBy("claim_diagnosis_id").agg(
@@ -175,7 +180,8 @@ def claim_rollup(header: DataFrame, claim_header: DataFrame, revision: DataFrame
 
 
 def claim_rollups(header: DataFrame, claim_header: DataFrame, revision: DataFrame,
-                  diagnosis: DataFrame, details: DataFrame, coverage: DataFrame) -> DataFrame:
+                  diagnosis: DataFrame, details: DataFrame, coverage: DataFrame,
+                  policy_nos: DataFrame | None = None) -> DataFrame:
     """Medical and wellness totals side by side from one pass over the claims.
 
     Columns: policy_no, medcount, med_claimamount, med_paidamount,
@@ -183,9 +189,14 @@ def claim_rollups(header: DataFrame, claim_header: DataFrame, revision: DataFram
     well_eligibleamount.  A policy with claims of one kind only gets count 0
     and NULL sums for the other, which the in-force aggregate zero-fills just
     as it does for a missing row of :func:`claim_rollup`.
+
+    ``policy_nos`` (a frame with a ``policy_no`` column) limits the totals to
+    those policy numbers, still over all their terms: the in-force aggregate
+    only looks up in-force policy numbers, so claims of other policies need
+    not be joined at all.
     """
     g = _claim_groups(header, claim_header, revision, diagnosis, details, coverage,
-                      ("wellness", "medical"))
+                      ("wellness", "medical"), policy_nos)
     med, well = ~F.col("is_well"), F.col("is_well")
     return g.groupBy("policy_no").agg(
         F.count(F.when(med, F.lit(1))).alias("medcount"),
@@ -199,7 +210,8 @@ def claim_rollups(header: DataFrame, claim_header: DataFrame, revision: DataFram
 
 # -- B5 ----------------------------------------------------------------------
 
-def premium_rollup(premium: DataFrame, fees: DataFrame) -> DataFrame:
+def premium_rollup(premium: DataFrame, fees: DataFrame,
+                   policy_nos: DataFrame | None = None) -> DataFrame:
     """Earned premium and fees per policy number (premium LEFT JOIN fees on 3 keys).
 
     Several fee rows for one key multiply that key's premium, and vice versa,
@@ -208,6 +220,10 @@ def premium_rollup(premium: DataFrame, fees: DataFrame) -> DataFrame:
     hot key:  rows = P*max(F,1), Σpremium = Σp*max(F,1), Σfees = Σf*P.
     """
     key = ["policy_no", "policy_renew_no", "reportperiod"]
+    if policy_nos is not None:
+        wanted = policy_nos.select("policy_no")
+        premium = premium.join(wanted, "policy_no", "left_semi")
+        fees = fees.join(wanted, "policy_no", "left_semi")
     p = premium.groupBy(*key).agg(F.count(F.lit(1)).alias("p_n"),
                                   F.sum("earnedpremium").alias("p_sum"))
     f = fees.groupBy(*key).agg(F.count(F.lit(1)).alias("f_n"),
@@ -337,14 +353,16 @@ def build_inforce(w, report_date: str | dt.date, stage=None) -> dict[str, DataFr
                                w.dim_paymentplan, w.dim_provider), "inforce_detail")
     claims = (w.policy_header, w.claim_header, w.claim_revision, w.claim_diagnosis,
               w.claim_details, w.dim_coverage)
-    both = claim_rollups(*claims)
-    prem = premium_rollup(w.epremium, w.efees)
+    wanted = inf.select("policy_no").distinct()
+    both = claim_rollups(*claims, policy_nos=wanted)
+    prem = premium_rollup(w.epremium, w.efees, policy_nos=wanted)
     agg = inforce_aggregate(dtl, both, prem, w.dim_group)
     final = stage(inforce_aggregate(dtl, both, prem, w.dim_group,
                                     referrals(w.vouchers_issued, w.policy_header)), "inforce_final")
     return {"inforce": inf, "inforce_detail": dtl, "claim_totals": both,
             "wellness_claims": claim_rollup(*claims, kind="wellness"),
-            "medical_claims": claim_rollup(*claims, kind="medical"), "premium_fees": prem, "inforce_aggregate": agg,
+            "medical_claims": claim_rollup(*claims, kind="medical"),
+            "premium_fees": premium_rollup(w.epremium, w.efees), "inforce_aggregate": agg,
             "inforce_final": final}
 
 

@@ -34,7 +34,7 @@ class Run:
     stay lazy plans.  Only the stages a query depends on are computed.
     """
 
-    STAGED = {"inforce_detail", "claim_totals", "premium_fees", "inforce_final", "f1a", "f2",
+    STAGED = {"inforce_detail", "claim_totals", "premium_for_inforce", "inforce_final", "f1a", "f2",
               "f2a", "f3", "consumer_type", "consumer_policies"}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -88,22 +88,30 @@ class Run:
     def _premium_fees(self):
         return IN.premium_rollup(self.w.epremium, self.w.efees)
 
+    def _inforce_policy_nos(self):
+        return self["inforce"].select("policy_no").distinct()
+
     def _claim_totals(self):
         w = self.w
         return IN.claim_rollups(w.policy_header, w.claim_header, w.claim_revision,
-                                w.claim_diagnosis, w.claim_details, w.dim_coverage)
+                                w.claim_diagnosis, w.claim_details, w.dim_coverage,
+                                policy_nos=self["inforce_policy_nos"])
+
+    def _premium_for_inforce(self):
+        return IN.premium_rollup(self.w.epremium, self.w.efees,
+                                 policy_nos=self["inforce_policy_nos"])
 
     def _inforce_aggregate(self):
-        self._ready("inforce_detail", "claim_totals", "premium_fees")
+        self._ready("inforce_detail", "claim_totals", "premium_for_inforce")
         return IN.inforce_aggregate(self["inforce_detail"], self["claim_totals"],
-                                    self["premium_fees"], self.w.dim_group)
+                                    self["premium_for_inforce"], self.w.dim_group)
 
     def _inforce_final(self):
         # B6 + B7 fused: the referral count rides on the per-holder join
-        self._ready("inforce_detail", "claim_totals", "premium_fees")
+        self._ready("inforce_detail", "claim_totals", "premium_for_inforce")
         w = self.w
         return IN.inforce_aggregate(self["inforce_detail"], self["claim_totals"],
-                                    self["premium_fees"], w.dim_group,
+                                    self["premium_for_inforce"], w.dim_group,
                                     IN.referrals(w.vouchers_issued, w.policy_header))
 
     # survey funnel
