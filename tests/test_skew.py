@@ -59,3 +59,35 @@ def test_spread_anti_join(shuffle_joins):
     out = anti_join_on_key(df, bad, F.col("k"), "b")
     assert out.count() == 30000 - 2 * 20
     assert _max_share(out) < 0.15
+
+
+def test_hot_holder_is_split_by_aqe(spark):
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.enabled": "true",
+            "spark.sql.adaptive.skewJoin.enabled": "true",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4096",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4096",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        # one holder owns a third of the rows
+        # (an incompressible payload: AQE measures compressed shuffle bytes)
+        df = spark.range(60000).select(
+            F.col("id"), F.md5(F.col("id").cast("string")).alias("pad"),
+            F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise((F.col("id") % 5000).cast("string")).alias("k"))
+        stats = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+        out = attach_by_key(df, stats, "k")
+        got = out.collect()                      # runs this plan, so AQE finalises it
+        assert max(r["n"] for r in got if r["k"] == "HOT") == 20000
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in plan and "skew=true" in plan
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
