@@ -1,0 +1 @@
+"""Column -> Column expressions (built-in Spark functions only)."""

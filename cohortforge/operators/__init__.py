@@ -1,0 +1 @@
+"""Relational building blocks: skew-aware joins, exact-N sampling, set operations, counts."""

@@ -1,0 +1 @@
+"""Readers, writers, staging, and the testdata role map."""

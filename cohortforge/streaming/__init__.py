@@ -1,0 +1,6 @@
+"""Streaming.
+
+The source scripts are batch only; their one incremental step is importing
+suppression-list files and appending them to the scrub table.  That is the
+only streaming job here (:func:`cohortforge.streaming.imports.ingest_list_drops`).
+"""
