@@ -9,7 +9,8 @@ Usage::
 ``--warehouse`` holds one parquet folder per input table named as in
 :data:`cohortforge.schemas.SCHEMAS` (``policy_header``, ``data_inforce``, ...).
 Each output table is written to ``--out/<name>``; tables that later steps
-read are read back from there, so every step starts from written files.
+read are read back from there, so every step starts from written files.  The
+``reports`` step writes every validation report as CSV to ``--out/reports/<name>``.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortforge.plans import consumer as C
 from cohortforge.plans import funnel as FN
 from cohortforge.plans import inforce as IN
+from cohortforge.plans import reports as R
 from cohortforge.schemas import SCHEMAS
+from cohortforge.sources.files import export_csv
 
 
 class ParquetWarehouse:
@@ -72,6 +75,58 @@ def run(spark: SparkSession, warehouse, out: str, report_date: str | dt.date,
     return written
 
 
+def report_frames(w, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Every validation report over the written tables ``t`` (funnel reports
+    on the files the source points them at)."""
+    f1a, f2a, f3 = t["f1a"], t["f2a"], t["f3"]
+    out = {
+        "import_sources": R.import_sources(t["scrub"]),
+        "funnel_counts": R.stage_counts({k: t[k] for k in ("f1a", "f2", "f2a", "f3", "f4", "f4a")}),
+        "species": R.species_side_by_side(f1a, f2a, f3),
+        "terms": R.term_side_by_side(f1a, f2a, f3),
+        "households": R.households_by_size(f3),
+        "pet_mix": R.pet_mix_report(f3),
+        "pet_mix_min_term": R.pet_mix_report(f1a, "min_term"),
+        "pet_mix_max_term": R.pet_mix_report(f3, "max_term"),
+        "products": R.product_mix(f3),
+        "states": R.state_counts(f3),
+        "top_states_pif": R.top_states_by_plan_type(f3, w.policy_header, w.dim_paymentplan,
+                                                     w.dim_payment_type),
+        "pets_per_holder": R.holders_by_pet_count(f1a),
+        "consumer_key_duplicates": R.consumer_key_duplicates(w.demographics),
+        "consumer_key_distinct": R.consumer_key_distinct(w.demographics),
+        "insured_key_duplicates": R.insured_key_duplicates(w.entity_address_master),
+        "insured_key_distinct": R.insured_key_distinct(w.entity_address_master),
+        "matches_with_policy": R.matches_with_policy(w.demographics, w.entity_address_master,
+                                                     w.dim_insured, w.policy_pet),
+        "consumers_many_codes": R.consumers_with_many_codes(w.demographics, w.entity_address_master),
+        "insured_with_policy": R.insured_entities_with_policy(w.entity_address_master, w.dim_insured,
+                                                              w.policy_pet),
+        "insured_without_policy": R.insureds_without_policy(w.dim_insured, w.policy_pet),
+        "insured_many_policies": R.insureds_with_many_policies(w.dim_insured, w.policy_pet),
+        "policies_mapped": R.policies_mapped(t["consumer_policies"], t["inforce_final"]),
+        "people_with_score": R.people_with_score(t["consumer_policies"], t["inforce_final"], w.csat),
+    }
+    bands = {"medical_claimed": f1a, "medical_eligible": f1a, "medical_paid": f3,
+             "wellness_claimed": f3, "wellness_eligible": f3, "wellness_paid": f1a}
+    for measure, table in bands.items():
+        out[f"{measure}_bands"] = R.claim_band_report(table, measure)
+    return out
+
+
+def run_reports(spark: SparkSession, warehouse, out: str) -> dict[str, str]:
+    """Write every report as CSV under ``out/reports`` from the tables under ``out``."""
+    out = out.rstrip("/")
+    names = ("scrub", "f1a", "f2", "f2a", "f3", "f4", "f4a", "inforce_final", "consumer_policies")
+    t = {n: spark.read.parquet(os.path.join(out, n)) for n in names}
+    written = {}
+    for name, df in report_frames(warehouse, t).items():
+        path = os.path.join(out, "reports", name)
+        export_csv(df, path)
+        written[name] = path
+    return written
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__.splitlines()[0])
     p.add_argument("--warehouse", required=True)
@@ -81,12 +136,15 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--first-sample", type=int, default=80000)
     p.add_argument("--second-sample", type=int, default=60000)
     p.add_argument("--seed", type=int, default=42)
-    p.add_argument("--steps", default="inforce,funnel,consumer")
+    p.add_argument("--steps", default="inforce,funnel,consumer,reports")
     a = p.parse_args(argv)
     from cohortforge.session import get_spark
     spark = get_spark(app="cohortforge-jobs")
-    run(spark, ParquetWarehouse(spark, a.warehouse), a.out, a.report_date, a.as_of,
-        a.first_sample, a.second_sample, a.seed, tuple(a.steps.split(",")))
+    steps = tuple(a.steps.split(","))
+    w = ParquetWarehouse(spark, a.warehouse)
+    run(spark, w, a.out, a.report_date, a.as_of, a.first_sample, a.second_sample, a.seed, steps)
+    if "reports" in steps:
+        run_reports(spark, w, a.out)
 
 
 if __name__ == "__main__":

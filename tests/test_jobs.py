@@ -2,6 +2,7 @@ import os
 import tempfile
 
 from cohortforge import jobs
+from cohortforge.plans import reports as R
 from cohortforge.registry import FIRST_SAMPLE_N, SECOND_SAMPLE_N, Run
 from cohortforge.schemas import SCHEMAS
 from cohortforge.sources.warehouse import AS_OF, REPORT_DATE, Warehouse
@@ -22,3 +23,8 @@ def test_jobs_over_parquet_warehouse_match_registry(spark):
         assert rows(got) == rows(r[name]), name
     assert set(written) >= {"inforce", "inforce_detail", "inforce_aggregate", "scrub", "f1a",
                             "consumer_type", "consumer_policies", "person_totals"}
+
+    reports = jobs.run_reports(spark, pw, out)
+    assert len(reports) == 29
+    states = spark.read.option("header", True).csv(reports["states"])
+    assert states.count() == R.state_counts(r["f3"]).count()
