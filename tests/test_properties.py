@@ -26,6 +26,8 @@ def test_funnel_properties(spark):
     v6 = {x[0]: x[1] for x in R.pet_mix_report(r["f1a"]).collect()}
     v7 = R.pet_mix_report(r["f1a"], "min_term").groupBy("multi_pet").agg(F.sum("ph")).collect()
     assert {x[0]: x[1] for x in v7} == v6
+    v8 = R.pet_mix_report(r["f1a"], "max_term").groupBy("multi_pet").agg(F.sum("ph")).collect()
+    assert {x[0]: x[1] for x in v8} == v6
     v18 = R.holders_by_pet_count(r["f1a"]).agg(F.sum("row_count")).first()[0]
     assert v18 == n["f1a"]
 
