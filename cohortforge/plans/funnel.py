@@ -22,6 +22,7 @@ from cohortforge.functions.expr import like_any, loose_email
 from cohortforge.operators.joins import anti_join, anti_join_on_key, join_group_min
 from cohortforge.operators.sampling import sample_n
 from cohortforge.operators.setops import append, minus
+from cohortforge.plans.inforce import _as_date
 
 # Origin codes scrubbed from the survey population.
 EXCLUDED_ORIGIN_CODES = ("GD0082", "GD0174", "GP0082", "GP0083")
@@ -62,10 +63,14 @@ def suppression_list(base: DataFrame, by_policy: DataFrame, by_email: DataFrame,
 # -- B10 ---------------------------------------------------------------------
 
 def future_cancellations(f1a: DataFrame, term: DataFrame, cancel: DataFrame,
-                         as_of: str | dt.date) -> DataFrame:
-    """Holders of f1a with a cancellation effective on or after ``as_of``."""
-    as_of_d = as_of if isinstance(as_of, dt.date) else dt.date.fromisoformat(as_of)
-    c = cancel.filter(F.col("effective_date") >= F.lit(as_of_d)).select("policy_term_dwid")
+                         as_of: str | dt.date | None) -> DataFrame:
+    """Holders of f1a with a cancellation effective on or after ``as_of``.
+
+    ``as_of=None`` means today (``current_date()``, the scripts' trunc(SYSDATE));
+    pass a date for results that repeat.
+    """
+    day = F.current_date() if as_of is None else F.lit(_as_date(as_of))
+    c = cancel.filter(F.col("effective_date") >= day).select("policy_term_dwid")
     return (f1a.select("insured_code", "policy_no", "policy_renew_no")
                .join(term.select("policy_no", "policy_renew_no", "policy_term_dwid"),
                      ["policy_no", "policy_renew_no"])
@@ -75,7 +80,7 @@ def future_cancellations(f1a: DataFrame, term: DataFrame, cancel: DataFrame,
 
 def suppress(f1a: DataFrame, scrub: DataFrame, bad_email: DataFrame, policy_pet: DataFrame,
              status: DataFrame, term: DataFrame, cancel: DataFrame,
-             as_of: str | dt.date) -> DataFrame:
+             as_of: str | dt.date | None) -> DataFrame:
     """Apply the scrub: three anti joins, origin exclusion and the status filter.
 
     * scrub list: ``f1a.insured_code = trim(list.insured_code)``;

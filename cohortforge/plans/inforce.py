@@ -27,7 +27,12 @@ MONEY = "decimal(18,2)"
 
 
 def _as_date(d: str | dt.date) -> dt.date:
-    return d if isinstance(d, dt.date) else dt.date.fromisoformat(d)
+    """A date, or text as 'YYYY-MM-DD' or the scripts' 'MM/DD/YYYY'."""
+    if isinstance(d, dt.date):
+        return d
+    if "/" in d:
+        return dt.datetime.strptime(d, "%m/%d/%Y").date()
+    return dt.date.fromisoformat(d)
 
 
 # -- B1 ----------------------------------------------------------------------

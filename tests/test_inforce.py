@@ -16,6 +16,7 @@ def test_inforce_snapshot_midnight_only(table):
         dict(policyid=3, reportperiod=dt.datetime(2013, 1, 31))])
     out = IN.inforce(header, fact, "2013-02-28")
     assert rows(out, "policyid") == [(1,)]
+    assert rows(IN.inforce(header, fact, "02/28/2013"), "policyid") == [(1,)]
     assert out.columns == ["policyid", "policy_no", "policy_renew_no", "insured_code"]
 
 
