@@ -22,7 +22,7 @@ from cohortforge.functions.expr import like_any, loose_email
 from cohortforge.operators.joins import anti_join, anti_join_on_key, join_group_min
 from cohortforge.operators.sampling import sample_n
 from cohortforge.operators.setops import append, minus
-from cohortforge.plans.inforce import _as_date
+from cohortforge.plans.inforce import as_date
 
 # Origin codes scrubbed from the survey population.
 EXCLUDED_ORIGIN_CODES = ("GD0082", "GD0174", "GP0082", "GP0083")
@@ -69,7 +69,7 @@ def future_cancellations(f1a: DataFrame, term: DataFrame, cancel: DataFrame,
     ``as_of=None`` means today (``current_date()``, the scripts' trunc(SYSDATE));
     pass a date for results that repeat.
     """
-    day = F.current_date() if as_of is None else F.lit(_as_date(as_of))
+    day = F.current_date() if as_of is None else F.lit(as_date(as_of))
     c = cancel.filter(F.col("effective_date") >= day).select("policy_term_dwid")
     return (f1a.select("insured_code", "policy_no", "policy_renew_no")
                .join(term.select("policy_no", "policy_renew_no", "policy_term_dwid"),

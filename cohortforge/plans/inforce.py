@@ -26,7 +26,7 @@ from cohortforge.operators.joins import attach_by_key, left_join_skip_null_keys
 MONEY = "decimal(18,2)"
 
 
-def _as_date(d: str | dt.date) -> dt.date:
+def as_date(d: str | dt.date) -> dt.date:
     """A date, or text as 'YYYY-MM-DD' or the scripts' 'MM/DD/YYYY'."""
     if isinstance(d, dt.date):
         return d
@@ -43,7 +43,7 @@ def inforce(header: DataFrame, inforce_fact: DataFrame, report_date: str | dt.da
     ``reportperiod`` equals the date only at midnight; a snapshot row carrying a
     time of day does not match, as in the source.
     """
-    snap = inforce_fact.filter(F.col("reportperiod") == F.lit(_as_date(report_date)))
+    snap = inforce_fact.filter(F.col("reportperiod") == F.lit(as_date(report_date)))
     return (header.join(snap, "policyid")
                   .select("policyid", "policy_no", "policy_renew_no", "insured_code"))
 
