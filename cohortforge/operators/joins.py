@@ -99,6 +99,25 @@ def left_join_skip_null_keys(left: DataFrame, right: DataFrame, left_key: str,
     return joined.select(*[lk[c] for c in left.columns], *[rk[c] for c in right.columns])
 
 
+def left_join_splittable(left: DataFrame, right: DataFrame, left_key: str,
+                         right_key: str) -> DataFrame:
+    """LEFT JOIN written as inner join + unmatched rows, so either side's hot key can be split.
+
+    AQE splits an oversized partition of either side of an inner join, but
+    only the left side of a left outer join.  Where the *right* side may hold
+    a hot key (many entities or policies sharing one name key), the matches
+    come from an inner join and the left rows without a match (NULL keys
+    included, spread by :func:`anti_join_on_key`) are added with NULL right
+    columns.  Same rows as the left join; the left input is read twice.
+    """
+    matched = left.join(right, left[left_key] == right[right_key], "inner")
+    matched = matched.select(*[left[c] for c in left.columns], *[right[c] for c in right.columns])
+    lonely = anti_join_on_key(left, right, F.col(left_key), right_key)
+    pad = lonely.select(*left.columns,
+                        *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields])
+    return matched.unionByName(pad)
+
+
 NULL_SALT_BUCKETS = 256
 
 

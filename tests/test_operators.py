@@ -107,3 +107,12 @@ def test_anti_join_on_key_matches_plain_anti_join(frame):
     got = anti_join_on_key(left, right, F.upper(left["e"]), "b")
     want = left.join(right, F.upper(left["e"]) == right["b"], "left_anti")
     assert rows(got) == rows(want) == [(2, None), (4, None), (5, "c@x")]
+
+
+def test_left_join_splittable_equals_left_join(frame):
+    from cohortforge.operators.joins import left_join_splittable
+    left = frame([(1, "a"), (2, None), (3, "b"), (4, None), (5, "c")], "id int, k string")
+    right = frame([("a", 10), ("a", 11), (None, 12), ("c", 13)], "rk string, v int")
+    got = left_join_splittable(left, right, "k", "rk")
+    want = left.join(right, left["k"] == right["rk"], "left").select("id", "k", "rk", "v")
+    assert rows(got, "id", "k", "rk", "v") == rows(want)

@@ -91,3 +91,36 @@ def test_hot_holder_is_split_by_aqe(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_hot_right_key_is_split_in_splittable_left_join(spark):
+    from cohortforge.operators.joins import left_join_splittable
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.enabled": "true",
+            "spark.sql.adaptive.skewJoin.enabled": "true",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4096",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4096",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        left = spark.range(2000).select(F.col("id").alias("lid"),
+                                        (F.col("id") % 1000).cast("string").alias("k"))
+        # the right side holds one key in a third of its rows
+        right = spark.range(60000).select(
+            F.md5(F.col("id").cast("string")).alias("pad"),
+            F.when(F.col("id") % 3 == 0, F.lit("7")).otherwise((F.col("id") % 5000).cast("string")).alias("rk"))
+        out = left_join_splittable(left, right, "k", "rk")
+        got = out.collect()
+        assert len(got) == left.join(right, left["k"] == right["rk"], "left").count()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in plan and "skew=true" in plan
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
