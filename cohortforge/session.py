@@ -51,7 +51,13 @@ def staging_dir(spark: SparkSession) -> str:
     unset (local tests) a private folder under the system temp dir is chosen
     and registered, so ``DataFrame.checkpoint()`` works too.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a Spark Connect session has no local SparkContext
+        conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+        if not conf_dir:
+            raise RuntimeError("spark.checkpoint.dir is not set on the Spark Connect server")
+        return conf_dir
     conf_dir = (spark.conf.get("spark.checkpoint.dir", None)
                 or sc.getConf().get("spark.checkpoint.dir", None))
     if conf_dir:
