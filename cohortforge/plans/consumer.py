@@ -55,8 +55,9 @@ def link_consumers(source: DataFrame, entity: DataFrame, key_len: int = 12,
     """Every consumer row with each insured code sharing its key (LEFT JOIN, DISTINCT).
 
     One consumer may match several insured codes (one row each); consumers
-    without a match keep one row with NULL insured_code.  NULL keys never
-    match and skip the shuffle join, so blank names do not pile into one task.
+    without a match keep one row with NULL insured_code.  NULL keys (blank
+    names) never match; they are spread over tasks by the unmatched-rows anti
+    join of :func:`left_join_splittable` instead of piling into one.
     """
     src = consumer_keys(source, key_len, with_state)
     ins = insured_keys(entity, key_len, with_state).filter(F.col("ins_key").isNotNull())
