@@ -89,3 +89,82 @@ def test_attach_by_key_model(spark, data):
         groups[k].append(v)
     want = {i: (min(groups[k]), sum(groups[k])) for i, (k, _) in enumerate(data)}
     assert got == want
+
+
+small = st.integers(1, 3)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(small, st.sampled_from(["P1", "P2"])), min_size=1, max_size=5),   # header (dup ids)
+       st.lists(st.tuples(small, small, st.one_of(st.none(), st.sampled_from(["C1", "C2"]))),
+                min_size=1, max_size=6),                                                   # claim header
+       st.lists(st.tuples(small, small, st.sampled_from(["Closed", "Reopened", None])),
+                min_size=1, max_size=6),                                                   # revisions
+       st.lists(st.tuples(small, small, small, small), min_size=1, max_size=8),            # diagnoses
+       st.lists(st.tuples(small, st.integers(0, 99)), min_size=1, max_size=10))            # details
+def test_claim_totals_equal_row_level_rollup(spark, hdr, ch, rev, dg, det):
+    header = spark.createDataFrame(hdr, "policyid bigint, policy_no string")
+    claim_header = spark.createDataFrame(ch, "claim_id bigint, policyid bigint, claim_no string")
+    revision = spark.createDataFrame(rev, "claim_id bigint, claim_revision_no int, claim_revision_status string")
+    diagnosis = spark.createDataFrame(dg, "claim_diagnosis_id bigint, claim_id bigint, "
+                                          "claim_revision_no int, claim_coverage_id bigint")
+    details = spark.createDataFrame([(d, Decimal(a), Decimal(a) / 2, Decimal(a) / 4) for d, a in det],
+                                    "claim_diagnosis_id bigint, claimedamount decimal(18,2), "
+                                    "paidamount decimal(18,2), eligibleamount decimal(18,2)")
+    coverage = spark.createDataFrame([(1, "Wellcare"), (2, "Base"), (3, None)],
+                                     "coverage_id bigint, coverage_product_type string")
+    args = (header, claim_header, revision, diagnosis, details, coverage)
+    for name, df in [("h", header), ("ch", claim_header), ("r", revision), ("g", diagnosis),
+                     ("d", details), ("v", coverage)]:
+        df.createOrReplaceTempView(f"hyp_{name}")
+    for kind, cond, cnt in [("wellness", "= 'Wellcare'", "COUNT(claim_no)"),
+                            ("medical", "<> 'Wellcare'", "COUNT(*)")]:
+        want = spark.sql(f"""
+            SELECT policy_no, {cnt} AS n, CAST(SUM(ca) AS DECIMAL(18,2)) AS ca,
+                   CAST(SUM(pa) AS DECIMAL(18,2)) AS pa, CAST(SUM(ea) AS DECIMAL(18,2)) AS ea
+            FROM (SELECT h.policy_no, c.claim_no, SUM(d.claimedamount) ca, SUM(d.paidamount) pa,
+                         SUM(d.eligibleamount) ea
+                  FROM hyp_h h JOIN hyp_ch c ON h.policyid = c.policyid
+                  JOIN hyp_r r ON c.claim_id = r.claim_id
+                  JOIN hyp_g g ON r.claim_id = g.claim_id AND r.claim_revision_no = g.claim_revision_no
+                  JOIN hyp_d d ON g.claim_diagnosis_id = d.claim_diagnosis_id
+                  JOIN hyp_v v ON g.claim_coverage_id = v.coverage_id
+                  WHERE v.coverage_product_type {cond} AND r.claim_revision_status <> 'Reopened'
+                  GROUP BY h.policy_no, c.claim_no) x
+            GROUP BY policy_no""")
+        want_rows = {tuple(r) for r in want.collect()}
+        assert {tuple(r) for r in IN.claim_rollup(*args, kind=kind).collect()} == want_rows
+        both = IN.claim_rollups(*args)
+        pre = "med_" if kind == "medical" else "well_"
+        c = "medcount" if kind == "medical" else "wccount"
+        sel = both.select("policy_no", c, f"{pre}claimamount", f"{pre}paidamount", f"{pre}eligibleamount")
+        got = {tuple(r) for r in sel.collect() if r[1] or r[2] is not None}
+        assert got == want_rows
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.one_of(st.none(), st.sampled_from(["I1", "I2"])), st.integers(0, 20),
+                          st.sampled_from(["C", "F", "A", "E", "R", None]),
+                          st.one_of(st.none(), st.sampled_from(["G0", "G1", "G9"]))),
+                min_size=1, max_size=20))
+def test_household_weights_equal_window_over_group_join(spark, data):
+    detail = spark.createDataFrame([(f"P{i}", k, t, s, g) for i, (k, t, s, g) in enumerate(data)],
+                                   "policy_no string, insured_code string, policy_renew_no int, "
+                                   "speciescode string, group_code string")
+    group = spark.createDataFrame([(1, "G0", "A"), (2, "G0", "B"), (3, "G1", "C")],
+                                  "group_id bigint, group_code string, group_name string")
+    stats = {r.insured_code: (r.min_term, r.max_term, r.dogs, r.cats, r.avian, r.exoticothers)
+             for r in IN.household_stats(detail, group).collect()}
+    detail.createOrReplaceTempView("hyp_detail")
+    group.createOrReplaceTempView("hyp_group")
+    win = spark.sql("""
+        SELECT a.insured_code,
+          MIN(a.policy_renew_no) OVER w AS lo, MAX(a.policy_renew_no) OVER w AS hi,
+          SUM(CASE WHEN a.speciescode = 'C' THEN 1 ELSE 0 END) OVER w AS dogs,
+          SUM(CASE WHEN a.speciescode = 'F' THEN 1 ELSE 0 END) OVER w AS cats,
+          SUM(CASE WHEN a.speciescode = 'A' THEN 1 ELSE 0 END) OVER w AS avian,
+          SUM(CASE WHEN a.speciescode IN ('E', 'R') THEN 1 ELSE 0 END) OVER w AS ex
+        FROM hyp_detail a LEFT JOIN hyp_group g ON a.group_code = g.group_code
+        WINDOW w AS (PARTITION BY a.insured_code)""")
+    want = {r[0]: tuple(r[1:]) for r in win.collect()}
+    assert stats == want
