@@ -168,3 +168,32 @@ def test_household_weights_equal_window_over_group_join(spark, data):
         WINDOW w AS (PARTITION BY a.insured_code)""")
     want = {r[0]: tuple(r[1:]) for r in win.collect()}
     assert stats == want
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 30), st.sampled_from(["x", "y", None])), min_size=1, max_size=80),
+       st.integers(1, 60))
+def test_sample_paths_agree(spark, data, n):
+    from cohortforge.operators.sampling import sample_n
+    df = spark.createDataFrame(data, "policyid bigint, tag string").repartition(3)
+    key = lambda r: (r[0], r[1] or "")
+    direct = sorted((tuple(r) for r in sample_n(df, n, ["policyid"], 5).collect()), key=key)
+    cut = sorted((tuple(r) for r in sample_n(df, n, ["policyid"], 5, direct_max_rows=0).collect()), key=key)
+    assert direct == cut and len(direct) == min(n, len(data))
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["P1", "P10", "P2", "P3"]),
+                          st.sampled_from(["a@x", "A@X", "b.y", "nomail", None])), min_size=1, max_size=20))
+def test_first_per_email_model(spark, data):
+    from cohortforge.plans.funnel import first_per_email
+    df = spark.createDataFrame([(i, p, e) for i, (p, e) in enumerate(data)],
+                               "policyid int, policy_no string, insured_email string")
+    got = sorted(tuple(r) for r in first_per_email(df).select("policyid").collect())
+    mins = defaultdict(list)
+    for p, e in data:
+        mins[None if e is None else e.lower()].append(p)
+    dp = [min(v) for v in mins.values()]                     # one row per e-mail group
+    want = sorted((i,) for i, (p, e) in enumerate(data) for m in dp
+                  if p == m and e is not None and ("@" in e or "." in e))
+    assert got == want
