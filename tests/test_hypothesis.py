@@ -197,3 +197,49 @@ def test_first_per_email_model(spark, data):
     want = sorted((i,) for i, (p, e) in enumerate(data) for m in dp
                   if p == m and e is not None and ("@" in e or "." in e))
     assert got == want
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["I1", "I2", "I3"]), st.sampled_from(["P1", "P2", "P3"]),
+                          st.sampled_from([0, 1]), st.sampled_from(["a@x", "B@X", None]),
+                          st.sampled_from(["OC1", "GD0082", None])), min_size=1, max_size=12),
+       st.lists(st.sampled_from([" I1", "I2 ", "I9", None]), max_size=3),
+       st.lists(st.sampled_from(["b@x", "zz", None]), max_size=2),
+       st.lists(st.tuples(st.sampled_from(["P1", "P2", "P3"]), st.sampled_from([1, 2, 3])), max_size=6),
+       st.lists(st.tuples(st.sampled_from(["P1", "P2", "P3"]), st.sampled_from([0, 1]),
+                          st.sampled_from([-1, 0, 1])), max_size=4))
+def test_suppress_model(spark, f1, scrub, bad, pets, cancels):
+    import datetime as dt
+    from cohortforge.plans.funnel import EXCLUDED_ORIGIN_CODES, KEPT_STATUSES, suppress
+    as_of = dt.date(2013, 5, 14)
+    f1a = spark.createDataFrame([(i, c, p, r, e, o) for i, (c, p, r, e, o) in enumerate(f1)],
+                                "policyid int, insured_code string, policy_no string, policy_renew_no int, "
+                                "insured_email string, origin_code string")
+    sc = spark.createDataFrame([(s, "A") for s in scrub], "insured_code string, source string")
+    be = spark.createDataFrame([(b,) for b in bad], "bad_email string")
+    pp = spark.createDataFrame([(p, s) for p, s in pets], "policy_no string, policy_status_dwid bigint")
+    status = spark.createDataFrame([(1, "Inforce"), (2, "Inforce (Undernotice)"), (3, "Lapsed")],
+                                   "policy_status_dwid bigint, policy_status_desc string")
+    terms = [(p, r, 100 + k) for k, (p, r, _) in enumerate(cancels)]
+    term = spark.createDataFrame(terms, "policy_no string, policy_renew_no int, policy_term_dwid bigint")
+    cancel = spark.createDataFrame([(100 + k, as_of + dt.timedelta(days=d)) for k, (_, _, d) in enumerate(cancels)],
+                                   "policy_term_dwid bigint, effective_date date")
+    got = sorted(r[0] for r in suppress(f1a, sc, be, pp, status, term, cancel, as_of)
+                 .select("policyid").collect())
+    scrubbed = {s.strip() for s in scrub if s is not None}
+    bads = {b.upper() for b in bad if b is not None}
+    term_keys = {(p, r) for (p, r, d) in cancels if d >= 0}
+    canc = {c for (c, p, r, _, _) in f1 if (p, r) in term_keys}
+    kept_pets = defaultdict(int)
+    for p, s in pets:
+        if s in (1, 2):
+            kept_pets[p] += 1
+    want = []
+    for i, (c, p, r, e, o) in enumerate(f1):
+        if c in scrubbed or (e is not None and e.upper() in bads) or c in canc:
+            continue
+        if o is None or o in EXCLUDED_ORIGIN_CODES:
+            continue
+        want += [i] * kept_pets[p]
+    assert KEPT_STATUSES == ("Inforce", "Inforce (Undernotice)")
+    assert got == sorted(want)
