@@ -243,3 +243,18 @@ def test_suppress_model(spark, f1, scrub, bad, pets, cancels):
         want += [i] * kept_pets[p]
     assert KEPT_STATUSES == ("Inforce", "Inforce (Undernotice)")
     assert got == sorted(want)
+
+
+keys = st.lists(st.one_of(st.none(), st.sampled_from(["k1", "k2", "k3", "k4"])), max_size=15)
+
+
+@SETTINGS
+@given(keys.filter(bool), keys)
+def test_left_join_row_counts_equal_join(spark, left, right):
+    from cohortforge.plans.reports import _left_join_row_counts
+    lk = spark.createDataFrame([(k,) for k in left], "k string")
+    rk = spark.createDataFrame([(k,) for k in right], "k string")
+    got = {r["k"]: r["row_count"] for r in _left_join_row_counts(lk, rk).collect()}
+    j = lk.alias("l").join(rk.alias("r"), F.col("l.k") == F.col("r.k"), "left")
+    want = {r[0]: r[1] for r in j.groupBy(F.col("l.k")).count().collect()}
+    assert got == want
