@@ -61,3 +61,22 @@ def test_inforce_final_moves_wide_rows_twice(large_shape):
     assert "Exchange hashpartitioning(__kn, __kv" in plan
     assert re.search(r"Exchange hashpartitioning\(policy_no, \d+\)", plan)
     assert "Window" not in plan
+
+
+def test_snapshot_date_prunes_partitions(spark):
+    import os
+    import tempfile
+
+    from cohortforge.jobs import ParquetWarehouse
+    from cohortforge.plans.inforce import inforce
+    from cohortforge.sources.warehouse import Warehouse
+    from conftest import SF_SMALL, rows
+    root = tempfile.mkdtemp(prefix="cf-prune-")
+    w = Warehouse(spark, SF_SMALL)
+    w.data_inforce.write.partitionBy("reportperiod").parquet(os.path.join(root, "data_inforce"))
+    w.policy_header.write.parquet(os.path.join(root, "policy_header"))
+    pw = ParquetWarehouse(spark, root)
+    df = inforce(pw.policy_header, pw.data_inforce, "1999-01-01")
+    plan = _plan(df)
+    assert re.search(r"PartitionFilters: \[[^\]]*reportperiod#\d+ = 1999-01-01 00:00:00", plan)
+    assert rows(df) == rows(inforce(w.policy_header, w.data_inforce, "1999-01-01"))
