@@ -79,4 +79,7 @@ def test_snapshot_date_prunes_partitions(spark):
     df = inforce(pw.policy_header, pw.data_inforce, "1999-01-01")
     plan = _plan(df)
     assert re.search(r"PartitionFilters: \[[^\]]*reportperiod#\d+ = 1999-01-01 00:00:00", plan)
+    # column pruning: the snapshot scan reads only the join key
+    assert "data_inforce], PartitionFilters" in plan
+    assert re.search(r"data_inforce\].*ReadSchema: struct<policyid:bigint>", plan)
     assert rows(df) == rows(inforce(w.policy_header, w.data_inforce, "1999-01-01"))
