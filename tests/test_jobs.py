@@ -9,22 +9,24 @@ from cohortforge.sources.warehouse import AS_OF, REPORT_DATE, Warehouse
 from conftest import SF_SMALL, rows
 
 
-def test_jobs_over_parquet_warehouse_match_registry(spark):
+def test_jobs_cli_over_parquet_warehouse_matches_registry(spark):
     root = tempfile.mkdtemp(prefix="cf-wh-")
     w = Warehouse(spark, SF_SMALL)
     for name in SCHEMAS:
         w.table(name).write.mode("overwrite").parquet(os.path.join(root, name))
     out = tempfile.mkdtemp(prefix="cf-out-")
-    pw = jobs.ParquetWarehouse(spark, root)
-    written = jobs.run(spark, pw, out, REPORT_DATE, AS_OF, FIRST_SAMPLE_N, SECOND_SAMPLE_N)
+    y, m, d = REPORT_DATE.split("-")
+    jobs.main(["--warehouse", root, "--out", out, "--report-date", f"{m}/{d}/{y}",
+               "--as-of", AS_OF, "--first-sample", str(FIRST_SAMPLE_N),
+               "--second-sample", str(SECOND_SAMPLE_N)])
     r = Run(spark, SF_SMALL)
     for name in ("inforce_final", "f2a", "f3", "f4a", "person_profile", "consumer_inforce_csat"):
-        got = spark.read.parquet(written[name])
+        got = spark.read.parquet(os.path.join(out, name))
         assert rows(got) == rows(r[name]), name
-    assert set(written) >= {"inforce", "inforce_detail", "inforce_aggregate", "scrub", "f1a",
-                            "consumer_type", "consumer_policies", "person_totals"}
-
-    reports = jobs.run_reports(spark, pw, out)
+    written = set(os.listdir(out))
+    assert written >= {"inforce", "inforce_detail", "inforce_aggregate", "scrub", "f1a",
+                       "consumer_type", "consumer_policies", "person_totals", "reports"}
+    reports = os.listdir(os.path.join(out, "reports"))
     assert len(reports) == 29
-    states = spark.read.option("header", True).csv(reports["states"])
+    states = spark.read.option("header", True).csv(os.path.join(out, "reports", "states"))
     assert states.count() == R.state_counts(r["f3"]).count()
