@@ -6,15 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortforge.llm.boosted_quality import op5_quality_trees
 from cohortforge.llm.bpe import op9_bpe
+from cohortforge.llm.chat_format import op7_chat_format
 from cohortforge.llm.id_store import op8_id_store
 from cohortforge.llm.packing import op6_packing
+from cohortforge.llm.pii_vote import op4_pii_vote
+from cohortforge.llm.shipping import ship
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+def _shipped(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: fn(ship(spark), sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _shipped(fn) for name, fn in {
+    "op4_pii_vote": op4_pii_vote,
+    "op5_quality_trees": op5_quality_trees,
     "op6_packing": op6_packing,
+    "op7_chat_format": op7_chat_format,
     "op8_id_store": op8_id_store,
     "op9_bpe": op9_bpe,
-}
+}.items()}
 
 # DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLES: dict[str, str] = {}
