@@ -11,6 +11,7 @@ from cohortforge.llm.bpe import op9_bpe
 from cohortforge.llm.chat_format import op7_chat_format
 from cohortforge.llm.deobfuscate import op1_toxicity
 from cohortforge.llm.id_store import op8_id_store
+from cohortforge.llm.language_fusion import op10_language
 from cohortforge.llm.packing import op6_packing
 from cohortforge.llm.pii_vote import op4_pii_vote
 from cohortforge.llm.shipping import ship
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _shipped(f
     "op7_chat_format": op7_chat_format,
     "op8_id_store": op8_id_store,
     "op9_bpe": op9_bpe,
+    "op10_language": op10_language,
 }.items()}
 
 # DuckDB SQL for the queries that SQL can express on whole tables.
