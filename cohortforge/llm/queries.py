@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortforge.llm.boosted_quality import op5_quality_trees
 from cohortforge.llm.bpe import op9_bpe
 from cohortforge.llm.chat_format import op7_chat_format
+from cohortforge.llm.chosen_path import op3_chosen_path
 from cohortforge.llm.deobfuscate import op1_toxicity
 from cohortforge.llm.id_store import op8_id_store
 from cohortforge.llm.language_fusion import op10_language
@@ -22,6 +23,7 @@ def _shipped(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _shipped(fn) for name, fn in {
     "op1_toxicity": op1_toxicity,
+    "op3_chosen_path": op3_chosen_path,
     "op4_pii_vote": op4_pii_vote,
     "op5_quality_trees": op5_quality_trees,
     "op6_packing": op6_packing,
