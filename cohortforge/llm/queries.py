@@ -15,6 +15,7 @@ from cohortforge.llm.id_store import op8_id_store
 from cohortforge.llm.language_fusion import op10_language
 from cohortforge.llm.packing import op6_packing
 from cohortforge.llm.pii_vote import op4_pii_vote
+from cohortforge.llm.posting_lists import op2_posting_lists
 from cohortforge.llm.shipping import ship
 
 def _shipped(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -23,6 +24,7 @@ def _shipped(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _shipped(fn) for name, fn in {
     "op1_toxicity": op1_toxicity,
+    "op2_posting_lists": op2_posting_lists,
     "op3_chosen_path": op3_chosen_path,
     "op4_pii_vote": op4_pii_vote,
     "op5_quality_trees": op5_quality_trees,
