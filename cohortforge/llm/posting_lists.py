@@ -9,7 +9,9 @@
   centroid is nearly as near (distance ratio), unless a list chosen before is
   closer to that centroid than the vector is.
 * A query reads the lists whose centroid distance is within a ratio of its
-  nearest one.  Long lists and long query queues are cut into blocks, so no
+  nearest one.  The ratio is the smallest that holds ``COVER`` of the true
+  neighbours of ``TRIALS`` queries, found by brute force over all vectors.
+  Long lists and long query queues are cut into blocks, so no
   task depends on the size of a list.
 
 Equal vectors are one vector with its six smallest ids: a query needs five
@@ -41,8 +43,8 @@ MAX_LISTS = 4096
 SAMPLE = 16_384
 REPLICAS = 8
 REPLICA_RATIO = 1.15
-PROBES = 24
-PROBE_RATIO = 1.35
+TRIALS = 64
+COVER = 0.97
 DEGREE = 16
 BEAM = 48
 BLOCK = 2048
@@ -158,15 +160,14 @@ def replica_lists(graph: CentroidGraph, x: np.ndarray, replicas: int = REPLICAS,
     return out
 
 
-def probe_lists(graph: CentroidGraph, x: np.ndarray, primary: np.ndarray, probes: int = PROBES,
-                ratio: float = PROBE_RATIO, least: int = NEAREST + 1) -> list[np.ndarray]:
+def probe_lists(graph: CentroidGraph, x: np.ndarray, primary: np.ndarray, probes: int, ratio: float,
+                least: int = NEAREST + 1) -> list[np.ndarray]:
     """Lists to read for each query: within the distance ratio, and always enough vectors."""
     ids, sims = graph.search(x, min(probes, len(graph.centroids)))
     dist = _distance(sims)
     out = []
     for i in range(len(x)):
-        known = ids[i] >= 0
-        lists = ids[i][known & (dist[i] <= ratio * dist[i, 0] + 1e-6)]
+        lists = ids[i][(ids[i] >= 0) & (dist[i] <= ratio * dist[i, 0] + 1e-6)]
         if primary[lists].sum() < least:
             order = np.argsort(-(graph.centroids @ x[i]), kind="stable")
             rest = order[~np.isin(order, lists)]
@@ -176,6 +177,41 @@ def probe_lists(graph: CentroidGraph, x: np.ndarray, primary: np.ndarray, probes
     return out
 
 
+def calibrate(graph: CentroidGraph, distinct: DataFrame, postings: DataFrame, trials: np.ndarray, dim: int,
+              k: int = NEAREST, cover: float = COVER) -> tuple[int, float]:
+    """(lists to search, distance ratio) that hold ``cover`` of the true neighbours of the trial vectors.
+
+    Brute force over all vectors, in blocks, for at most ``TRIALS`` queries; only
+    their neighbours and the lists those lie in reach the driver.
+    """
+
+    def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sim = trials @ unit(_matrix(batch.column("v"), dim)).T
+                take = min(k + 1, batch.num_rows)
+                top = np.argpartition(-sim, take - 1, axis=1)[:, :take]
+                row = np.repeat(np.arange(len(trials)), take)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row, pa.int32()), batch.column("did").take(pa.array(top.ravel())),
+                     pa.array(np.take_along_axis(sim, top, 1).ravel().astype(np.float64))],
+                    names=["trial", "did", "sim"])
+
+    best = Window.partitionBy("trial").orderBy(F.desc("sim"), "did")
+    truth = (distinct.select("did", "v").mapInArrow(brute, "trial int, did long, sim double")
+             .withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1))
+    where = truth.join(postings.select("did", "list"), "did").select("trial", "r", "list").collect()
+    dist = _distance(trials @ graph.centroids.T)
+    near = np.maximum(dist.min(axis=1), 1e-6)
+    needed: dict[tuple[int, int], float] = {}
+    for r in where:
+        key = r.trial, r.r
+        needed[key] = min(needed.get(key, np.inf), float(dist[r.trial, r.list] / near[r.trial]))
+    ratio = float(np.quantile(list(needed.values()), cover, method="higher")) * 1.001 if needed else 1.0
+    within = (dist <= ratio * near[:, None] + 1e-6).sum(axis=1)
+    return int(min(len(graph.centroids), max(8, 1.25 * within.max()))), ratio
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return pc.list_flatten(column).to_numpy(zero_copy_only=False).reshape(-1, dim)
 
@@ -223,7 +259,7 @@ def _scan(postings: DataFrame, queries: DataFrame, dim: int, want: int) -> DataF
 
 
 def nearest(vectors: DataFrame, query_filter, id_col: str = "vec_id", vec_col: str = "embedding",
-            k: int = NEAREST, list_size: int = LIST_SIZE, probes: int = PROBES, ratio: float = PROBE_RATIO) -> DataFrame:
+            k: int = NEAREST, list_size: int = LIST_SIZE) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest found of every row that meets ``query_filter(id)``."""
     spark = vectors.sparkSession
     result = "query_id long, rank int, vec_id long, score double"
@@ -255,6 +291,7 @@ def nearest(vectors: DataFrame, query_filter, id_col: str = "vec_id", vec_col: s
 
     postings = stage(distinct.select("did", "v").mapInArrow(
         place, "list int, primary boolean, did long, v array<double>"), "postings")
+    probes, ratio = calibrate(graph, distinct, postings, points[:TRIALS], dim, k)
     # one row per list: at most MAX_LISTS
     sizes = postings.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.col("primary").cast("int")).alias("p")).collect()
     primary = np.zeros(lists, np.int64)
