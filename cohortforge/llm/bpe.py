@@ -54,7 +54,7 @@ def _lower(text: str) -> str:
 
 
 class PairIndexBpe:
-    def __init__(self, definition: str, cache_words: int = 1_000_000):
+    def __init__(self, definition: str, cache_words: int = 600_000):
         spec = json.loads(definition)
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]

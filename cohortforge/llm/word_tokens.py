@@ -34,7 +34,7 @@ def load_definition(path: str) -> str:
 class WordEncoder:
     """Ids of texts; ``cache_words`` bounds the entries kept between batches."""
 
-    def __init__(self, definition: str, cache_words: int = 1_500_000):
+    def __init__(self, definition: str, cache_words: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
