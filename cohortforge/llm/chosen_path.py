@@ -50,7 +50,7 @@ WORDS = 5
 THRESHOLD = 0.8
 PICKS = 25
 BINS = 128
-SMALL = 256
+SMALL = 4096
 LEVELS = 5
 SLACK = 4.0
 BLOCK = 512
@@ -216,14 +216,28 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[list[tuple[int, int]]
 
 
 def similar_sketches(x: np.ndarray, y: np.ndarray, threshold: float, slack: float = SLACK) -> np.ndarray:
-    """Which pairs of sketches may be at the threshold: the estimate plus ``slack`` standard errors."""
-    out = np.zeros((len(x), len(y)), bool)
-    full_y = y > 0
-    for i in range(len(x)):
-        full = (x[i] > 0) | full_y
-        used = np.maximum(full.sum(axis=1), 1)
-        same = ((x[i] == y) & full).sum(axis=1)
-        out[i] = same >= used * threshold - slack * np.sqrt(used * threshold * (1 - threshold))
+    """Which sketches ``y`` may be at the threshold to ``x``: the estimate plus ``slack`` standard errors."""
+    full = (x > 0) | (y > 0)
+    used = np.maximum(full.sum(axis=1), 1)
+    same = ((x == y) & full).sum(axis=1)
+    return same >= used * threshold - slack * np.sqrt(used * threshold * (1 - threshold))
+
+
+def spanning_edges(sk: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """A spanning forest of the similar pairs between ``left`` and ``right`` (or all pairs, if they are the same).
+
+    Members already connected are not compared again, so a dense bucket costs
+    little more than its size.
+    """
+    part = np.arange(len(sk))
+    out = []
+    for k, i in enumerate(left.tolist()):
+        others = right if right is not left else left[k + 1:]
+        others = others[part[others] != part[i]]
+        for j in others[similar_sketches(sk[i], sk[others], threshold)].tolist():
+            if part[j] != part[i]:
+                out.append((i, j))
+                part[part == part[j]] = part[i]
     return out
 
 
@@ -246,15 +260,11 @@ def _bucket_edges(members: DataFrame, keys: list[str], threshold: float) -> Data
             raw = b"".join(group.column("sketch").to_pylist())
             sk = np.frombuffer(raw, np.uint8).reshape(len(sid), -1)
             side = group.column("side").to_numpy()
-            left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
-            hit = similar_sketches(sk[left], sk[right], threshold)
-            i, j = np.nonzero(hit)
-            i, j = left[i], right[j]
-            use = sid[i] < sid[j]
             if (side != 0).any():
-                use = sid[i] != sid[j]
-            kept, _ = _forest(len(sid), i[use], j[use])
-            out += [(int(sid[x]), int(sid[y])) for x, y in kept]
+                left, right = np.flatnonzero(side < 0), np.flatnonzero(side > 0)
+            else:
+                left = right = np.arange(len(sid))
+            out += [(int(sid[x]), int(sid[y])) for x, y in spanning_edges(sk, left, right, threshold)]
             if len(out) > 50_000:
                 yield _edge_batch(out)
                 out = []
@@ -280,7 +290,7 @@ def _block_pairs(members: DataFrame, key: str, size: str, block: int) -> DataFra
 
 
 def _split(members: DataFrame, threshold: float, level: int) -> DataFrame:
-    """(path, sid, sketch) of the children that each member of a large bucket chooses."""
+    """(path, sid) of the children that each member of a large bucket chooses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,8 +298,7 @@ def _split(members: DataFrame, threshold: float, level: int) -> DataFrame:
             if n == 0:
                 continue
             path = batch.column("path").to_numpy().view(np.uint64)
-            sketch = batch.column("sketch")
-            sk = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(n, -1)
+            sk = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(n, -1)
             with np.errstate(over="ignore"):
                 token = np.arange(sk.shape[1], dtype=np.uint64)[None, :] * np.uint64(256) + sk
                 h = _mix(_mix(path + np.uint64(level))[:, None] + token * _M1)
@@ -298,23 +307,26 @@ def _split(members: DataFrame, threshold: float, level: int) -> DataFrame:
             chosen = full & (chance * full.sum(axis=1, keepdims=True) < 1.0 / threshold)
             row, _ = np.nonzero(chosen)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_mix(h[chosen]).view(np.int64)), batch.column("sid").take(pa.array(row)),
-                 sketch.take(pa.array(row))], names=["path", "sid", "sketch"])
+                [pa.array(_mix(h[chosen]).view(np.int64)), batch.column("sid").take(pa.array(row))],
+                names=["path", "sid"])
+
+    return members.select("path", "sid", "sketch").mapInArrow(run, "path long, sid long")
 
-    return members.select("path", "sid", "sketch").mapInArrow(run, "path long, sid long, sketch binary")
 
+def _buckets(members: DataFrame, sets: DataFrame, level: int) -> DataFrame:
+    """Members (path, sid) of buckets of two or more, with the bucket's size and their sketches.
 
-def _sized(members: DataFrame) -> DataFrame:
-    """Members of buckets of two or more, with the bucket's size."""
+    Staged as the join by set leaves them, so no file holds one hot bucket.
+    """
     sizes = members.groupBy("path").agg(F.count("*").alias("bucket")).filter("bucket > 1")
-    return members.join(sizes, "path")
+    return stage(members.join(sizes, "path").join(sets.select("sid", "sketch").hint("merge"), "sid")
+                 .select("path", "bucket", "sid", "sketch"), f"buckets_{level}")
 
 
 def candidate_edges(sets: DataFrame, threshold: float = THRESHOLD, small: int = SMALL, levels: int = LEVELS) -> DataFrame:
     """Edges between sets (sid, sketch, picks) whose components hold every candidate pair."""
     paths = sets.select("sid", F.explode("picks").alias("path"))
-    at = stage(_sized(paths).join(sets.select("sid", "sketch"), "sid").select("path", "bucket", "sid", "sketch"),
-               "buckets_1")
+    at = _buckets(paths, sets, 1)
     parts = []
     for level in range(1, levels + 1):
         few = at.filter(F.col("bucket") <= small).withColumn("side", F.lit(0))
@@ -326,7 +338,7 @@ def candidate_edges(sets: DataFrame, threshold: float = THRESHOLD, small: int =
             parts.append(_bucket_edges(_block_pairs(many, "path", "bucket", BLOCK), ["path", "bi", "bj"], threshold))
             break
         children = stage(_split(many, threshold, level), f"children_{level}")
-        at = stage(_sized(children).select("path", "bucket", "sid", "sketch"), f"buckets_{level + 1}")
+        at = _buckets(children, sets, level + 1)
     edges = parts[0]
     for p in parts[1:]:
         edges = edges.unionByName(p)
@@ -412,8 +424,9 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = stage(candidate_edges(real, threshold), "candidate_edges")
     labels = connected(edges)
     sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("members")), "label")
+    # a shuffle join at every size: the n-grams of all sets are matched to the candidates
     members = (rows.select(F.col("rid").alias("sid"), "grams")
-               .join(sized.withColumnRenamed("node", "sid"), "sid"))
+               .join(sized.withColumnRenamed("node", "sid").hint("merge"), "sid"))
     checked = stage(exact_links(_block_pairs(members, "label", "members", BLOCK).select(
         "label", "bi", "bj", "side", "sid", "grams"), threshold), "exact_links")
     links = checked.groupBy("sid").agg(F.sum("links").alias("n_links"))
@@ -423,9 +436,11 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # sets without links are classes of their own; the others take their class's smallest id
     named = stage(known.select("lo", "hi", "size", "n_copies", "first_id", "label",
                                F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named_sets")
-    by_class = named.filter("label is not null").groupBy("label").agg(F.min("first_id").alias("class_first"))
-    final = named.join(by_class, "label", "left").select(
-        "lo", "hi", "size", F.coalesce("class_first", "first_id").alias("class_id"), "n_links", "n_copies")
+    linked = named.filter("label is not null")
+    by_class = linked.groupBy("label").agg(F.min("first_id").alias("class_id"))
+    final = (linked.join(by_class, "label").select("lo", "hi", "size", "class_id", "n_links", "n_copies")
+             .unionByName(named.filter("label is null").select(
+                 "lo", "hi", "size", F.col("first_id").alias("class_id"), "n_links", "n_copies")))
     return rows.select("id", "lo", "hi", "size").join(final, ["lo", "hi", "size"]).select(
         F.col("id").alias(id_col), "class_id", "n_links", "n_copies")
 
