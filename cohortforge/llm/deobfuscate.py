@@ -202,7 +202,9 @@ def restored_words(arr: pa.Array, restorer: Restorer) -> tuple[np.ndarray, np.nd
     row = np.repeat(np.arange(n), np.diff(offsets))
     core, alpha = H.plain_words(words)
     # plain letters without a long run need no decoding: they are their own reading
-    plain = pc.and_(alpha, pc.invert(pc.match_substring_regex(core, "|".join(f"{c}{c}{c}" for c in "abcdefghijklmnopqrstuvwxyz"))))
+    runs = pc.match_substring_regex(core, "|".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyz"))
+    lead = pc.match_substring_regex(words, r"^[^\pL\pN]*[@$]\pL")
+    plain = pc.and_(alpha, pc.invert(pc.or_(runs, lead)))
     plain = plain.to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, bool)
     enc = core.dictionary_encode()
     out = enc.dictionary.to_pylist()

@@ -1,0 +1,81 @@
+import numpy as np
+
+from cohortforge.llm import posting_lists as P
+
+
+def brute(ids, vecs, k=5):
+    v = np.stack(vecs).astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    out = {}
+    for i, q in enumerate(ids):
+        if q % 50 == 0:
+            score = np.round((v * v[i]).sum(axis=1), 12)
+            order = [j for j in np.lexsort((ids, -score)) if ids[j] != q][:k]
+            out[q] = [(int(ids[j]), score[j]) for j in order]
+    return out
+
+
+def test_recall_and_order(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    want = brute(np.array([r.vec_id for r in rows]), [r.embedding for r in rows])
+    got = {}
+    for r in P.op2_posting_lists(spark, sf).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    assert got.keys() == want.keys()
+    hits = sum(len({v for v, _ in got[q].values()} & {v for v, _ in want[q]}) for q in want)
+    assert hits / (5 * len(want)) >= 0.9
+    for q in want:
+        assert sorted(got[q]) == [1, 2, 3, 4, 5]
+        scores = [got[q][k][1] for k in range(1, 6)]
+        assert scores == sorted(scores, reverse=True)
+
+
+def test_many_lists_keep_recall(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    want = brute(np.arange(3000), x.astype(np.float32))
+    got = {}
+    for r in P.nearest(df, lambda i: i % 50 == 0, list_size=50).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(len(got[q] & {v for v, _ in want[q]}) for q in want)
+    assert hits / (5 * len(want)) >= 0.9
+
+
+def test_edges(spark):
+    one, two = [1.0, 0.0], [0.0, 2.0]
+    rows = [(0, one, 1), (50, one, 1), (7, one, 1), (7, one, 1), (8, [2.0, 0.0], 1), (9, two, 1), (10, None, 1),
+            (100, [0.0, 0.0], 1), (150, [float("nan"), 1.0], 1), (200, [None, 1.0], 1), (250, [float("inf"), 1.0], 1),
+            (300, [1.0], 1), (None, one, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, did int")
+    got = {}
+    for r in P.nearest(df, lambda i: i % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert got.keys() == {0, 50}
+    assert [v for _, v, _ in sorted(got[0])] == [7, 8, 50, 9]
+    assert [s for _, _, s in sorted(got[50])] == [1.0, 1.0, 1.0, 0.0]
+    assert P.nearest(df.limit(0), lambda i: i % 50 == 0).count() == 0
+
+
+def test_copies_of_one_vector(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 8)).astype(np.float32)
+    x[100:400] = x[100]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in P.nearest(df, lambda i: i % 50 == 0).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    assert [got[150][k] for k in range(1, 6)] == [100, 101, 102, 103, 104]
+    assert [got[100][k] for k in range(1, 6)] == [101, 102, 103, 104, 105]
+
+
+def test_graph_search_finds_the_nearest():
+    rng = np.random.default_rng(4)
+    c = P.unit(rng.normal(size=(300, 16)))
+    graph = P.CentroidGraph.build(c)
+    x = P.unit(rng.normal(size=(200, 16)))
+    ids, sims = graph.search(x, 10)
+    exact = np.argsort(-(x @ c.T), axis=1)[:, :10]
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(ids, exact)]) > 9.5
+    assert (np.diff(sims, axis=1) <= 0).all()
