@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Bytes of text worked on at a time inside a task (a longer text is one slice).
-SLICE_BYTES = 16 * 1024 * 1024
+SLICE_BYTES = 4 * 1024 * 1024
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
