@@ -9,7 +9,6 @@ driver.  Sub-packages:
 * ``sources``    – readers/writers and the testdata role map
 * ``plans``      – the composite jobs (in-force build, survey funnel, consumer
   link) and the validation reports
-* ``streaming``  – incremental import of suppression-list drops
 """
 
 from cohortforge.session import get_spark, staging_dir

@@ -81,7 +81,8 @@ def report_frames(w, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     f1a, f2a, f3 = t["f1a"], t["f2a"], t["f3"]
     out = {
         "import_sources": R.import_sources(t["scrub"]),
-        "funnel_counts": R.stage_counts({k: t[k] for k in ("f1a", "f2", "f2a", "f3", "f4", "f4a")}),
+        "funnel_counts": R.stage_counts({k: t[k] for k in ("f1a", "f2", "f2a", "f3", "f4", "f4a")}
+                                        | R.input_tables(w)),
         "species": R.species_side_by_side(f1a, f2a, f3),
         "terms": R.term_side_by_side(f1a, f2a, f3),
         "households": R.households_by_size(f3),
@@ -132,7 +133,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--warehouse", required=True)
     p.add_argument("--out", required=True)
     p.add_argument("--report-date", required=True)
-    p.add_argument("--as-of", required=True)
+    p.add_argument("--as-of", default=None, help="first day of a future cancellation; today if not given")
     p.add_argument("--first-sample", type=int, default=80000)
     p.add_argument("--second-sample", type=int, default=60000)
     p.add_argument("--seed", type=int, default=42)

@@ -45,10 +45,6 @@ def anti_join_on_key(left: DataFrame, right: DataFrame, left_key: Column,
     return out.select(*left.columns)
 
 
-def semi_join(left: DataFrame, right: DataFrame, cond: Column | str | Sequence[str]) -> DataFrame:
-    return left.join(right, on=cond, how="left_semi")
-
-
 def join_group_min(df: DataFrame, ref: DataFrame, group_cols: Sequence[Column | str],
                    value_col: str, df_group_cols: Sequence[str] | None = None,
                    match_on_group: bool = True) -> DataFrame:
@@ -108,11 +104,15 @@ def left_join_splittable(left: DataFrame, right: DataFrame, left_key: str,
     a hot key (many entities or policies sharing one name key), the matches
     come from an inner join and the left rows without a match (NULL keys
     included, spread by :func:`anti_join_on_key`) are added with NULL right
-    columns.  Same rows as the left join; the left input is read twice.
+    columns.  Same rows as the left join; the left input is read twice.  Both
+    keys must have one type: the two halves must agree on what is equal.
     """
+    kinds = left.schema[left_key].dataType, right.schema[right_key].dataType
+    if kinds[0] != kinds[1]:
+        raise TypeError(f"join keys of different types: {kinds[0].simpleString()}, {kinds[1].simpleString()}")
     matched = left.join(right, left[left_key] == right[right_key], "inner")
     matched = matched.select(*[left[c] for c in left.columns], *[right[c] for c in right.columns])
-    lonely = anti_join_on_key(left, right, F.col(left_key), right_key)
+    lonely = anti_join_on_key(left, right.select(right_key).distinct(), F.col(left_key), right_key)
     pad = lonely.select(*left.columns,
                         *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields])
     return matched.unionByName(pad)

@@ -1,69 +1,68 @@
 """Repeatable uniform samples of exactly N rows.
 
-The scripts order by a random number and keep the first N rows.  A random
-sort is not repeatable in Spark (``rand(seed)`` depends on partitioning), so
-rows are ordered by an MD5 hash of their key and a seed instead: the same
-rows come back for the same seed however the data is partitioned, and the
-sample is fixed before anything else (the set difference of the next
-stratum) subtracts it.  The key is the sampling unit: rows sharing a key
-(join fan-out copies) share a position and are drawn together.
+The scripts order rows by a random number and keep the first N.  A random sort
+is not repeatable in Spark (``rand(seed)`` depends on partitioning), so rows are
+ordered by an MD5 hash of their content, a copy number among equal rows and a
+seed: the same rows come back for the same seed however the data is
+partitioned.  The row is the sampling unit; equal rows are drawn one by one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Leading hex digits of the hash used as a uniform fraction for the cut.
-_PREFIX_DIGITS = 12
-_SLACK = 1.05
+from cohortforge.sources.staging import stage
 
+_HASH_BITS = 60      # leading bits of the hash used as a number
+_STEP_BITS = 16      # buckets of one histogram: 2^16
+_BOUNDARY_ROWS = 10_000
 
-def sample_order_key(key_cols: Sequence[str], seed: int) -> Column:
-    """md5(key1|key2|...|seed) as the sort key of the sample."""
-    parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key_cols]
-    return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
 
+def _row_hash(cols: list[str], copy: Column, seed: int) -> Column:
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cols]
+    return F.md5(F.concat_ws("|", *parts, copy.cast("string"), F.lit(str(seed))))
 
-def _hash_fraction(h: Column) -> Column:
-    """Leading 48 bits of the hex hash as a fraction in [0, 1)."""
-    return (F.conv(F.substring(h, 1, _PREFIX_DIGITS), 16, 10).cast("double")
-            / float(16 ** _PREFIX_DIGITS))
 
+def percent_of(rows: int, percent: int) -> int:
+    """Whole rows of a percentage, rounded up."""
+    return (rows * percent + 99) // 100
 
-def sample_n(df: DataFrame, n: int, key_cols: Sequence[str], seed: int = 42,
-             direct_max_rows: int = 2_000_000) -> DataFrame:
-    """Uniform sample of ``min(n, rows)`` rows, ordered by hash of key and seed.
 
-    Small inputs (at most ``direct_max_rows`` rows) take the top ``n`` hashes
-    directly (``TakeOrderedAndProject``).  For larger inputs that plan would
-    merge up to ``n`` rows from *every* partition in one task, so rows are
-    first cut to those whose hash prefix lies below ``n / rows`` (plus 5 %
-    slack) and only the survivors are ranked; if the cut ever holds fewer
-    than ``n`` rows it is widened.  Ordering by the full hash is consistent
-    with the prefix, so both paths return the same rows.
+def sample_n(df: DataFrame, n: int | None = None, seed: int = 42, percent: int | None = None) -> DataFrame:
+    """Uniform sample of ``min(n, rows)`` rows (or ``percent`` of them) in order of their hash.
 
-    Counts the input once: stage (write) a computed input before sampling it.
+    Hashed rows are staged once.  A histogram of 65,536 hash buckets finds the
+    bucket that holds the N-th row; it is cut into 65,536 again while it has
+    many rows.  All rows below it are kept where they are, and only the rows of
+    that last bucket are ranked.  One method at every size.
     """
-    keyed = df.withColumn("__sample_h", sample_order_key(key_cols, seed))
     cols = list(df.columns)
-    # hash, then key, then every other column: a total order, so rows that tie
-    # on the key (and differ elsewhere) are cut at the same place everywhere
-    rest = [c for c in cols if c not in key_cols]
-    order = [F.col("__sample_h"), *[F.col(k).asc_nulls_first() for k in key_cols],
-             *[F.col(c).asc_nulls_first() for c in rest]]
-    total = df.count()
-    if total <= n:
-        return df
-    if total <= direct_max_rows:
-        return keyed.orderBy(*order).limit(n).select(*cols)
-    cut = min(1.0, n / total * _SLACK)
-    frac = _hash_fraction(F.col("__sample_h"))
+    copies = (df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
+              .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))))
+    hashed = (copies.withColumn("__h", _row_hash(cols, F.col("__copy"), seed))
+              .withColumn("__v", F.conv(F.substring("__h", 1, _HASH_BITS // 4), 16, 10).cast("long"))
+              .drop("__n", "__copy"))
+    keyed = stage(hashed, "sample_keys")
+    low, width, need = 0, _HASH_BITS, n
     while True:
-        kept = keyed.filter(frac < F.lit(cut))
-        if cut >= 1.0 or kept.count() >= n:
+        step = width - _STEP_BITS
+        bucket = F.shiftright(F.col("__v") - F.lit(low), step)
+        counts = (keyed.filter((F.col("__v") >= low) & (F.col("__v") < low + (1 << width)))
+                  .groupBy(bucket.alias("b")).count().orderBy("b").collect())
+        if need is None:
+            need = percent_of(sum(c[1] for c in counts), percent)
+        if width == _HASH_BITS and sum(c[1] for c in counts) <= need:
+            return keyed.select(*cols)
+        at = held = 0
+        for at, held in counts:
+            if need <= held:
+                break
+            need -= held
+        low, width = low + (at << step), step
+        if held <= _BOUNDARY_ROWS or width < _STEP_BITS:
             break
-        cut = min(1.0, cut * 1.25)
-    return kept.orderBy(*order).limit(n).select(*cols)
+    below = keyed.filter(F.col("__v") < low)
+    edge = (keyed.filter((F.col("__v") >= low) & (F.col("__v") < low + (1 << width)))
+            .orderBy("__h", *[F.col(c).asc_nulls_first() for c in cols]).limit(need))
+    return below.unionByName(edge).select(*cols)

@@ -62,7 +62,8 @@ def link_consumers(source: DataFrame, entity: DataFrame, key_len: int = 12,
     src = consumer_keys(source, key_len, with_state)
     ins = insured_keys(entity, key_len, with_state).filter(F.col("ins_key").isNotNull())
     # a popular name key may hold many insured rows: keep the join splittable on both sides
-    j = left_join_splittable(src, ins, "source_str", "ins_key")
+    # equal rows would multiply on both sides before the DISTINCT: take each once
+    j = left_join_splittable(src.distinct(), ins.distinct(), "source_str", "ins_key")
     return j.select(F.col("ins_code").alias("insured_code"),
                     F.col("ins_created").alias("create_date"),
                     *[F.col(c) for c in src.columns]).distinct()
@@ -147,7 +148,7 @@ def match_left(consumer_type: DataFrame, inforce_final: DataFrame, key_len: int
     # consumers sharing a key give identical (unique_id, t.*) rows: take each key
     # once before the join, so a popular key never emits consumer x policy pairs
     ct = consumer_type.select(F.col("source_str").alias("unique_id")).distinct()
-    j = left_join_splittable(ct, t, "unique_id", "t_key")
+    j = left_join_splittable(ct, t.distinct(), "unique_id", "t_key")
     return j.select("unique_id", *inforce_final.columns).distinct()
 
 

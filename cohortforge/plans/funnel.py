@@ -13,7 +13,6 @@ Stage graph::
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,12 +91,13 @@ def suppress(f1a: DataFrame, scrub: DataFrame, bad_email: DataFrame, policy_pet:
     repeats the holder row, as in the source.
     """
     a = f1a
-    a = anti_join(a, scrub.select(F.trim("insured_code").alias("s_code")),
+    # each right side once per key: a code listed many times would be one unsplit hot key
+    a = anti_join(a, scrub.select(F.trim("insured_code").alias("s_code")).distinct(),
                   a["insured_code"] == F.col("s_code"))
-    bad = bad_email.select(F.upper("bad_email").alias("b_email"))
+    bad = bad_email.select(F.upper("bad_email").alias("b_email")).distinct()
     # many holders may lack an e-mail: spread those NULL keys instead of one task
     a = anti_join_on_key(a, bad, F.upper(a["insured_email"]), "b_email")
-    canc = future_cancellations(f1a, term, cancel, as_of).withColumnRenamed("insured_code", "c_code")
+    canc = future_cancellations(f1a, term, cancel, as_of).withColumnRenamed("insured_code", "c_code").distinct()
     a = anti_join(a, canc, a["insured_code"] == F.col("c_code"))
     a = a.filter(~F.col("origin_code").isin(*EXCLUDED_ORIGIN_CODES))
     kept = (policy_pet.select("policy_no", "policy_status_dwid")
@@ -122,10 +122,9 @@ def first_per_email(f2: DataFrame) -> DataFrame:
 
 # -- B12 / B13 ---------------------------------------------------------------
 
-def survey_sample(df: DataFrame, n: int, key_cols: Sequence[str] = ("policyid",),
-                  seed: int = 42) -> DataFrame:
-    """Repeatable sample of ``n`` rows (see :func:`cohortforge.operators.sampling.sample_n`)."""
-    return sample_n(df, n, list(key_cols), seed)
+def survey_sample(df: DataFrame, n: int | None = None, seed: int = 42, percent: int | None = None) -> DataFrame:
+    """Repeatable sample of ``n`` rows or ``percent`` of them (see :mod:`cohortforge.operators.sampling`)."""
+    return sample_n(df, n, seed, percent)
 
 
 def new_customer_stratum(f2a: DataFrame) -> DataFrame:
@@ -140,7 +139,7 @@ def stratum_minus(f2a: DataFrame, f3: DataFrame) -> DataFrame:
     return minus(new_customer_stratum(f2a), f3)
 
 
-def build_funnel(w, inforce_final: DataFrame, as_of: str | dt.date,
+def build_funnel(w, inforce_final: DataFrame, as_of: str | dt.date | None,
                  n_first: int, n_second: int, seed: int = 42, stage=None) -> dict[str, DataFrame]:
     """Run B8-B13 over a warehouse and the in-force final table.
 
@@ -155,6 +154,6 @@ def build_funnel(w, inforce_final: DataFrame, as_of: str | dt.date,
                         w.policy_term, w.cancel, as_of), "f2")
     f2a = stage(first_per_email(f2), "f2a")
     f3 = stage(survey_sample(f2a, n_first, seed=seed), "f3")
-    f4 = stratum_minus(f2a, f3)
+    f4 = stage(stratum_minus(f2a, f3), "f4")
     f4a = survey_sample(f4, n_second, seed=seed)
     return {"f1a": f1a, "scrub": scrub, "f2": f2, "f2a": f2a, "f3": f3, "f4": f4, "f4a": f4a}

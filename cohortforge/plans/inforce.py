@@ -352,15 +352,15 @@ def build_inforce(w, report_date: str | dt.date, stage=None) -> dict[str, DataFr
     read several times downstream (see :mod:`cohortforge.sources.staging`).
     """
     stage = stage or (lambda df, name: df)
-    inf = inforce(w.policy_header, w.data_inforce, report_date)
+    inf = stage(inforce(w.policy_header, w.data_inforce, report_date), "inforce")
     dtl = stage(inforce_detail(inf, w.policy_pets, w.policy_header, w.dim_insured, w.dim_group,
                                w.dim_breed, w.dim_wp, w.dim_source, w.dim_origin,
                                w.dim_paymentplan, w.dim_provider), "inforce_detail")
     claims = (w.policy_header, w.claim_header, w.claim_revision, w.claim_diagnosis,
               w.claim_details, w.dim_coverage)
     wanted = inf.select("policy_no").distinct()
-    both = claim_rollups(*claims, policy_nos=wanted)
-    prem = premium_rollup(w.epremium, w.efees, policy_nos=wanted)
+    both = stage(claim_rollups(*claims, policy_nos=wanted), "claim_totals")
+    prem = stage(premium_rollup(w.epremium, w.efees, policy_nos=wanted), "premium_for_inforce")
     agg = inforce_aggregate(dtl, both, prem, w.dim_group)
     final = stage(inforce_aggregate(dtl, both, prem, w.dim_group,
                                     referrals(w.vouchers_issued, w.policy_header)), "inforce_final")

@@ -32,6 +32,13 @@ def import_sources(scrub: DataFrame) -> DataFrame:
                  .orderBy(F.col("source").asc_nulls_last()))
 
 
+def input_tables(w) -> dict[str, DataFrame]:
+    """The loaded tables whose rows V2 counts: suppression lists, consumer file, insured entities and dimension."""
+    return {"scrubber": w.scrubber, "scrubber_policy": w.scrubber_policy, "scrubber_dnc": w.scrubber_dnc,
+            "demographics": w.demographics, "dim_insured": w.dim_insured,
+            "insured_entities": w.entity_address_master.filter(F.col("enty_group_code") == "INSURED")}
+
+
 def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
     """V2: row count of each named table, one row per table."""
     parts = [row_count(df).select(F.lit(name).alias("stage"), "row_count")
@@ -278,7 +285,7 @@ def insured_entities_with_policy(entity: DataFrame, insured: DataFrame,
 def insureds_without_policy(insured: DataFrame, policy_pet: DataFrame) -> DataFrame:
     """Insured rows with no pet policy (count); a NULL key counts as unmatched."""
     return row_count(anti_join(insured.select("insured_dwid"),
-                               policy_pet.select(F.col("insured_dwid").alias("pp_dwid")),
+                               policy_pet.select(F.col("insured_dwid").alias("pp_dwid")).distinct(),
                                F.col("insured_dwid") == F.col("pp_dwid")))
 
 
@@ -299,7 +306,7 @@ def policies_mapped(link_pid: DataFrame, inforce_final: DataFrame) -> DataFrame:
     one link row, so a semi join replaces the consumer x policy pairs.
     """
     t = inforce_final
-    hit = t.join(link_pid.select(F.col("policyid").alias("ct_policyid")),
+    hit = t.join(link_pid.select(F.col("policyid").alias("ct_policyid")).distinct(),
                  t["policyid"] == F.col("ct_policyid"), "left_semi")
     return row_count(hit.distinct())
 
@@ -307,8 +314,8 @@ def policies_mapped(link_pid: DataFrame, inforce_final: DataFrame) -> DataFrame:
 def people_with_score(link_pid: DataFrame, inforce_final: DataFrame, csat: DataFrame) -> DataFrame:
     """Distinct people whose linked in-force policy has a survey score (count)."""
     scored = (inforce_final.select("policyid")
-              .join(csat.filter(F.col("nps").isNotNull()).select(F.col("policyid").alias("cs_policyid")),
+              .join(csat.filter(F.col("nps").isNotNull()).select(F.col("policyid").alias("cs_policyid")).distinct(),
                     F.col("policyid") == F.col("cs_policyid"), "left_semi"))
     people = link_pid.select("source_str", F.col("policyid").alias("ct_policyid"))
-    people = people.join(scored, F.col("ct_policyid") == scored["policyid"], "left_semi")
+    people = people.join(scored.distinct(), F.col("ct_policyid") == scored["policyid"], "left_semi")
     return distinct_row_count(people, ["source_str"])

@@ -20,9 +20,9 @@ from cohortforge.plans import reports as R
 from cohortforge.sources.staging import stage
 from cohortforge.sources.warehouse import AS_OF, REPORT_DATE, Warehouse
 
-# Sample sizes of the two survey draws at testdata scale, and the draw seed.
-FIRST_SAMPLE_N = 400
-SECOND_SAMPLE_N = 12
+# The two survey draws as percentages of their tables, and the draw seed.
+FIRST_SAMPLE_PERCENT = 30
+SECOND_SAMPLE_PERCENT = 60
 SEED = 42
 
 
@@ -34,8 +34,8 @@ class Run:
     stay lazy plans.  Only the stages a query depends on are computed.
     """
 
-    STAGED = {"inforce_detail", "claim_totals", "premium_for_inforce", "inforce_final", "f1a", "f2",
-              "f2a", "f3", "consumer_type", "consumer_policies"}
+    STAGED = {"inforce", "inforce_detail", "claim_totals", "premium_for_inforce", "inforce_final", "f1a", "f2",
+              "f2a", "f3", "f4", "consumer_type", "consumer_policies"}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.w = Warehouse(spark, sf_dir)
@@ -134,13 +134,13 @@ class Run:
         return FN.first_per_email(self["f2"])
 
     def _f3(self):
-        return FN.survey_sample(self["f2a"], FIRST_SAMPLE_N, seed=SEED)
+        return FN.survey_sample(self["f2a"], seed=SEED, percent=FIRST_SAMPLE_PERCENT)
 
     def _f4(self):
         return FN.stratum_minus(self["f2a"], self["f3"])
 
     def _f4a(self):
-        return FN.survey_sample(self["f4"], SECOND_SAMPLE_N, seed=SEED)
+        return FN.survey_sample(self["f4"], seed=SEED, percent=SECOND_SAMPLE_PERCENT)
 
     # consumer link
     def _consumer_type(self):
@@ -211,7 +211,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # funnel reports
     "report_import_sources": _report(lambda r: R.import_sources(r["scrub"])),
     "report_funnel_counts": _report(lambda r: R.stage_counts(
-        {k: r[k] for k in ("f1a", "f2", "f2a", "f3", "f4", "f4a")})),
+        {k: r[k] for k in ("f1a", "f2", "f2a", "f3", "f4", "f4a")} | R.input_tables(r.w))),
     "report_species": _report(lambda r: R.species_side_by_side(r["f1a"], r["f2a"], r["f3"])),
     "report_terms": _report(lambda r: R.term_side_by_side(r["f1a"], r["f2a"], r["f3"])),
     "report_households": _report(lambda r: R.households_by_size(r["f3"])),

@@ -21,7 +21,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     # the schema is known: no footer-reading job to infer it
     return spark.read.schema(df.schema).parquet(path)
-
-
-def no_stage(df: DataFrame, name: str) -> DataFrame:
-    return df

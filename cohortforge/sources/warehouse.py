@@ -18,12 +18,11 @@ Spark runs them with ``spark.sql(text, orders=df, ...)``; the DuckDB oracle
 inlines the same text as CTEs, so the oracle comparison checks the jobs and
 not this mapping.  Every table grows with the scale factor.
 
-The WHERE clauses here assign roles (event types become vouchers, list
-entries or survey answers) and carve out the unmatched cases the jobs must
-handle (terms without a pet row, products without a written-premium row,
-agents in the entity master, people missing from the consumer file).  They
-are never there to make a query cheaper: the jobs always read the whole
-tables defined here.
+The only WHERE clauses assign roles: event types become vouchers, list entries
+or survey answers.  Every other row is kept.  The unmatched cases the jobs must
+handle (terms without a pet row, products without a written-premium row, people
+missing from the consumer file, claims without revisions) are rows whose key
+matches nothing.
 """
 
 from __future__ import annotations
@@ -102,7 +101,7 @@ SELECT o_orderkey AS policyid,
   o_orderkey % 5 AS source_id,
   o_custkey % 25 AS origin_id,
   o_custkey % 5 AS paymentplan_id,
-  o_orderkey % 7 AS provider_id
+  CASE WHEN o_orderkey % 7 < 5 THEN o_orderkey % 40 ELSE -1 - o_orderkey END AS provider_id
 FROM {{orders}}""",
     "data_inforce": f"""
 SELECT DISTINCT l_orderkey AS policyid,
@@ -111,12 +110,13 @@ SELECT DISTINCT l_orderkey AS policyid,
        ELSE CAST(make_date(year(l_shipdate), 1, 1) AS {{ts}}) END AS reportperiod
 FROM {{lineitem}}""",
     "policy_pets": f"""
-SELECT {_policy_no('o_orderkey')} AS pp_policy_no,
+SELECT CASE WHEN o_orderkey % 10 = 9 THEN concat('X', CAST(o_orderkey AS STRING))
+       ELSE {_policy_no('o_orderkey')} END AS pp_policy_no,
   {_renew_no('o_orderkey')} AS pp_policy_renew_no,
   concat('Pet', CAST(o_orderkey % 500 AS STRING)) AS pp_petname,
   CASE WHEN o_orderkey % 2 = 0 THEN 'M' ELSE 'F' END AS pp_pet_sex,
   CAST(o_orderdate AS DATE) AS pp_date_of_birth
-FROM {{orders}} WHERE o_orderkey % 10 <> 9""",
+FROM {{orders}}""",
     "dim_insured": f"""
 SELECT c_custkey AS insured_dwid,
   {_insured('c_custkey')} AS insured_code,
@@ -146,12 +146,12 @@ SELECT CAST(n_nationkey AS BIGINT) AS breed_id,
        WHEN n_nationkey % 8 < 6 THEN 'F' WHEN n_nationkey % 8 = 6 THEN 'A' ELSE 'E' END AS speciescode
 FROM {nation}""",
     "dim_wp": """
-SELECT o_orderkey AS policyid,
+SELECT CASE WHEN o_orderkey % 50 = 7 THEN -1 - o_orderkey ELSE o_orderkey END AS policyid,
   CASE o_orderkey % 8 WHEN 0 THEN 'M100' WHEN 1 THEN 'FS20' WHEN 2 THEN 'I250' WHEN 3 THEN 'I250G'
        WHEN 4 THEN 'NI90' WHEN 5 THEN 'WB10' WHEN 6 THEN 'C300' ELSE 'X500' END AS baseproduct,
   CAST(CASE o_orderkey % 5 WHEN 0 THEN 99 WHEN 1 THEN 144 WHEN 2 THEN 264 WHEN 3 THEN 0 ELSE NULL END AS INT) AS vrcc,
   CAST(CASE o_custkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE NULL END AS INT) AS cancer
-FROM {orders} WHERE o_orderkey % 50 <> 7""",
+FROM {orders}""",
     "dim_source": """
 SELECT CAST(r_regionkey AS BIGINT) AS source_id, concat('Source ', r_name) AS source_desc FROM {region}""",
     "dim_origin": """
@@ -167,14 +167,14 @@ FROM {region}""",
     "dim_payment_type": """
 SELECT CAST(r_regionkey AS BIGINT) AS paymentplantype_id,
   CASE r_regionkey WHEN 0 THEN 'PIF' WHEN 1 THEN 'EFT' ELSE 'CC' END AS paymentplantype
-FROM {region} WHERE r_regionkey < 3""",
+FROM {region}""",
     "dim_provider": """
-SELECT s_suppkey AS provider_id, s_name AS provider_name FROM {supplier} WHERE s_suppkey < 5""",
+SELECT s_suppkey AS provider_id, s_name AS provider_name FROM {supplier}""",
     "claim_header": """
-SELECT o_orderkey AS claim_id, o_orderkey AS policyid,
+SELECT CASE WHEN o_orderstatus = 'O' THEN -1 - o_orderkey ELSE o_orderkey END AS claim_id, o_orderkey AS policyid,
   CASE WHEN o_orderkey % 13 = 0 THEN CAST(NULL AS STRING)
        ELSE concat('CL', CAST(CAST(FLOOR(o_orderkey / 2) AS BIGINT) AS STRING)) END AS claim_no
-FROM {orders} WHERE o_orderstatus <> 'O'""",
+FROM {orders}""",
     "claim_revision": """
 SELECT DISTINCT l_orderkey AS claim_id, l_linenumber AS claim_revision_no,
   CASE WHEN l_linenumber = 7 THEN CAST(NULL AS STRING) WHEN l_returnflag = 'R' THEN 'Reopened'
@@ -191,20 +191,21 @@ SELECT l_orderkey * 8 + l_linenumber AS claim_diagnosis_id,
   CAST((CAST(l_quantity AS INT) * 1800 + l_partkey % 50) * 0.01 AS DECIMAL(18,2)) AS eligibleamount
 FROM {lineitem}""",
     "dim_coverage": """
-SELECT CAST(n_nationkey AS BIGINT) AS coverage_id,
+SELECT CAST(CASE WHEN n_nationkey = 7 THEN -1 ELSE n_nationkey END AS BIGINT) AS coverage_id,
   CASE n_nationkey WHEN 0 THEN 'Wellcare' WHEN 4 THEN 'Wellcare' WHEN 1 THEN CAST(NULL AS STRING)
        WHEN 2 THEN 'Cancer' ELSE 'Base' END AS coverage_product_type
-FROM {nation} WHERE n_nationkey < 7""",
+FROM {nation}""",
     "epremium": f"""
 SELECT {_policy_no('l_orderkey')} AS policy_no, {_renew_no('l_orderkey')} AS policy_renew_no,
   make_date(year(l_shipdate), month(l_shipdate), 1) AS reportperiod,
   CAST((CAST(l_quantity AS INT) * 300 + l_linenumber) * 0.01 AS DECIMAL(18,2)) AS earnedpremium
 FROM {{lineitem}}""",
     "efees": f"""
-SELECT {_policy_no('l_orderkey')} AS policy_no, {_renew_no('l_orderkey')} AS policy_renew_no,
+SELECT CASE WHEN l_returnflag = 'N' THEN concat('X', CAST(l_orderkey AS STRING))
+       ELSE {_policy_no('l_orderkey')} END AS policy_no, {_renew_no('l_orderkey')} AS policy_renew_no,
   make_date(year(l_shipdate), month(l_shipdate), 1) AS reportperiod,
   CAST((l_linenumber * 150 + l_partkey % 10) * 0.01 AS DECIMAL(18,2)) AS earnedfees
-FROM {{lineitem}} WHERE l_returnflag <> 'N'""",
+FROM {{lineitem}}""",
     "vouchers_issued": f"""
 SELECT {_insured('user_id')} AS vi_insured,
   concat('P', CAST(CAST(FLOOR(event_id / 3) AS BIGINT) AS STRING)) AS vi_ref_policy_no,
@@ -212,33 +213,41 @@ SELECT {_insured('user_id')} AS vi_insured,
   CASE WHEN value > 60 THEN 'Y' ELSE 'N' END AS vi_redeemed_yn
 FROM {{events}} WHERE event_type = 'purchase'""",
     "scrubber": f"""
-SELECT CASE WHEN event_id % 2 = 0 THEN concat(' ', {_insured('user_id')}, ' ') ELSE {_insured('user_id')} END AS insured_code,
+SELECT CASE WHEN value <= 300 THEN concat('X', CAST(user_id AS STRING))
+       WHEN event_id % 2 = 0 THEN concat(' ', {_insured('user_id')}, ' ') ELSE {_insured('user_id')} END AS insured_code,
   CASE event_id % 4 WHEN 0 THEN 'A1' WHEN 1 THEN 'B1' WHEN 2 THEN 'C1' ELSE 'D1' END AS source
-FROM {{events}} WHERE event_type = 'error' AND value > 300""",
+FROM {{events}} WHERE event_type = 'error'""",
     "scrubber_policy": """
-SELECT concat(' P', CAST(CAST(FLOOR(event_id / 3) AS BIGINT) AS STRING), ' ') AS policy_no, 'G1' AS source
-FROM {events} WHERE event_type = 'signup' AND value > 280""",
+SELECT concat(CASE WHEN value > 280 THEN ' P' ELSE ' X' END,
+  CAST(CAST(FLOOR(event_id / 3) AS BIGINT) AS STRING), ' ') AS policy_no, 'G1' AS source
+FROM {events} WHERE event_type = 'signup'""",
     "scrubber_dnc": f"""
-SELECT upper({_EMAIL}) AS email, 'H' AS source FROM {{customer}} WHERE c_custkey % 41 = 0""",
+SELECT CASE WHEN c_custkey % 41 = 0 THEN upper({_EMAIL})
+       ELSE concat('NONE', CAST(c_custkey AS STRING), '@NOWHERE.EXAMPLE') END AS email, 'H' AS source
+FROM {{customer}}""",
     "bad_email": f"""
-SELECT lower({_EMAIL}) AS bad_email FROM {{customer}} WHERE c_custkey % 37 = 1""",
+SELECT CASE WHEN c_custkey % 37 = 1 THEN lower({_EMAIL})
+       ELSE concat('none', CAST(c_custkey AS STRING), '@nowhere.example') END AS bad_email
+FROM {{customer}}""",
     "policy_pet": f"""
-SELECT {_policy_no('o_orderkey')} AS policy_no,
+SELECT CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 16 = 1 THEN {_policy_no('o_orderkey')}
+       ELSE concat('X', CAST(o_orderkey AS STRING)) END AS policy_no,
   CAST(CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 3 END AS BIGINT) AS policy_status_dwid,
-  o_custkey AS insured_dwid
-FROM {{orders}} WHERE o_orderkey % 4 = 0 OR o_orderkey % 16 = 1""",
+  CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 16 = 1 THEN o_custkey ELSE -1 - o_custkey END AS insured_dwid
+FROM {{orders}}""",
     "dim_policy_status": """
 SELECT CAST(r_regionkey AS BIGINT) AS policy_status_dwid,
   CASE r_regionkey WHEN 0 THEN 'Cancelled' WHEN 1 THEN 'Inforce' WHEN 2 THEN 'Inforce (Undernotice)'
        ELSE 'Lapsed' END AS policy_status_desc
-FROM {region} WHERE r_regionkey < 4""",
+FROM {region}""",
     "policy_term": f"""
 SELECT {_policy_no('o_orderkey')} AS policy_no, {_renew_no('o_orderkey')} AS policy_renew_no,
   o_orderkey AS policy_term_dwid
 FROM {{orders}}""",
     "cancel": """
-SELECT o_orderkey AS policy_term_dwid, CAST(o_orderdate AS DATE) AS effective_date
-FROM {orders} WHERE o_orderkey % 9 = 0""",
+SELECT CASE WHEN o_orderkey % 9 = 0 THEN o_orderkey ELSE -1 - o_orderkey END AS policy_term_dwid,
+  CAST(o_orderdate AS DATE) AS effective_date
+FROM {orders}""",
     "csat": """
 SELECT event_id AS policyid,
   CASE WHEN value > 250 THEN CAST(NULL AS INT) ELSE CAST(FLOOR(value) AS INT) % 11 END AS nps,
@@ -255,7 +264,8 @@ SELECT {_insured('c_custkey')} AS enty_code,
             CAST(c_custkey % 24 AS INT), 30, 0) AS enty_created_on
 FROM {{customer}}""",
     "demographics": f"""
-SELECT CASE WHEN c_custkey % 4 = 0 THEN lower({_FNAME}) ELSE {_FNAME} END AS firstname,
+SELECT CASE WHEN c_custkey % 7 = 3 THEN concat('Zz', CAST(c_custkey AS STRING))
+       WHEN c_custkey % 4 = 0 THEN lower({_FNAME}) ELSE {_FNAME} END AS firstname,
   CASE WHEN c_custkey % 29 = 0 THEN CAST(NULL AS STRING) ELSE {_LNAME} END AS lastname,
   {_ADDR} AS addr,
   {_CITY} AS city,
@@ -264,7 +274,7 @@ SELECT CASE WHEN c_custkey % 4 = 0 THEN lower({_FNAME}) ELSE {_FNAME} END AS fir
   make_date(1940 + CAST(c_custkey % 50 AS INT), 1 + CAST(c_custkey % 12 AS INT), 1 + CAST(c_custkey % 28 AS INT)) AS dob,
   concat('A', CAST(20 + c_custkey % 70 AS STRING)) AS age,
   {_attr_cols()}
-FROM {{customer}} WHERE c_custkey % 7 <> 3""",
+FROM {{customer}}""",
 }
 
 # Which testdata tables each warehouse table reads.

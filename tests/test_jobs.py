@@ -3,7 +3,8 @@ import tempfile
 
 from cohortforge import jobs
 from cohortforge.plans import reports as R
-from cohortforge.registry import FIRST_SAMPLE_N, SECOND_SAMPLE_N, Run
+from cohortforge.operators.sampling import percent_of
+from cohortforge.registry import FIRST_SAMPLE_PERCENT, SECOND_SAMPLE_PERCENT, Run
 from cohortforge.schemas import SCHEMAS
 from cohortforge.sources.warehouse import AS_OF, REPORT_DATE, Warehouse
 from conftest import SF_SMALL, rows
@@ -16,10 +17,12 @@ def test_jobs_cli_over_parquet_warehouse_matches_registry(spark):
         w.table(name).write.mode("overwrite").parquet(os.path.join(root, name))
     out = tempfile.mkdtemp(prefix="cf-out-")
     y, m, d = REPORT_DATE.split("-")
-    jobs.main(["--warehouse", root, "--out", out, "--report-date", f"{m}/{d}/{y}",
-               "--as-of", AS_OF, "--first-sample", str(FIRST_SAMPLE_N),
-               "--second-sample", str(SECOND_SAMPLE_N)])
     r = Run(spark, SF_SMALL)
+    first = percent_of(r["f2a"].count(), FIRST_SAMPLE_PERCENT)
+    second = percent_of(r["f4"].count(), SECOND_SAMPLE_PERCENT)
+    jobs.main(["--warehouse", root, "--out", out, "--report-date", f"{m}/{d}/{y}",
+               "--as-of", AS_OF, "--first-sample", str(first),
+               "--second-sample", str(second)])
     for name in ("inforce_final", "f2a", "f3", "f4a", "person_profile", "consumer_inforce_csat"):
         got = spark.read.parquet(os.path.join(out, name))
         assert rows(got) == rows(r[name]), name

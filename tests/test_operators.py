@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -49,19 +50,32 @@ def test_group_aggregates_match_window_including_null_key(frame):
 
 def test_sample_is_exact_size_distinct_and_partition_independent(spark):
     df = spark.range(0, 5000).withColumnRenamed("id", "policyid")
-    a = sample_n(df.repartition(1), 300, ["policyid"], 7)
-    b = sample_n(df.repartition(8), 300, ["policyid"], 7)
+    a = sample_n(df.repartition(1), 300, 7)
+    b = sample_n(df.repartition(8), 300, 7)
     ra, rb = rows(a), rows(b)
     assert len(ra) == 300 and len(set(ra)) == 300 and ra == rb
-    assert rows(sample_n(df, 300, ["policyid"], 8)) != ra
-    assert sample_n(df, 9000, ["policyid"], 7).count() == 5000
+    assert rows(sample_n(df, 300, 8)) != ra
+    assert sample_n(df, 9000, 7).count() == 5000
 
 
-def test_sample_threshold_path_matches_exact(spark):
-    df = spark.range(0, 20000).withColumnRenamed("id", "policyid")
-    exact = rows(sample_n(df, 3000, ["policyid"], 3))
-    cut = rows(sample_n(df, 3000, ["policyid"], 3, direct_max_rows=100))
-    assert exact == cut
+def test_sample_is_the_hash_order_at_several_sizes(spark, monkeypatch):
+    import hashlib
+
+    from cohortforge.operators import sampling
+    monkeypatch.setattr(sampling, "_BOUNDARY_ROWS", 2)
+    for total in (1, 37, 20000):
+        df = spark.range(0, total).withColumn("tag", F.col("id") % 3)
+        ids = sorted(range(total), key=lambda i: hashlib.md5(f"{i}|{i % 3}|1|3".encode()).hexdigest())
+        for n in (1, 30, 3000):
+            assert {r.id for r in sample_n(df, n, 3).collect()} == set(ids[:n])
+
+
+def test_sample_draws_equal_rows_one_by_one(spark):
+    df = spark.range(0, 50).selectExpr("id % 5 AS k", "CAST(NULL AS STRING) AS s")
+    assert sample_n(df, 23, 1).count() == 23
+    assert sample_n(df, percent=30, seed=1).count() == 15
+    plan = sample_n(df, 23, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
 
 
 def test_minus_dedups_left_and_nulls_equal(frame):
@@ -109,6 +123,12 @@ def test_anti_join_on_key_matches_plain_anti_join(frame):
     assert rows(got) == rows(want) == [(2, None), (4, None), (5, "c@x")]
 
 
+def test_left_join_splittable_refuses_mixed_key_types(frame):
+    from cohortforge.operators.joins import left_join_splittable
+    with pytest.raises(TypeError):
+        left_join_splittable(frame([(1.0, "a")], "k double, x string"), frame([(1, "b")], "rk int, y string"), "k", "rk")
+
+
 def test_left_join_splittable_equals_left_join(frame):
     from cohortforge.operators.joins import left_join_splittable
     left = frame([(1, "a"), (2, None), (3, "b"), (4, None), (5, "c")], "id int, k string")

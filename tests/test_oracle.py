@@ -12,7 +12,8 @@ SLOW = ("BroadcastNestedLoopJoin", "CartesianProduct", "WindowExec", "Window [",
 
 def test_all_queries_match_oracle(spark):
     plans = {}
-    res = compare(spark, SF_SMALL, verbose=False, plans=plans)
+    from cohortforge.registry import QUERIES
+    res = compare(spark, SF_SMALL, names=list(QUERIES), verbose=False, plans=plans)
     bad = {k: v for k, v in res.items() if v[0] is not True}
     assert not bad, bad
     # and no query plan holds a nested-loop / cartesian join, a window or Python evaluation
@@ -25,4 +26,5 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert len(df.columns) == 54
     assert df.count() > 0
-    assert set(E.oracle_sql()) == set(E.queries())
+    from cohortforge.registry import QUERIES
+    assert set(E.oracle_sql()) == set(QUERIES) <= set(E.queries())
