@@ -43,7 +43,7 @@ class ParquetWarehouse:
 
 
 def run(spark: SparkSession, warehouse, out: str, report_date: str | dt.date,
-        as_of: str | dt.date, first_sample: int, second_sample: int, seed: int = 42,
+        as_of: str | dt.date | None, first_sample: int, second_sample: int, seed: int = 42,
         steps: tuple[str, ...] = ("inforce", "funnel", "consumer")) -> dict[str, str]:
     """Build and write the tables; returns {table name: path}."""
     out = out.rstrip("/")
@@ -58,14 +58,12 @@ def run(spark: SparkSession, warehouse, out: str, report_date: str | dt.date,
     w = warehouse
     if "inforce" in steps:
         st = IN.build_inforce(w, report_date, stage=write)
-        for name in ("inforce", "wellness_claims", "medical_claims", "premium_fees",
-                     "inforce_aggregate"):
+        for name in ("wellness_claims", "medical_claims", "premium_fees", "inforce_aggregate"):
             write(st[name], name)
     final = spark.read.parquet(os.path.join(out, "inforce_final"))
     if "funnel" in steps:
         fn = FN.build_funnel(w, final, as_of, first_sample, second_sample, seed, stage=write)
         write(fn["scrub"], "scrub")
-        write(fn["f4"], "f4")
         write(fn["f4a"], "f4a")
     if "consumer" in steps:
         cs = C.build_consumer(w, final, stage=write)
