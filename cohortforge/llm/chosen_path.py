@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 
 from cohortforge.llm.arrow_text import slices, split_codes, texts
 from cohortforge.llm.components import connected
+from cohortforge.session import stage_path
 from cohortforge.sources.staging import stage
 
 WORDS = 5
@@ -448,7 +449,11 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD,
              prefer_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` with one row of each class: its smallest ``prefer_col`` (nulls last)."""
-    numbered = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered_docs")
+    # a copy of whole texts, so packed tightly; its row numbers must not change when a task is run again
+    path = stage_path(docs.sparkSession, "numbered_docs")
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    rows.write.option("compression", "zstd").parquet(path)
+    numbered = docs.sparkSession.read.schema(rows.schema).parquet(path)
     classes = stage(similarity_classes(numbered, "__row", text_col, words, threshold), "row_classes")
     # classes of one row stay without a look at their ids
     crowded = classes.groupBy("class_id").agg(F.count("*").alias("n")).filter("n > 1")
