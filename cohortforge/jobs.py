@@ -21,14 +21,21 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortforge.plans import consumer as C
-from cohortforge.plans import funnel as FN
-from cohortforge.plans import inforce as IN
+from cohortforge.graph import Stages
 from cohortforge.plans import reports as R
 from cohortforge.schemas import SCHEMAS
 from cohortforge.sources.files import export_csv
 
 
+# The tables each step writes.
+OUTPUTS = {
+    "inforce": ("inforce_final", "inforce_aggregate", "wellness_claims", "medical_claims", "premium_fees"),
+    "funnel": ("f1a", "scrub", "f2", "f2a", "f3", "f4", "f4a"),
+    "consumer": ("consumer_type", "consumer_policies", "consumer_inforce", "consumer_inforce_csat",
+                 "person_totals", "person_totals_direct", "person_profile"),
+}
+
+
 class ParquetWarehouse:
     """Warehouse tables read from ``root/<table>`` with their declared schemas."""
 
@@ -55,21 +62,13 @@ def run(spark: SparkSession, warehouse, out: str, report_date: str | dt.date,
         written[name] = path
         return spark.read.parquet(path)
 
-    w = warehouse
-    if "inforce" in steps:
-        st = IN.build_inforce(w, report_date, stage=write)
-        for name in ("wellness_claims", "medical_claims", "premium_fees", "inforce_aggregate"):
-            write(st[name], name)
-    final = spark.read.parquet(os.path.join(out, "inforce_final"))
-    if "funnel" in steps:
-        fn = FN.build_funnel(w, final, as_of, first_sample, second_sample, seed, stage=write)
-        write(fn["scrub"], "scrub")
-        write(fn["f4a"], "f4a")
-    if "consumer" in steps:
-        cs = C.build_consumer(w, final, stage=write)
-        for name in ("consumer_inforce", "consumer_inforce_csat", "person_totals",
-                     "person_totals_direct", "person_profile"):
-            write(cs[name], name)
+    given = {} if "inforce" in steps else {"inforce_final": spark.read.parquet(os.path.join(out, "inforce_final"))}
+    tables = Stages(warehouse, report_date, as_of, {"n": first_sample}, {"n": second_sample}, seed, write, given)
+    for step in steps:
+        for name in OUTPUTS.get(step, ()):
+            df = tables[name]
+            if name not in written:
+                write(df, name)
     return written
 
 

@@ -17,12 +17,17 @@ from pyspark.sql import functions as F
 
 from cohortforge.functions.expr import full_name, match_key, paid_per_claim
 from cohortforge.operators.joins import left_join_splittable
-from cohortforge.sources.warehouse import DEMOGRAPHIC_ATTRS
 
 INSURED_GROUP = "INSURED"
 
-# Demographic columns carried onto each policy row, in output order.
-PROFILE_COLUMNS = ("zip",) + DEMOGRAPHIC_ATTRS[:9] + ("dob", "age") + DEMOGRAPHIC_ATTRS[9:]
+# Demographic columns carried onto each policy row, in output order.
+PROFILE_COLUMNS = (
+    "zip", "needstate", "typology", "email_r", "chnl_dom", "ad_web", "ad_mag", "ad_news",
+    "ad_rad", "ad_tv", "dob", "age", "gender", "hhi", "marital", "occupation", "education",
+    "political", "statecode", "countycode", "censustract", "censusblock", "blockid",
+    "mcdccd", "cbsa", "ethnicinsight", "ethnicitydtl", "language", "religion",
+    "ethniccode", "etechgroup", "coo", "totalemt", "cmlevel", "smlevel",
+)
 
 
 # -- B14 ---------------------------------------------------------------------
@@ -71,9 +76,15 @@ def link_consumers(source: DataFrame, entity: DataFrame, key_len: int = 12,
 
 # -- B16 ---------------------------------------------------------------------
 
-def link_policies(consumer_type: DataFrame, header: DataFrame) -> DataFrame:
-    """Consumer link expanded to every policy term of the matched insured code."""
+def link_policies(consumer_type: DataFrame, header: DataFrame,
+                  policyids: DataFrame | None = None) -> DataFrame:
+    """Consumer link expanded to every policy term of the matched insured code.
+
+    ``policyids`` (a frame with a ``policyid`` column) keeps those terms only.
+    """
     t = header.select(F.col("policyid"), F.col("policy_no"), F.col("insured_code").alias("h_code"))
+    if policyids is not None:
+        t = t.join(policyids.select("policyid").distinct(), "policyid", "left_semi")
     j = consumer_type.join(t, consumer_type["insured_code"] == t["h_code"])
     return j.select("policyid", "policy_no", *[consumer_type[c] for c in consumer_type.columns]).distinct()
 
@@ -174,21 +185,3 @@ def person_profile(totals: DataFrame, consumer_type: DataFrame) -> DataFrame:
         paid_per_claim(F.col("calc.wel_paid_amt"), F.col("calc.wel_claim_cnt")).alias("ppwc"),
     ).distinct()
 
-
-def build_consumer(w, inforce_final: DataFrame, stage=None) -> dict[str, DataFrame]:
-    """Run B15-B21 over a warehouse and the in-force final table.
-
-    ``stage(df, name)`` materialises the link tables, read by several steps.
-    """
-    stage = stage or (lambda df, name: df)
-    ct = stage(link_consumers(w.demographics, w.entity_address_master), "consumer_type")
-    pid = stage(link_policies(ct, w.policy_header), "consumer_policies")
-    agg_pid = consumer_policy(pid, inforce_final)
-    agg_pidu = consumer_policy(pid, inforce_final, w.csat)
-    totals = person_totals(agg_pid)
-    ct8 = consumer_keys(w.demographics, 8, with_state=False)
-    totals_direct = person_totals_direct(ct8, inforce_final)
-    profile = person_profile(totals_direct, ct8)
-    return {"consumer_type": ct, "consumer_policies": pid, "consumer_inforce": agg_pid,
-            "consumer_inforce_csat": agg_pidu, "person_totals": totals,
-            "person_totals_direct": totals_direct, "person_profile": profile}

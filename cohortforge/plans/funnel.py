@@ -45,18 +45,26 @@ def first_policy(df: DataFrame, all_policies: DataFrame, key: str = "insured_cod
 
 # -- B9 ----------------------------------------------------------------------
 
-def suppression_list(base: DataFrame, by_policy: DataFrame, by_email: DataFrame,
-                     header: DataFrame, insured: DataFrame) -> DataFrame:
-    """(insured_code, source) scrub list: imported codes, plus holders of listed
-    policy numbers (distinct, policy number trimmed), plus holders of listed
-    e-mail addresses (case-insensitive, duplicates kept)."""
+def suppressed_by_policy(by_policy: DataFrame, header: DataFrame) -> DataFrame:
+    """Holders of listed policy numbers (distinct, policy number trimmed)."""
     ph = header.select("policy_no", "insured_code")
-    from_policy = (by_policy.join(ph, F.trim(by_policy["policy_no"]) == ph["policy_no"])
-                   .select(ph["insured_code"], by_policy["source"]).distinct())
+    return (by_policy.join(ph, F.trim(by_policy["policy_no"]) == ph["policy_no"])
+            .select(ph["insured_code"], by_policy["source"]).distinct())
+
+
+def suppressed_by_email(by_email: DataFrame, insured: DataFrame) -> DataFrame:
+    """Holders of listed e-mail addresses (case-insensitive, duplicates kept)."""
     i = insured.select("insured_code", "insured_email")
-    from_email = (by_email.join(i, F.lower(by_email["email"]) == F.lower(i["insured_email"]))
-                  .select(i["insured_code"], by_email["source"]))
-    return append(append(base.select("insured_code", "source"), from_policy), from_email)
+    return (by_email.join(i, F.lower(by_email["email"]) == F.lower(i["insured_email"]))
+            .select(i["insured_code"], by_email["source"]))
+
+
+def suppression_list(base: DataFrame, by_policy: DataFrame, by_email: DataFrame,
+                     header: DataFrame, insured: DataFrame) -> DataFrame:
+    """(insured_code, source) scrub list: imported codes, plus the holders of the
+    listed policy numbers, plus those of the listed e-mail addresses."""
+    return append(append(base.select("insured_code", "source"), suppressed_by_policy(by_policy, header)),
+                  suppressed_by_email(by_email, insured))
 
 
 # -- B10 ---------------------------------------------------------------------
@@ -138,22 +146,3 @@ def stratum_minus(f2a: DataFrame, f3: DataFrame) -> DataFrame:
     """New-customer stratum MINUS the first sample (distinct rows)."""
     return minus(new_customer_stratum(f2a), f3)
 
-
-def build_funnel(w, inforce_final: DataFrame, as_of: str | dt.date | None,
-                 n_first: int, n_second: int, seed: int = 42, stage=None) -> dict[str, DataFrame]:
-    """Run B8-B13 over a warehouse and the in-force final table.
-
-    ``stage(df, name)`` materialises f1a, f2, f2a and the first sample, each
-    read twice downstream; the sample must be fixed before f4 subtracts it.
-    """
-    stage = stage or (lambda df, name: df)
-    f1a = stage(first_policy(inforce_final, inforce_final.select("insured_code", "policy_no")), "f1a")
-    scrub = suppression_list(w.scrubber, w.scrubber_policy, w.scrubber_dnc,
-                             w.policy_header, w.dim_insured)
-    f2 = stage(suppress(f1a, scrub, w.bad_email, w.policy_pet, w.dim_policy_status,
-                        w.policy_term, w.cancel, as_of), "f2")
-    f2a = stage(first_per_email(f2), "f2a")
-    f3 = stage(survey_sample(f2a, n_first, seed=seed), "f3")
-    f4 = stage(stratum_minus(f2a, f3), "f4")
-    f4a = survey_sample(f4, n_second, seed=seed)
-    return {"f1a": f1a, "scrub": scrub, "f2": f2, "f2a": f2a, "f3": f3, "f4": f4, "f4a": f4a}

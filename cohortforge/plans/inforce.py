@@ -50,6 +50,7 @@ def inforce(header: DataFrame, inforce_fact: DataFrame, report_date: str | dt.da
 
 # -- B2 ----------------------------------------------------------------------
 
+# Columns of the detail table, in output order.
 DETAIL_COLUMNS = (
     "policyid", "policy_no", "policy_renew_no", "insured_code", "pp_petname", "pp_pet_sex",
     "pp_date_of_birth", "insured_fname", "insured_lname", "insured_address1",
@@ -343,34 +344,6 @@ def add_referrals(agg: DataFrame, vouchers: DataFrame, header: DataFrame) -> Dat
     return out.select(*agg.columns, "policy_referred_count")
 
 
-# -- whole entry ---------------------------------------------------------------
-
-def build_inforce(w, report_date: str | dt.date, stage=None) -> dict[str, DataFrame]:
-    """Run B1-B7 over a warehouse (any object exposing the input tables).
-
-    ``stage(df, name)`` materialises the detail and final tables, which are
-    read several times downstream (see :mod:`cohortforge.sources.staging`).
-    """
-    stage = stage or (lambda df, name: df)
-    inf = stage(inforce(w.policy_header, w.data_inforce, report_date), "inforce")
-    dtl = stage(inforce_detail(inf, w.policy_pets, w.policy_header, w.dim_insured, w.dim_group,
-                               w.dim_breed, w.dim_wp, w.dim_source, w.dim_origin,
-                               w.dim_paymentplan, w.dim_provider), "inforce_detail")
-    claims = (w.policy_header, w.claim_header, w.claim_revision, w.claim_diagnosis,
-              w.claim_details, w.dim_coverage)
-    wanted = inf.select("policy_no").distinct()
-    both = stage(claim_rollups(*claims, policy_nos=wanted), "claim_totals")
-    prem = stage(premium_rollup(w.epremium, w.efees, policy_nos=wanted), "premium_for_inforce")
-    agg = inforce_aggregate(dtl, both, prem, w.dim_group)
-    final = stage(inforce_aggregate(dtl, both, prem, w.dim_group,
-                                    referrals(w.vouchers_issued, w.policy_header)), "inforce_final")
-    return {"inforce": inf, "inforce_detail": dtl, "claim_totals": both,
-            "wellness_claims": claim_rollup(*claims, kind="wellness"),
-            "medical_claims": claim_rollup(*claims, kind="medical"),
-            "premium_fees": premium_rollup(w.epremium, w.efees), "inforce_aggregate": agg,
-            "inforce_final": final}
-
-
 # Column order of the in-force aggregate and final tables.
 AGGREGATE_COLUMNS = (DETAIL_COLUMNS + tuple(n for n, _ in ZERO_FILLED)
                      + ("premium", "fees", "total_pets", "group_name") + HOUSEHOLD_COLUMNS)

@@ -7,16 +7,16 @@ SQL lives in :mod:`cohortforge.oracle`.
 
 from __future__ import annotations
 
-import threading
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortforge.plans import consumer as C
+from cohortforge.graph import Stages
 from cohortforge.plans import funnel as FN
 from cohortforge.plans import inforce as IN
 from cohortforge.plans import reports as R
+from cohortforge.session import stage_path
+from cohortforge.sources import files
 from cohortforge.sources.staging import stage
 from cohortforge.sources.warehouse import AS_OF, REPORT_DATE, Warehouse
 
@@ -26,149 +26,12 @@ SECOND_SAMPLE_PERCENT = 60
 SEED = 42
 
 
-class Run:
-    """The stage graph over one testdata directory, built on demand.
-
-    Tables the scripts create and read more than once are staged (written to
-    the shared staging folder) the first time a query needs them; the rest
-    stay lazy plans.  Only the stages a query depends on are computed.
-    """
-
-    STAGED = {"inforce", "inforce_detail", "claim_totals", "premium_for_inforce", "inforce_final", "f1a", "f2",
-              "f2a", "f3", "f4", "consumer_type", "consumer_policies"}
+class Run(Stages):
+    """The stage graph over one testdata directory, staged in the shared folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.w = Warehouse(spark, sf_dir)
-        self._memo: dict[str, DataFrame] = {}
-        self._locks: dict[str, threading.Lock] = {}
-        self._guard = threading.Lock()
-
-    def __getitem__(self, name: str) -> DataFrame:
-        with self._guard:
-            lock = self._locks.setdefault(name, threading.Lock())
-        with lock:
-            if name not in self._memo:
-                df = getattr(self, "_" + name)()
-                self._memo[name] = stage(df, name) if name in self.STAGED else df
-        return self._memo[name]
-
-    def ready(self, *names: str) -> list[DataFrame]:
-        """The named stages, independent ones built concurrently."""
-        self._ready(*names)
-        return [self[n] for n in names]
-
-    def _ready(self, *names: str) -> None:
-        """Stage independent prerequisites as concurrent Spark jobs."""
-        todo = [n for n in names if n not in self._memo]
-        if len(todo) > 1:
-            with ThreadPoolExecutor(len(todo)) as pool:
-                list(pool.map(self.__getitem__, todo))
-
-    # in-force build
-    def _inforce(self):
-        return IN.inforce(self.w.policy_header, self.w.data_inforce, REPORT_DATE)
-
-    def _inforce_detail(self):
-        w = self.w
-        return IN.inforce_detail(self["inforce"], w.policy_pets, w.policy_header, w.dim_insured,
-                                 w.dim_group, w.dim_breed, w.dim_wp, w.dim_source, w.dim_origin,
-                                 w.dim_paymentplan, w.dim_provider)
-
-    def _claims(self, kind):
-        w = self.w
-        return IN.claim_rollup(w.policy_header, w.claim_header, w.claim_revision,
-                               w.claim_diagnosis, w.claim_details, w.dim_coverage, kind)
-
-    def _wellness_claims(self):
-        return self._claims("wellness")
-
-    def _medical_claims(self):
-        return self._claims("medical")
-
-    def _premium_fees(self):
-        return IN.premium_rollup(self.w.epremium, self.w.efees)
-
-    def _inforce_policy_nos(self):
-        return self["inforce"].select("policy_no").distinct()
-
-    def _claim_totals(self):
-        w = self.w
-        return IN.claim_rollups(w.policy_header, w.claim_header, w.claim_revision,
-                                w.claim_diagnosis, w.claim_details, w.dim_coverage,
-                                policy_nos=self["inforce_policy_nos"])
-
-    def _premium_for_inforce(self):
-        return IN.premium_rollup(self.w.epremium, self.w.efees,
-                                 policy_nos=self["inforce_policy_nos"])
-
-    def _inforce_aggregate(self):
-        self._ready("inforce_detail", "claim_totals", "premium_for_inforce")
-        return IN.inforce_aggregate(self["inforce_detail"], self["claim_totals"],
-                                    self["premium_for_inforce"], self.w.dim_group)
-
-    def _inforce_final(self):
-        # B6 + B7 fused: the referral count rides on the per-holder join
-        self._ready("inforce_detail", "claim_totals", "premium_for_inforce")
-        w = self.w
-        return IN.inforce_aggregate(self["inforce_detail"], self["claim_totals"],
-                                    self["premium_for_inforce"], w.dim_group,
-                                    IN.referrals(w.vouchers_issued, w.policy_header))
-
-    # survey funnel
-    def _f1a(self):
-        fin = self["inforce_final"]
-        return FN.first_policy(fin, fin.select("insured_code", "policy_no"))
-
-    def _scrub(self):
-        w = self.w
-        return FN.suppression_list(w.scrubber, w.scrubber_policy, w.scrubber_dnc,
-                                   w.policy_header, w.dim_insured)
-
-    def _f2(self):
-        self._ready("f1a", "scrub")
-        w = self.w
-        return FN.suppress(self["f1a"], self["scrub"], w.bad_email, w.policy_pet,
-                           w.dim_policy_status, w.policy_term, w.cancel, AS_OF)
-
-    def _f2a(self):
-        return FN.first_per_email(self["f2"])
-
-    def _f3(self):
-        return FN.survey_sample(self["f2a"], seed=SEED, percent=FIRST_SAMPLE_PERCENT)
-
-    def _f4(self):
-        return FN.stratum_minus(self["f2a"], self["f3"])
-
-    def _f4a(self):
-        return FN.survey_sample(self["f4"], seed=SEED, percent=SECOND_SAMPLE_PERCENT)
-
-    # consumer link
-    def _consumer_type(self):
-        return C.link_consumers(self.w.demographics, self.w.entity_address_master)
-
-    def _consumer_policies(self):
-        return C.link_policies(self["consumer_type"], self.w.policy_header)
-
-    def _consumer_inforce(self):
-        self._ready("inforce_final", "consumer_policies")
-        return C.consumer_policy(self["consumer_policies"], self["inforce_final"])
-
-    def _consumer_inforce_csat(self):
-        self._ready("inforce_final", "consumer_policies")
-        return C.consumer_policy(self["consumer_policies"], self["inforce_final"], self.w.csat)
-
-    def _person_totals(self):
-        return C.person_totals(self["consumer_inforce"])
-
-    def _consumer_keys8(self):
-        return C.consumer_keys(self.w.demographics, 8, with_state=False)
-
-    def _person_totals_direct(self):
-        self._ready("inforce_final", "consumer_keys8")
-        return C.person_totals_direct(self["consumer_keys8"], self["inforce_final"])
-
-    def _person_profile(self):
-        return C.person_profile(self["person_totals_direct"], self["consumer_keys8"])
+        super().__init__(Warehouse(spark, sf_dir), REPORT_DATE, AS_OF,
+                         {"percent": FIRST_SAMPLE_PERCENT}, {"percent": SECOND_SAMPLE_PERCENT}, SEED, stage)
 
 
 def _stage(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -179,6 +42,23 @@ def _report(fn: Callable[[Run], DataFrame]) -> Callable[[SparkSession, str], Dat
     return lambda spark, sf_dir: fn(Run(spark, sf_dir))
 
 
+def _imported_list(r: Run) -> DataFrame:
+    """The suppression list from CSV files: export, import, and a table grown by two appends."""
+    spark, w = r.w.spark, r.w
+    lists = {"scrubber": files.SCRUB_LIST_SCHEMA, "scrubber_policy": files.POLICY_LIST_SCHEMA,
+             "scrubber_dnc": files.EMAIL_LIST_SCHEMA}
+    read = {}
+    for name, schema in lists.items():
+        path = stage_path(spark, f"{name}_csv")
+        files.export_csv(getattr(w, name), path)
+        read[name] = files.read_list_files(spark, path, schema)
+    path, columns = stage_path(spark, "imported_scrub"), ["insured_code", "source"]
+    files.write_table(read["scrubber"].select(*columns), path)
+    files.append_table(FN.suppressed_by_policy(read["scrubber_policy"], w.policy_header), path, columns)
+    files.append_table(FN.suppressed_by_email(read["scrubber_dnc"], w.dim_insured), path, columns)
+    return files.read_table(spark, path)
+
+
 def _band(table: str, measure: str):
     return _report(lambda r: R.claim_band_report(r[table], measure))
 
@@ -186,6 +66,8 @@ def _band(table: str, measure: str):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # in-force build
     "inforce_snapshot": _stage("inforce"),
+    "inforce_snapshot_us_date": _report(lambda r: IN.inforce(
+        r.w.policy_header, r.w.data_inforce, f"{REPORT_DATE[5:7]}/{REPORT_DATE[8:]}/{REPORT_DATE[:4]}")),
     "inforce_detail": _stage("inforce_detail"),
     "wellness_claims": _stage("wellness_claims"),
     "medical_claims": _stage("medical_claims"),
@@ -194,7 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "inforce_final": _stage("inforce_final"),
     # survey funnel
     "first_policy_per_holder": _stage("f1a"),
+    "first_policy_of_book": _stage("first_of_book"),
     "suppression_list": _stage("scrub"),
+    "suppression_list_import": _report(_imported_list),
     "suppressed_holders": _stage("f2"),
     "first_policy_per_email": _stage("f2a"),
     "survey_sample": _stage("f3"),
@@ -222,6 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_states": _report(lambda r: R.state_counts(r["f3"])),
     "report_top_states_pif": _report(lambda r: R.top_states_by_plan_type(
         r["f3"], r.w.policy_header, r.w.dim_paymentplan, r.w.dim_payment_type)),
+    "report_top_states_pif_population": _report(lambda r: R.top_states_by_plan_type(
+        r["f1a"], r.w.policy_header, r.w.dim_paymentplan, r.w.dim_payment_type)),
     "report_medical_claimed_bands": _band("f1a", "medical_claimed"),
     "report_medical_eligible_bands": _band("f1a", "medical_eligible"),
     "report_medical_paid_bands": _band("f3", "medical_paid"),

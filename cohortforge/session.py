@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -48,8 +49,10 @@ def staging_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and staged tables.
 
     Uses ``spark.checkpoint.dir`` when the cluster sets it.  Only when it is
-    unset (local tests) a private folder under the system temp dir is chosen
-    and registered, so ``DataFrame.checkpoint()`` works too.
+    unset and driver and executors are one process (master ``local`` or
+    ``local[...]``, not ``local-cluster[...]``) a private folder under the
+    system temp dir is chosen and registered, so ``DataFrame.checkpoint()``
+    works too.
     """
     try:
         sc = spark.sparkContext
@@ -64,7 +67,7 @@ def staging_dir(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(conf_dir)
         return conf_dir
-    if not sc.master.startswith("local"):
+    if not one_process(sc.master):
         raise RuntimeError("spark.checkpoint.dir is not set: name a folder every executor "
                            "and the driver can reach (e.g. on the cluster file system)")
     local = tempfile.mkdtemp(prefix="cohortforge-stage-")
@@ -73,6 +76,31 @@ def staging_dir(spark: SparkSession) -> str:
     return local
 
 
+def one_process(master: str) -> bool:
+    """True where driver and executors share the machine's folders."""
+    return re.fullmatch(r"local(\[.*\])?", master) is not None
+
+
+# Paths handed out and not yet removed.
+_staged: list[str] = []
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the staging folder for one written table."""
-    return os.path.join(staging_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(staging_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    _staged.append(path)
+    return path
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Remove every table this process has staged; returns how many paths that were.
+
+    To be called once the DataFrames that read them are no longer wanted: a
+    query returns a plan over its staged tables, so it can't do this itself.
+    """
+    fs, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    n = len(_staged)
+    for _ in range(n):
+        path = fs.Path(_staged.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n

@@ -72,4 +72,6 @@ def append_table(df: DataFrame, path: str, columns: Sequence[str]) -> None:
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Blanks around a value are part of it and stay."""
+    (df.write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False)
+       .option("ignoreTrailingWhiteSpace", False).csv(path))

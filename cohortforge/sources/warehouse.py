@@ -63,7 +63,7 @@ _FNAME = f"concat('Fn ', CAST({_BASE} % 97 AS STRING))"
 _LNAME = f"concat('Ln', CAST({_BASE} % 89 AS STRING))"
 _ADDR = (f"concat(CAST({_BASE} % 300 AS STRING), ' ', CASE {_BASE} % 3 WHEN 0 THEN 'Oak Street' "
          f"WHEN 1 THEN 'Elm Avenue' ELSE 'Pine Road' END, ' No ', CAST({_BASE} AS STRING))")
-_STATE = f"concat('S', CAST({_BASE} % 25 AS STRING))"
+_STATE = f"concat('S', CAST({_BASE} % 26 AS STRING))"
 _CITY = f"concat('City', CAST({_BASE} % 40 AS STRING))"
 _ZIP = f"CAST(10000 + {_BASE} % 90000 AS STRING)"
 _EMAIL = ("CASE WHEN c_custkey % 23 = 0 THEN NULL "

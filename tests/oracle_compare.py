@@ -36,6 +36,7 @@ def rows_key(rows, cols):
 
 def compare(spark, sf_dir, names=None, verbose=True, plans=None):
     import __spark_entry__ as E
+    from cohortforge.session import drop_staged
     con = duckdb.connect()
     for t in TABLES:
         p = f"{sf_dir}/{t}.parquet"
@@ -51,6 +52,7 @@ def compare(spark, sf_dir, names=None, verbose=True, plans=None):
         if plans is not None:
             plans[name] = df._jdf.queryExecution().executedPlan().toString()
         t1 = time.time()
+        drop_staged(spark)
         if name not in sqls:
             results[name] = ("rows-only", len(s_rows))
             continue

@@ -95,3 +95,21 @@ def test_survey_sample_fixed_before_minus(spark):
     f4 = FN.stratum_minus(f2a, f3)
     assert f4.count() == 300
     assert f4.join(f3, "policyid").count() == 0
+
+
+def test_future_cancellation_without_a_date_means_today(spark, table):
+    today = spark.range(1).select(F.current_date()).first()[0]
+    f1a = _f1(spark, [(i, f"P{i}", 0, f"I{i}", "a@b", "OC1", 1, "M") for i in (1, 2, 3)])
+    term = table("policy_term", [dict(policy_no=f"P{i}", policy_renew_no=0, policy_term_dwid=i) for i in (1, 2, 3)])
+    cancel = table("cancel", [dict(policy_term_dwid=i, effective_date=today + dt.timedelta(days=i - 2))
+                              for i in (1, 2, 3)])
+    assert rows(FN.future_cancellations(f1a, term, cancel, None)) == [("I2",), ("I3",)]
+
+
+def test_first_policy_with_the_minimum_from_another_table(spark):
+    df = _f1(spark, [(1, "P5", 0, "I1", "a@b", "O", 1, "M"), (2, "P2", 0, "I2", "a@b", "O", 1, "M"),
+                     (3, "P9", 0, None, "a@b", "O", 1, "M")])
+    book = spark.createDataFrame([("I1", "P5"), ("I1", "P1"), ("I2", "P2"), ("I2", "P7"), (None, "P9")],
+                                 "insured_code string, policy_no string")
+    # I1's lowest policy is not in the left table; a NULL holder matches nothing
+    assert rows(FN.first_policy(df, book), "policyid") == [(2,)]

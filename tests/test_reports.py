@@ -69,3 +69,42 @@ def test_top_states_is_top_k_with_tie_break(spark, table):
     ptype = table("dim_payment_type", [dict(paymentplantype_id=7, paymentplantype="PIF")])
     out = R.top_states_by_plan_type(f, header, plan, ptype, top=3)
     assert [tuple(r) for r in out.collect()] == [("A", 2), ("C", 2), ("B", 1)]
+
+
+def test_sorted_reports_keep_their_order(spark, table):
+    def got(df):
+        return [tuple(r) for r in df.collect()]
+
+    t = spark.createDataFrame([(s,) for s in ("B", None, "A", "B")], "insured_state string")
+    assert got(R.state_counts(t)) == [("A", 1), ("B", 2), (None, 1)]
+    p = spark.createDataFrame([(s,) for s in ("NI9", None, "I250G", "I250", "C3")], "baseproduct string")
+    assert [r[0] for r in got(R.product_mix(p))] == ["C3", "I250 (Reg/I250G)", "NI9", None]
+    s = spark.createDataFrame([("I1", "H"), ("I2", None), ("I3", "A1")], "insured_code string, source string")
+    assert got(R.import_sources(s)) == [("A1", 1), ("H", 1), (None, 1)]
+
+    def entity(name):
+        return dict(enty_code=name, enty_group_code="INSURED", enty_first_name=name, enty_last_name=name,
+                    enty_address1="1 Oak")
+    e = table("entity_address_master", [entity(n) for n in ("B", "B", "A", "A", "C", "C", "C", "D")])
+    order = got(R.insured_key_duplicates(e))
+    assert [n for _, n in order] == [3, 2, 2] and order[1][0] < order[2][0]
+    assert order[0][0].startswith("CC")
+
+    i = table("dim_insured", [dict(insured_dwid=k) for k in (1, 2, 3, 4)])
+    pets = table("policy_pet", [dict(insured_dwid=k) for k in (1, 1, 2, 2, 2, 3, 4, 4)])
+    assert got(R.insureds_with_many_policies(i, pets)) == [(2, 3), (1, 2), (4, 2)]
+
+
+def test_term_report_sorts_by_number_with_the_tail_last(spark):
+    t = _t(spark, [(f"I{n}", f"P{n}", n, n, 1, 1, 0, 0, 0, 0, 0, "C", "M", "S") for n in (10, 2, 0, 30)])
+    assert [r[0] for r in R.term_side_by_side(t, t, t).collect()] == [0, 2, 10, 18]
+
+
+def test_top_states_limit_cuts_a_longer_list(spark):
+    from cohortforge.registry import Run
+    from conftest import SF_MID
+    r = Run(spark, SF_MID)
+    args = r["f1a"], r.w.policy_header, r.w.dim_paymentplan, r.w.dim_payment_type
+    every = [tuple(x) for x in R.top_states_by_plan_type(*args, top=1000).collect()]
+    assert len(every) > 10
+    assert [tuple(x) for x in R.top_states_by_plan_type(*args).collect()] == every[:10]

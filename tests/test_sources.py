@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from cohortforge.sources import files
 from cohortforge.sources.staging import stage
-from cohortforge.streaming.imports import ingest_list_drops
 from conftest import rows
 
 
@@ -38,18 +37,29 @@ def test_write_append_export_and_stage(spark):
     assert "Scan parquet" in staged._jdf.queryExecution().executedPlan().toString()
 
 
-def test_streaming_ingest_is_incremental(spark):
-    drop = tempfile.mkdtemp(prefix="cf-drop-")
-    target = os.path.join(tempfile.mkdtemp(prefix="cf-table-"), "scrub")
-    cp = os.path.join(tempfile.mkdtemp(prefix="cf-cp-"), "cp")
-    _write(os.path.join(drop, "C1.csv"), "insured_code,source\nI1,\nI2,\n")
-    ingest_list_drops(spark, drop, target, checkpoint=cp)
-    assert spark.read.parquet(target).count() == 2
-    _write(os.path.join(drop, "D1.csv"), "insured_code,source\nI3,\n")
-    ingest_list_drops(spark, drop, target, checkpoint=cp)
-    assert rows(spark.read.parquet(target)) == [("I1", "C1"), ("I2", "C1"), ("I3", "D1")]
-
-
 def test_staging_dir_uses_session_setting(spark):
     from cohortforge.session import staging_dir
     assert staging_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_staged_tables_can_be_dropped(spark):
+    from cohortforge.session import drop_staged, staging_dir
+    stage(spark.range(3), "dropped")
+    assert any(n.startswith("dropped-") for n in os.listdir(staging_dir(spark)))
+    assert drop_staged(spark) >= 1
+    assert not any(n.startswith("dropped-") for n in os.listdir(staging_dir(spark)))
+    assert drop_staged(spark) == 0
+
+
+def test_private_staging_folder_is_for_one_process_only():
+    from cohortforge.session import one_process
+    assert one_process("local") and one_process("local[8]") and one_process("local[*]")
+    assert not any(map(one_process, ("local-cluster[3,2,1024]", "yarn", "spark://host:7077", "k8s://host")))
+
+
+def test_export_keeps_blanks_and_nulls(spark):
+    d = tempfile.mkdtemp(prefix="cf-csv-")
+    df = spark.createDataFrame([(" I1 ", "A1"), ("I,2", "A1"), (None, "B1")], files.SCRUB_LIST_SCHEMA)
+    files.export_csv(df, os.path.join(d, "list"))
+    back = files.read_list_files(spark, os.path.join(d, "list"), files.SCRUB_LIST_SCHEMA)
+    assert rows(back) == rows(df)
