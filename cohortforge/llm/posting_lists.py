@@ -16,7 +16,8 @@
 
 Equal vectors are one vector with its six smallest ids: a query needs five
 besides itself.  Scores are cosines of the original vectors in double
-precision, and candidates tie by the smaller id.
+precision, and candidates tie by the smaller id.  A block's best are cut by
+these scores, after every vector within rounding of the cut was scored.
 
 Defined results: vectors that are null, empty, zero, of another length than
 most, or that hold null or non-finite components take no part; a repeated
@@ -54,7 +55,32 @@ NEAREST = 5
 def unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
     x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)
-    return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).astype(np.float32)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def cosines(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Cosines of the rows of ``v`` with ``q``, summed in extended precision and rounded to double.
+
+    Scaled or permuted vectors of one cosine get one score, whatever the order of their sums.
+    """
+    v = (v / np.abs(v).max(axis=1, keepdims=True)).astype(np.longdouble)
+    q = (q / np.abs(q).max()).astype(np.longdouble)
+    return ((v * q).sum(axis=1) / np.sqrt((v * v).sum(axis=1) * (q * q).sum())).astype(np.float64)
+
+
+def best_of(v: np.ndarray, first: np.ndarray, q: np.ndarray, want: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of ``v``, scores) of the ``want`` best for each row of ``q``; ties by the smaller ``first``.
+
+    Every row that rounding could have put below the ``want``-th best is scored again.
+    """
+    fast = unit(q) @ unit(v).T
+    slack = 4 * (v.shape[1] + 8) * np.finfo(np.float64).eps
+    cut = len(v) - min(want, len(v))
+    for i in range(len(q)):
+        near = np.flatnonzero(fast[i] >= np.partition(fast[i], cut)[cut] - slack)
+        score = cosines(v[near], q[i])
+        order = np.lexsort((first[near], -score))[:want]
+        yield near[order], score[order]
 
 
 def fit_centroids(sample: np.ndarray, k: int, rounds: int = 12, seed: int = 7, penalty: float = 0.05) -> np.ndarray:
@@ -65,7 +91,7 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = 12, seed: int = 7, p
     for _ in range(rounds):
         owner = np.empty(len(sample), np.int64)
         for lo in range(0, len(sample), 4096):
-            owner[lo:lo + 4096] = (sample[lo:lo + 4096] @ c.T - (penalty * (load - 1)).astype(np.float32)).argmax(axis=1)
+            owner[lo:lo + 4096] = (sample[lo:lo + 4096] @ c.T - penalty * (load - 1)).argmax(axis=1)
         count = np.bincount(owner, minlength=k)
         total = np.zeros((k, sample.shape[1]))
         np.add.at(total, owner, sample)
@@ -101,7 +127,7 @@ class CentroidGraph:
         n, k = len(x), len(self.centroids)
         beam = max(beam, want)
         ids = np.full((n, beam), -1, np.int64)
-        sims = np.full((n, beam), -2.0, np.float32)
+        sims = np.full((n, beam), -2.0)
         done = np.ones((n, beam), bool)
 
         def merge(rows: np.ndarray, new: np.ndarray) -> None:
@@ -116,10 +142,10 @@ class CentroidGraph:
             again[:, 1:] = (sorted_ids[:, 1:] == sorted_ids[:, :-1]) & (sorted_ids[:, 1:] >= 0)
             twice = np.zeros_like(again)
             np.put_along_axis(twice, by_id, again, 1)
-            all_sims = np.where(twice, np.float32(-3.0), all_sims)
+            all_sims = np.where(twice, -3.0, all_sims)
             top = np.argsort(-all_sims, axis=1, kind="stable")[:, :beam]
             ids[rows] = np.take_along_axis(np.where(twice, -1, all_ids), top, 1)
-            sims[rows] = np.maximum(np.take_along_axis(all_sims, top, 1), np.float32(-2.0))
+            sims[rows] = np.maximum(np.take_along_axis(all_sims, top, 1), -2.0)
             done[rows] = np.take_along_axis(all_done | twice, top, 1)
 
         merge(np.arange(n), np.tile(self.entries, (n, 1)))
@@ -188,17 +214,18 @@ def calibrate(graph: CentroidGraph, distinct: DataFrame, postings: DataFrame, tr
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                sim = trials @ unit(_matrix(batch.column("v"), dim)).T
-                take = min(k + 1, batch.num_rows)
-                top = np.argpartition(-sim, take - 1, axis=1)[:, :take]
-                row = np.repeat(np.arange(len(trials)), take)
+                first = batch.column("first").to_numpy()
+                found = list(best_of(_matrix(batch.column("v"), dim), first, trials, k + 1))
+                top = np.concatenate([f[0] for f in found])
+                row = np.repeat(np.arange(len(trials)), [len(f[0]) for f in found])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row, pa.int32()), batch.column("did").take(pa.array(top.ravel())),
-                     pa.array(np.take_along_axis(sim, top, 1).ravel().astype(np.float64))],
-                    names=["trial", "did", "sim"])
+                    [pa.array(row, pa.int32()), batch.column("did").take(pa.array(top)), pa.array(first[top]),
+                     pa.array(np.concatenate([f[1] for f in found]))],
+                    names=["trial", "did", "first", "sim"])
 
-    best = Window.partitionBy("trial").orderBy(F.desc("sim"), "did")
-    truth = (distinct.select("did", "v").mapInArrow(brute, "trial int, did long, sim double")
+    best = Window.partitionBy("trial").orderBy(F.desc("sim"), "first")
+    truth = (distinct.select("did", F.col("ids")[0].alias("first"), "v")
+             .mapInArrow(brute, "trial int, did long, first long, sim double")
              .withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1))
     where = truth.join(postings.select("did", "list"), "did").select("trial", "r", "list").collect()
     dist = _distance(trials @ graph.centroids.T)
@@ -227,32 +254,21 @@ def valid_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFr
     return own.filter(F.size("v") == dim), dim
 
 
-FOUND = "qid long, did long, score double"
+FOUND = "qid long, did long, first long, score double"
 
 
 def _scan(postings: DataFrame, queries: DataFrame, dim: int, want: int) -> DataFrame:
     """Best ``want`` vectors of each (list, block) for each query block that reads it."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"qid": np.zeros(0, np.int64), "did": np.zeros(0, np.int64), "score": np.zeros(0)})
+        names = ("qid", "did", "first", "score")
         if not len(left) or not len(right):
-            return empty
+            return pd.DataFrame({c: np.zeros(0, np.float64 if c == "score" else np.int64) for c in names})
         v, q = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-        did, qid = left["did"].to_numpy(), right["qid"].to_numpy()
-        fast = unit(q) @ unit(v).T
-        take = min(len(v), want + 4)
-        top = np.argpartition(-fast, take - 1, axis=1)[:, :take]
-        out = []
-        scale_v = np.abs(v).max(axis=1, keepdims=True)
-        nv = v / scale_v
-        nv = nv / np.sqrt((nv * nv).sum(axis=1, keepdims=True))
-        nq = q / np.abs(q).max(axis=1, keepdims=True)
-        nq = nq / np.sqrt((nq * nq).sum(axis=1, keepdims=True))
-        for i in range(len(q)):
-            score = (nv[top[i]] * nq[i]).sum(axis=1)
-            order = np.lexsort((did[top[i]], -score))[:want]
-            out.append((np.full(len(order), qid[i]), did[top[i]][order], score[order]))
-        return pd.DataFrame({c: np.concatenate([o[k] for o in out]) for k, c in enumerate(("qid", "did", "score"))})
+        did, first, qid = left["did"].to_numpy(), left["first"].to_numpy(), right["qid"].to_numpy()
+        out = [(np.full(len(at), qid[i]), did[at], first[at], score)
+               for i, (at, score) in enumerate(best_of(v, first, q, want))]
+        return pd.DataFrame({c: np.concatenate([o[k] for o in out]) for k, c in enumerate(names)})
 
     keys = ["list", "block", "qblock"]
     return postings.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(run, FOUND)
@@ -286,11 +302,12 @@ def nearest(vectors: DataFrame, query_filter, id_col: str = "vec_id", vec_col: s
                 row, rank = np.nonzero(chosen >= 0)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(chosen[row, rank], pa.int32()), pa.array(rank == 0),
-                     batch.column("did").take(pa.array(row)), batch.column("v").take(pa.array(row))],
-                    names=["list", "primary", "did", "v"])
+                     batch.column("did").take(pa.array(row)), batch.column("first").take(pa.array(row)),
+                     batch.column("v").take(pa.array(row))],
+                    names=["list", "primary", "did", "first", "v"])
 
-    postings = stage(distinct.select("did", "v").mapInArrow(
-        place, "list int, primary boolean, did long, v array<double>"), "postings")
+    postings = stage(distinct.select("did", F.col("ids")[0].alias("first"), "v").mapInArrow(
+        place, "list int, primary boolean, did long, first long, v array<double>"), "postings")
     probes, ratio = calibrate(graph, distinct, postings, points[:TRIALS], dim, k)
     # one row per list: at most MAX_LISTS
     sizes = postings.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.col("primary").cast("int")).alias("p")).collect()
@@ -320,13 +337,13 @@ def nearest(vectors: DataFrame, query_filter, id_col: str = "vec_id", vec_col: s
                                  "list int, blocks int, queues int")
     stored = postings.join(F.broadcast(plan), "list").filter("queues > 0").select(
         "list", F.pmod(F.xxhash64("did"), F.col("blocks")).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.col("queues") - 1)).alias("qblock"), "did", "v")
+        F.explode(F.sequence(F.lit(0), F.col("queues") - 1)).alias("qblock"), "did", "first", "v")
     asking = routed.join(F.broadcast(plan), "list").select(
         "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.pmod(F.xxhash64("qid"), F.col("queues")).cast("int").alias("qblock"), "qid", "v")
     found = _scan(stored, asking, dim, want).dropDuplicates(["qid", "did"])
     # the best vectors of each distinct query (a few rows each), opened into their ids
-    best = (found.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "did")))
+    best = (found.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "first")))
             .filter(F.col("r") <= want))
     opened = (best.join(distinct.select("did", "ids"), "did")
               .select("qid", "score", F.explode("ids").alias("vec_id")))

@@ -79,3 +79,41 @@ def test_graph_search_finds_the_nearest():
     exact = np.argsort(-(x @ c.T), axis=1)[:, :10]
     assert np.mean([len(set(a) & set(b)) for a, b in zip(ids, exact)]) > 9.5
     assert (np.diff(sims, axis=1) <= 0).all()
+
+
+def neighbours(df):
+    got = {}
+    for r in P.nearest(df, lambda i: i % 50 == 0).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    return got
+
+
+def test_near_copies_are_told_apart(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=64) + 1e-4 * rng.normal(size=(2000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = neighbours(df)
+    hits = 0
+    for q in range(0, 2000, 50):
+        far = ((unit - unit[q]) ** 2).sum(axis=1)
+        hits += len(set(got[q].values()) & {j for j in np.argsort(far).tolist() if j != q and far[j] <= np.sort(far)[5]})
+    assert hits / (5 * 40) >= 0.9
+
+
+def test_many_distinct_vectors_tie_by_id(spark):
+    rng = np.random.default_rng(5)
+    ids = rng.permutation(400)
+    scaled = [(int(i), [float(c * (n + 1)) for c in (3, 1, 2, 5)]) for n, i in enumerate(ids[:200])]
+    signs = [(int(i) + 1000, (rng.permutation([1.0] * 5 + [0.0] * 5) * 0.7).tolist()) for i in range(200)]
+    got = neighbours(spark.createDataFrame(scaled, "vec_id long, embedding array<double>"))
+    held = sorted(i for i, _ in scaled)
+    for q in got:
+        assert [got[q][k] for k in range(1, 6)] == [i for i in held if i != q][:5]
+    # permuted quantised vectors: many share each cosine
+    got = neighbours(spark.createDataFrame(signs, "vec_id long, embedding array<double>"))
+    v = np.array([v for _, v in signs])
+    for q in got:
+        near = np.round(v @ v[q - 1000], 9)
+        order = [1000 + j for j in np.lexsort((np.arange(200), -near)).tolist() if 1000 + j != q]
+        assert [got[q][k] for k in range(1, 6)] == order[:5]
