@@ -64,14 +64,14 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOOSE = {
-    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[( ]at[\]) ] ?[A-Za-z0-9-]++"
-                        r"(?: ?[\[( ]dot[\]) ] ?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)+"),
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[( ](?i:at)[\]) ] ?[A-Za-z0-9-]++"
+                        r"(?: ?[\[( ](?i:dot)[\]) ] ?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)+"),
     "ip": re.compile(r"(?<![0-9.])[0-9]++(?:[\[(]\.[\])][0-9]++){3}"),
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+(.-])(?:00[0-9]|\([0-9]{2,4}\)|[0-9]{3}[\x20.-])[\x20().0-9-]{5,17}(?![0-9])"),
 }
-# a text without any of these has no candidate
-_ANY = r"[0-9@]|[\[( ]dot[\]) ]"
+# a text without any of these has no candidate: all other patterns need a digit or @
+_ANY = r"[0-9@]|[\[( ](?i:at)[\]) ] ?[A-Za-z0-9-]+(?: ?[\[( ](?i:dot)[\]) ]|\.)"
 
 
 def luhn(digits: str) -> bool:

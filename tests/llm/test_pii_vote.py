@@ -2,6 +2,8 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -100,3 +102,21 @@ def test_whole_table_against_plain_patterns(spark):
     for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
         want = ",".join(f"{k}:{a}:{b}" for k, a, b in brute(r.text or ""))
         assert got[r.doc_id].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.tuples(st.sampled_from(["jane", "x ", ""]), st.sampled_from([" at ", "[at]", " [AT] ", "(At)", " "]),
+                 st.sampled_from(["corp", "x ", ""]), st.sampled_from([".", " dot ", "[DOT]", " (Dot) ", " ", "@"]),
+                 st.sampled_from(["org", "-", ". 7", ""])).map("".join))
+def test_the_prefilter_skips_no_candidate(text):
+    if not pc.match_substring_regex(pa.array([text]), P._ANY)[0].as_py():
+        assert P.candidates(text) == []
+
+
+def test_plain_dots_and_capitals_are_candidates(spark):
+    texts = ["write to jane [at] example.com now", "mail bob at corp.org please", "mail bob AT corp [DOT] org", "we met at home."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = {r.doc_id: r.kinds for r in P.find_candidates(df).collect()}
+    assert kinds == {0: [0], 1: [0], 2: [0], 3: []}
+    assert [r.text for r in P.redact(df).orderBy("doc_id").collect()] == [
+        "write to [EMAIL] now", "mail [EMAIL] please", "mail [EMAIL]", "we met at home."]
