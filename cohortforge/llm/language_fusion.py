@@ -2,7 +2,7 @@
 
 Text evidence is a multinomial character n-gram model (orders 1 to 3, hashed
 tables of a fixed size) of each training language, counted over all labelled
-documents.  A page's other evidence is its declared ``<html lang>``, the suffix
+documents.  Its units are the runs of letters and marks inside the words.  A page's other evidence is its declared ``<html lang>``, the suffix
 of its host and the host itself.  How far each can be trusted is learned from
 the pages: posteriors from text alone are summed by declared value and by
 suffix (P(value | language)), and by host, domain and suffix for priors that
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortforge.llm import ngram_hash as H
-from cohortforge.llm.arrow_text import slices, split_codes, texts
+from cohortforge.llm.arrow_text import gather_runs, slices, split_codes, texts
 from cohortforge.session import stage_path
 
 ORDERS = (1, 2, 3)
@@ -71,12 +71,15 @@ def address_parts(url: str | None) -> tuple[str, str, str]:
 _COUNTS = "lang string, gram_order int, bucket int, n double"
 
 
-def _word_table(arr: pa.Array):
-    """(rows of words, their codes, letters-only flags, lower-case distinct words) of a batch."""
+def _word_table(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(rows of letter runs, their codes, distinct lower-case runs) of a batch."""
     offsets, codes, words = split_codes(arr, ascii_space=True)
-    row = np.repeat(np.arange(len(arr)), np.diff(offsets))
-    core, alpha = H.plain_words(words)
-    return row, codes, alpha.to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, bool), core
+    starts, runs = H.letter_runs(words)
+    units = runs.dictionary_encode()
+    size = np.diff(starts)[codes]
+    row = np.repeat(np.repeat(np.arange(len(arr)), np.diff(offsets)), size)
+    at = gather_runs(starts[codes], size)
+    return row, units.indices.to_numpy(zero_copy_only=False)[at], units.dictionary
 
 
 def count_languages(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -86,15 +89,15 @@ def count_languages(docs: DataFrame, lang_col: str = "lang", text_col: str = "te
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for part in slices(batch, "text"):
-                row, codes, alpha, core = _word_table(texts(part))
-                if not alpha.any():
+                row, codes, runs = _word_table(texts(part))
+                if not len(runs):
                     continue
-                points, owner = H.spell(core.filter(pa.array(alpha)))
+                points, owner = H.spell(runs)
                 lang = part.column("lang").dictionary_encode()
                 lang_of = lang.indices.to_numpy(zero_copy_only=False)
                 hashed = [(k, H.within_words(points, o), H.buckets(points, o)) for k, o in enumerate(ORDERS)]
                 for i, name in enumerate(lang.dictionary.to_pylist()):
-                    weight = np.bincount(codes[lang_of[row] == i], minlength=len(alpha))[alpha][owner].astype(float)
+                    weight = np.bincount(codes[lang_of[row] == i], minlength=len(runs))[owner].astype(float)
                     table = sums.setdefault(name, np.zeros((len(ORDERS), H.SIZE)))
                     for k, inside, where in hashed:
                         w = weight[:len(inside)] * inside
@@ -139,12 +142,12 @@ class TextModel:
     def log_likelihood(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages, n-grams of each text); zero without letters."""
         n, m = len(arr), len(self.languages)
-        row, codes, alpha, core = _word_table(arr)
+        row, codes, runs = _word_table(arr)
         out, grams = np.zeros((n, m)), np.zeros(n)
-        if not alpha.any() or not m:
+        if not len(runs) or not m:
             return out, grams
-        points, owner = H.spell(core.filter(pa.array(alpha)))
-        words = int(alpha.sum())
+        points, owner = H.spell(runs)
+        words = len(runs)
         per_word, size = np.zeros((words, m)), np.zeros(words)
         for k, order in enumerate(ORDERS):
             inside = H.within_words(points, order)
@@ -153,12 +156,9 @@ class TextModel:
             size += np.bincount(of, minlength=words)
             for i in range(m):
                 per_word[:, i] += np.bincount(of, weights=self.table[i, k][where], minlength=words)
-        index = np.cumsum(alpha) - 1
-        use = alpha[codes]
-        r, w = row[use], index[codes[use]]
         for i in range(m):
-            out[:, i] = np.bincount(r, weights=per_word[w, i], minlength=n)
-        return out, np.bincount(r, weights=size[w], minlength=n)
+            out[:, i] = np.bincount(row, weights=per_word[codes, i], minlength=n)
+        return out, np.bincount(row, weights=size[codes], minlength=n)
 
 
 # evidence of each row ---------------------------------------------------------

@@ -24,6 +24,22 @@ def plain_words(words: pa.Array) -> tuple[pa.Array, pa.Array]:
     return core, pc.utf8_is_alpha(core)
 
 
+def letter_runs(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(offsets of each word's runs, lower-case runs): letters with the marks that follow them, composed.
+
+    A run starts with a letter; signs, digits and apostrophes part runs.
+    """
+    plain = pc.utf8_lower(pc.utf8_normalize(words.cast(pa.large_string()), form="NFC"))
+    runs = pc.replace_substring_regex(pc.replace_substring_regex(plain, r"[^\pL\pM]+", " "), r"(^| )\pM+", r"\1")
+    lists = pc.split_pattern(pc.utf8_trim(runs, characters=" "), " ")
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    # a word without letters is one empty run
+    held = pc.not_equal(flat, "").to_numpy(zero_copy_only=False) if len(flat) else np.zeros(0, bool)
+    size[np.repeat(np.arange(len(words)), size)[~held]] = 0
+    return np.concatenate([[0], np.cumsum(size)]), flat.filter(pa.array(held, pa.bool_()))
+
+
 def spell(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(code points of `` w1 w2 ... wn `` with single spaces, index of the word each belongs to)."""
     text = " " + " ".join(words.to_pylist()) + " "

@@ -65,3 +65,21 @@ def test_visible_text_and_address():
     assert L.visible_text("<p>a<script>x<y</script><!-- z -->&eacute;</p>").split() == ["a", "é"]
     assert L.address_parts("https://u:p@WWW.Site.co:80/x?y") == ("www.site.co", "site.co", "co")
     assert L.address_parts(None) == L.address_parts("mailto:x") == ("", "", "")
+
+
+SCRIPTS = {"th": "สวัสดีครับ ที่นี่ กำลัง น้ำ", "hi": "में नहीं हिन्दी क्योंकि", "bn": "আমি বাংলায় কথা",
+           "fr": "cafe\u0301 e\u0301te\u0301 l'e\u0301cole d'abord", "en": "don't well-known it's o'clock"}
+
+
+def test_words_with_marks_and_inner_signs_are_evidence(spark):
+    docs = spark.createDataFrame([(lang, text) for lang, text in SCRIPTS.items()], "lang string, text string")
+    model = L.TextModel.collect(L.count_languages(docs))
+    assert model.languages == sorted(SCRIPTS)
+    asked = [*SCRIPTS.values(), "don't", "été", "7 \u2764\ufe0f 1\ufe0f\u20e3 --"]
+    log, grams = model.log_likelihood(pa.array(asked, pa.large_string()))
+    assert [model.languages[k] for k in log[:-1].argmax(axis=1)] == [*SCRIPTS, "en", "fr"]
+    assert (grams[:-1] > 0).all() and grams[-1] == 0 and (log[-1] == 0).all()
+    rows = [(i, lang, "s", text) for i, (lang, text) in enumerate(SCRIPTS.items())]
+    rows += [(10, "en", "s", "don't"), (11, "en", "s", "7 --")]
+    kept = L.keep_known(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string"), model, 0.3)
+    assert {r.doc_id for r in kept.collect()} == {0, 1, 2, 3, 4, 10}
