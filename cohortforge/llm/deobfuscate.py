@@ -8,7 +8,9 @@
    more) becomes a lattice: each character offers itself, its look-alikes, and
    where it is a separator or a repetition, nothing.  Viterbi finds the best
    path under channel costs plus the language model.  Each distinct word is
-   decoded once per task.
+   decoded once per task.  Signs at a word's ends are look-alikes or dropped;
+   runs of tokens of up to three letters or look-alikes are one lattice whose
+   spaces may be dropped, and what they make is added to the text's words.
 3. Restored words and their prefixes get log-odds from labelled rows (one half
    of a bounded sample picks the lexicon, the other half fits a logistic
    regression on a text's hits), and every text is scored on all its words.
@@ -51,6 +53,13 @@ LOOKALIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "
              "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou"}
 SEPARATORS = set(" .-_*~/,'`^:")
 COST_SWAP, COST_MASK, COST_DROP, COST_REPEAT, COST_KEEP = 0.7, 2.0, 0.3, 0.2, 6.0
+# A sign at an end of a word may also be punctuation: usual (``wow!``, ``(see``, ``*note*``) or not (``idio+``).
+COST_END = 4.0
+USUAL_HEAD, USUAL_TAIL = set("(*|"), set("!*|")
+# Outer punctuation that stands for no letter, and the longest pieces of a word cut by spaces.
+OUTER = "".join(c for c in H.STRIP if c not in LOOKALIKE)
+PIECE = 3
+_SIGNS = "".join(re.escape(c) for c in LOOKALIKE)
 _LETTER = re.compile(r"[^\W\d_]")
 _RUN = re.compile(r"(.)\1{2,}", re.S)
 _LONG = 64
@@ -129,6 +138,10 @@ def _options(observed: str, i: int) -> list[tuple[str, float]]:
     out = [(c, COST_MASK if ch == "*" else COST_SWAP) for c in LOOKALIKE.get(ch, "")]
     if ch in SEPARATORS:
         out.append(("", COST_DROP))
+    elif not ch.isalnum():
+        head = not any(c.isalnum() for c in observed[:i])
+        if head or not any(c.isalnum() for c in observed[i:]):
+            out.append(("", COST_DROP if ch in (USUAL_HEAD if head else USUAL_TAIL) else COST_END))
     if i and observed[i - 1] == ch:
         out.append(("", COST_REPEAT))
     out.append((" ", COST_KEEP / 6 if ch == " " else COST_KEEP))
@@ -174,6 +187,7 @@ class Restorer:
     def __init__(self, model: CharModel):
         self.model = model
         self.memo: dict[str, list[str]] = {}
+        self.joined: dict[str, list[str]] = {}
 
     def restore(self, raw: str) -> list[str]:
         if raw not in self.memo:
@@ -186,13 +200,31 @@ class Restorer:
             self.memo[raw] = found
         return self.memo[raw]
 
+    def join(self, tokens: str) -> list[str]:
+        """Words that short tokens make together and that aren't tokens themselves."""
+        if tokens not in self.joined:
+            if len(self.joined) > 200_000:
+                self.joined.clear()
+            own = set(tokens.split())
+            self.joined[tokens] = [w for w in self.restore(tokens) if w not in own] if _LETTER.search(tokens) else []
+        return self.joined[tokens]
+
 
 def _core(word: str) -> str:
-    """Lower case without outer punctuation; a leading look-alike sign stays."""
-    w = word.lower().rstrip(H.STRIP)
-    head = w.lstrip(H.STRIP)
-    lead = w[:len(w) - len(head)]
-    return (lead[-1] if lead and lead[-1] in "@$" and head else "") + head
+    """Lower case without outer punctuation; look-alike signs stay."""
+    return word.lower().strip(OUTER)
+
+
+def _pieces(tokens: list[str]) -> Iterator[str]:
+    """The tokens with single spaces, cut between tokens into parts of at most ``_LONG`` characters."""
+    part, size = [], 0
+    for t in tokens:
+        if size + len(t) > _LONG:
+            yield " ".join(part)
+            part, size = [], 0
+        part.append(t)
+        size += len(t) + 1
+    yield " ".join(part)
 
 
 def restored_words(arr: pa.Array, restorer: Restorer) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -203,8 +235,8 @@ def restored_words(arr: pa.Array, restorer: Restorer) -> tuple[np.ndarray, np.nd
     core, alpha = H.plain_words(words)
     # plain letters without a long run need no decoding: they are their own reading
     runs = pc.match_substring_regex(core, "|".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyz"))
-    lead = pc.match_substring_regex(words, r"^[^\pL\pN]*[@$]\pL")
-    plain = pc.and_(alpha, pc.invert(pc.or_(runs, lead)))
+    signs = pc.match_substring_regex(pc.utf8_trim(words, characters=OUTER), f"^[{_SIGNS}]|[{_SIGNS}]$")
+    plain = pc.and_(alpha, pc.invert(pc.or_(runs, signs)))
     plain = plain.to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, bool)
     enc = core.dictionary_encode()
     out = enc.dictionary.to_pylist()
@@ -229,19 +261,22 @@ def restored_words(arr: pa.Array, restorer: Restorer) -> tuple[np.ndarray, np.nd
             for i in readings[int(codes[at])]:
                 extra_rows.append(row[at])
                 extra_codes.append(i)
-    # runs of three or more single letters, as in ``i d i o t``
-    single = (pc.utf8_length(core).to_numpy(zero_copy_only=False) == 1) & alpha.to_numpy(zero_copy_only=False) \
+    # runs of short tokens of letters and look-alikes, as in ``i d i o t``, ``1 d 1 0 t`` or ``id iot``
+    raw = pc.utf8_lower(words)
+    short = pc.match_substring_regex(raw, rf"^[\pL{_SIGNS}]{{1,{PIECE}}}$").to_numpy(zero_copy_only=False) \
         if len(words) else np.zeros(0, bool)
-    lone = single[codes] if len(codes) else np.zeros(0, bool)
+    lone = short[codes] if len(codes) else np.zeros(0, bool)
     if lone.any():
         edge = np.flatnonzero(np.diff(np.concatenate([[0], (lone * (row + 1)), [0]])))
-        letters = core.to_pylist() if len(core) < 2_000_000 else None
+        known = dict(zip(np.flatnonzero(short).tolist(), raw.filter(pa.array(short)).to_pylist()))
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            if b - a >= 3 and lone[a]:
-                seq = [letters[c] if letters else core[int(c)].as_py() for c in codes[a:b].tolist()]
+            if b - a >= 2 and lone[a]:
+                seq = [known[c] for c in codes[a:b].tolist()]
+                if sum(map(len, seq)) < 3:
+                    continue
                 same = [x for i, x in enumerate(seq) if i < 2 or not x == seq[i - 1] == seq[i - 2]]
-                for at in range(0, len(same), _LONG // 2):
-                    for w in restorer.restore(" ".join(same[at:at + _LONG // 2])):
+                for part in _pieces(same):
+                    for w in restorer.join(part):
                         if w not in index:
                             index[w] = len(out)
                             out.append(w)

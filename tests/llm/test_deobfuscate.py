@@ -86,3 +86,18 @@ def test_edges(spark, model):
     assert {r.score for r in D.score_texts(df, model, empty).collect()} == {0.0}
     kept = D.reject_toxic(df.withColumn("score", df.doc_id), model, D.Scorer({}, np.array([-2.0, 0, 0, 0])))
     assert kept.count() == 4 and kept.columns == ["doc_id", "text", "score"]
+
+
+@pytest.mark.parametrize("raw, clean", [("idio+", "idiot"), ("+rash", "trash"), ("(lown", "clown"), ("*diot", "idiot"),
+                                        ("!d!0t", "idiot"), ("!diot", "idiot"), ("+ra$h!", "trash"), ("|oser,", "loser"),
+                                        ("1 d 1 0 t", "idiot"), ("m 0 r 0 n", "moron"), ("id iot", "idiot"),
+                                        ("st up id", "stupid"), ("tr @ sh", "trash"), ("!di ot", "idiot")])
+def test_end_signs_and_cut_words_are_restored(model, raw, clean):
+    _, codes, words = D.restored_words(pa.array([f"these {raw} house"], pa.large_string()), D.Restorer(model))
+    assert clean in {words[c] for c in codes}
+
+
+def test_clean_ends_and_short_words_stay(model):
+    text = "(The house!) *things* of the them! these, all: is a house|"
+    _, codes, words = D.restored_words(pa.array([text], pa.large_string()), D.Restorer(model))
+    assert sorted(words[c] for c in codes) == sorted("the house things of the them these all is a house".split())
