@@ -11,8 +11,8 @@ suffix, suffix towards all pages.  A page's own share is taken out of its
 host's and domain's sums before they are used as its prior.
 
 Hosts are joined by key (one row per host, any number of hosts); nothing per
-host goes to the driver.  The declared values and suffixes that matter are the
-``TOP_VALUES`` commonest; others count together as one value.
+host goes to the driver.  Declared values and suffixes are joined by key
+likewise, every value with its own sums, and every training language is kept.
 
 Defined results: a null or empty page has no text evidence and follows the rest
 (all languages alike if there is none: the first by name wins a tie); a null
@@ -39,8 +39,10 @@ from cohortforge.llm.arrow_text import gather_runs, slices, split_codes, texts
 from cohortforge.session import stage_path
 
 ORDERS = (1, 2, 3)
-TOP_VALUES = 256
-MAX_LANGUAGES = 64
+# dense tables that a task holds while it counts; more languages are written in between
+HELD_TABLES = 16
+# words x languages worked on at a time
+CELLS = 1 << 18
 # n-grams of a text overlap, so each counts as this share of an independent observation
 TEMPER = 0.25
 # pseudo-counts that pull a level towards the one above it
@@ -87,6 +89,16 @@ def count_languages(docs: DataFrame, lang_col: str = "lang", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def written() -> Iterator[pa.RecordBatch]:
+            for name, table in sums.items():
+                order, bucket = np.nonzero(table)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(order), pa.string()), pa.array(order + 1, pa.int32()),
+                     pa.array(bucket, pa.int32()), pa.array(table[order, bucket])],
+                    names=["lang", "gram_order", "bucket", "n"])
+            sums.clear()
+
         for batch in batches:
             for part in slices(batch, "text"):
                 row, codes, runs = _word_table(texts(part))
@@ -98,17 +110,14 @@ def count_languages(docs: DataFrame, lang_col: str = "lang", text_col: str = "te
                 hashed = [(k, H.within_words(points, o), H.buckets(points, o)) for k, o in enumerate(ORDERS)]
                 for i, name in enumerate(lang.dictionary.to_pylist()):
                     weight = np.bincount(codes[lang_of[row] == i], minlength=len(runs))[owner].astype(float)
+                    if name not in sums and len(sums) >= HELD_TABLES:
+                        yield from written()
                     table = sums.setdefault(name, np.zeros((len(ORDERS), H.SIZE)))
                     for k, inside, where in hashed:
                         w = weight[:len(inside)] * inside
                         use = w > 0
                         table[k] += np.bincount(where[use], weights=w[use], minlength=H.SIZE)
-        for name, table in sums.items():
-            order, bucket = np.nonzero(table)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(order), pa.string()), pa.array(order + 1, pa.int32()),
-                 pa.array(bucket, pa.int32()), pa.array(table[order, bucket])],
-                names=["lang", "gram_order", "bucket", "n"])
+        yield from written()
 
     own = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null")
     return own.mapInArrow(run, _COUNTS).groupBy("lang", "gram_order", "bucket").agg(F.sum("n").alias("n"))
@@ -116,28 +125,45 @@ def count_languages(docs: DataFrame, lang_col: str = "lang", text_col: str = "te
 
 @dataclass
 class TextModel:
-    """log P(n-gram | language), float32: languages x 3 x 2^18 entries (3 MB a language)."""
+    """log P(n-gram | language) as sparse rows: for each order and bucket the languages that hold it.
+
+    ``gain`` is what a language's count adds to its ``unseen`` (languages x orders) value.
+    """
 
     languages: list[str]
-    table: np.ndarray
+    unseen: np.ndarray
+    start: np.ndarray
+    lang: np.ndarray
+    gain: np.ndarray
 
     @classmethod
-    def collect(cls, counts: DataFrame, max_languages: int = MAX_LANGUAGES) -> TextModel:
-        """The commonest ``max_languages`` languages, in order of name."""
-        counts = counts.withColumn("n", F.col("n"))
+    def collect(cls, counts: DataFrame) -> TextModel:
+        """All languages, in order of name."""
         path = stage_path(counts.sparkSession, "language_counts")
         counts.write.parquet(path)
         counts = counts.sparkSession.read.schema(_COUNTS).parquet(path)
-        top = sorted(r.lang for r in counts.groupBy("lang").agg(F.sum("n").alias("n"))
-                     .orderBy(F.desc("n"), "lang").limit(max_languages).collect())
-        table = np.zeros((len(top), len(ORDERS), H.SIZE), np.float32)
-        for i, name in enumerate(top):
+        names = sorted(r.lang for r in counts.select("lang").distinct().collect())
+        unseen = np.zeros((len(names), len(ORDERS)))
+        keys, langs, gains = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+        for i, name in enumerate(names):
             rows = counts.filter(F.col("lang") == name).select("gram_order", "bucket", "n").toPandas()
-            seen = np.zeros((len(ORDERS), H.SIZE))
-            seen[rows["gram_order"].to_numpy() - 1, rows["bucket"].to_numpy()] = rows["n"]
+            order, n = rows["gram_order"].to_numpy(np.int64) - 1, rows["n"].to_numpy()
             # a twentieth of a count for unseen buckets keeps rare n-grams from deciding
-            table[i] = np.log((seen + 0.05) / (seen.sum(axis=1, keepdims=True) + 0.05 * 20_000))
-        return cls(top, table)
+            unseen[i] = np.log(0.05 / (np.bincount(order, weights=n, minlength=len(ORDERS)) + 0.05 * 20_000))
+            keys.append(order * H.SIZE + rows["bucket"].to_numpy(np.int64))
+            langs.append(np.full(len(rows), i, np.int32))
+            gains.append(np.log(n / 0.05 + 1.0).astype(np.float32))
+        key = np.concatenate(keys)
+        by = np.argsort(key, kind="stable")
+        start = np.searchsorted(key[by], np.arange(len(ORDERS) * H.SIZE + 1))
+        return cls(names, unseen, start, np.concatenate(langs)[by], np.concatenate(gains)[by])
+
+    @property
+    def table(self) -> np.ndarray:
+        """A dense copy: languages x orders x buckets."""
+        out = np.repeat(self.unseen, H.SIZE, axis=1)
+        out[self.lang, np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))] += self.gain
+        return out.reshape(len(self.languages), len(ORDERS), H.SIZE)
 
     def log_likelihood(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages, n-grams of each text); zero without letters."""
@@ -146,19 +172,29 @@ class TextModel:
         out, grams = np.zeros((n, m)), np.zeros(n)
         if not len(runs) or not m:
             return out, grams
-        points, owner = H.spell(runs)
-        words = len(runs)
-        per_word, size = np.zeros((words, m)), np.zeros(words)
-        for k, order in enumerate(ORDERS):
-            inside = H.within_words(points, order)
-            where = H.buckets(points, order)[inside]
-            of = owner[:len(inside)][inside]
-            size += np.bincount(of, minlength=words)
+        by = np.argsort(codes, kind="stable")
+        row, codes = row[by], codes[by]
+        step = max(1, CELLS // m)
+        for lo in range(0, len(runs), step):
+            words = min(step, len(runs) - lo)
+            points, owner = H.spell(runs.slice(lo, words))
+            per_word, size = np.zeros((words, m)), np.zeros(words)
+            for k, order in enumerate(ORDERS):
+                inside = H.within_words(points, order)
+                key = H.buckets(points, order)[inside] + k * H.SIZE
+                of = owner[:len(inside)][inside]
+                seen = np.bincount(of, minlength=words)
+                size += seen
+                held = self.start[key + 1] - self.start[key]
+                at = gather_runs(self.start[key], held)
+                per_word += seen[:, None] * self.unseen[:, k] + np.bincount(
+                    np.repeat(of, held) * m + self.lang[at], weights=self.gain[at], minlength=words * m).reshape(words, m)
+            a, b = np.searchsorted(codes, [lo, lo + words])
+            r, w = row[a:b], codes[a:b] - lo
             for i in range(m):
-                per_word[:, i] += np.bincount(of, weights=self.table[i, k][where], minlength=words)
-        for i in range(m):
-            out[:, i] = np.bincount(row, weights=per_word[codes, i], minlength=n)
-        return out, np.bincount(row, weights=size[codes], minlength=n)
+                out[:, i] += np.bincount(r, weights=per_word[w, i], minlength=n)
+            grams += np.bincount(r, weights=size[w], minlength=n)
+        return out, grams
 
 
 # evidence of each row ---------------------------------------------------------
@@ -234,16 +270,19 @@ def _sums(evidence: DataFrame, by: list[str], m: int) -> DataFrame:
     return out.select(*by, F.array(*[f"s{i}" for i in range(m)]).alias("s"), "n")
 
 
-def _value_given_language(evidence: DataFrame, col: str, m: int) -> tuple[dict[str, list[float]], list[float]]:
-    """log P(value | language) of the commonest values, and of any other value."""
-    rows = (_sums(evidence.filter(F.col(col) != ""), [col], m).orderBy(F.desc("n"), col)
-            .limit(TOP_VALUES).collect())
-    total = np.ones(m) * 2.0
-    for r in rows:
-        total += np.array(r.s)
-    share = 1.0 / (len(rows) + 1)
-    known = {r[col]: np.log((np.array(r.s) + 2.0 * share) / total).tolist() for r in rows}
-    return known, np.log(np.full(m, 2.0 * share) / total).tolist()
+def _value_given_language(evidence: DataFrame, col: str, m: int) -> DataFrame:
+    """(value, log P(value | language)) of every value, one row each; zeros for ''."""
+    spark = evidence.sparkSession
+    sums = _sums(evidence.filter(F.col(col) != ""), [col], m)
+    path = stage_path(spark, f"{col}_sums")
+    sums.write.parquet(path)
+    sums = spark.read.schema(sums.schema).parquet(path)
+    count, *seen = sums.agg(F.count("*"), *[F.sum(F.col("s")[i]) for i in range(m)]).first()
+    start = 2.0 / (count + 1)
+    logs = F.array(*[F.log((F.col("s")[i] + start) / (2.0 + (v or 0.0))) for i, v in enumerate(seen)])
+    name = f"{col}_log"
+    return sums.select(col, logs.alias(name)).unionByName(
+        spark.createDataFrame([("", [0.0] * m)], f"{col} string, {name} array<double>"))
 
 
 FUSED = "id long, language string, probability double, text_language string, declared string, host string, grams double"
@@ -255,8 +294,6 @@ def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
     if m == 0:
         return evidence.select("id", F.lit("und").alias("language"), F.lit(0.0).alias("probability"),
                                F.lit("und").alias("text_language"), "declared", "host", "grams")
-    declared, declared_other = _value_given_language(evidence, "declared", m)
-    suffix, suffix_other = _value_given_language(evidence, "suffix", m)
     hosts = _sums(evidence, ["suffix", "domain", "host"], m)
     hosts_path = stage_path(evidence.sparkSession, "host_sums")
     hosts.write.parquet(hosts_path)
@@ -273,9 +310,11 @@ def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
     # sums of every level beside each host: one row a host, joined among themselves
     levels = (hosts.withColumnRenamed("s", "host_sum").drop("n")
               .join(total(["suffix", "domain"], "domain_sum"), ["suffix", "domain"])
-              .join(total(["suffix"], "suffix_sum"), ["suffix"]))
+              .join(total(["suffix"], "suffix_sum"), ["suffix"])
+              .join(_value_given_language(evidence, "suffix", m), ["suffix"]))
     # the pages keep their order of keys: an inner join, whose hot host can be split
-    joined = evidence.join(levels, ["suffix", "domain", "host"])
+    joined = evidence.join(levels, ["suffix", "domain", "host"]).join(
+        _value_given_language(evidence, "declared", m), "declared")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,7 +322,8 @@ def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
             if n == 0:
                 continue
             arrays = {c: pc.list_flatten(batch.column(c)).to_numpy().reshape(n, m)
-                      for c in ("text_log", "text_p", "host_sum", "domain_sum", "suffix_sum")}
+                      for c in ("text_log", "text_p", "host_sum", "domain_sum", "suffix_sum", "declared_log",
+                                "suffix_log")}
             grams = batch.column("grams").to_numpy()
             own = arrays["text_p"] * (grams > 0)[:, None]
             prior = np.tile(overall, (n, 1))
@@ -291,11 +331,8 @@ def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
                 seen = np.maximum(arrays[f"{level}_sum"] - own, 0.0)
                 prior = (seen + PULL[level] * prior) / (seen.sum(axis=1, keepdims=True) + PULL[level])
             log = arrays["text_log"] + np.log(np.maximum(prior, 1e-12))
-            for col, known, other in (("declared", declared, declared_other), ("suffix", suffix, suffix_other)):
-                # the suffix already shapes the prior; as evidence it counts where hosts are few
-                weight = 1.0 if col == "declared" else 0.25
-                log += weight * np.array([known.get(v, other) if v else [0.0] * m
-                                          for v in batch.column(col).to_pylist()])
+            # the suffix already shapes the prior; as evidence it counts where hosts are few
+            log += arrays["declared_log"] + 0.25 * arrays["suffix_log"]
             p = _posterior(log)
             best = p.argmax(axis=1)
             text_best = arrays["text_log"].argmax(axis=1)

@@ -83,3 +83,20 @@ def test_words_with_marks_and_inner_signs_are_evidence(spark):
     rows += [(10, "en", "s", "don't"), (11, "en", "s", "7 --")]
     kept = L.keep_known(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string"), model, 0.3)
     assert {r.doc_id for r in kept.collect()} == {0, 1, 2, 3, 4, 10}
+
+
+def test_every_language_and_value_counts(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{i:02d}": f"{letters[i % 26]}{letters[i // 26]}qu{letters[i % 26]}" for i in range(70)}
+    docs = [(lang, f"{w} " * (200 - i)) for i, (lang, w) in enumerate(words.items())]
+    model = L.TextModel.collect(L.count_languages(spark.createDataFrame(docs, "lang string, text string")))
+    assert model.languages == sorted(words)
+    log, _ = model.log_likelihood(pa.array([f"{w} {w}" for w in words.values()], pa.large_string()))
+    assert [model.languages[k] for k in log.argmax(axis=1)] == list(words)
+    rows = [(f"v{i}", [0.9, 0.1], 1.0) for i in range(300)] + [("", [0.5, 0.5], 1.0), ("rare", [0.0, 1.0], 1.0)]
+    got = {r.declared: r.declared_log for r in L._value_given_language(
+        spark.createDataFrame(rows, "declared string, text_p array<double>, grams double"), "declared", 2).collect()}
+    start = 2 / 302
+    assert len(got) == 302 and got[""] == [0.0, 0.0]
+    assert np.allclose(got["rare"], np.log([start / 272, (1 + start) / 33]))
+    assert np.allclose(np.exp([v for k, v in got.items() if k]).sum(axis=0), 1, atol=0.01)
