@@ -1,0 +1,96 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cohortforge.llm import hard_negatives as H
+from cohortforge.llm.shipping import ship
+
+SCHEMA = "vec_id long, label int, embedding array<float>, id int, g int, vector string"
+
+
+def brute(rows, positives=5, negatives=5, percent=80):
+    kept = {}
+    for i, label, v, *_ in rows:
+        if i is None or label is None or v is None or any(x is None or not np.isfinite(x) for x in v):
+            continue
+        q = [int(np.floor(256 * float(np.float32(x)))) for x in v]
+        if i not in kept or (label, v) < kept[i][:2]:
+            kept[i] = (label, v, q)
+    out = []
+    for a, (la, _, qa) in kept.items():
+        if a % 100:
+            continue
+        score = {r: sum(x * y for x, y in zip(qa, q)) for r, (_, _, q) in kept.items() if r != a and len(q) == len(qa)}
+        order = sorted(score, key=lambda r: (-score[r], r))
+        for p in [r for r in order if kept[r][0] == la][:positives]:
+            hits = [r for r in order if kept[r][0] != la
+                    and percent * score[p] <= 100 * score[r] <= 100 * score[p]][:negatives]
+            out += [(a, p, k, r, score[p], score[r]) for k, r in enumerate(hits, 1)]
+    return sorted(out)
+
+
+def mined(spark, rows, **kw):
+    df = ship(spark).createDataFrame([(*r[:3], 7, 8, "x") for r in rows], SCHEMA)
+    got = H.mine(H.usable_rows(df, "vec_id", F.col("label"), "embedding"), F.col("id") % 100 == 0, **kw)
+    return sorted(tuple(r) for r in got.collect())
+
+
+def table(n, seed, dim=6, ties=False):
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=(4, dim))
+    rows = []
+    for i in range(n):
+        v = centre[i % 4] + 0.4 * rng.normal(size=dim)
+        if ties:
+            v = np.round(v)
+        rows.append((i, int(rng.integers(0, 4)) if i % 5 == 0 else i % 4, [float(np.float32(x)) for x in v]))
+    return rows
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_equals_brute_force(spark, ties):
+    rows = table(420, 1, ties=ties)
+    want = brute(rows)
+    assert want and mined(spark, rows) == want
+    assert mined(spark, rows, group_rows=40) == want
+
+
+def test_other_bounds(spark):
+    rows = table(220, 3)
+    assert mined(spark, rows, positives=2, negatives=3, percent=50) == brute(rows, 2, 3, 50)
+
+
+def test_nulls_repeats_lengths_and_clashing_names(spark):
+    rows = table(210, 5)
+    rows += rows[:30]                                     # repeated rows count once
+    rows += [(0, 3, [9.0] * 6), (None, 1, [1.0] * 6), (500, None, [1.0] * 6), (501, 1, None),
+             (502, 1, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (503, 1, [float("nan")] * 6),
+             (504, 1, [float("inf")] * 6), (505, 1, [1.0, 2.0]), (506, 2, [1.0, 2.0]), (600, 1, [1.0, 1.5]),
+             (700, 1, []), (701, 1, []), (702, 2, []), (-100, 0, [0.5] * 6)]
+    assert mined(spark, rows) == brute(rows)
+
+
+def test_one_vector_held_by_a_third_of_all_rows(spark):
+    rows = table(400, 9)
+    hot = rows[100][2]
+    rows = [(i, label, hot if i % 3 == 1 else v) for i, label, v in rows]
+    assert mined(spark, rows, group_rows=30) == brute(rows)
+
+
+def test_empty_table_and_no_anchor(spark):
+    assert mined(spark, []) == []
+    assert mined(spark, [r for r in table(99, 2) if r[0]]) == []
+
+
+def test_keys_sort_as_stated():
+    keys = [H.pack_key(a, s, n, r) for a in (-100, 0, 100) for s in (5, 0, -7) for n in (False, True) for r in (-3, 0, 9)]
+    assert sorted(keys) == keys
+    assert H.unpack_key(keys[-1]) == (100, -7, 1, 9)
+
+
+def test_products_are_exact_beyond_doubles():
+    a = np.array([[2.0**40, 1.0], [2.0**70, 0.0]])
+    assert H.products(a[:1], a[:1]).tolist() == [[min(2**80 + 1, 2**63 - 1)]]
+    b = np.array([[2.0**28 + 1, 3.0]])
+    assert H.products(b, b).tolist() == [[(2**28 + 1) ** 2 + 9]]
+    assert H.products(np.zeros((2, 0)), np.zeros((3, 0))).tolist() == [[0] * 3] * 2
