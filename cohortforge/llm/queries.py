@@ -11,6 +11,7 @@ from cohortforge.llm.bpe import op9_bpe
 from cohortforge.llm.chat_format import op7_chat_format
 from cohortforge.llm.chosen_path import op3_chosen_path
 from cohortforge.llm.deobfuscate import op1_toxicity
+from cohortforge.llm.conversation_trie import OP13_SQL, op13_conversation_trie
 from cohortforge.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from cohortforge.llm.id_store import op8_id_store
 from cohortforge.llm.language_fusion import op10_language
@@ -35,7 +36,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _shipped(f
     "op9_bpe": op9_bpe,
     "op10_language": op10_language,
     "op11_hard_negatives": op11_hard_negatives,
+    "op13_conversation_trie": op13_conversation_trie,
 }.items()}
 
 # DuckDB SQL for the queries that SQL can express on whole tables.
-ORACLES: dict[str, str] = {"op11_hard_negatives": OP11_SQL}
+ORACLES: dict[str, str] = {"op11_hard_negatives": OP11_SQL, "op13_conversation_trie": OP13_SQL}
