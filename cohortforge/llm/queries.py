@@ -15,6 +15,7 @@ from cohortforge.llm.conversation_trie import OP13_SQL, op13_conversation_trie
 from cohortforge.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from cohortforge.llm.id_store import op8_id_store
 from cohortforge.llm.language_fusion import op10_language
+from cohortforge.llm.lempel_ziv_spans import OP12_SQL, op12_lempel_ziv
 from cohortforge.llm.packing import op6_packing
 from cohortforge.llm.pii_vote import op4_pii_vote
 from cohortforge.llm.posting_lists import op2_posting_lists
@@ -36,8 +37,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _shipped(f
     "op9_bpe": op9_bpe,
     "op10_language": op10_language,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_lempel_ziv": op12_lempel_ziv,
     "op13_conversation_trie": op13_conversation_trie,
 }.items()}
 
 # DuckDB SQL for the queries that SQL can express on whole tables.
-ORACLES: dict[str, str] = {"op11_hard_negatives": OP11_SQL, "op13_conversation_trie": OP13_SQL}
+ORACLES: dict[str, str] = {"op11_hard_negatives": OP11_SQL, "op12_lempel_ziv": OP12_SQL,
+                           "op13_conversation_trie": OP13_SQL}
