@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortforge.functions.expr import full_name, match_key, paid_per_claim
-from cohortforge.operators.joins import left_join_splittable
+from cohortforge.operators.frequent import left_join_salted
+from cohortforge.operators.joins import left_join_skip_null_keys
 
 INSURED_GROUP = "INSURED"
 
@@ -61,17 +62,16 @@ def link_consumers(source: DataFrame, entity: DataFrame, key_len: int = 12,
 
     One consumer may match several insured codes (one row each); consumers
     without a match keep one row with NULL insured_code.  NULL keys (blank
-    names) never match; they are spread over tasks by the unmatched-rows anti
-    join of :func:`left_join_splittable` instead of piling into one.
+    names) never match and are spread over tasks.  Equal rows are taken once on
+    each side before the join, so its rows are distinct already; a popular name
+    key is salted (:func:`left_join_salted`).
     """
     src = consumer_keys(source, key_len, with_state)
     ins = insured_keys(entity, key_len, with_state).filter(F.col("ins_key").isNotNull())
-    # a popular name key may hold many insured rows: keep the join splittable on both sides
-    # equal rows would multiply on both sides before the DISTINCT: take each once
-    j = left_join_splittable(src.distinct(), ins.distinct(), "source_str", "ins_key")
+    j = left_join_salted(src.distinct(), ins.distinct(), "source_str", "ins_key")
     return j.select(F.col("ins_code").alias("insured_code"),
                     F.col("ins_created").alias("create_date"),
-                    *[F.col(c) for c in src.columns]).distinct()
+                    *[F.col(c) for c in src.columns])
 
 
 # -- B16 ---------------------------------------------------------------------
@@ -159,13 +159,21 @@ def match_left(consumer_type: DataFrame, inforce_final: DataFrame, key_len: int
     # consumers sharing a key give identical (unique_id, t.*) rows: take each key
     # once before the join, so a popular key never emits consumer x policy pairs
     ct = consumer_type.select(F.col("source_str").alias("unique_id")).distinct()
-    j = left_join_splittable(ct, t.distinct(), "unique_id", "t_key")
-    return j.select("unique_id", *inforce_final.columns).distinct()
+    j = left_join_salted(ct, t.distinct(), "unique_id", "t_key")
+    return j.select("unique_id", *inforce_final.columns)
 
 
 def person_totals_direct(consumer_type: DataFrame, inforce_final: DataFrame,
                          key_len: int = 8) -> DataFrame:
-    return person_totals(match_left(consumer_type, inforce_final, key_len))
+    """:func:`person_totals` of :func:`match_left`, without its rows.
+
+    A person's rows in the match are the distinct in-force rows of the person's
+    key, so those are totalled per key first and each person takes one row.
+    """
+    t = name_key(inforce_final, key_len).filter(F.col("t_key").isNotNull()).distinct()
+    totals = person_totals(t, "t_key")
+    ct = consumer_type.select(F.col("source_str").alias("unique_id")).distinct()
+    return left_join_skip_null_keys(ct, totals, "unique_id", "t_key").drop("t_key")
 
 
 # -- B21 ---------------------------------------------------------------------

@@ -2,20 +2,21 @@
 
 from pyspark.sql import functions as F
 
+from cohortforge.operators.sampling import percent_of
 from cohortforge.plans import reports as R
-from cohortforge.registry import Run
+from cohortforge.registry import FIRST_SAMPLE_PERCENT, SECOND_SAMPLE_PERCENT, Run
 from conftest import SF_MID, rows
 
 
 def test_funnel_properties(spark):
     r = Run(spark, SF_MID)
     n = {k: r[k].count() for k in ("f1a", "f2", "f2a", "f3", "f4", "f4a")}
-    # suppression only removes holders; each sample has min(N, rows) rows.  (f2a
+    # suppression only removes holders; each sample has its share, rounded up.  (f2a
     # may exceed f2 here: the e-mail step joins on policy number alone, and in
     # the role map one policy number's terms can belong to different holders.)
     assert n["f1a"] >= n["f2"] and n["f2a"] >= n["f3"]
-    assert n["f3"] == min(400, n["f2a"])
-    assert n["f4a"] == min(12, n["f4"])
+    assert n["f3"] == percent_of(n["f2a"], FIRST_SAMPLE_PERCENT)
+    assert n["f4a"] == percent_of(n["f4"], SECOND_SAMPLE_PERCENT)
     # the second stratum never contains a first-sample row
     assert r["f4"].join(r["f3"], "policyid").count() == 0
     # without replacement: no row is drawn more often than it occurs in f2a
