@@ -138,24 +138,24 @@ def amount_band(c: ColumnOrName) -> Column:
     return out.when(col > AMOUNT_BAND_BOUNDS[-1], F.lit(AMOUNT_BAND_LABELS[-1]))
 
 
-# Multi-pet household classes, tested in this order.
+# Multi-pet household classes.
 PET_MIX_LABELS = ("A_AllFeline", "B_AllCanine", "C_AllAvianExotic", "D_CanineFelineMix",
                   "E_CanineOthersMix", "F_FelineOthersMix", "G_CanineFelineorOthersMix",
                   "Unknown")
+# Places of the labels by which animals a household has: none, dogs, cats, dogs and cats, others,
+# dogs and others, cats and others, all.
+_PET_MIX_BY_PRESENCE = (7, 1, 0, 3, 2, 4, 5, 6)
 
 
 def pet_mix(dogs: ColumnOrName = "dogs", cats: ColumnOrName = "cats",
             avian: ColumnOrName = "avian", exotic: ColumnOrName = "exoticothers") -> Column:
-    d, c, a, e = _c(dogs), _c(cats), _c(avian), _c(exotic)
-    other = (e >= 1) | (a >= 1)
-    return (F.when((e == 0) & (c >= 1) & (d == 0) & (a == 0), F.lit(PET_MIX_LABELS[0]))
-            .when((e == 0) & (c == 0) & (d >= 1) & (a == 0), F.lit(PET_MIX_LABELS[1]))
-            .when((c == 0) & (d == 0) & other, F.lit(PET_MIX_LABELS[2]))
-            .when((e == 0) & (c >= 1) & (d >= 1) & (a == 0), F.lit(PET_MIX_LABELS[3]))
-            .when((d >= 1) & (c == 0) & other, F.lit(PET_MIX_LABELS[4]))
-            .when((c >= 1) & (d == 0) & other, F.lit(PET_MIX_LABELS[5]))
-            .when((d >= 1) & (c >= 1) & other, F.lit(PET_MIX_LABELS[6]))
-            .otherwise(F.lit(PET_MIX_LABELS[7])))
+    """The household's class, looked up by three presence flags; a NULL count gives 'Unknown'."""
+    has = [_c(dogs) >= 1, _c(cats) >= 1, _c(avian) + _c(exotic) >= 1]
+    at = F.lit(1)
+    for weight, flag in zip((1, 2, 4), has):
+        at = at + flag.cast("int") * weight
+    labels = F.array(*[F.lit(PET_MIX_LABELS[k]) for k in _PET_MIX_BY_PRESENCE])
+    return F.coalesce(F.element_at(labels, at), F.lit(PET_MIX_LABELS[_PET_MIX_BY_PRESENCE[0]]))
 
 
 # Term bands (no ELSE: negative or NULL terms get no band).

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortforge.functions.expr import SPECIES_CLASSES, cancer_flag, species_flag, wellcare_type
-from cohortforge.operators.joins import attach_by_key, left_join_skip_null_keys
+from cohortforge.operators.joins import attach_by_key, attach_group_aggregates, left_join_skip_null_keys
 
 MONEY = "decimal(18,2)"
 
@@ -286,6 +286,22 @@ def household_stats(detail: DataFrame, group: DataFrame,
     return stats
 
 
+def household_windows(inforce_df: DataFrame, header: DataFrame, breed: DataFrame) -> DataFrame:
+    """Whole-household term range and species counts beside every in-force term.
+
+    The window form of the household totals, for terms whose holder needn't be
+    known: terms with a NULL holder form one household, as in a window, but
+    don't gather in one task (:func:`attach_group_aggregates`).
+    """
+    b = breed.select("breed_id", "speciescode")
+    t = (inforce_df.select("policyid", "insured_code", "policy_renew_no")
+         .join(header.select("policyid", "breed_id"), "policyid").join(b, "breed_id", "left")
+         .select("policyid", "insured_code", "policy_renew_no", "speciescode"))
+    aggs = [F.min("policy_renew_no").alias("min_term"), F.max("policy_renew_no").alias("max_term")]
+    aggs += [F.sum(species_flag("speciescode", codes)).alias(name) for name, codes in SPECIES_CLASSES]
+    return attach_group_aggregates(t, "insured_code", aggs)
+
+
 HOUSEHOLD_COLUMNS = ("min_term", "max_term") + tuple(n for n, _ in SPECIES_CLASSES)
 
 

@@ -69,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "inforce_snapshot_us_date": _report(lambda r: IN.inforce(
         r.w.policy_header, r.w.data_inforce, f"{REPORT_DATE[5:7]}/{REPORT_DATE[8:]}/{REPORT_DATE[:4]}")),
     "inforce_detail": _stage("inforce_detail"),
+    "household_windows": _report(lambda r: IN.household_windows(r["inforce"], r.w.policy_header, r.w.dim_breed)),
     "wellness_claims": _stage("wellness_claims"),
     "medical_claims": _stage("medical_claims"),
     "premium_fees": _stage("premium_fees"),
