@@ -34,6 +34,7 @@ columns are ignored, whatever their names; texts are read whole, in one task.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,35 +99,31 @@ def _whole_windows(offsets: np.ndarray) -> np.ndarray:
     return np.repeat(offsets[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
 
 
-def _sha256(numbers: np.ndarray, words: pa.Array) -> bytes:
-    """SHA-256 of the words joined by one space."""
-    return hashlib.sha256(" ".join(words.take(pa.array(numbers)).to_pylist()).encode()).digest()
+def _text_key(codes: np.ndarray) -> int:
+    """Tells texts of one doc_id apart: 64 bits of a digest of the word codes."""
+    return int.from_bytes(hashlib.blake2b(codes.tobytes(), digest_size=8).digest(), "big", signed=True)
 
 
-def _text_key(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "big", signed=True)
-
-
-GRAM_SCHEMA = "kind int, h long, salt int, doc_id long, n_words long, key long, sha string"
+# code: -1 a document's row, 0 a gram, k + 1 a frequent gram of salt k.  known: words, key and SHA-256 of a document.
+GRAM_SCHEMA = "code int, h long, doc_id long, known binary"
 
 
 def _document_grams(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, salts: int) -> Iterator[pa.RecordBatch]:
-    """A row per document (kind 0) and per gram of a document (kind 1, salted ones 2)."""
+    """A row per document and per gram of a document."""
     for batch in batches:
         for part in slices(batch, "text"):
             offsets, codes, numbers, words = word_codes(texts(part))
             ids = part.column("doc_id")
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            plain = words.to_pylist()
-            digests = [hashlib.sha256(" ".join([plain[w] for w in numbers[a:b]]).encode()).digest()
-                       for a, b in zip(offsets[:-1], offsets[1:])]
-            keys = np.array([_text_key(d) for d in digests], np.int64)
+            plain, said = words.to_pylist(), numbers.tolist()
+            bounds = offsets.tolist()
+            keys = [_text_key(codes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+            rows = [struct.pack(">qq", b - a, k) + hashlib.sha256(" ".join([plain[w] for w in said[a:b]]).encode()).digest()
+                    for a, b, k in zip(bounds[:-1], bounds[1:], keys)]
             yield pa.RecordBatch.from_pydict({
-                "kind": pa.array(np.zeros(len(ids), np.int32)), "h": pa.array(keys),
-                "salt": pa.array(np.zeros(len(ids), np.int32)), "doc_id": pa.array(ids, mask=~known),
-                "n_words": pa.array(np.diff(offsets)), "key": pa.array(keys),
-                "sha": pa.array([d.hex() for d in digests])})
+                "code": pa.array(np.full(len(ids), -1, np.int32)), "h": pa.array(np.array(keys, np.int64)),
+                "doc_id": pa.array(ids, mask=~known), "known": pa.array(rows, pa.binary())})
             starts = _whole_windows(offsets)
             row = np.searchsorted(offsets, starts, side="right") - 1
             grams = window_grams(codes)[starts] if len(starts) else np.zeros(0, np.uint64)
@@ -139,28 +136,42 @@ def _document_grams(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, sal
             new = np.ones(len(row), bool)
             new[1:] = (grams[1:] != grams[:-1]) | (row[1:] != row[:-1])
             doc, grams = ids[row[new]], grams[new].view(np.int64)
-            often = np.isin(grams, frequent)
-            n = len(grams)
-            none = pa.nulls(n, pa.int64())
+            salt = (_mixed(doc.view(np.uint64)) % np.uint64(salts)).astype(np.int32) + 1
             yield pa.RecordBatch.from_pydict({
-                "kind": pa.array(np.where(often, 2, 1).astype(np.int32)), "h": pa.array(grams),
-                "salt": pa.array(np.where(often, _mixed(doc.view(np.uint64)) % np.uint64(salts), 0).astype(np.int32)),
-                "doc_id": pa.array(doc), "n_words": none, "key": none, "sha": pa.nulls(n, pa.string())})
+                "code": pa.array(np.where(np.isin(grams, frequent), salt, 0).astype(np.int32)), "h": pa.array(grams),
+                "doc_id": pa.array(doc), "known": pa.nulls(len(grams), pa.binary())})
+
+
+OWNED_SCHEMA = "code int, h long, doc_id long, owner long, n_words long, key long, sha string"
+
+
+def _owned_batch(code: np.ndarray, h: np.ndarray, doc: pa.Array, owner: np.ndarray | None,
+                 known: list[bytes] | None = None) -> pa.RecordBatch:
+    n = len(h)
+    told = [struct.unpack(">qq", k[:16]) for k in known] if known is not None else []
+    none = pa.nulls(n, pa.int64())
+    return pa.RecordBatch.from_pydict({
+        "code": pa.array(code, pa.int32()), "h": pa.array(h), "doc_id": doc,
+        "owner": none if owner is None else pa.array(owner),
+        "n_words": none if known is None else pa.array([t[0] for t in told], pa.int64()),
+        "key": none if known is None else pa.array([t[1] for t in told], pa.int64()),
+        "sha": pa.nulls(n, pa.string()) if known is None else pa.array([k[16:].hex() for k in known], pa.string())})
 
 
 def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the owner to grams sorted by (kind, h, doc_id); a gram of one document is left out."""
+    """Adds the owner to grams sorted by (code, h, doc_id); a gram of one document is left out."""
     last_h, owner, told = None, 0, True
     for batch in batches:
-        kind = batch.column("kind").to_numpy()
-        once = np.flatnonzero(kind == 1)
-        others = batch.take(pa.array(np.flatnonzero(kind != 1)))
-        if others.num_rows:
-            yield others.append_column("owner", pa.nulls(others.num_rows, pa.int64()))
+        code = batch.column("code").to_numpy()
+        for other in (code < 0, code > 0):
+            if other.any():
+                part = batch.take(pa.array(np.flatnonzero(other)))
+                yield _owned_batch(part.column("code").to_numpy(), part.column("h").to_numpy(), part.column("doc_id"),
+                                   None, part.column("known").to_pylist() if code[other][0] < 0 else None)
+        once = np.flatnonzero(code == 0)
         if not len(once):
             continue
-        grams = batch.take(pa.array(once))
-        h, doc = grams.column("h").to_numpy(), grams.column("doc_id").to_numpy()
+        h, doc = (batch.column(c).to_numpy(zero_copy_only=False)[once].astype(np.int64) for c in ("h", "doc_id"))
         first = np.ones(len(h), bool)
         first[1:] = h[1:] != h[:-1]
         first[0] = h[0] != last_h
@@ -178,12 +189,7 @@ def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = bool(tell[-1] or (at[-1] == 0 and told))
         last_h, owner = h[-1], own[-1]
         if len(out_h):
-            n = len(out_h)
-            none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_pydict({
-                "kind": pa.array(np.ones(n, np.int32)), "h": pa.array(out_h), "salt": pa.array(np.zeros(n, np.int32)),
-                "doc_id": pa.array(out_d), "n_words": none, "key": none, "sha": pa.nulls(n, pa.string()),
-                "owner": pa.array(out_o)})
+            yield _owned_batch(np.zeros(len(out_h), np.int32), out_h, pa.array(out_d), out_o)
 
 
 def _frequent_grams(docs: DataFrame) -> np.ndarray:
@@ -192,7 +198,7 @@ def _frequent_grams(docs: DataFrame) -> np.ndarray:
     share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
     few = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < int(share * steps))
     none = np.zeros(0, np.int64)
-    counts = (few.mapInArrow(lambda b: _document_grams(b, none, 1), GRAM_SCHEMA).filter("kind = 1")
+    counts = (few.mapInArrow(lambda b: _document_grams(b, none, 1), GRAM_SCHEMA).filter("code = 0")
               .groupBy("h").count().filter(F.col("count") >= FREQUENT).select("h"))
     return np.sort(np.array([r[0] for r in counts.collect()], np.int64))
 
@@ -201,13 +207,13 @@ def shared_grams(docs: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
     """((doc_id, h, owner) of grams held by several documents, (doc_id, n_words, key, sha) of all documents)."""
     frequent = _frequent_grams(docs)
     rows = docs.mapInArrow(lambda b: _document_grams(b, frequent, parts), GRAM_SCHEMA)
-    rows = stage(rows.repartition(parts, "h", "salt").sortWithinPartitions("kind", "h", "doc_id")
-                 .mapInArrow(_owned, GRAM_SCHEMA + ", owner long"), "spans_grams")
-    often = rows.filter("kind = 2").select("doc_id", "h").distinct()
+    rows = stage(rows.repartition(parts, "h", "code").sortWithinPartitions("code", "h", "doc_id")
+                 .mapInArrow(_owned, OWNED_SCHEMA), "spans_grams")
+    often = rows.filter("code > 0").select("doc_id", "h").distinct()
     owners = often.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
     often = often.join(owners.filter("owner < last"), "h").select("doc_id", "h", "owner")
-    shared = rows.filter("kind = 1").select("doc_id", "h", "owner").unionByName(often)
-    return shared, rows.filter("kind = 0").select("doc_id", "n_words", "key", "sha")
+    shared = rows.filter("code = 0").select("doc_id", "h", "owner").unionByName(often)
+    return shared, rows.filter("code < 0").select("doc_id", "n_words", "key", "sha")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,21 +242,22 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of windows by block: reference (parsed 0) and to be parsed (1), as word codes."""
     for batch in batches:
         for part in _unpacked(batch):
-            offsets, codes, numbers, words = word_codes(part.column("text"))
+            offsets, codes, _, _ = word_codes(part.column("text"))
             grams = window_grams(codes)
+            skips, docs = part.column("skip").to_pylist(), part.column("doc_id").to_pylist()
+            cuts, entries = _lists(part.column("grams"))
             out: list[tuple] = []
-            for r, (doc, skip, entries) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "skip", "grams")))):
+            for r, (doc, skip) in enumerate(zip(docs, skips)):
                 lo, hi = int(offsets[r]), int(offsets[r + 1]) - WINDOW + 1
                 if hi <= lo:
                     continue
-                key = _text_key(_sha256(numbers[lo:hi + WINDOW - 1], words))
+                key = _text_key(codes[lo:hi + WINDOW - 1])
                 if skip and key in skip:
                     continue
-                h = np.array([e["h"] for e in entries], np.int64)
-                place = np.array([(e["block"] << 1) | (not e["is_owner"]) for e in entries], np.int64)
-                copies = {e["block"]: e["salts"] for e in entries}
+                h, place, n_salts, is_owner = (c[cuts[r]:cuts[r + 1]] for c in entries)
+                copies = dict(zip(place.tolist(), n_salts.tolist()))
                 order = np.argsort(h)
-                h, place = h[order], place[order]
+                h, place = h[order], ((place.astype(np.int64) << 1) | ~is_owner)[order]
                 mine = grams[lo:hi].view(np.int64)
                 at = np.minimum(np.searchsorted(h, mine), len(h) - 1)
                 where = np.where(h[at] == mine, place[at], -1)
@@ -270,6 +277,12 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _rows(out, SEGMENT_SCHEMA)
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(offsets, fields) of a column of lists of structs without nulls."""
+    return column.offsets.to_numpy() - column.offsets[0].as_py(), [
+        f.to_numpy(zero_copy_only=False) for f in column.flatten().flatten()]
+
+
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
 
 
@@ -380,19 +393,21 @@ REMOVED_SCHEMA = "doc_id long, key long, n_removed long, kept_sha256 string, kep
 def _removed(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in _unpacked(batch):
-            offsets, _, numbers, words = word_codes(part.column("text"))
+            offsets, codes, numbers, words = word_codes(part.column("text"))
+            plain = words.to_pylist()
+            cuts, (keys, first, last) = _lists(part.column("spans"))
             out = []
-            for r, (doc, spans) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("spans").to_pylist())):
+            for r, doc in enumerate(part.column("doc_id").to_pylist()):
                 mine = numbers[offsets[r]:offsets[r + 1]]
-                key = _text_key(_sha256(mine, words))
-                gone = np.zeros(len(mine) + 1, np.int64)
-                own = [(s["first"], s["last"]) for s in spans if s["key"] == key]
-                if not own:
+                key = _text_key(codes[offsets[r]:offsets[r + 1]])
+                own = np.flatnonzero(keys[cuts[r]:cuts[r + 1]] == key) + cuts[r]
+                if not len(own):
                     continue
-                np.add.at(gone, [a for a, _ in own], 1)
-                np.add.at(gone, [b for _, b in own], -1)
+                gone = np.zeros(len(mine) + 1, np.int64)
+                np.add.at(gone, first[own], 1)
+                np.add.at(gone, last[own], -1)
                 gone = np.cumsum(gone)[:-1] > 0
-                kept = " ".join(words.take(pa.array(mine[~gone])).to_pylist())
+                kept = " ".join([plain[w] for w in mine[~gone].tolist()])
                 out.append((doc, key, int(gone.sum()), hashlib.sha256(kept.encode()).hexdigest(),
                             kept if with_text else None))
             if out:
