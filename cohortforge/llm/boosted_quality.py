@@ -221,11 +221,20 @@ def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def fit_quality(stats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Trees | None:
-    """Fit on at most ``train_rows`` labelled rows (the lowest id hashes); None without both classes."""
-    labelled = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
-                .filter(F.col("quality").isNotNull()).dropDuplicates(["doc_id"]))
-    rows = (stats.join(labelled, "doc_id").orderBy(F.xxhash64("doc_id"), *COUNTS).limit(train_rows)
-            .toPandas())
+    """Fit on about ``train_rows`` labelled documents, chosen by id hash; None without both classes.
+
+    The hash cuts both tables before they are joined, and an id counts once, so
+    no more than the sample goes to the driver, and both classes keep their shares.
+    """
+    labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter(
+        "doc_id is not null and quality is not null")
+    steps = 1 << 30
+    share = min(1.0, train_rows / max(1, labelled.count()))
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < int(share * steps)
+    labelled = labelled.filter(chosen).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    own = stats.filter(chosen).groupBy("doc_id").agg(F.min(F.struct(*COUNTS, *_MORE)).alias("s"))
+    rows = own.join(labelled, "doc_id").select("s.*", "quality", "doc_id").toPandas()
+    rows = rows.sort_values("doc_id")       # the order rows arrive in must not matter
     y = rows["quality"].to_numpy(float) if len(rows) else np.zeros(0)
     if len(np.unique(y)) < 2:
         return None

@@ -9,9 +9,9 @@ write to will do and a lost writer task is redone by Spark:
                 documents, into ``payload``), counts; ``payload`` holds each
                 document's ids as a zstandard frame of its own.
 
-The dictionary is trained on the serialized ids of a bounded sample of
-documents (``sample_docs``, chosen by id hash); it only affects the size, never
-the content.  Blocks follow ascending doc_id: shards are ranges of ids, blocks
+The dictionary is trained on the serialized ids of a sample of about
+``sample_docs`` documents, chosen by hash over all rows (of a document over 64 KB
+sixteen evenly spread parts); it only affects the size, never the content.  Blocks follow ascending doc_id: shards are ranges of ids, blocks
 are numbered inside a shard, and a document is read by its block's id range,
 offset index and one small frame.
 
@@ -40,6 +40,7 @@ from cohortforge.session import stage_path
 END_ID = 2
 SAMPLE_DOCS = 2000
 DICT_BYTES = 64 * 1024
+MOST_BYTES = 1 << 16
 BLOCK_BYTES = 4 * 1024 * 1024
 LEVEL = 3
 
@@ -56,28 +57,39 @@ def id_bytes_for(definition: str) -> int:
     return 2 if Tokenizer.from_str(definition).get_vocab_size() <= 1 << 16 else 4
 
 
+def even_parts(ids: np.ndarray, most: int = MOST_BYTES, parts: int = 16) -> bytes:
+    """The serialized ids, of a long document ``parts`` runs spread evenly from its start to its end."""
+    if ids.nbytes <= most:
+        return ids.tobytes()
+    size = most // parts // ids.itemsize
+    starts = np.linspace(0, len(ids) - size, parts).astype(np.int64)
+    return b"".join(ids[a:a + size].tobytes() for a in starts)
+
+
 def train_dictionary(docs: DataFrame, definition: str, id_bytes: int, end_id: int = END_ID,
                      sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> bytes:
-    """A zstandard dictionary from at most ``sample_docs`` documents; b'' if too few.
+    """A zstandard dictionary from about ``sample_docs`` documents; b'' if too few.
 
-    The sample goes to the driver as ids of at most 64 KB a document.
+    Every row has the same chance, whatever its id or place; the sample goes to
+    the driver as at most ``MOST_BYTES`` a document.
     """
     rows = docs.select("doc_id").count()
     if rows == 0:
         return b""
-    step = max(1, rows // sample_docs)
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).limit(sample_docs)
+    steps = 1 << 30
+    at = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(steps))
+    sample = docs.withColumn("at", at).filter(F.col("at") < int(min(1.0, sample_docs / rows) * steps))
 
     def serialized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(definition)
         for batch in batches:
             for part in slices(batch, "text"):
                 offsets, ids = enc.encode(texts(part))
-                raw = [np.append(ids[a:b], end_id).astype(f"<u{id_bytes}").tobytes()[:1 << 16]
+                raw = [even_parts(np.append(ids[a:b], end_id).astype(f"<u{id_bytes}"))
                        for a, b in zip(offsets[:-1], offsets[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], names=["raw"])
 
-    got = [bytes(r.raw) for r in sample.mapInArrow(serialized, "raw binary").toLocalIterator()]
+    got = [bytes(r.raw) for r in sample.select("doc_id", "text").mapInArrow(serialized, "raw binary").toLocalIterator()]
     try:
         return zstd.train_dictionary(dict_bytes, sorted(got)).as_bytes()
     except zstd.ZstdError:  # too little to train on

@@ -48,24 +48,71 @@ TEMPER = 0.25
 # pseudo-counts that pull a level towards the one above it
 PULL = {"host": 4.0, "domain": 8.0, "suffix": 16.0}
 
-_TAGS = re.compile(r"<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
+_SPECIAL = re.compile(r"<(?:(script|style)\b|!--)", re.I)
+_CLOSERS = {"script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I)}
+_PAGE = re.compile(r"<html\b", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", re.I)
+# Labels below a country's suffix that hold many owners' domains.
+SHARED_LABELS = frozenset("ac co com edu go gov gob gouv ltd mil ne net nom or org plc sch".split())
 
 
 def visible_text(page: str) -> str:
-    out = _TAGS.sub(" ", page)
-    return html_lib.unescape(out) if "&" in out else out
+    """The page without tags, comments and the content of scripts and styles, each a space.
+
+    One pass forwards: of an element or comment that isn't closed only the tag
+    goes, and a '<' without a '>' after it stays.
+    """
+    out: list[str] = []
+    at, cut = 0, page.find("<")
+    missing: set[str] = set()       # closers that don't occur any more
+    while cut >= 0:
+        close = page.find(">", cut + 1)
+        if close < 0:
+            break
+        end = close + 1
+        m = _SPECIAL.match(page, cut)
+        what = (m.group(1) or "--").lower() if m else ""
+        if what == "--" and what not in missing:
+            k = page.find("-->", cut + 4)
+            if k >= 0:
+                end = k + 3
+            else:
+                missing.add(what)
+        elif what and what not in missing:
+            closer = _CLOSERS[what].search(page, end)
+            if closer:
+                end = closer.end()
+            else:
+                missing.add(what)
+        out += (page[at:cut], " ")
+        at, cut = end, page.find("<", end)
+    text = "".join((*out, page[at:]))
+    return html_lib.unescape(text) if "&" in text else text
+
+
+def declared_language(page: str) -> str:
+    """The language that the page's first ``<html lang>`` names, in lower case, or ''."""
+    m = _PAGE.search(page)
+    while m:
+        end = page.find(">", m.end())
+        end = len(page) if end < 0 else end
+        lang = _LANG.search(page, m.end(), end)
+        if lang:
+            return lang.group(1).lower()
+        m = _PAGE.search(page, end)
+    return ""
 
 
 def address_parts(url: str | None) -> tuple[str, str, str]:
-    """(host, domain, suffix); the domain is the last two labels of the host."""
+    """(host, domain, suffix); the domain is the last two labels of the host, or three below ``co.uk`` and its like."""
     m = _HOST.match(url or "")
     if not m:
         return "", "", ""
     host = m.group(1).lower().rstrip(".")
     labels = host.split(".")
-    return host, ".".join(labels[-2:]), labels[-1] if len(labels) > 1 else ""
+    deep = len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in SHARED_LABELS
+    return host, ".".join(labels[-3 if deep else -2:]), labels[-1] if len(labels) > 1 else ""
 
 
 # text model ----------------------------------------------------------------
@@ -84,6 +131,14 @@ def _word_table(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return row, units.indices.to_numpy(zero_copy_only=False)[at], units.dictionary
 
 
+def _own_ngrams(points: np.ndarray, order: int) -> np.ndarray:
+    """Which n-grams of spelled words belong to one word; the space after the last word is no single character."""
+    inside = H.within_words(points, order)
+    if order == 1 and len(inside):
+        inside[-1] = False
+    return inside
+
+
 def count_languages(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """Hashed n-gram counts of each language over all rows that name one."""
 
@@ -107,7 +162,7 @@ def count_languages(docs: DataFrame, lang_col: str = "lang", text_col: str = "te
                 points, owner = H.spell(runs)
                 lang = part.column("lang").dictionary_encode()
                 lang_of = lang.indices.to_numpy(zero_copy_only=False)
-                hashed = [(k, H.within_words(points, o), H.buckets(points, o)) for k, o in enumerate(ORDERS)]
+                hashed = [(k, _own_ngrams(points, o), H.buckets(points, o)) for k, o in enumerate(ORDERS)]
                 for i, name in enumerate(lang.dictionary.to_pylist()):
                     weight = np.bincount(codes[lang_of[row] == i], minlength=len(runs))[owner].astype(float)
                     if name not in sums and len(sums) >= HELD_TABLES:
@@ -143,20 +198,18 @@ class TextModel:
         counts.write.parquet(path)
         counts = counts.sparkSession.read.schema(_COUNTS).parquet(path)
         names = sorted(r.lang for r in counts.select("lang").distinct().collect())
-        unseen = np.zeros((len(names), len(ORDERS)))
-        keys, langs, gains = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
-        for i, name in enumerate(names):
-            rows = counts.filter(F.col("lang") == name).select("gram_order", "bucket", "n").toPandas()
-            order, n = rows["gram_order"].to_numpy(np.int64) - 1, rows["n"].to_numpy()
-            # a twentieth of a count for unseen buckets keeps rare n-grams from deciding
-            unseen[i] = np.log(0.05 / (np.bincount(order, weights=n, minlength=len(ORDERS)) + 0.05 * 20_000))
-            keys.append(order * H.SIZE + rows["bucket"].to_numpy(np.int64))
-            langs.append(np.full(len(rows), i, np.int32))
-            gains.append(np.log(n / 0.05 + 1.0).astype(np.float32))
-        key = np.concatenate(keys)
-        by = np.argsort(key, kind="stable")
+        spark = counts.sparkSession
+        numbered = spark.createDataFrame(list(enumerate(names)), "i int, lang string")
+        rows = counts.join(numbered, "lang").select("i", "gram_order", "bucket", "n").toPandas()
+        of, order = rows["i"].to_numpy(np.int64), rows["gram_order"].to_numpy(np.int64) - 1
+        n = rows["n"].to_numpy(np.float64)
+        totals = np.bincount(of * len(ORDERS) + order, weights=n, minlength=len(names) * len(ORDERS))
+        # a twentieth of a count for unseen buckets keeps rare n-grams from deciding
+        unseen = np.log(0.05 / (totals.reshape(len(names), len(ORDERS)) + 0.05 * 20_000))
+        key = order * H.SIZE + rows["bucket"].to_numpy(np.int64)
+        by = np.lexsort((of, key))
         start = np.searchsorted(key[by], np.arange(len(ORDERS) * H.SIZE + 1))
-        return cls(names, unseen, start, np.concatenate(langs)[by], np.concatenate(gains)[by])
+        return cls(names, unseen, start, of[by].astype(np.int32), np.log(n / 0.05 + 1.0)[by].astype(np.float32))
 
     @property
     def table(self) -> np.ndarray:
@@ -180,7 +233,7 @@ class TextModel:
             points, owner = H.spell(runs.slice(lo, words))
             per_word, size = np.zeros((words, m)), np.zeros(words)
             for k, order in enumerate(ORDERS):
-                inside = H.within_words(points, order)
+                inside = _own_ngrams(points, order)
                 key = H.buckets(points, order)[inside] + k * H.SIZE
                 of = owner[:len(inside)][inside]
                 seen = np.bincount(of, minlength=words)
@@ -225,11 +278,11 @@ def page_evidence(pages: DataFrame, model: TextModel, id_col: str = "page_id", u
                 pages = [p or "" for p in part.column("html").to_pylist()]
                 log, grams = model.log_likelihood(pa.array([visible_text(p) for p in pages], pa.large_string()))
                 log *= TEMPER
-                marks = [_DECLARED.search(p) for p in pages]
+                marks = [declared_language(p) for p in pages]
                 parts = [address_parts(u) for u in part.column("url").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), *(pa.array([p[k] for p in parts], pa.string()) for k in range(3)),
-                     pa.array([m.group(1).lower() if m else "" for m in marks], pa.string()), pa.array(grams),
+                     pa.array(marks, pa.string()), pa.array(grams),
                      _list_of(log), _list_of(_posterior(log))],
                     names=[c.split()[0] for c in EVIDENCE.split(", ")])
 

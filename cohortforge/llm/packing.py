@@ -45,6 +45,8 @@ class Packer:
 
     def __init__(self, limits: tuple[int, int, int], first_sequence: int, waiting: int = WAITING,
                  splittable: bool = True):
+        if min(limits) < 1:
+            raise ValueError(f"a sequence that may hold nothing: {limits}")
         self.limits = np.asarray(limits, np.float64)
         self.tokens = limits[0]
         self.splittable = splittable
@@ -76,6 +78,8 @@ class Packer:
             size = int(over[0]) if len(over) else len(run[0])
             size = max(size, 1)
             item = (doc, at, run[0][:size], run[1][:size], n)
+            if size < n:        # a waiting part must not hold the whole document
+                item = (doc, at, item[2].copy(), item[3].copy(), n)
             if size == self.tokens:
                 self._emit(item, self.next_sequence, 0)
                 self.next_sequence += 1
@@ -166,6 +170,37 @@ def pack_texts(docs: DataFrame, definition: str, id_col: str = "doc_id", text_co
     return own.mapInArrow(pack, PIECES)
 
 
+def pack_examples(examples: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", mask_col: str = "loss_mask",
+                  tokens: int = SEQUENCE_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None,
+                  splittable: bool = False) -> DataFrame:
+    """One row per piece of instruction examples that are token ids with a loss mask of their own.
+
+    ``mask_col`` (array of booleans) says which ids bear loss: a null mask or
+    element bears none, a shorter mask none beyond its end, what is longer than
+    the ids is ignored.  Examples without ids give no piece.  An example that
+    breaks a limit on its own is cut where it meets the limit, others stay whole
+    unless ``splittable``.
+    """
+    limits = (tokens, max_segments, tokens if max_loss is None else max_loss)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(limits, TaskContext.get().partitionId() << 36, splittable=splittable)
+        for batch in batches:
+            for doc, ids, mask in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "mask"))):
+                own = np.array(ids or [], np.uint32)
+                loss = np.zeros(len(own), bool)
+                marks = np.array([bool(x) for x in (mask or [])[:len(own)]], bool)
+                loss[:len(marks)] = marks
+                packer.add(doc, own, loss)
+            yield _batch(packer.take())
+        packer.finish()
+        yield _batch(packer.take())
+
+    own = examples.select(examples[id_col].cast("long").alias("doc_id"), examples[ids_col].cast("array<long>").alias("ids"),
+                          examples[mask_col].cast("array<boolean>").alias("mask"))
+    return own.mapInArrow(pack, PIECES)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 2048 tokens."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -28,6 +28,7 @@ kept by ``redact``.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -183,6 +184,20 @@ def unpack(pattern: int) -> tuple[int, list[int], list[int]]:
     return pattern, votes, [before, after, size]
 
 
+def _phone_parts(text: str, a: int, b: int) -> Iterator[int]:
+    """Ends of the parts of a number that ran on into other digits: the first space after each 8th to 15th digit."""
+    digits, told = 0, 0
+    for i in range(a, b):
+        if text[i] == " ":
+            if 8 <= digits and digits != told:
+                told = digits
+                yield i
+        elif "0" <= text[i] <= "9":
+            digits += 1
+            if digits > 15:
+                return
+
+
 def candidates(text: str) -> list[tuple[int, int, int, bool, int]]:
     """(kind, start, end, base, pattern) of every candidate; base ones by kind and start, then others."""
     found, out, failed = [], [], []
@@ -194,10 +209,8 @@ def candidates(text: str) -> list[tuple[int, int, int, bool, int]]:
             failed.append((kind, a, b, True))
     loose = list(failed)
     for kind, a, b, _ in failed:
-        if kind == "phone":  # a number that ran on into other digits: its parts up to a space
-            for cut in (m.start() + a for m in re.finditer(" ", text[a:b])):
-                if 8 <= len(_only_digits(text[a:cut])) <= 15:
-                    loose.append((kind, a, cut, False))
+        if kind == "phone":
+            loose += ((kind, a, cut, False) for cut in _phone_parts(text, a, b))
     for kind, rule in _LOOSE.items():
         for m in rule.finditer(text):
             end = m.end()
@@ -295,10 +308,13 @@ def choose(found: list[tuple[int, int, int, bool, int]], accept: set[int]) -> li
     """Base spans and accepted candidates, by kind and start; of overlapping additions the longest."""
     out = [c[:4] for c in found if c[3]]
     more = sorted((c for c in found if not c[3] and c[4] in accept), key=lambda c: (c[1] - c[2], c[1], c[0]))
-    taken: list[tuple[int, int]] = []
+    starts: list[int] = []          # of the additions taken so far, which don't overlap, and their ends
+    ends: list[int] = []
     for c in more:
-        if all(c[2] <= a or c[1] >= b for a, b in taken):
-            taken.append((c[1], c[2]))
+        k = bisect.bisect_left(starts, c[1])
+        if (k == 0 or ends[k - 1] <= c[1]) and (k == len(starts) or c[2] <= starts[k]):
+            starts.insert(k, c[1])
+            ends.insert(k, c[2])
             out.append(c[:4])
     return sorted(out, key=lambda c: (c[0], c[1]))
 

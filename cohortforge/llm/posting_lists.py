@@ -289,8 +289,11 @@ def nearest(vectors: DataFrame, query_filter, id_col: str = "vec_id", vec_col: s
               .filter(F.col("r") <= want).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     distinct = stage(firsts.withColumn("did", F.monotonically_increasing_id()), "distinct_vectors")
     n = distinct.count()
-    step = max(1, n // SAMPLE)
-    sample = (distinct.filter(F.pmod(F.xxhash64("did"), F.lit(step)) == 0).select("v").limit(SAMPLE).toPandas())
+    # about SAMPLE distinct vectors by hash over the whole table, in hash order: so are the trials at its head
+    steps = 1 << 30
+    at = F.pmod(F.xxhash64("did"), F.lit(steps))
+    sample = distinct.select(at.alias("at"), "v").filter(F.col("at") < int(min(1.0, SAMPLE / max(1, n)) * steps))
+    sample = sample.toPandas().sort_values("at")
     points = unit(np.stack(sample["v"].to_numpy())) if len(sample) else unit(np.ones((1, dim)))
     lists = int(min(max(1, n // list_size), MAX_LISTS, max(1, len(points) // 4)))
     graph = CentroidGraph.build(fit_centroids(points, lists))

@@ -73,3 +73,17 @@ def test_edges(spark):
     got = Q.judge(stats, Q.fit_quality(stats, none)).collect()
     assert len(got) == 3 and not any(r.kept for r in got)
     assert Q.document_stats(df.limit(0)).count() == 0
+
+
+def test_fit_takes_a_bounded_sample_of_all_ids(spark, monkeypatch):
+    n = 6000
+    docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "### $$$ ") * (3 + i % 7)) for i in range(n)]
+                                 + [(17, "copy " * 9)] * 3000, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(n)] + [(17, 1)] * 3000 + [(None, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(Q, "fit_trees", lambda x, y, m: seen.append(y))
+    for bound in (1000, 3200, 20_000):
+        Q.fit_quality(Q.document_stats(docs), labels, bound)
+        want = min(n, bound * n / (n + 3000))
+        assert abs(len(seen[-1]) - want) <= 5 * want ** 0.5
+        assert abs(seen[-1].mean() - 0.5) < 0.06

@@ -120,3 +120,24 @@ def test_plain_dots_and_capitals_are_candidates(spark):
     assert kinds == {0: [0], 1: [0], 2: [0], 3: []}
     assert [r.text for r in P.redact(df).orderBy("doc_id").collect()] == [
         "write to [EMAIL] now", "mail [EMAIL] please", "mail [EMAIL]", "we met at home."]
+
+
+SPAN = st.tuples(st.integers(0, 3), st.integers(0, 40), st.integers(1, 12), st.booleans(), st.integers(0, 2))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(SPAN, max_size=25))
+def test_chosen_additions_equal_brute_force(spans):
+    found = [(k, a, a + n, base, p) for k, a, n, base, p in spans]
+    out, taken = [c[:4] for c in found if c[3]], []
+    for c in sorted((c for c in found if not c[3] and c[4] != 1), key=lambda c: (c[1] - c[2], c[1], c[0])):
+        if all(c[2] <= a or c[1] >= b for a, b in taken):
+            taken.append(c[1:3])
+            out.append(c[:4])
+    assert P.choose(found, {0, 2}) == sorted(out, key=lambda c: (c[0], c[1]))
+
+
+def test_parts_of_a_phone_that_ran_on():
+    text = "+1 234 567 8901  22 3456 7890 12"
+    parts = [text[:b] for b in P._phone_parts(text, 0, len(text))]
+    assert parts == ["+1 234 567 8901", "+1 234 567 8901  22"]

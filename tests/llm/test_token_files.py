@@ -131,3 +131,56 @@ def test_packing_limits_and_edges(spark):
     frame = odd_frame(spark)
     assert packing.pack_texts(frame.limit(0), DEF).count() == 0
     assert packing.pack_texts(frame, DEF).groupBy("doc_id").count().count() == len(ODD) // 2 + 1
+
+
+@pytest.mark.parametrize("times", [1, 1.9, 3])
+def test_dictionary_sample_covers_every_id_range(spark, monkeypatch, times):
+    n = int(200 * times)
+    docs = spark.createDataFrame([(None if i % 3 == 0 else i, f"number {i} " * 5) for i in range(n)],
+                                 "doc_id long, text string").repartition(4)
+    sizes = {}
+    monkeypatch.setattr(id_store.zstd, "train_dictionary", lambda size, got: sizes.update(got=got) or (_ for _ in ()).throw(
+        id_store.zstd.ZstdError("none")))
+    assert id_store.train_dictionary(docs, DEF, 2, sample_docs=200) == b""
+    assert abs(len(sizes["got"]) - 200) <= (0 if times == 1 else 60)
+    lib_ids = [np.frombuffer(g, "<u2") for g in sizes["got"]]
+    assert len({tuple(x[:6]) for x in lib_ids}) > 100
+
+
+def test_long_documents_give_even_parts():
+    ids = np.arange(100_000, dtype="<u2")
+    raw = id_store.even_parts(ids)
+    got = np.frombuffer(raw, "<u2").reshape(16, -1)
+    assert len(raw) == id_store.MOST_BYTES and got[0][0] == 0 and got[-1][-1] == ids[-1]
+    assert (np.diff(got[:, 0].astype(int)) % 65536 > 4000).all()
+    assert id_store.even_parts(ids[:10]) == ids[:10].tobytes()
+
+
+def test_examples_with_a_loss_mask(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for i in range(400):
+        n = int(rng.integers(0, 90))
+        ids, mask = rng.integers(0, 60_000, n).tolist(), (rng.random(n) < 0.7).tolist()
+        rows.append((i, ids, mask, "x"))
+        want[i] = ids, mask
+    rows += [(1000, None, None, "x"), (1001, [5, 6, 7], None, "x"), (1002, [5, 6], [None, True, True], "x"),
+             (1003, list(range(300)), [True] * 300, "x"), (None, [1], [True], "x")]
+    want |= {1001: ([5, 6, 7], []), 1002: ([5, 6], [False, True]), 1003: (list(range(300)), [True] * 300), None: ([1], [True])}
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>, loss_mask array<boolean>, offset string").repartition(2)
+    got = packing.pack_examples(df, tokens=128, max_segments=5, max_loss=50).collect()
+    seqs, parts = {}, {}
+    for r in got:
+        ids, mask = want[r.doc_id]
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start:r.start + r.length], "<u4").tobytes())
+        assert r.loss_tokens == sum(mask[r.start:r.start + r.length])
+        seqs.setdefault(r.sequence_id, []).append(r)
+        parts.setdefault(r.doc_id, []).append((r.start, r.length))
+    assert {i: sum(n for _, n in p) for i, p in parts.items()} == {i: len(ids) for i, (ids, _) in want.items() if ids}
+    loads = [(sum(r.length for r in s), len(s), sum(r.loss_tokens for r in s)) for s in seqs.values()]
+    assert all(t <= 128 and n <= 5 and loss <= 50 for t, n, loss in loads)
+    assert max(loss for _, _, loss in loads) == 50          # the loss limit binds
+    assert len(parts[1003]) == 6 and all(len(p) <= 2 for i, p in parts.items() if i != 1003)
+    assert packing.pack_examples(df.limit(0)).count() == 0
+    with pytest.raises(Exception):
+        packing.pack_examples(df, max_loss=0).count()
