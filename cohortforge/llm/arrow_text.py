@@ -12,11 +12,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 # Bytes of text worked on at a time inside a task (a longer text is one slice).
 SLICE_BYTES = 4 * 1024 * 1024
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as keep it apart from the frame's columns, whatever their case."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a record batch into runs of rows holding about ``limit`` text bytes."""
     if batch.num_rows == 0:

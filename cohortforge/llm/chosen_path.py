@@ -3,9 +3,11 @@
 A text is the set of its word n-grams (hashed).  Equal sets are one set.
 
 1. *Chosen paths.*  Every set chooses each of its n-grams with a chance of
-   ``PICKS / size``, by a hash that all sets share, so a pair at the threshold
-   chooses about ``threshold * PICKS`` n-grams in common: that many runs of
-   the join, begun at once.  The sets that chose one n-gram are a bucket.
+   ``picks / size``, by a hash that all sets share, so a pair at the threshold
+   chooses about ``threshold * picks`` n-grams in common: that many runs of
+   the join, begun at once.  :func:`picks_for` gives the picks whose runs reach
+   the target recall for a pair at the threshold even if all its buckets are
+   split down to the last level.  The sets that chose one n-gram are a bucket.
 2. *Recursion.*  A bucket of more than ``SMALL`` sets is split again: each
    member chooses about ``1 / threshold`` tokens of its min-hash sketch by a
    hash of the path so far and the token, level after level.
@@ -17,9 +19,10 @@ A text is the set of its word n-grams (hashed).  Equal sets are one set.
    in blocks, on their n-grams: the exact similarity decides each pair.  Links
    are counted per set and join the classes; pairs aren't written out.
 
-A pair at similarity 0.8 shares a bucket in one run with probability 0.63,
-0.47, 0.38, 0.31 at the first four levels, so all runs miss it with 1e-9,
-2e-6, 7e-5, 6e-4; more similar pairs are missed less (``tests`` measure it).
+The target is ``RECALL`` = 0.998, 25 picks at 0.8: there a pair shares a bucket
+in one run with probability 0.63, 0.47, 0.38, 0.31, 0.27 at the five levels, so
+all runs miss it with 2e-9, 3e-6, 9e-5, 6e-4, 2e-3; more similar pairs are
+missed less (``tests`` measure it).
 The exact check compares 32-bit n-gram hashes.
 
 Defined results: a null or wordless text has no n-gram, is linked to nothing
@@ -42,14 +45,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortforge.llm.arrow_text import slices, split_codes, texts
+from cohortforge.llm.arrow_text import slices, split_codes, texts, unused_name
 from cohortforge.llm.components import connected
 from cohortforge.session import stage_path
 from cohortforge.sources.staging import stage
 
 WORDS = 5
 THRESHOLD = 0.8
-PICKS = 25
+RECALL = 0.998
 BINS = 128
 SMALL = 4096
 LEVELS = 5
@@ -66,6 +69,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def expected_recall(level: int, runs: float) -> float:
+    """Chance that a pair at the threshold meets in some bucket when all buckets end at ``level``."""
+    return 1.0 - (1.0 - _alive(level)) ** runs
+
+
+def _alive(level: int) -> float:
+    """Chance that one run still holds a pair at the threshold together at ``level``."""
+    alive = 1.0
+    for _ in range(level):
+        alive = 1.0 - math.exp(-alive)
+    return alive
+
+
+def picks_for(threshold: float, recall: float = RECALL, level: int = LEVELS) -> int:
+    """The fewest picks a set whose runs find a pair at the threshold with chance ``recall`` at every level to ``level``."""
+    if not 0.0 <= recall < 1.0:
+        raise ValueError(f"recall must lie in [0, 1): {recall}")
+    runs = math.log(1.0 - recall) / math.log(1.0 - _alive(level))
+    return max(1, math.ceil(runs / threshold))
+
+
 def shingle_sets(arr: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(row offsets, ascending 48-bit hashes) of the distinct n-grams of every text."""
     n = len(arr)
@@ -128,7 +152,7 @@ SETS = ("rid long, id long, lo long, hi long, size int, sketch binary, picks arr
 
 
 def text_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
-              picks: int = PICKS) -> DataFrame:
+              picks: int = picks_for(THRESHOLD)) -> DataFrame:
     """One row per text: digest of its set, sketch, chosen n-grams, and all n-grams in 32 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,9 +439,9 @@ def exact_links(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
-                       threshold: float = THRESHOLD) -> DataFrame:
+                       threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """id, class_id, n_links (other sets at the threshold or above) and n_copies (rows with the same set)."""
-    rows = stage(text_sets(docs, id_col, text_col, words), "text_sets")
+    rows = stage(text_sets(docs, id_col, text_col, words, picks_for(threshold, recall)), "text_sets")
     sets = stage(rows.groupBy("lo", "hi", "size")
                  .agg(F.min("rid").alias("sid"), F.count("*").alias("n_copies"), F.min("id").alias("first_id"),
                       F.first("sketch").alias("sketch"), F.first("picks").alias("picks")), "distinct_sets")
@@ -449,29 +473,22 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD,
              prefer_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` with one row of each class: its smallest ``prefer_col`` (nulls last)."""
+    row = unused_name(docs, "row_number")
     # a copy of whole texts, so packed tightly; its row numbers must not change when a task is run again
     path = stage_path(docs.sparkSession, "numbered_docs")
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
     rows.write.option("compression", "zstd").parquet(path)
     numbered = docs.sparkSession.read.schema(rows.schema).parquet(path)
-    classes = stage(similarity_classes(numbered, "__row", text_col, words, threshold), "row_classes")
+    classes = stage(similarity_classes(numbered, row, text_col, words, threshold), "row_classes")
     # classes of one row stay without a look at their ids
     crowded = classes.groupBy("class_id").agg(F.count("*").alias("n")).filter("n > 1")
-    inside = classes.join(crowded, "class_id").select("__row", "class_id")
-    ids = numbered.select("__row", F.col(prefer_col).alias("pid"))
-    ranked = inside.join(ids, "__row").groupBy("class_id").agg(
-        F.min(F.struct(F.col("pid").isNull().alias("none"), F.col("pid"), F.col("__row"))).alias("best"))
-    losers = (inside.join(ranked.select(F.col("best.__row").alias("winner")), F.col("__row") == F.col("winner"),
-                          "left_anti").select("__row"))
-    return numbered.join(losers, "__row", "left_anti").select(*docs.columns)
-
-
-def expected_recall(level: int, runs: float = THRESHOLD * PICKS) -> float:
-    """Chance that a pair at the threshold meets in some bucket when all buckets end at ``level``."""
-    alive = 1.0
-    for _ in range(level):
-        alive = 1.0 - math.exp(-alive)
-    return 1.0 - (1.0 - alive) ** runs
+    inside = classes.join(crowded, "class_id").select(row, "class_id")
+    ids = numbered.select(row, F.col(prefer_col).alias("pid"))
+    ranked = inside.join(ids, row).groupBy("class_id").agg(
+        F.min(F.struct(F.col("pid").isNull().alias("none"), F.col("pid"), F.col(row))).alias("best"))
+    losers = (inside.join(ranked.select(F.col(f"best.{row}").alias("winner")), F.col(row) == F.col("winner"),
+                          "left_anti").select(row))
+    return numbered.join(losers, row, "left_anti").select(*docs.columns)
 
 
 def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,8 @@ Neither labels nor lang, source or doc_id is an input of a score.
 
 Defined results: a null or empty text has score of the model's intercept;
 without labelled rows of both classes every score is 0; repeated ids are scored
-per row; a null label isn't learned from; runs of one repeated character are
-cut to two before decoding; parts of a word beyond 64 characters are decoded
+per row; a null label isn't learned from; runs of one repeated character, of
+any script, are cut to two before decoding; parts of a word beyond 64 characters are decoded
 on their own; an empty table gives no rows; other columns are ignored.
 """
 
@@ -227,6 +227,17 @@ def _pieces(tokens: list[str]) -> Iterator[str]:
     yield " ".join(part)
 
 
+def _long_runs(words: pa.Array) -> pa.Array:
+    """Which words hold a character three times or more in a row; a pattern finds a-z, the rest are looked at one by one."""
+    found = pc.match_substring_regex(words, "|".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyz"))
+    other = np.flatnonzero(~pc.string_is_ascii(words).to_numpy(zero_copy_only=False)) if len(words) else []
+    if not len(other):
+        return found
+    found = found.to_numpy(zero_copy_only=False).copy()
+    found[other] |= [_RUN.search(w) is not None for w in words.take(pa.array(other)).to_pylist()]
+    return pa.array(found)
+
+
 def restored_words(arr: pa.Array, restorer: Restorer) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(rows, word codes, restored distinct words) of the words of every text after restoring."""
     offsets, codes, words = split_codes(arr, ascii_space=True)
@@ -234,7 +245,7 @@ def restored_words(arr: pa.Array, restorer: Restorer) -> tuple[np.ndarray, np.nd
     row = np.repeat(np.arange(n), np.diff(offsets))
     core, alpha = H.plain_words(words)
     # plain letters without a long run need no decoding: they are their own reading
-    runs = pc.match_substring_regex(core, "|".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyz"))
+    runs = _long_runs(core)
     signs = pc.match_substring_regex(pc.utf8_trim(words, characters=OUTER), f"^[{_SIGNS}]|[{_SIGNS}]$")
     plain = pc.and_(alpha, pc.invert(pc.or_(runs, signs)))
     plain = plain.to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, bool)
@@ -399,8 +410,17 @@ def fit_scorer(train: DataFrame, lexicon: int = LEXICON) -> Scorer:
     best = (terms.withColumn("w", odds).filter(F.col("w") > 2.0)
             .orderBy((F.col("n1") * F.col("w")).desc(), "term").limit(lexicon).collect())
     scorer = Scorer({r.term: float(r.w) for r in best}, np.zeros(0))
-    rest = once.filter("half = 1").select("toxic", "words").toPandas()
-    x = np.vstack([scorer.inputs(np.zeros(len(w), np.int64), np.arange(len(w)), list(w), 1) for w in rest["words"]])
+
+    def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [scorer.inputs(np.zeros(len(w), np.int64), np.arange(len(w)), w, 1)[0] for w in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"),
+                                              "x": pa.array([g.tolist() for g in got], pa.list_(pa.float64()))})
+
+    # four numbers a row go to the driver, in an order of their own: sums must not depend on the tasks' order
+    rest = (once.filter("half = 1").select("toxic", "words").mapInArrow(inputs, "toxic int, x array<double>")
+            .orderBy("x", "toxic").toPandas())
+    x = np.vstack(rest["x"].to_numpy())
     scorer.beta = _logistic(x, rest["toxic"].to_numpy(float))
     return scorer
 

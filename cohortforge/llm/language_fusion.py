@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortforge.llm import ngram_hash as H
-from cohortforge.llm.arrow_text import gather_runs, slices, split_codes, texts
+from cohortforge.llm.arrow_text import gather_runs, slices, split_codes, texts, unused_name
 from cohortforge.session import stage_path
 
 ORDERS = (1, 2, 3)
@@ -406,16 +406,17 @@ def keep_known(docs: DataFrame, model: TextModel, threshold: float = 0.6, text_c
     Rows are matched to their evidence by a number given once to each row, so
     repeated ids don't meet; the numbered rows are staged.
     """
+    row = unused_name(docs, "row_number")
     path = stage_path(docs.sparkSession, "numbered_docs")
-    docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
+    docs.withColumn(row, F.monotonically_increasing_id()).write.parquet(path)
     numbered = docs.sparkSession.read.parquet(path)
     evidence_path = stage_path(docs.sparkSession, "language_evidence")
-    document_evidence(numbered, model, "__row", text_col, declared_col, host_col).write.parquet(evidence_path)
+    document_evidence(numbered, model, row, text_col, declared_col, host_col).write.parquet(evidence_path)
     evidence = docs.sparkSession.read.schema(EVIDENCE).parquet(evidence_path)
     # what goes is few: the rejected rows' numbers, against all rows
     good = fuse(evidence, model.languages).filter(
-        (F.col("grams") == 0) | (F.col("probability") < threshold)).select(F.col("id").alias("__row"))
-    return numbered.join(good, "__row", "left_anti").select(*docs.columns)
+        (F.col("grams") == 0) | (F.col("probability") < threshold)).select(F.col("id").alias(row))
+    return numbered.join(good, row, "left_anti").select(*docs.columns)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,9 +102,9 @@ def test_candidate_recall_at_the_threshold():
         chosen = []
         for k in range(2):
             g = grams[offsets[k]:offsets[k + 1]]
-            chosen.append(set(g[C._mix(g + C._M3).astype(float) / 2.0 ** 64 * len(g) < C.PICKS].tolist()))
+            chosen.append(set(g[C._mix(g + C._M3).astype(float) / 2.0 ** 64 * len(g) < C.picks_for(C.THRESHOLD)].tolist()))
         met += bool(chosen[0] & chosen[1])
-    assert met == 300 and C.expected_recall(1) > 0.9999 and C.expected_recall(2) > 0.9999
+    assert met == 300 and C.expected_recall(1, 20) > 0.9999 and C.expected_recall(2, 20) > 0.9999
 
 
 def test_empty_table_and_keep_one(spark):
@@ -113,3 +113,27 @@ def test_empty_table_and_keep_one(spark):
     assert C.similarity_classes(df.limit(0)).count() == 0
     kept = sorted((r.doc_id, r.sid) for r in C.keep_one(df).collect())
     assert kept == [(1, "z"), (2, "y"), (3, "k")]
+
+
+def test_picks_follow_the_target_recall():
+    assert C.picks_for(0.8) == 25
+    for threshold in (0.5, 0.8, 0.95):
+        for recall in (0.9, 0.99, 0.9999):
+            picks = C.picks_for(threshold, recall)
+            assert C.expected_recall(C.LEVELS, threshold * picks) >= recall
+            assert C.expected_recall(C.LEVELS, threshold * (picks - 1)) < recall
+
+
+def test_recall_through_all_levels(spark, monkeypatch):
+    # pairs at 0.8 among sets that share one hot n-gram, every bucket split to the last level
+    rng = np.random.default_rng(6)
+    rows, pairs = [], 150
+    for i in range(pairs):
+        common = [f"c{i}w{k}" for k in range(16)]
+        for side in (0, 1):
+            rows.append((2 * i + side, " ".join(["hot", *common, *(f"s{i}{side}{k}" for k in range(2))])))
+    got = C.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string"), words=1, threshold=0.8)
+    by = {r.doc_id: r.class_id for r in got.collect()}
+    assert sum(by[2 * i] == by[2 * i + 1] for i in range(pairs)) == pairs
+    few = C.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string"), words=1, threshold=0.8, recall=0.2)
+    assert few.count() == 2 * pairs and rng is not None

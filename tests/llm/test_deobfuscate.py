@@ -101,3 +101,23 @@ def test_clean_ends_and_short_words_stay(model):
     text = "(The house!) *things* of the them! these, all: is a house|"
     _, codes, words = D.restored_words(pa.array([text], pa.large_string()), D.Restorer(model))
     assert sorted(words[c] for c in codes) == sorted("the house things of the them these all is a house".split())
+
+
+@pytest.mark.parametrize("raw, cut", [("ééécole", "éécole"), ("ддддурак", "ддурак"), ("idiooot", "idioot"), ("ééé", "éé")])
+def test_runs_of_any_letter_are_looked_at(raw, cut):
+    class Seen(D.Restorer):
+        def restore(self, raw):
+            asked.append(D._RUN.sub(r"\1\1", raw))
+            return [raw]
+    asked = []
+    D.restored_words(pa.array([f"the {raw} école"], pa.large_string()), Seen(None))
+    assert asked[0] == cut
+
+
+def test_regression_takes_four_numbers_a_row(spark, model):
+    rows = [(i, f"idiot scum number{i} loser trash moron" if i % 2 else f"clean house number{i} thing other") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    scorer = D.fit_scorer(D.training_words(docs, labels, model))
+    got = {r.doc_id: r.score for r in D.score_texts(docs, model, scorer).collect()}
+    assert len(scorer.beta) == 4 and np.mean([(s >= 0.5) == i % 2 for i, s in got.items()]) > 0.98

@@ -49,3 +49,35 @@ def test_run_over_an_empty_table(spark, tmp_path):
         spark.read.parquet(f"{src}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
     assert C.ORACLE_SQL is None and len(C.STAGES) == 5
+
+
+def test_stages_keep_odd_rows_and_columns(spark, tmp_path):
+    src = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{src}/documents.parquet")
+    long = " ".join(f"the other thing with that number{k}" for k in range(25_000))
+    rows = [(800_000, long, "en", "s", len(long)), (800_001, "call the office of that thing +1 234 567 8901 with them", "en", "s", 55),
+            (800_001, "the very same number of that thing with other words in it", "en", "s", 55),
+            (800_002, "twice the same row of that thing with them and other", "en", "s", 51),
+            (800_002, "twice the same row of that thing with them and other", "en", "s", 51),
+            (None, "no number for that other thing with them in the house", "en", "s", 53), (800_003, None, None, None, None)]
+    extra = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    for name in ("row_number", "length_before", "ROW_NUMBER_", "__row", "__was", "score", "label", "h"):
+        extra = extra.selectExpr("*", f"'x' AS `{name}`")
+    out = str(tmp_path)
+    spark.read.parquet(f"{src}/labels.parquet").write.parquet(f"{out}/labels.parquet")
+    kept, columns = extra, extra.columns
+    for k, (name, step) in enumerate(C.STAGES):
+        step(spark, kept, out).write.parquet(f"{out}/{name}")
+        kept = spark.read.parquet(f"{out}/{name}")
+        assert name == "packing" or kept.columns == columns
+        if name == "language":
+            there = [r.doc_id for r in kept.filter("doc_id >= 800000 or doc_id is null").collect()]
+            assert sorted(there, key=str) == [800_000, 800_001, 800_001, 800_002, 800_002, None]
+        if name == "near_duplicates":
+            there = [r.doc_id for r in kept.filter("doc_id >= 800000 or doc_id is null").collect()]
+            assert sorted(there, key=str) == [800_000, 800_001, 800_001, 800_002, None]
+        if name == "personal_data":
+            said = [r for r in kept.filter("doc_id = 800001").collect() if "[PHONE]" in r.text]
+            assert len(said) == 1 and said[0].n_chars == 55 - len("+1 234 567 8901") + len("[PHONE]")
+            assert kept.filter("doc_id = 800000").first().text == long
+    assert kept.filter("doc_id = 800000").agg({"length": "sum"}).first()[0] > 150_000
