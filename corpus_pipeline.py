@@ -6,6 +6,13 @@ near-duplicate class stays, personal data is replaced in the texts (``n_chars``
 follows), and what is left is packed into sequences.  All stages but the last
 return the columns of their input, which are those of ``documents``.
 
+Defined results: a null or wordless text has nothing to score, and goes in the
+language stage as a text without letters; repeated rows and rows that share a
+doc_id are rows of their own (of equal texts the smallest doc_id stays, nulls
+last, then any one row); texts of any length are read whole; columns beyond those
+of ``documents`` are kept by all stages but the last, whatever their names; an
+empty table gives empty stages.
+
 SQL can't express these stages, so ``ORACLE_SQL`` is None; ``tests/llm`` holds
 the pipeline against brute-force versions of its stages.
 """
@@ -16,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortforge.llm import chosen_path, deobfuscate, language_fusion, packing, pii_vote
+from cohortforge.llm.arrow_text import unused_name
 from cohortforge.llm.shipping import ship
 from cohortforge.llm.word_tokens import load_definition, public_vocabulary
 from cohortforge.sources.staging import stage
@@ -43,10 +51,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in the text replaced by its kind."""
     ship(spark)
-    was = docs.withColumn("__was", F.length("text"))
-    return pii_vote.redact(was).withColumn(
-        "n_chars", (F.col("n_chars") + F.coalesce(F.length("text") - F.col("__was"), F.lit(0)))
-        .cast(docs.schema["n_chars"].dataType)).drop("__was")
+    was = unused_name(docs, "length_before")
+    changed = pii_vote.redact(docs.withColumn(was, F.length("text")))
+    grown = F.coalesce(F.length("text") - F.col(was), F.lit(0))
+    return changed.withColumn("n_chars", (F.col("n_chars") + grown).cast(docs.schema["n_chars"].dataType)).drop(was)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
