@@ -162,6 +162,10 @@ class Stages:
         return C.link_policies(self["consumer_type"], self.w.policy_header,
                                self["inforce_final"].select("policyid"))
 
+    def _link_inforce(self):
+        self._ready("inforce_final", "consumer_type")
+        return C.link_terms(self["consumer_type"], self.w.policy_header, self["inforce_final"].select("policyid"))
+
     def _consumer_inforce(self):
         return C.consumer_policy(self["consumer_policies_inforce"], self["inforce_final"])
 

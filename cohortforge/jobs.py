@@ -22,6 +22,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortforge.graph import Stages
+from cohortforge.plans import consumer as C
 from cohortforge.plans import reports as R
 from cohortforge.schemas import SCHEMAS
 from cohortforge.sources.files import export_csv
@@ -72,25 +73,27 @@ def run(spark: SparkSession, warehouse, out: str, report_date: str | dt.date,
     return written
 
 
-def report_frames(w, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def report_frames(w, t: dict[str, DataFrame], profiles: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Every validation report over the written tables ``t`` (funnel reports
-    on the files the source points them at)."""
-    f1a, f2a, f3 = t["f1a"], t["f2a"], t["f3"]
+    on the files the source points them at, out of the files' ``profiles``)."""
+    f3 = t["f3"]
+    link = C.link_terms(t["consumer_type"], w.policy_header, t["inforce_final"].select("policyid"))
+    p1, p2, p3 = profiles["f1a"], profiles["f2a"], profiles["f3"]
     out = {
         "import_sources": R.import_sources(t["scrub"]),
         "funnel_counts": R.stage_counts({k: t[k] for k in ("f1a", "f2", "f2a", "f3", "f4", "f4a")}
                                         | R.input_tables(w)),
-        "species": R.species_side_by_side(f1a, f2a, f3),
-        "terms": R.term_side_by_side(f1a, f2a, f3),
-        "households": R.households_by_size(f3),
-        "pet_mix": R.pet_mix_report(f3),
-        "pet_mix_min_term": R.pet_mix_report(f1a, "min_term"),
-        "pet_mix_max_term": R.pet_mix_report(f3, "max_term"),
-        "products": R.product_mix(f3),
-        "states": R.state_counts(f3),
+        "species": R.species_of(p1, p2, p3),
+        "terms": R.terms_of(p1, p2, p3),
+        "households": R.report_of(p3, "households"),
+        "pet_mix": R.report_of(p3, "pet_mix"),
+        "pet_mix_min_term": R.report_of(p1, "pet_mix_min_term"),
+        "pet_mix_max_term": R.report_of(p3, "pet_mix_max_term"),
+        "products": R.report_of(p3, "products"),
+        "states": R.report_of(p3, "states"),
         "top_states_pif": R.top_states_by_plan_type(f3, w.policy_header, w.dim_paymentplan,
                                                      w.dim_payment_type),
-        "pets_per_holder": R.holders_by_pet_count(f1a),
+        "pets_per_holder": R.report_of(p1, "pets_per_holder"),
         "consumer_key_duplicates": R.consumer_key_duplicates(w.demographics),
         "consumer_key_distinct": R.consumer_key_distinct(w.demographics),
         "insured_key_duplicates": R.insured_key_duplicates(w.entity_address_master),
@@ -102,23 +105,27 @@ def report_frames(w, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
                                                               w.policy_pet),
         "insured_without_policy": R.insureds_without_policy(w.dim_insured, w.policy_pet),
         "insured_many_policies": R.insureds_with_many_policies(w.dim_insured, w.policy_pet),
-        "policies_mapped": R.policies_mapped(t["consumer_policies"], t["inforce_final"]),
-        "people_with_score": R.people_with_score(t["consumer_policies"], t["inforce_final"], w.csat),
+        "policies_mapped": R.policies_mapped(link, t["inforce_final"]),
+        "people_with_score": R.people_with_score(link, t["inforce_final"], w.csat),
     }
-    bands = {"medical_claimed": f1a, "medical_eligible": f1a, "medical_paid": f3,
-             "wellness_claimed": f3, "wellness_eligible": f3, "wellness_paid": f1a}
-    for measure, table in bands.items():
-        out[f"{measure}_bands"] = R.claim_band_report(table, measure)
+    bands = {"medical_claimed": p1, "medical_eligible": p1, "medical_paid": p3,
+             "wellness_claimed": p3, "wellness_eligible": p3, "wellness_paid": p1}
+    for measure, profile in bands.items():
+        out[f"{measure}_bands"] = R.report_of(profile, f"{measure}_bands")
     return out
 
 
 def run_reports(spark: SparkSession, warehouse, out: str) -> dict[str, str]:
     """Write every report as CSV under ``out/reports`` from the tables under ``out``."""
     out = out.rstrip("/")
-    names = ("scrub", "f1a", "f2", "f2a", "f3", "f4", "f4a", "inforce_final", "consumer_policies")
+    names = ("scrub", "f1a", "f2", "f2a", "f3", "f4", "f4a", "inforce_final", "consumer_type")
     t = {n: spark.read.parquet(os.path.join(out, n)) for n in names}
-    written = {}
-    for name, df in report_frames(warehouse, t).items():
+    written, profiles = {}, {}
+    for name in ("f1a", "f2a", "f3"):       # one scan a file
+        path = os.path.join(out, "profiles", name)
+        R.funnel_profile(t[name]).coalesce(1).write.mode("overwrite").parquet(path)
+        profiles[name] = spark.read.parquet(path)
+    for name, df in report_frames(warehouse, t, profiles).items():
         path = os.path.join(out, "reports", name)
         export_csv(df, path)
         written[name] = path

@@ -60,8 +60,10 @@ def join_group_min(df: DataFrame, ref: DataFrame, group_cols: Sequence[Column |
     if match_on_group:
         names = df_group_cols or [g for g in group_cols if isinstance(g, str)]
         mins = mins.withColumnsRenamed({n: f"__g_{n}" for n in names})
-        cond = [df[value_col] == mins["__min_value"]]
-        cond += [df[n] == mins[f"__g_{n}"] for n in names]
+        # joined on the group alone, whose layout the aggregate (and a bucketed table) has already:
+        # as two bounds the value is no join key
+        cond = [df[n] == mins[f"__g_{n}"] for n in names]
+        cond += [df[value_col] <= mins["__min_value"], df[value_col] >= mins["__min_value"]]
         return df.join(mins, on=cond, how="left_semi")
     return df.join(mins.select("__min_value"), on=df[value_col] == mins["__min_value"],
                    how="inner").drop("__min_value")

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from cohortforge.operators.digests import minus_by_digest
+
 
 def minus(left: DataFrame, right: DataFrame) -> DataFrame:
     """MINUS: distinct rows of ``left`` not in ``right``; NULLs compare equal.
 
-    ``subtract`` (EXCEPT DISTINCT), not ``exceptAll``: the left input is
-    de-duplicated as well.  Columns are matched by position.
+    EXCEPT DISTINCT, not EXCEPT ALL: the left input is de-duplicated as well.
+    Columns are matched by position.  Decided by row digests.
     """
-    return left.subtract(right)
+    return minus_by_digest(left, right)
 
 
 def union_distinct(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -89,6 +89,14 @@ def link_policies(consumer_type: DataFrame, header: DataFrame,
     return j.select("policyid", "policy_no", *[consumer_type[c] for c in consumer_type.columns]).distinct()
 
 
+def link_terms(consumer_type: DataFrame, header: DataFrame, policyids: DataFrame) -> DataFrame:
+    """(source_str, policyid): which of the given terms a consumer key reaches, without demographics."""
+    t = header.select("policyid", F.col("insured_code").alias("h_code")).join(
+        policyids.select("policyid").distinct(), "policyid", "left_semi")
+    keys = consumer_type.select("source_str", "insured_code").filter("insured_code is not null").distinct()
+    return keys.join(t, keys["insured_code"] == t["h_code"]).select("source_str", "policyid").distinct()
+
+
 # -- B17 / B18 -----------------------------------------------------------------
 
 def consumer_policy(link_pid: DataFrame, inforce_final: DataFrame,

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortforge.functions.expr import SPECIES_CLASSES, cancer_flag, species_flag, wellcare_type
@@ -48,6 +48,18 @@ def inforce(header: DataFrame, inforce_fact: DataFrame, report_date: str | dt.da
                   .select("policyid", "policy_no", "policy_renew_no", "insured_code"))
 
 
+def add_snapshot(spark: SparkSession, path: str, header: DataFrame, inforce_fact: DataFrame,
+                 report_date: str | dt.date) -> None:
+    """Build one report date into the snapshot table at ``path``, partitioned by ``report_date``.
+
+    Only that date's partition is replaced (dynamic overwrite), so a date is
+    added or built again without touching the others.
+    """
+    day = as_date(report_date)
+    rows = inforce(header, inforce_fact, day).withColumn("report_date", F.lit(day))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("report_date").parquet(path)
+
+
 # -- B2 ----------------------------------------------------------------------
 
 # Columns of the detail table, in output order.
@@ -201,8 +213,11 @@ def claim_rollups(header: DataFrame, claim_header: DataFrame, revision: DataFram
     only looks up in-force policy numbers, so claims of other policies need
     not be joined at all.
     """
-    g = _claim_groups(header, claim_header, revision, diagnosis, details, coverage,
-                      ("wellness", "medical"), policy_nos)
+    return _rollup_groups(_claim_groups(header, claim_header, revision, diagnosis, details, coverage,
+                                        ("wellness", "medical"), policy_nos))
+
+
+def _rollup_groups(g: DataFrame) -> DataFrame:
     med, well = ~F.col("is_well"), F.col("is_well")
     return g.groupBy("policy_no").agg(
         F.count(F.when(med, F.lit(1))).alias("medcount"),
@@ -214,6 +229,23 @@ def claim_rollups(header: DataFrame, claim_header: DataFrame, revision: DataFram
     )
 
 
+def claim_group_totals(header: DataFrame, claim_header: DataFrame, revision: DataFrame, diagnosis: DataFrame,
+                       details: DataFrame, coverage: DataFrame) -> DataFrame:
+    """(policy_no, claim_no, is_well) with the three amounts: the form of the claim totals that can be added to."""
+    return _claim_groups(header, claim_header, revision, diagnosis, details, coverage, ("wellness", "medical"))
+
+
+def merge_claim_groups(totals: DataFrame, delta: DataFrame) -> DataFrame:
+    """Claim group totals after new claim lines: amounts add up, a claim known before stays one group."""
+    keys = ["policy_no", "claim_no", "is_well"]
+    return totals.unionByName(delta).groupBy(*keys).agg(*[F.sum(a).alias(a) for a in CLAIM_AMOUNTS])
+
+
+def claim_rollups_of(groups: DataFrame) -> DataFrame:
+    """Both kinds of claim totals per policy number from claim group totals."""
+    return _rollup_groups(groups)
+
+
 # -- B5 ----------------------------------------------------------------------
 
 def premium_rollup(premium: DataFrame, fees: DataFrame,

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortforge.functions.expr import (amount_band, household_size_band, match_key,
                                         pet_count_cap, pet_mix, product_class, term_band)
+from cohortforge.operators.bitmaps import distinct_bitmaps
 from cohortforge.operators.aggregates import distinct_row_count, duplicates, row_count
 from cohortforge.operators.joins import anti_join, left_join_skip_null_keys
 from cohortforge.plans.consumer import INSURED_GROUP, consumer_keys, insured_keys
@@ -168,9 +169,20 @@ def claim_band_report(df: DataFrame, measure: str) -> DataFrame:
 def claim_band_reports(df: DataFrame, measures: Sequence[str] | None = None) -> DataFrame:
     """All band reports over one scan: (measure, band, policy_count).
 
-    Each row is expanded once per measure it qualifies for (``stack``), then a
-    single grouped distinct count runs over (measure, band).
+    Each row is expanded once per measure it qualifies for, then a single
+    grouped distinct count runs over (measure, band).
     """
+    return (_claim_bands(df, measures).groupBy("measure", "band")
+            .agg(F.count_distinct("policy_no").alias("policy_count")))
+
+
+def claim_band_bitmaps(df: DataFrame, ids: DataFrame, measures: Sequence[str] | None = None) -> DataFrame:
+    """All band reports as bitmaps of policies (:mod:`cohortforge.operators.bitmaps`), which merge across files."""
+    return distinct_bitmaps(_claim_bands(df, measures), ids, "policy_no", ["measure", "band"])
+
+
+def _claim_bands(df: DataFrame, measures: Sequence[str] | None) -> DataFrame:
+    """(policy_no, measure, band) of every measure a row qualifies for."""
     specs = [r for r in CLAIM_BAND_REPORTS if measures is None or r[0] in measures]
     n = len(specs)
     args = []
@@ -180,9 +192,7 @@ def claim_band_reports(df: DataFrame, measures: Sequence[str] | None = None) ->
     expanded = df.select("policy_no", F.inline(F.array(*[
         F.struct(args[3 * i].alias("measure"), args[3 * i + 1].alias("band"),
                  args[3 * i + 2].alias("keep")) for i in range(n)])))
-    return (expanded.filter("keep")
-                    .groupBy("measure", "band")
-                    .agg(F.count_distinct("policy_no").alias("policy_count")))
+    return expanded.filter("keep").drop("keep")
 
 
 # -- V18 ---------------------------------------------------------------------
@@ -194,6 +204,93 @@ def holders_by_pet_count(df: DataFrame) -> DataFrame:
               .orderBy(F.col("total_pets").asc_nulls_last()))
 
 
+# -- V3 - V10, V12 - V18 in one pass -------------------------------------------
+
+# Report -> key columns with their types, name of the count, and whether distinct values are counted.
+PROFILE_SHAPES = {
+    "species": ((("speciescode", "string"),), "tot_pet", False),
+    "terms": ((("policy_renew_no", "int"),), "tot_pet", False),
+    "households": ((("multipet", "int"),), "tot_ph", True),
+    "pet_mix": ((("multi_pet", "string"),), "ph", False),
+    "pet_mix_min_term": ((("multi_pet", "string"), ("term_group", "string")), "ph", False),
+    "pet_mix_max_term": ((("multi_pet", "string"), ("term_group", "string")), "ph", False),
+    "products": ((("baseproduct", "string"),), "tot_pet", False),
+    "states": ((("insured_state", "string"),), "row_count", False),
+    "pets_per_holder": ((("total_pets", "int"),), "row_count", False),
+} | {f"{name}_bands": (((band, "string"),), "policy_count", True) for name, _, _, _, band in CLAIM_BAND_REPORTS}
+
+
+def funnel_profile(df: DataFrame) -> DataFrame:
+    """Every count of a funnel file from one scan: (report, key1, key2, n).
+
+    Each row becomes one small row per report it belongs to (report, keys, and
+    the value to count distinctly), and one grouped aggregate, combined before
+    its shuffle, counts them all.
+    """
+    none, always = F.lit(None).cast("string"), F.lit(True)
+    several = F.col("total_pets") > 1
+    rows = [
+        ("species", F.col("speciescode"), none, none, always),
+        ("terms", F.least(F.col("policy_renew_no"), F.lit(TERM_TAIL)), none, none, F.col("policy_renew_no").isNotNull()),
+        ("households", household_size_band("total_pets"), none, F.col("insured_code"), always),
+        ("pet_mix", pet_mix(), none, none, several),
+        ("pet_mix_min_term", pet_mix(), term_band("min_term"), none, several),
+        ("pet_mix_max_term", pet_mix(), term_band("max_term"), none, several),
+        ("products", product_class("baseproduct"), none, none, always),
+        ("states", F.col("insured_state"), none, none, always),
+        ("pets_per_holder", pet_count_cap("total_pets"), none, none, always),
+    ]
+    for name, amount, count, strict, _ in CLAIM_BAND_REPORTS:
+        keep = F.col(count) > 0 if strict else F.col(count) >= 0
+        rows.append((f"{name}_bands", amount_band(amount), none, F.col("policy_no"), keep))
+    entries = F.array(*[F.struct(F.lit(r).alias("report"), k1.cast("string").alias("key1"), k2.alias("key2"),
+                                 v.cast("string").alias("value"), keep.alias("keep")) for r, k1, k2, v, keep in rows])
+    distinct = [r for r, (_, _, d) in PROFILE_SHAPES.items() if d]
+    grouped = (df.select(F.inline(entries)).filter("keep").groupBy("report", "key1", "key2")
+               .agg(_n().alias("rows"), F.count_distinct("value").alias("values")))
+    return grouped.select("report", "key1", "key2",
+                          F.when(F.col("report").isin(distinct), F.col("values")).otherwise(F.col("rows")).alias("n"))
+
+
+def report_of(profile: DataFrame, report: str, count_name: str | None = None) -> DataFrame:
+    """One report of a (staged) profile, in the columns and order of its single form."""
+    keys, name, _ = PROFILE_SHAPES[report]
+    picked = profile.filter(F.col("report") == report)
+    return picked.select(*[F.col(f"key{i}").cast(kind).alias(k) for i, (k, kind) in enumerate(keys, 1)],
+                         F.col("n").alias(count_name or name)).orderBy(*[F.col(k).asc_nulls_last() for k, _ in keys])
+
+
+def species_of(p1: DataFrame, p2: DataFrame, p3: DataFrame) -> DataFrame:
+    """V3 from three profiles."""
+    a, b, c = (report_of(p, "species", f"tot_pet_f{i}") for i, p in enumerate((p1, p2, p3), 1))
+    return a.join(b, "speciescode").join(c, "speciescode")
+
+
+def terms_of(p1: DataFrame, p2: DataFrame, p3: DataFrame) -> DataFrame:
+    """V4 from three profiles; a file without a row in the tail gets its tail row with 0."""
+    tail = p1.sparkSession.range(1).select(F.lit(TERM_TAIL).cast("int").alias("policy_renew_no"), F.lit(0).cast("long").alias("z"))
+
+    def counted(p: DataFrame, name: str) -> DataFrame:
+        rows = report_of(p, "terms", "z")
+        return rows.unionByName(tail).groupBy("policy_renew_no").agg(F.sum("z").alias(name))
+
+    a, b, c = (counted(p, f"tot_pet_{i}") for i, p in enumerate((p1, p2, p3), 1))
+    b = b.withColumnRenamed("policy_renew_no", "b_no")
+    c = c.withColumnRenamed("policy_renew_no", "c_no")
+    j = a.join(b, F.col("policy_renew_no") == F.col("b_no"), "left").join(c, F.col("b_no") == F.col("c_no"), "left")
+    return j.select("policy_renew_no", "tot_pet_1", "tot_pet_2", "tot_pet_3").orderBy(
+        F.col("policy_renew_no").asc_nulls_last())
+
+
+def funnel_profiles(files: dict[str, DataFrame]) -> DataFrame:
+    """The profiles of several files under their names."""
+    parts = [funnel_profile(df).select(F.lit(name).alias("file"), "*") for name, df in files.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # -- V19 - V26: link quality ---------------------------------------------------
 
 def consumer_key_duplicates(source: DataFrame, key_len: int = 12, with_state: bool = True) -> DataFrame:

@@ -9,16 +9,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from cohortforge.graph import Stages
+from cohortforge.operators.bitmaps import count_bitmaps, dense_ids, merge_bitmaps
 from cohortforge.plans import funnel as FN
 from cohortforge.plans import inforce as IN
 from cohortforge.plans import reports as R
 from cohortforge.session import stage_path
 from cohortforge.sources import files
+from cohortforge.sources.export import export_ordered, read_export, verify_export
+from cohortforge.sources.manifest import ManifestTable
+from cohortforge.sources.quarantine import import_list
 from cohortforge.sources.staging import stage
-from cohortforge.sources.warehouse import AS_OF, REPORT_DATE, Warehouse
+from cohortforge.sources.warehouse import AS_OF, EARLIER_DATE, REPORT_DATE, Warehouse
 
 # The two survey draws as percentages of their tables, and the draw seed.
 FIRST_SAMPLE_PERCENT = 30
@@ -52,11 +57,62 @@ def _imported_list(r: Run) -> DataFrame:
         path = stage_path(spark, f"{name}_csv")
         files.export_csv(getattr(w, name), path)
         read[name] = files.read_list_files(spark, path, schema)
-    path, columns = stage_path(spark, "imported_scrub"), ["insured_code", "source"]
-    files.write_table(read["scrubber"].select(*columns), path)
-    files.append_table(FN.suppressed_by_policy(read["scrubber_policy"], w.policy_header), path, columns)
-    files.append_table(FN.suppressed_by_email(read["scrubber_dnc"], w.dim_insured), path, columns)
-    return files.read_table(spark, path)
+    table = ManifestTable(spark, stage_path(spark, "imported_scrub"), ["insured_code", "source"])
+    by_policy = FN.suppressed_by_policy(read["scrubber_policy"], w.policy_header)
+    table.append(read["scrubber"].select("insured_code", "source"), "lists")
+    table.append(by_policy, "policy-numbers")
+    table.append(by_policy, "policy-numbers")       # a step that is run again adds nothing
+    table.append(FN.suppressed_by_email(read["scrubber_dnc"], w.dim_insured), "addresses")
+    return table.read()
+
+
+def _quarantined(r: Run) -> DataFrame:
+    """A suppression file with damaged lines, imported: lines by outcome."""
+    spark, code = r.w.spark, F.concat(F.lit("I"), F.col("user_id").cast("string"))
+    line = (F.when(F.col("event_id") % 10 == 0, code).when(F.col("event_id") % 10 == 1, F.concat(code, F.lit(",A1,x")))
+            .when(F.col("event_id") % 10 == 2, F.concat(F.lit('"'), code, F.lit(",A1")))
+            .when(F.col("event_id") % 10 == 3, F.lit(" ,A1")).otherwise(F.concat(F.lit('"'), code, F.lit('","B""1"'))))
+    path = stage_path(spark, "damaged_list")
+    r.w.base("events").select(line.alias("value")).write.text(path)
+    good, rejects, totals = import_list(spark, path, files.SCRUB_LIST_SCHEMA, ["insured_code"], header=False)
+    count = F.count(F.lit(1)).alias("n")
+    return (good.groupBy(F.concat(F.lit("accepted from "), "source").alias("outcome")).agg(count)
+            .unionByName(rejects.groupBy(F.col("reason").alias("outcome")).agg(count))
+            .unionByName(totals.agg(F.sum("lines").alias("n")).select(F.lit("lines").alias("outcome"), "n"))
+            .unionByName(totals.agg(F.sum("rejected").alias("n")).select(F.lit("rejected").alias("outcome"), "n")))
+
+
+def _two_dates(r: Run) -> DataFrame:
+    """The snapshot table after two report dates, the first of them built twice."""
+    spark, w, path = r.w.spark, r.w, stage_path(r.w.spark, "snapshots")
+    for day in (REPORT_DATE, EARLIER_DATE, REPORT_DATE):
+        IN.add_snapshot(spark, path, w.policy_header, w.data_inforce, day)
+    return spark.read.parquet(path)
+
+
+def _bands_by_bitmaps(r: Run) -> DataFrame:
+    """The claim band reports of f1a from bitmaps of its two halves."""
+    f1a = r["f1a"]
+    ids = stage(dense_ids(f1a, "policy_no"), "policy_ids")
+    half = F.pmod(F.xxhash64("policyid"), F.lit(2))
+    parts = [R.claim_band_bitmaps(f1a.filter(half == k), ids) for k in (0, 1)]
+    return count_bitmaps(merge_bitmaps(*parts), "policy_count")
+
+
+def _exported(r: Run) -> DataFrame:
+    """The first sample exported in order of policy number, read back and verified."""
+    f3, path = r["f3"], stage_path(r.w.spark, "sample_file")
+    export_ordered(f3, path, ["policy_no", "policyid"])
+    seen = verify_export(r.w.spark, path, f3.columns)
+    back = read_export(r.w.spark, path, f3.columns)
+    by_file = back.groupBy("file").agg(F.min("policy_no").alias("lo"), F.max("policy_no").alias("hi"))
+    before = F.max("hi").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))      # a row per file
+    ordered = by_file.withColumn("before", before).agg(
+        F.min("lo").alias("first_no"), F.max("hi").alias("last_no"),
+        F.coalesce(F.min(F.col("before").isNull() | (F.col("before") <= F.col("lo"))), F.lit(True)).alias("in_order"))
+    both = ordered.select(F.struct("*")).scalar()
+    return seen.select("rows", both["first_no"].alias("first_no"), both["last_no"].alias("last_no"),
+                       both["in_order"].alias("in_order"), "files_ok", "total_ok")
 
 
 def _band(table: str, measure: str):
@@ -68,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "inforce_snapshot": _stage("inforce"),
     "inforce_snapshot_us_date": _report(lambda r: IN.inforce(
         r.w.policy_header, r.w.data_inforce, f"{REPORT_DATE[5:7]}/{REPORT_DATE[8:]}/{REPORT_DATE[:4]}")),
+    "inforce_two_dates": _report(_two_dates),
     "inforce_detail": _stage("inforce_detail"),
     "household_windows": _report(lambda r: IN.household_windows(r["inforce"], r.w.policy_header, r.w.dim_breed)),
     "wellness_claims": _stage("wellness_claims"),
@@ -80,9 +137,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "first_policy_of_book": _stage("first_of_book"),
     "suppression_list": _stage("scrub"),
     "suppression_list_import": _report(_imported_list),
+    "list_import_quarantine": _report(_quarantined),
     "suppressed_holders": _stage("f2"),
     "first_policy_per_email": _stage("f2a"),
     "survey_sample": _stage("f3"),
+    "sample_export": _report(_exported),
     "new_customer_stratum": _stage("f4"),
     "stratum_sample": _stage("f4a"),
     # consumer link
@@ -116,6 +175,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_wellness_eligible_bands": _band("f3", "wellness_eligible"),
     "report_wellness_paid_bands": _band("f1a", "wellness_paid"),
     "report_claim_bands_all": _report(lambda r: R.claim_band_reports(r["f1a"])),
+    "report_claim_bands_bitmaps": _report(_bands_by_bitmaps),
+    "report_profiles": _report(lambda r: R.funnel_profiles({k: r[k] for k in ("f1a", "f2a", "f3")})),
     "report_pets_per_holder": _report(lambda r: R.holders_by_pet_count(r["f1a"])),
     # link-quality reports
     "report_consumer_key_duplicates": _report(lambda r: R.consumer_key_duplicates(r.w.demographics)),
@@ -133,7 +194,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_insured_many_policies": _report(lambda r: R.insureds_with_many_policies(
         r.w.dim_insured, r.w.policy_pet)),
     "report_policies_mapped": _report(lambda r: R.policies_mapped(
-        *r.ready("consumer_policies", "inforce_final"))),
+        *r.ready("link_inforce", "inforce_final"))),
     "report_people_with_score": _report(lambda r: R.people_with_score(
-        *r.ready("consumer_policies", "inforce_final"), r.w.csat)),
+        *r.ready("link_inforce", "inforce_final"), r.w.csat)),
 }

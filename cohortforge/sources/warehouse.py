@@ -37,6 +37,7 @@ BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
 
 # Parameters of the role map (fixed so results repeat).
 REPORT_DATE = "1999-01-01"   # in-force snapshot date (midnight)
+EARLIER_DATE = "1996-01-01"  # a second snapshot date
 AS_OF = "2000-01-01"         # "today" for the future-cancellation scrub
 
 SPARK_DIALECT = {"ts": "TIMESTAMP_NTZ", "mk_ts": "make_timestamp_ntz"}

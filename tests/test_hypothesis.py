@@ -178,10 +178,12 @@ def test_sample_equals_row_model(spark, data, n):
 
     from cohortforge.operators.sampling import sample_n
     df = spark.createDataFrame(data, "policyid bigint, tag string").repartition(3)
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
     seen, model = {}, []
     for r in data:
         seen[r] = seen.get(r, 0) + 1
-        model.append((hashlib.md5(f"{r[0]}|{r[1] or '~'}|{seen[r]}|5".encode()).hexdigest(), r))
+        digest = md5(f"{len(str(r[0]))}:{r[0]}|" + (f"{len(r[1])}:{r[1]}" if r[1] else "~"))
+        model.append((md5(f"{digest}|{seen[r]}|5"), r))
     key = lambda r: (r[0], r[1] or "")
     got = sorted((tuple(r) for r in sample_n(df, n, 5).collect()), key=key)
     assert got == sorted((r for _, r in sorted(model, key=lambda m: m[0])[:n]), key=key)

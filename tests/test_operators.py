@@ -65,7 +65,8 @@ def test_sample_is_the_hash_order_at_several_sizes(spark, monkeypatch):
     monkeypatch.setattr(sampling, "_BOUNDARY_ROWS", 2)
     for total in (1, 37, 20000):
         df = spark.range(0, total).withColumn("tag", F.col("id") % 3)
-        ids = sorted(range(total), key=lambda i: hashlib.md5(f"{i}|{i % 3}|1|3".encode()).hexdigest())
+        md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+        ids = sorted(range(total), key=lambda i: md5(md5(f"{len(str(i))}:{i}|1:{i % 3}") + "|1|3"))
         for n in (1, 30, 3000):
             assert {r.id for r in sample_n(df, n, 3).collect()} == set(ids[:n])
 
@@ -78,6 +79,27 @@ def test_sample_draws_equal_rows_one_by_one(spark):
     assert "Window" not in plan
 
 
+def test_copies_of_one_row_are_spread_and_drawn(spark, monkeypatch):
+    from cohortforge.operators import sampling
+    monkeypatch.setattr(sampling, "_COPIES_A_ROW", 10)
+    df = spark.range(0, 600).selectExpr("CASE WHEN id % 3 = 0 THEN -1 ELSE id END AS k", "'a|b' AS s")
+    out = sample_n(df, 150, 4)
+    got = [r.k for r in out.collect()]
+    assert len(got) == 150 and 20 < got.count(-1) < 85 and len(set(got)) == 151 - got.count(-1)
+    assert sorted(r.k for r in sample_n(df.repartition(7), 150, 4).collect()) == sorted(got)
+
+
+def test_only_digests_are_shuffled_for_rows_that_do_not_repeat(spark):
+    import re
+    import tempfile
+    at = tempfile.mkdtemp(prefix="cf-sample-")
+    spark.range(0, 4000).selectExpr("id", *[f"id * {k} AS c{k}" for k in range(20)]).write.mode("overwrite").parquet(at)
+    plan = sample_n(spark.read.parquet(at), 900, 4)._jdf.queryExecution().executedPlan().toString()
+    for node in re.findall(r"Exchange [^\n]*", plan):
+        assert "c7" not in node
+    assert plan.count("keys=[id") == 0
+
+
 def test_minus_dedups_left_and_nulls_equal(frame):
     a = frame([(1, None), (1, None), (2, "x"), (3, "y")], "a int, b string")
     b = frame([(2, "x"), (9, None)], "a int, b string")
@@ -136,3 +158,37 @@ def test_left_join_splittable_equals_left_join(frame):
     got = left_join_splittable(left, right, "k", "rk")
     want = left.join(right, left["k"] == right["rk"], "left").select("id", "k", "rk", "v")
     assert rows(got, "id", "k", "rk", "v") == rows(want)
+
+
+def test_minus_by_digest_with_forced_collisions(spark):
+    from cohortforge.operators.digests import minus_by_digest, row_digest
+    left = spark.range(0, 300).selectExpr("id % 90 AS a", "CASE WHEN id % 7 > 0 THEN cast(id % 90 AS string) END AS b")
+    right = spark.range(0, 40).selectExpr("id AS x", "cast(id AS string) AS y").unionByName(
+        spark.createDataFrame([(80, None)], "x long, y string"))
+    want = rows(left.subtract(right))
+    assert rows(minus_by_digest(left, right)) == want
+    for weak in (lambda cols: F.substring(row_digest(cols), 1, 1), lambda cols: F.lit("same")):
+        assert rows(minus_by_digest(left, right, weak)) == want
+    empty = left.limit(0)
+    assert rows(minus_by_digest(empty, right)) == [] and rows(minus_by_digest(left, right.limit(0))) == rows(left.distinct())
+
+
+def test_digest_tells_null_and_column_borders_apart(spark):
+    from cohortforge.operators.digests import row_digest
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "~"), ("~", None), ("", "1:"), ("1:", "")], "a string, b string")
+    assert df.select(row_digest(["a", "b"]).alias("d")).distinct().count() == 6
+
+
+def test_minus_shuffles_digests_not_rows(spark):
+    import re
+    import tempfile
+
+    from cohortforge.operators.digests import minus_by_digest
+    at = tempfile.mkdtemp(prefix="cf-minus-")
+    wide = spark.range(0, 500).selectExpr("id", *[f"id * {k} AS c{k}" for k in range(20)])
+    wide.write.mode("overwrite").parquet(at)
+    left = spark.read.parquet(at)
+    out = minus_by_digest(left, left.filter("id < 3").selectExpr("id + 1000 AS id", *left.columns[1:]))
+    assert out.count() == 500
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any("c7" in node for node in re.findall(r"Exchange [^\n]*", plan))

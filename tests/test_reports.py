@@ -108,3 +108,31 @@ def test_top_states_limit_cuts_a_longer_list(spark):
     every = [tuple(x) for x in R.top_states_by_plan_type(*args, top=1000).collect()]
     assert len(every) > 10
     assert [tuple(x) for x in R.top_states_by_plan_type(*args).collect()] == every[:10]
+
+
+def test_one_pass_reports_equal_their_single_forms(spark):
+    import re
+
+    from cohortforge.registry import Run
+    from cohortforge.sources.staging import stage
+    from conftest import SF_SMALL
+    r = Run(spark, SF_SMALL)
+    files = {k: r[k] for k in ("f1a", "f2a", "f3")}
+    plan = R.funnel_profile(files["f1a"])._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("FileScan", plan)) == 1
+    p = {k: stage(R.funnel_profile(f), "profile") for k, f in files.items()}
+    for k, f in files.items():
+        single = {"households": R.households_by_size(f), "pet_mix": R.pet_mix_report(f),
+                  "pet_mix_min_term": R.pet_mix_report(f, "min_term"), "pet_mix_max_term": R.pet_mix_report(f, "max_term"),
+                  "products": R.product_mix(f), "states": R.state_counts(f), "pets_per_holder": R.holders_by_pet_count(f)}
+        single |= {f"{m[0]}_bands": R.claim_band_report(f, m[0]) for m in R.CLAIM_BAND_REPORTS}
+        for name, df in single.items():
+            got = R.report_of(p[k], name)
+            assert got.dtypes == df.dtypes, name
+            assert rows(got) == rows(df), name
+    three = [p[k] for k in files]
+    assert rows(R.species_of(*three)) == rows(R.species_side_by_side(*files.values()))
+    assert rows(R.terms_of(*three)) == rows(R.term_side_by_side(*files.values()))
+    none = stage(R.funnel_profile(files["f3"].limit(0)), "profile")
+    assert rows(R.terms_of(three[0], none, three[2])) == rows(
+        R.term_side_by_side(files["f1a"], files["f3"].limit(0), files["f3"]))
