@@ -419,8 +419,10 @@ def fit_scorer(train: DataFrame, lexicon: int = LEXICON) -> Scorer:
 
     # four numbers a row go to the driver, in an order of their own: sums must not depend on the tasks' order
     rest = (once.filter("half = 1").select("toxic", "words").mapInArrow(inputs, "toxic int, x array<double>")
-            .orderBy("x", "toxic").toPandas())
+            .toPandas())
     x = np.vstack(rest["x"].to_numpy())
+    order = np.lexsort((rest["toxic"].to_numpy(), *x.T))
+    x, rest = x[order], rest.iloc[order]
     scorer.beta = _logistic(x, rest["toxic"].to_numpy(float))
     return scorer
 
