@@ -53,6 +53,10 @@ class Stages:
                 self._memo[name] = self.stage(df, name) if name in self.STAGED else df
         return self._memo[name]
 
+    def plan(self, name: str) -> DataFrame:
+        """The named table's plan over its staged inputs; a table nobody reads again needn't be written itself."""
+        return self._memo[name] if name in self._memo else getattr(self, "_" + name)()
+
     def ready(self, *names: str) -> list[DataFrame]:
         """The named stages, independent ones built concurrently."""
         self._ready(*names)

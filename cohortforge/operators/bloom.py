@@ -20,16 +20,31 @@ def _places(key: Column, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key.cast("string"), F.lit(i)), F.lit(bits)) for i in range(HASHES)]
 
 
-def bloom_filter(right: DataFrame, key: str, bits: int = BITS) -> DataFrame:
-    """One row: ``words``, the filter's bits over all non-NULL keys, 64 a number."""
+def bloom_filters(lists: Sequence[tuple[DataFrame, str]], bits: int = BITS) -> DataFrame:
+    """One row with a column f0, f1, ... per (frame, key): the filter's bits over all non-NULL keys, 64 a number.
+
+    All filters come from one aggregation: (filter, word) pairs with partial
+    sums before the shuffle, every word once whether a key sets it or not.
+    """
     if bits % 64 or bits < 64:
         raise ValueError(f"bits must be a multiple of 64: {bits}")
-    place = right.filter(F.col(key).isNotNull()).select(F.explode(F.array(*_places(F.col(key), bits))).alias("p"))
+    spark, words = lists[0][0].sparkSession, bits // 64
+    every = spark.range(words * len(lists)).select(
+        F.floor(F.col("id") / words).cast("int").alias("which"), F.pmod("id", F.lit(words)).cast("int").alias("word"),
+        F.lit(0).cast("long").alias("bits"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))
-    filled = place.select(F.floor(F.col("p") / 64).cast("int").alias("word"), one.alias("bits"))
-    empty = right.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bits"))
-    words = filled.unionByName(empty).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    return words.agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("w")).select(F.col("w.bits").alias("words"))
+    for i, (right, key) in enumerate(lists):
+        place = right.filter(F.col(key).isNotNull()).select(F.explode(F.array(*_places(F.col(key), bits))).alias("p"))
+        every = every.unionByName(place.select(F.lit(i).alias("which"), F.floor(F.col("p") / 64).cast("int").alias("word"),
+                                               one.alias("bits")))
+    filled = every.groupBy("which", "word").agg(F.bit_or("bits").alias("bits"))
+    rows = filled.groupBy("which").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("w"))
+    return rows.agg(*[F.max(F.when(F.col("which") == i, F.col("w.bits"))).alias(f"f{i}") for i in range(len(lists))])
+
+
+def bloom_filter(right: DataFrame, key: str, bits: int = BITS) -> DataFrame:
+    """One row: ``words``, the filter over one list."""
+    return bloom_filters([(right, key)], bits).select(F.col("f0").alias("words"))
 
 
 def maybe_in(key: Column, words: Column, bits: int = BITS) -> Column:
@@ -49,9 +64,12 @@ def anti_join_bloom(left: DataFrame, rights: Sequence[tuple[Column, DataFrame, s
     joins.  A NULL key never matches.  ``left`` is read twice: stage it.  The
     filters reach the scan as scalar subqueries, of ``bits`` / 8 bytes each.
     """
+    if not rights:
+        return left
+    held = bloom_filters([(right, column) for _, right, column in rights], bits).select(F.struct("*")).scalar()
     may = F.lit(False)
-    for key, right, column in rights:
-        may = may | maybe_in(key, bloom_filter(right, column, bits).scalar(), bits)
+    for i, (key, _, _) in enumerate(rights):
+        may = may | maybe_in(key, held[f"f{i}"], bits)
     marked = left.withColumn("__may", may)
     kept = marked.filter(~F.col("__may")).drop("__may")
     doubtful = marked.filter("__may").drop("__may")

@@ -40,7 +40,7 @@ class Run(Stages):
 
 
 def _stage(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: Run(spark, sf_dir)[name]
+    return lambda spark, sf_dir: Run(spark, sf_dir).plan(name)
 
 
 def _report(fn: Callable[[Run], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
