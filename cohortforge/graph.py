@@ -29,7 +29,7 @@ class Stages:
     ``{"percent": p}``).  ``given`` holds tables an earlier run has written.
     """
 
-    STAGED = {"inforce", "inforce_detail", "claim_totals", "premium_for_inforce", "inforce_final", "f1a", "f2",
+    STAGED = {"inforce", "inforce_detail", "claim_totals", "premium_for_inforce", "inforce_final", "f1a", "scrub", "f2",
               "f2a", "f3", "f4", "consumer_type", "consumer_policies"}
 
     def __init__(self, warehouse, report_date: str | dt.date, as_of: str | dt.date | None,

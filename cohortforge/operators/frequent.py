@@ -43,7 +43,8 @@ def frequent_keys(*columns: tuple[DataFrame, str], at_least: int = ROWS_A_TASK,
 
 
 def left_join_salted(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                     rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+                     rows_a_task: int = ROWS_A_TASK,
+                     sketched: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """LEFT JOIN on one key that reads each input once, hot keys of either side spread over tasks.
 
     A key with m * ``rows_a_task`` rows on one side has them dealt over m salts
@@ -51,13 +52,16 @@ def left_join_salted(left: DataFrame, right: DataFrame, left_key: str, right_key
     salt; no other key is salted or repeated.  A repeated left row that meets no
     right row under one salt meets one under another, as a salted right key has
     right rows: the unmatched copies are dropped.  Rows with a NULL left key
-    match nothing and are spread by row hash.  Both keys must have one type;
+    match nothing and are spread by row hash.  ``sketched`` gives cheaper frames
+    with the same keys, at least as often (the sides before they were made
+    distinct), to find the hot keys in.  Both keys must have one type;
     equal rows share a salt, so de-duplicate a side that repeats whole rows.
     """
     kinds = left.schema[left_key].dataType, right.schema[right_key].dataType
     if kinds[0] != kinds[1]:
         raise TypeError(f"join keys of different types: {kinds[0].simpleString()}, {kinds[1].simpleString()}")
-    hot_left, hot_right = frequent_keys((left, left_key), (right, right_key), at_least=rows_a_task)
+    sketch_left, sketch_right = sketched or (left, right)
+    hot_left, hot_right = frequent_keys((sketch_left, left_key), (sketch_right, right_key), at_least=rows_a_task)
     keys = set(hot_left) | set(hot_right)
     if not keys:
         return left_join_skip_null_keys(left, right, left_key, right_key)

@@ -68,7 +68,7 @@ def link_consumers(source: DataFrame, entity: DataFrame, key_len: int = 12,
     """
     src = consumer_keys(source, key_len, with_state)
     ins = insured_keys(entity, key_len, with_state).filter(F.col("ins_key").isNotNull())
-    j = left_join_salted(src.distinct(), ins.distinct(), "source_str", "ins_key")
+    j = left_join_salted(src.distinct(), ins.distinct(), "source_str", "ins_key", sketched=(src, ins))
     return j.select(F.col("ins_code").alias("insured_code"),
                     F.col("ins_created").alias("create_date"),
                     *[F.col(c) for c in src.columns])
@@ -166,8 +166,8 @@ def match_left(consumer_type: DataFrame, inforce_final: DataFrame, key_len: int
     t = name_key(inforce_final, key_len).filter(F.col("t_key").isNotNull())
     # consumers sharing a key give identical (unique_id, t.*) rows: take each key
     # once before the join, so a popular key never emits consumer x policy pairs
-    ct = consumer_type.select(F.col("source_str").alias("unique_id")).distinct()
-    j = left_join_salted(ct, t.distinct(), "unique_id", "t_key")
+    ct = consumer_type.select(F.col("source_str").alias("unique_id"))
+    j = left_join_salted(ct.distinct(), t.distinct(), "unique_id", "t_key", sketched=(ct, t))
     return j.select("unique_id", *inforce_final.columns)
 
 

@@ -23,6 +23,7 @@ from cohortforge.operators.joins import join_group_min
 from cohortforge.operators.sampling import sample_n
 from cohortforge.operators.setops import append, minus
 from cohortforge.plans.inforce import as_date
+from cohortforge.sources.staging import stage
 
 # Origin codes scrubbed from the survey population.
 EXCLUDED_ORIGIN_CODES = ("GD0082", "GD0174", "GP0082", "GP0083")
@@ -102,7 +103,9 @@ def suppress(f1a: DataFrame, scrub: DataFrame, bad_email: DataFrame, policy_pet:
     # most holders are in no list: one look at three Bloom filters keeps them where they are
     codes = scrub.select(F.trim("insured_code").alias("s_code"))
     bad = bad_email.select(F.upper("bad_email").alias("b_email"))
-    canc = future_cancellations(f1a, term, cancel, as_of).withColumnRenamed("insured_code", "c_code")
+    # a filter and a join read it: the three-table join behind it is made once
+    canc = stage(future_cancellations(f1a, term, cancel, as_of).select(F.col("insured_code").alias("c_code")).distinct(),
+                 "future_cancellations")
     a = anti_join_bloom(f1a, [(F.col("insured_code"), codes, "s_code"), (F.upper("insured_email"), bad, "b_email"),
                               (F.col("insured_code"), canc, "c_code")])
     a = a.filter(~F.col("origin_code").isin(*EXCLUDED_ORIGIN_CODES))
