@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortforge.graph import Stages
@@ -106,10 +106,11 @@ def _exported(r: Run) -> DataFrame:
     seen = verify_export(r.w.spark, path, f3.columns)
     back = read_export(r.w.spark, path, f3.columns)
     by_file = back.groupBy("file").agg(F.min("policy_no").alias("lo"), F.max("policy_no").alias("hi"))
-    before = F.max("hi").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))      # a row per file
-    ordered = by_file.withColumn("before", before).agg(
-        F.min("lo").alias("first_no"), F.max("hi").alias("last_no"),
-        F.coalesce(F.min(F.col("before").isNull() | (F.col("before") <= F.col("lo"))), F.lit(True)).alias("in_order"))
+    by_name = F.sort_array(F.collect_list(F.struct("file", "lo", "hi")))       # a row per file
+    steps = F.when(F.size("f") > 1, F.sequence(F.lit(2), F.size("f"))).otherwise(F.array().cast("array<int>"))
+    ordered = by_file.agg(F.min("lo").alias("first_no"), F.max("hi").alias("last_no"), by_name.alias("f")).select(
+        "first_no", "last_no", F.forall(steps, lambda i: F.element_at("f", i - 1)["hi"] <= F.element_at("f", i)["lo"])
+        .alias("in_order"))
     both = ordered.select(F.struct("*")).scalar()
     return seen.select("rows", both["first_no"].alias("first_no"), both["last_no"].alias("last_no"),
                        both["in_order"].alias("in_order"), "files_ok", "total_ok")
