@@ -228,13 +228,16 @@ def _pieces(tokens: list[str]) -> Iterator[str]:
 
 
 def _long_runs(words: pa.Array) -> pa.Array:
-    """Which words hold a character three times or more in a row; a pattern finds a-z, the rest are looked at one by one."""
+    """Which words hold a character three times or more in a row; a pattern finds a-z, code points find the rest."""
     found = pc.match_substring_regex(words, "|".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyz"))
     other = np.flatnonzero(~pc.string_is_ascii(words).to_numpy(zero_copy_only=False)) if len(words) else []
     if not len(other):
         return found
     found = found.to_numpy(zero_copy_only=False).copy()
-    found[other] |= [_RUN.search(w) is not None for w in words.take(pa.array(other)).to_pylist()]
+    points = np.frombuffer("\n".join(words.take(pa.array(other)).to_pylist()).encode("utf-32-le"), np.uint32)
+    ends = np.flatnonzero(points == 10)
+    at = np.flatnonzero((points[2:] == points[1:-1]) & (points[1:-1] == points[:-2]) & (points[2:] != 10))
+    found[other[np.unique(np.searchsorted(ends, at))]] = True
     return pa.array(found)
 
 
