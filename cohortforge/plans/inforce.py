@@ -149,28 +149,34 @@ def _claim_groups(header: DataFrame, claim_header: DataFrame, revision: DataFram
     cov = cov.select(F.col("coverage_id").alias("claim_coverage_id"),
                      (ctype == "Wellcare").alias("is_well"))
     rev = revision.filter(F.col("claim_revision_status") != "Reopened")
-    if policy_nos is not None:
-        # only these policy numbers are wanted: keep all their terms, and only
-        # their claims, before any claim join
-        header = header.join(policy_nos.select("policy_no"), "policy_no", "left_semi")
-        claim_header = claim_header.join(header.select("policyid"), "policyid", "left_semi")
-    # Detail lines (the largest table) are summed per diagnosis first; that
-    # aggregate's exchange is the partitioning the diagnosis join needs anyway.
-    per_diag = details.groupBy("claim_diagnosis_id").agg(
-        *[F.sum(a).alias(a) for a in CLAIM_AMOUNTS])
+    # a diagnosis whose coverage isn't looked at is left out before its rows are shuffled
+    diag = diagnosis.select("claim_diagnosis_id", "claim_id", "claim_revision_no", "claim_coverage_id")
+    diag = diag.join(cov.select("claim_coverage_id"), "claim_coverage_id", "left_semi")
+    # Detail lines (the largest table) are summed per diagnosis first.  Few lines share a diagnosis: they are
+    # dealt out as they are (partial sums are wider than the lines), in the layout the diagnosis join needs anyway.
+    per_diag = (details.select("claim_diagnosis_id", *CLAIM_AMOUNTS).filter("claim_diagnosis_id is not null")
+                .repartition("claim_diagnosis_id").groupBy("claim_diagnosis_id")
+                .agg(*[F.sum(a).alias(a) for a in CLAIM_AMOUNTS]))
     lines = (
-        claim_header.select("claim_id", "policyid", "claim_no")
-        .join(rev.select("claim_id", "claim_revision_no"), "claim_id")
-        .join(diagnosis.select("claim_diagnosis_id", "claim_id", "claim_revision_no",
-                               "claim_coverage_id"), ["claim_id", "claim_revision_no"])
+        claim_header.select("claim_id", "policyid", "claim_no").filter("policyid is not null")
+        .join(rev.select("claim_id", F.col("claim_revision_no").alias("__no")), "claim_id")
+        # joined on the claim alone, in whose layout all three lie; a claim has few revisions
+        .join(diag.withColumnRenamed("claim_id", "__claim"), (F.col("claim_id") == F.col("__claim"))
+              & (F.col("__no") <= F.col("claim_revision_no")) & (F.col("__no") >= F.col("claim_revision_no")))
         .join(cov, "claim_coverage_id")
         .join(per_diag, "claim_diagnosis_id")
+        .select("policyid", "claim_no", "is_well", *CLAIM_AMOUNTS)
     )
     sums = [F.sum(a).alias(a) for a in CLAIM_AMOUNTS]
-    per_term_claim = lines.groupBy("policyid", "claim_no", "is_well").agg(*sums)
-    return (per_term_claim.join(header.select("policyid", "policy_no"), "policyid")
-            .groupBy("policy_no", "claim_no", "is_well")
-            .agg(*[F.sum(a).alias(a) for a in CLAIM_AMOUNTS]))
+    # dealt by the term alone, the sums lie where the header lookup wants them
+    per_term_claim = lines.repartition("policyid").groupBy("policyid", "claim_no", "is_well").agg(*sums)
+    # likewise by the policy number alone, which the totals per policy number and the lookup below want
+    groups = (per_term_claim.join(header.select("policyid", "policy_no"), "policyid")
+              .select("policy_no", "claim_no", "is_well", *CLAIM_AMOUNTS).repartition("policy_no")
+              .groupBy("policy_no", "claim_no", "is_well").agg(*[F.sum(a).alias(a) for a in CLAIM_AMOUNTS]))
+    if policy_nos is not None:
+        groups = groups.join(policy_nos.select("policy_no"), "policy_no", "left_semi")
+    return groups
 
 
 CLAIM_AMOUNTS = ("claimedamount", "paidamount", "eligibleamount")
@@ -209,9 +215,9 @@ def claim_rollups(header: DataFrame, claim_header: DataFrame, revision: DataFram
     as it does for a missing row of :func:`claim_rollup`.
 
     ``policy_nos`` (a frame with a ``policy_no`` column) limits the totals to
-    those policy numbers, still over all their terms: the in-force aggregate
-    only looks up in-force policy numbers, so claims of other policies need
-    not be joined at all.
+    those policy numbers, still over all their terms.  A snapshot holds most
+    policy numbers, so the totals are limited and not the claim rows: looking
+    every claim's policy number up shuffled more than it saved.
     """
     return _rollup_groups(_claim_groups(header, claim_header, revision, diagnosis, details, coverage,
                                         ("wellness", "medical"), policy_nos))
@@ -253,26 +259,29 @@ def premium_rollup(premium: DataFrame, fees: DataFrame,
     """Earned premium and fees per policy number (premium LEFT JOIN fees on 3 keys).
 
     Several fee rows for one key multiply that key's premium, and vice versa,
-    exactly as the row-level join does.  Both sides are reduced to one row per
-    key first (count and sum), so the join never materialises the pairs of a
-    hot key:  rows = P*max(F,1), Σpremium = Σp*max(F,1), Σfees = Σf*P.
+    exactly as the row-level join does.  The fees are reduced to one row per
+    key first (count and sum), so the join gives one row per premium row and
+    never the pairs of a hot key:  rows = P*max(F,1), Σpremium = Σp*max(F,1),
+    Σfees = Σf*P.
     """
     key = ["policy_no", "policy_renew_no", "reportperiod"]
-    if policy_nos is not None:
-        wanted = policy_nos.select("policy_no")
-        premium = premium.join(wanted, "policy_no", "left_semi")
-        fees = fees.join(wanted, "policy_no", "left_semi")
-    p = premium.groupBy(*key).agg(F.count(F.lit(1)).alias("p_n"),
-                                  F.sum("earnedpremium").alias("p_sum"))
-    f = fees.groupBy(*key).agg(F.count(F.lit(1)).alias("f_n"),
-                               F.sum("earnedfees").alias("f_sum"))
-    j = p.join(f, key, "left")
+    # The fees are dealt by the policy number and summed there: few rows share all three keys, partial sums before
+    # the shuffle would only make the rows wider.  The join is on the policy number too: as bounds the term and
+    # the month (few a policy) are no join keys, which would want a layout of their own
+    f = (fees.select(*key, "earnedfees").repartition("policy_no").groupBy(*key)
+         .agg(F.count(F.lit(1)).alias("f_n"), F.sum("earnedfees").alias("f_sum")))
+    f = f.withColumnsRenamed({k: f"f_{k}" for k in key})
+    same = F.col("policy_no") == F.col("f_policy_no")
+    for k in key[1:]:
+        same &= (F.col(k) <= F.col(f"f_{k}")) & (F.col(k) >= F.col(f"f_{k}"))
+    j = premium.select(*key, "earnedpremium").join(f, same, "left")
     mult = F.coalesce(F.col("f_n"), F.lit(1))
-    return j.groupBy("policy_no").agg(
-        F.sum(F.col("p_n") * mult).alias("earncount"),
-        F.sum(F.col("p_sum") * mult).cast(MONEY).alias("earned_pre"),
-        F.sum(F.col("f_sum") * F.col("p_n")).cast(MONEY).alias("earned_fee"),
+    totals = j.groupBy("policy_no").agg(
+        F.sum(mult).alias("earncount"),
+        F.sum(F.col("earnedpremium") * mult).cast(MONEY).alias("earned_pre"),
+        F.sum("f_sum").cast(MONEY).alias("earned_fee"),
     )
+    return totals if policy_nos is None else totals.join(policy_nos.select("policy_no"), "policy_no", "left_semi")
 
 
 # -- B6 ----------------------------------------------------------------------
