@@ -43,6 +43,8 @@ DICT_BYTES = 64 * 1024
 MOST_BYTES = 1 << 16
 BLOCK_BYTES = 4 * 1024 * 1024
 LEVEL = 3
+# Bytes of text encoded at a time: a word is looked up once in as many.
+ENCODE_BYTES = 16 * 1024 * 1024
 
 _ENCODED = "doc_id long, n_tokens long, frame binary"
 _BLOCKS = ("shard int, block int, first_doc long, last_doc long, tokens_before long, n_tokens long, "
@@ -113,7 +115,7 @@ def write_store(docs: DataFrame, path: str, definition: str, id_col: str = "doc_
         comp = zstd.ZstdCompressor(level=LEVEL, write_content_size=True, write_dict_id=False,
                                    dict_data=zstd.ZstdCompressionDict(raw_dict) if raw_dict else None)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", ENCODE_BYTES):
                 offsets, ids = enc.encode(texts(part))
                 ids = ids.astype(f"<u{width}")
                 end = np.array([end_id], ids.dtype).tobytes()
