@@ -4,7 +4,7 @@ Stage graph::
 
     in-force final ⋈ min policy per insured            -> f1a  (B8)
     scrub list <- base list + policy-number list + e-mail list   (B9)
-    f1a ▷ scrub ▷ bad e-mail ▷ future cancel, ⋈ status -> f2   (B10)
+    f1a ▷ scrub codes ▷ bad e-mail ▷ future cancel, ⋈ status -> f2   (B10)
     f2 ⋈ min policy per lower(e-mail)                  -> f2a  (B11)
     f2a hash-ordered sample                            -> f3   (B12)
     stratum(f2a) MINUS f3                              -> f4   (B13) -> sample -> f4a
@@ -69,6 +69,24 @@ def suppression_list(base: DataFrame, by_policy: DataFrame, by_email: DataFrame,
                   suppressed_by_email(by_email, insured))
 
 
+def suppressed_codes(base: DataFrame, by_policy: DataFrame, by_email: DataFrame,
+                     header: DataFrame, insured: DataFrame) -> DataFrame:
+    """(insured_code): every code of :func:`suppression_list` once, which is all an anti join looks at.
+
+    The list itself holds a row per listed address and holder of it: an
+    address that is listed k times and held by m customers gives k * m rows.
+    Here the holders are looked up (semi joins), so the rows grow with the
+    tables and no address or policy number is paired.
+    """
+    ph, i = header.select("policy_no", "insured_code"), insured.select("insured_code", "insured_email")
+    listed = by_policy.select(F.trim("policy_no").alias("__no")).filter("__no is not null").distinct()
+    address = by_email.select(F.lower("email").alias("__email")).filter("__email is not null").distinct()
+    of_policy = ph.join(listed, ph["policy_no"] == F.col("__no"), "left_semi")
+    of_email = i.join(address, F.lower(i["insured_email"]) == F.col("__email"), "left_semi")
+    codes = base.select("insured_code").union(of_policy.select("insured_code")).union(of_email.select("insured_code"))
+    return codes.filter("insured_code is not null").distinct()
+
+
 # -- B10 ---------------------------------------------------------------------
 
 def future_cancellations(f1a: DataFrame, term: DataFrame, cancel: DataFrame,
@@ -92,7 +110,7 @@ def suppress(f1a: DataFrame, scrub: DataFrame, bad_email: DataFrame, policy_pet:
              as_of: str | dt.date | None) -> DataFrame:
     """Apply the scrub: three anti joins, origin exclusion and the status filter.
 
-    * scrub list: ``f1a.insured_code = trim(list.insured_code)``;
+    * scrub list: ``f1a.insured_code = trim(list.insured_code)``; :func:`suppressed_codes` will do for the list;
     * bad e-mail: ``upper(f1a.insured_email) = upper(bad_email)``;
       a NULL e-mail never matches, so the row stays;
     * future cancellations of the holder.
