@@ -121,8 +121,14 @@ class Stages:
 
     # survey funnel
     def _f1a(self):
-        fin = self["inforce_final"]
-        return FN.first_policy(fin, fin.select("insured_code", "policy_no"))
+        if "inforce_final" in self._memo:
+            fin = self["inforce_final"]
+            return FN.first_policy(fin, fin.select("insured_code", "policy_no"))
+        # nobody has asked for the whole in-force table: B6 - B8 fused, other policies' rows aren't widened or written
+        self._ready("inforce_detail", "claim_totals", "premium_for_inforce")
+        w = self.w
+        return IN.first_policy_aggregate(self["inforce_detail"], self["claim_totals"], self["premium_for_inforce"],
+                                         w.dim_group, IN.referrals(w.vouchers_issued, w.policy_header))
 
     def _first_of_book(self):
         # the minimum over every term ever written, the rows from the in-force table

@@ -2,7 +2,7 @@
 
 Stage graph::
 
-    in-force final ⋈ min policy per insured            -> f1a  (B8)
+    in-force final ⋈ min policy per insured            -> f1a  (B8; B6 - B8 fused where the final table isn't made)
     scrub list <- base list + policy-number list + e-mail list   (B9)
     f1a ▷ scrub codes ▷ bad e-mail ▷ future cancel, ⋈ status -> f2   (B10)
     f2 ⋈ min policy per lower(e-mail)                  -> f2a  (B11)

@@ -16,6 +16,7 @@ in-force term.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -298,8 +299,8 @@ ZERO_FILLED = (
 )
 
 
-def household_stats(detail: DataFrame, group: DataFrame,
-                    referral_counts: DataFrame | None = None) -> DataFrame:
+def household_stats(detail: DataFrame, group: DataFrame, referral_counts: DataFrame | None = None,
+                    first_policy: bool = False) -> DataFrame:
     """One row per holder (the NULL holder included): pets, term range, species counts.
 
     ``total_pets`` counts the holder's detail rows and is NULL for the NULL
@@ -308,7 +309,8 @@ def household_stats(detail: DataFrame, group: DataFrame,
     groups repeats each of its rows m times: each row is weighted by m
     instead of being repeated.  With ``referral_counts`` (vi_insured,
     policy_referred_count) the referral count rides along (NULL for the NULL
-    holder and for holders without referrals).
+    holder and for holders without referrals); with ``first_policy`` the
+    holder's lowest policy number does (``first_policy_no``, string order).
     """
     mult = group.groupBy("group_code").agg(F.count(F.lit(1)).alias("__m"))
     narrow = (detail.select("insured_code", "policy_no", "policy_renew_no", "speciescode", "group_code")
@@ -319,6 +321,8 @@ def household_stats(detail: DataFrame, group: DataFrame,
             F.max("policy_renew_no").alias("max_term")]
     aggs += [F.sum(species_flag("speciescode", codes) * F.col("__m")).alias(name)
              for name, codes in SPECIES_CLASSES]
+    if first_policy:
+        aggs.append(F.min("policy_no").alias("first_policy_no"))
     stats = narrow.groupBy("insured_code").agg(*aggs)
     stats = stats.withColumn("total_pets", F.when(F.col("insured_code").isNotNull(), F.col("total_pets")))
     if referral_counts is not None:
@@ -362,23 +366,55 @@ def inforce_aggregate(detail: DataFrame, claims: DataFrame, prem: DataFrame,
     totals and (when ``referral_counts`` is given, fusing :func:`add_referrals`)
     the referral count.
     """
-    t, c, e = detail.alias("t"), claims.alias("c"), prem.alias("earn")
-    j = (t.join(c, F.col("t.policy_no") == F.col("c.policy_no"), "left")
-          .join(e, F.col("t.policy_no") == F.col("earn.policy_no"), "left"))
+    a = _with_totals(detail, "policy_no", claims, prem, detail.columns)
+    a = _with_group_name(a, group)
+    stats = household_stats(detail, group, referral_counts)
+    out = attach_by_key(a, stats, "insured_code")
+    return out.select(*_aggregate_columns(detail, referral_counts))
+
+
+def _with_totals(df: DataFrame, policy_no: str, claims: DataFrame, prem: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``columns`` of ``df``, the zero-filled claim totals, premium and fees of the policy number in ``policy_no``."""
+    t, c, e = df.alias("t"), claims.alias("c"), prem.alias("earn")
+    j = (t.join(c, F.col(f"t.{policy_no}") == F.col("c.policy_no"), "left")
+          .join(e, F.col(f"t.{policy_no}") == F.col("earn.policy_no"), "left"))
     filled = [F.coalesce(F.col(f"c.{src}"), F.lit(0)).alias(name)
               if src.endswith("count") else
               F.coalesce(F.col(f"c.{src}"), F.lit(0).cast(MONEY)).cast(MONEY).alias(name)
               for name, src in ZERO_FILLED]
-    a = j.select(*[F.col(f"t.{col}") for col in detail.columns], *filled,
-                 F.col("earn.earned_pre").alias("premium"),
-                 F.col("earn.earned_fee").alias("fees"))
+    return j.select(*[F.col(f"t.{col}") for col in columns], *filled,
+                    F.col("earn.earned_pre").alias("premium"),
+                    F.col("earn.earned_fee").alias("fees"))
+
+
+def _with_group_name(df: DataFrame, group: DataFrame) -> DataFrame:
     g = group.select(F.col("group_code").alias("g_code"), "group_name")
-    a = a.join(g, a["group_code"] == g["g_code"], "left").drop("g_code")
-    stats = household_stats(detail, group, referral_counts)
-    out = attach_by_key(a, stats, "insured_code")
+    return df.join(g, df["group_code"] == g["g_code"], "left").drop("g_code")
+
+
+def _aggregate_columns(detail: DataFrame, referral_counts: DataFrame | None) -> list[str]:
     tail = ["policy_referred_count"] if referral_counts is not None else []
-    base = [x for x in a.columns if x != "group_name"]
-    return out.select(*base, "total_pets", "group_name", *HOUSEHOLD_COLUMNS, *tail)
+    return [*detail.columns, *[n for n, _ in ZERO_FILLED], "premium", "fees", "total_pets", "group_name",
+            *HOUSEHOLD_COLUMNS, *tail]
+
+
+def first_policy_aggregate(detail: DataFrame, claims: DataFrame, prem: DataFrame,
+                           group: DataFrame, referral_counts: DataFrame | None = None) -> DataFrame:
+    """The rows of :func:`inforce_aggregate` that hold their holder's lowest policy number (B6 - B8 in one).
+
+    No join of the aggregate drops a row, so a holder's lowest policy number
+    is known from the detail rows.  It comes with the household totals; the
+    claim and premium totals of that policy join these narrow rows, one a
+    holder.  The wide rows are shuffled once, to meet them, and the rows of
+    other policies end there.  All the holder's rows are in the household totals.
+    """
+    stats = household_stats(detail, group, referral_counts, first_policy=True)
+    known = stats.filter("insured_code is not null and first_policy_no is not null")
+    first = _with_totals(known, "first_policy_no", claims, prem, known.columns)
+    first = first.withColumnsRenamed({"insured_code": "__holder", "first_policy_no": "__no"})
+    # joined on both, a holder of very many policies is no hot key
+    a = detail.join(first, (detail["insured_code"] == first["__holder"]) & (detail["policy_no"] == first["__no"]))
+    return _with_group_name(a, group).select(*_aggregate_columns(detail, referral_counts))
 
 
 # -- B7 ----------------------------------------------------------------------
