@@ -15,6 +15,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 
+from cohortforge.operators.bloom import maybe_among
 from cohortforge.plans import consumer as C
 from cohortforge.plans import funnel as FN
 from cohortforge.plans import inforce as IN
@@ -29,8 +30,9 @@ class Stages:
     ``{"percent": p}``).  ``given`` holds tables an earlier run has written.
     """
 
-    STAGED = {"inforce", "inforce_detail", "claim_totals", "premium_for_inforce", "inforce_final", "f1a", "scrub",
-              "scrub_codes", "f2", "f2a", "f3", "f4", "consumer_type", "consumer_policies"}
+    STAGED = {"inforce", "inforce_detail", "claim_totals", "premium_for_inforce", "inforce_final", "first_policies",
+              "claims_of_first", "premium_of_first", "f1a", "scrub", "scrub_codes", "f2", "f2a", "f3", "f4",
+              "consumer_type", "consumer_policies"}
 
     def __init__(self, warehouse, report_date: str | dt.date, as_of: str | dt.date | None,
                  first: Mapping[str, int], second: Mapping[str, int], seed: int,
@@ -125,10 +127,26 @@ class Stages:
             fin = self["inforce_final"]
             return FN.first_policy(fin, fin.select("insured_code", "policy_no"))
         # nobody has asked for the whole in-force table: B6 - B8 fused, other policies' rows aren't widened or written
-        self._ready("inforce_detail", "claim_totals", "premium_for_inforce")
+        self._ready("claims_of_first", "premium_of_first")
+        return IN.first_policy_aggregate(self["inforce_detail"], self["first_policies"], self["claims_of_first"],
+                                         self["premium_of_first"], self.w.dim_group)
+
+    def _first_policies(self):
+        w = self.w
+        return IN.first_policies(self["inforce_detail"], w.dim_group, IN.referrals(w.vouchers_issued, w.policy_header))
+
+    def _first_policy_filter(self):
+        return maybe_among(self["first_policies"], "first_policy_no")
+
+    def _claims_of_first(self):
         w = self.w
-        return IN.first_policy_aggregate(self["inforce_detail"], self["claim_totals"], self["premium_for_inforce"],
-                                         w.dim_group, IN.referrals(w.vouchers_issued, w.policy_header))
+        return IN.claim_rollups_of_first(self["first_policies"], w.policy_header, w.claim_header, w.claim_revision,
+                                         w.claim_diagnosis, w.claim_details, w.dim_coverage,
+                                         self["first_policy_filter"])
+
+    def _premium_of_first(self):
+        return IN.premium_rollup_of_first(self["first_policies"], self.w.epremium, self.w.efees,
+                                          self["first_policy_filter"])
 
     def _first_of_book(self):
         # the minimum over every term ever written, the rows from the in-force table

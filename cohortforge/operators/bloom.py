@@ -6,21 +6,26 @@ holds: a fuller filter only lets more rows through to the exact join.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortforge.sources.staging import stage
+
 # Bits of a filter (256 KB: one false hit in fifty at 200,000 keys) and bits a key sets.
 BITS = 1 << 21
 HASHES = 3
+# Bits a row, and at most, of a filter that is sized by the rows it holds (8 MB: it is made by one task).
+BITS_A_ROW = 16
+MOST_BITS = 1 << 26
 
 
-def _places(key: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key.cast("string"), F.lit(i)), F.lit(bits)) for i in range(HASHES)]
+def _places(key: Column, bits: int, hashes: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(key.cast("string"), F.lit(i)), F.lit(bits)) for i in range(hashes)]
 
 
-def bloom_filters(lists: Sequence[tuple[DataFrame, str]], bits: int = BITS) -> DataFrame:
+def bloom_filters(lists: Sequence[tuple[DataFrame, str]], bits: int = BITS, hashes: int = HASHES) -> DataFrame:
     """One row with a column f0, f1, ... per (frame, key): the filter's bits over all non-NULL keys, 64 a number.
 
     All filters come from one aggregation: (filter, word) pairs with partial
@@ -34,7 +39,7 @@ def bloom_filters(lists: Sequence[tuple[DataFrame, str]], bits: int = BITS) -> D
         F.lit(0).cast("long").alias("bits"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))
     for i, (right, key) in enumerate(lists):
-        place = right.filter(F.col(key).isNotNull()).select(F.explode(F.array(*_places(F.col(key), bits))).alias("p"))
+        place = right.filter(F.col(key).isNotNull()).select(F.explode(F.array(*_places(F.col(key), bits, hashes))).alias("p"))
         every = every.unionByName(place.select(F.lit(i).alias("which"), F.floor(F.col("p") / 64).cast("int").alias("word"),
                                                one.alias("bits")))
     filled = every.groupBy("which", "word").agg(F.bit_or("bits").alias("bits"))
@@ -47,15 +52,27 @@ def bloom_filter(right: DataFrame, key: str, bits: int = BITS) -> DataFrame:
     return bloom_filters([(right, key)], bits).select(F.col("f0").alias("words"))
 
 
-def maybe_in(key: Column, words: Column, bits: int = BITS) -> Column:
+def maybe_in(key: Column, words: Column, bits: int = BITS, hashes: int = HASHES) -> Column:
     """False only if ``key`` is NULL or surely not among the filter's keys."""
     found = F.lit(True)
-    for p in _places(key, bits):
-        word = F.get(words, F.floor(p / 64).cast("int"))
-        found = found & (F.call_function("getbit", word, F.pmod(p, F.lit(64)).cast("int")) == 1)
+    for p in _places(key, bits, hashes):
+        word = F.get(words, F.shiftright(p, 6).cast("int"))
+        found = found & (F.call_function("getbit", word, p.bitwiseAND(F.lit(63)).cast("int")) == 1)
     return key.isNotNull() & found
 
 
+def maybe_among(keys: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test for rows that meet ``keys`` in an exact join later: False only if the key is NULL or surely not there.
+
+    The filter has one bit set a key and 16 bits a row of ``keys`` (one other
+    key in sixteen passes) up to ``MOST_BITS``, beyond which more others pass.
+    ``keys`` is read twice: stage it.
+    """
+    bits = min(MOST_BITS, max(1 << 12, 1 << (BITS_A_ROW * keys.count() - 1).bit_length()))
+    held = stage(bloom_filters([(keys, column)], bits, hashes=1), "key_filter").select(F.struct("*")).scalar()
+    return lambda key: maybe_in(key, held["f0"], bits, hashes=1)
+
+
 def anti_join_bloom(left: DataFrame, rights: Sequence[tuple[Column, DataFrame, str]], bits: int = BITS) -> DataFrame:
     """Rows of ``left`` whose key is in none of the lists ``rights`` (left key, frame, its column).
 

@@ -16,13 +16,15 @@ in-force term.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortforge.functions.expr import SPECIES_CLASSES, cancer_flag, species_flag, wellcare_type
+from cohortforge.operators.bloom import maybe_among
 from cohortforge.operators.joins import attach_by_key, attach_group_aggregates, left_join_skip_null_keys
+from cohortforge.sources.staging import stage
 
 MONEY = "decimal(18,2)"
 
@@ -130,16 +132,9 @@ def inforce_detail(inforce_df: DataFrame, pets: DataFrame, header: DataFrame,
 
 # -- B3 / B4 -------------------------------------------------------------------
 
-def _claim_groups(header: DataFrame, claim_header: DataFrame, revision: DataFrame,
-                  diagnosis: DataFrame, details: DataFrame, coverage: DataFrame,
-                  kinds: tuple[str, ...], policy_nos: DataFrame | None = None) -> DataFrame:
-    """(policy_no, claim_no, is_well) groups with their three amount sums.
-
-    Sums distribute over joins (a row matched k times adds k times either
-    way), so amounts are reduced before each widening step: per diagnosis
-    before the claim joins, per (policyid, claim_no) before the header lookup.
-    The results equal the row-level join of the source.
-    """
+def _claim_lines(claim_header: DataFrame, revision: DataFrame, diagnosis: DataFrame, coverage: DataFrame,
+                 kinds: tuple[str, ...]) -> DataFrame:
+    """(policyid, claim_no, is_well, claim_diagnosis_id): a row per claim, revision, diagnosis and coverage that meet."""
     ctype = F.col("coverage_product_type")
     if kinds == ("wellness",):
         cov = coverage.filter(ctype == "Wellcare")
@@ -153,21 +148,40 @@ def _claim_groups(header: DataFrame, claim_header: DataFrame, revision: DataFram
     # a diagnosis whose coverage isn't looked at is left out before its rows are shuffled
     diag = diagnosis.select("claim_diagnosis_id", "claim_id", "claim_revision_no", "claim_coverage_id")
     diag = diag.join(cov.select("claim_coverage_id"), "claim_coverage_id", "left_semi")
-    # Detail lines (the largest table) are summed per diagnosis first.  Few lines share a diagnosis: they are
-    # dealt out as they are (partial sums are wider than the lines), in the layout the diagnosis join needs anyway.
-    per_diag = (details.select("claim_diagnosis_id", *CLAIM_AMOUNTS).filter("claim_diagnosis_id is not null")
-                .repartition("claim_diagnosis_id").groupBy("claim_diagnosis_id")
-                .agg(*[F.sum(a).alias(a) for a in CLAIM_AMOUNTS]))
-    lines = (
+    return (
         claim_header.select("claim_id", "policyid", "claim_no").filter("policyid is not null")
         .join(rev.select("claim_id", F.col("claim_revision_no").alias("__no")), "claim_id")
         # joined on the claim alone, in whose layout all three lie; a claim has few revisions
         .join(diag.withColumnRenamed("claim_id", "__claim"), (F.col("claim_id") == F.col("__claim"))
               & (F.col("__no") <= F.col("claim_revision_no")) & (F.col("__no") >= F.col("claim_revision_no")))
         .join(cov, "claim_coverage_id")
-        .join(per_diag, "claim_diagnosis_id")
-        .select("policyid", "claim_no", "is_well", *CLAIM_AMOUNTS)
+        .select("policyid", "claim_no", "is_well", "claim_diagnosis_id")
     )
+
+
+def _claim_groups(header: DataFrame, claim_header: DataFrame, revision: DataFrame,
+                  diagnosis: DataFrame, details: DataFrame, coverage: DataFrame,
+                  kinds: tuple[str, ...], policy_nos: DataFrame | None = None) -> DataFrame:
+    """(policy_no, claim_no, is_well) groups with their three amount sums.
+
+    Sums distribute over joins (a row matched k times adds k times either
+    way), so amounts are reduced before each widening step: per diagnosis
+    before the claim joins, per (policyid, claim_no) before the header lookup.
+    The results equal the row-level join of the source.
+    """
+    return _sum_lines(_claim_lines(claim_header, revision, diagnosis, coverage, kinds), header, details, policy_nos)
+
+
+def _sum_lines(claim_lines: DataFrame, header: DataFrame, details: DataFrame,
+               policy_nos: DataFrame | None = None) -> DataFrame:
+    """The groups of :func:`_claim_groups` from their claim lines."""
+    # Detail lines (the largest table) are summed per diagnosis first.  Few lines share a diagnosis: they are
+    # dealt out as they are (partial sums are wider than the lines), in the layout the diagnosis join needs anyway.
+    per_diag = (details.select("claim_diagnosis_id", *CLAIM_AMOUNTS).filter("claim_diagnosis_id is not null")
+                .repartition("claim_diagnosis_id").groupBy("claim_diagnosis_id")
+                .agg(*[F.sum(a).alias(a) for a in CLAIM_AMOUNTS]))
+    lines = (claim_lines.join(per_diag, "claim_diagnosis_id")
+             .select("policyid", "claim_no", "is_well", *CLAIM_AMOUNTS))
     sums = [F.sum(a).alias(a) for a in CLAIM_AMOUNTS]
     # dealt by the term alone, the sums lie where the header lookup wants them
     per_term_claim = lines.repartition("policyid").groupBy("policyid", "claim_no", "is_well").agg(*sums)
@@ -370,7 +384,7 @@ def inforce_aggregate(detail: DataFrame, claims: DataFrame, prem: DataFrame,
     a = _with_group_name(a, group)
     stats = household_stats(detail, group, referral_counts)
     out = attach_by_key(a, stats, "insured_code")
-    return out.select(*_aggregate_columns(detail, referral_counts))
+    return out.select(*_aggregate_columns(detail, referral_counts is not None))
 
 
 def _with_totals(df: DataFrame, policy_no: str, claims: DataFrame, prem: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -392,29 +406,62 @@ def _with_group_name(df: DataFrame, group: DataFrame) -> DataFrame:
     return df.join(g, df["group_code"] == g["g_code"], "left").drop("g_code")
 
 
-def _aggregate_columns(detail: DataFrame, referral_counts: DataFrame | None) -> list[str]:
-    tail = ["policy_referred_count"] if referral_counts is not None else []
+def _aggregate_columns(detail: DataFrame, with_referrals: bool) -> list[str]:
+    tail = ["policy_referred_count"] if with_referrals else []
     return [*detail.columns, *[n for n, _ in ZERO_FILLED], "premium", "fees", "total_pets", "group_name",
             *HOUSEHOLD_COLUMNS, *tail]
 
 
-def first_policy_aggregate(detail: DataFrame, claims: DataFrame, prem: DataFrame,
-                           group: DataFrame, referral_counts: DataFrame | None = None) -> DataFrame:
+def first_policies(detail: DataFrame, group: DataFrame, referral_counts: DataFrame | None = None) -> DataFrame:
+    """Household totals of every known holder beside the holder's lowest policy number (``first_policy_no``)."""
+    stats = household_stats(detail, group, referral_counts, first_policy=True)
+    return stats.filter("insured_code is not null and first_policy_no is not null")
+
+
+def first_policy_aggregate(detail: DataFrame, first: DataFrame, claims: DataFrame, prem: DataFrame,
+                           group: DataFrame) -> DataFrame:
     """The rows of :func:`inforce_aggregate` that hold their holder's lowest policy number (B6 - B8 in one).
 
     No join of the aggregate drops a row, so a holder's lowest policy number
-    is known from the detail rows.  It comes with the household totals; the
-    claim and premium totals of that policy join these narrow rows, one a
+    is known from the detail rows: ``first`` is their :func:`first_policies`.
+    The claim and premium totals of that policy join these narrow rows, one a
     holder.  The wide rows are shuffled once, to meet them, and the rows of
     other policies end there.  All the holder's rows are in the household totals.
     """
-    stats = household_stats(detail, group, referral_counts, first_policy=True)
-    known = stats.filter("insured_code is not null and first_policy_no is not null")
-    first = _with_totals(known, "first_policy_no", claims, prem, known.columns)
-    first = first.withColumnsRenamed({"insured_code": "__holder", "first_policy_no": "__no"})
+    totals = _with_totals(first, "first_policy_no", claims, prem, first.columns)
+    totals = totals.withColumnsRenamed({"insured_code": "__holder", "first_policy_no": "__no"})
     # joined on both, a holder of very many policies is no hot key
-    a = detail.join(first, (detail["insured_code"] == first["__holder"]) & (detail["policy_no"] == first["__no"]))
-    return _with_group_name(a, group).select(*_aggregate_columns(detail, referral_counts))
+    a = detail.join(totals, (detail["insured_code"] == totals["__holder"]) & (detail["policy_no"] == totals["__no"]))
+    return _with_group_name(a, group).select(*_aggregate_columns(detail, "policy_referred_count" in first.columns))
+
+
+def claim_rollups_of_first(first: DataFrame, header: DataFrame, claim_header: DataFrame, revision: DataFrame,
+                           diagnosis: DataFrame, details: DataFrame, coverage: DataFrame,
+                           held: Callable[[Column], Column]) -> DataFrame:
+    """:func:`claim_rollups` of the policy numbers of ``first``, over all their terms.
+
+    ``held`` is the filter over these numbers.  A row that belongs to no claim
+    of theirs isn't shuffled: filters over their terms, over the claims of
+    these and over the diagnoses of these claims' lines reject most such rows;
+    what they let through meets the same joins.
+    """
+    header = header.filter(held(F.col("policy_no")))
+    of_term = maybe_among(stage(header.select("policyid"), "first_terms"), "policyid")
+    claim_header = claim_header.filter(of_term(F.col("policyid")))
+    of_claim = maybe_among(stage(claim_header.select("claim_id"), "first_claims"), "claim_id")(F.col("claim_id"))
+    lines = stage(_claim_lines(claim_header, revision.filter(of_claim), diagnosis.filter(of_claim), coverage,
+                               ("wellness", "medical")), "first_claim_lines")
+    of_line = maybe_among(lines, "claim_diagnosis_id")(F.col("claim_diagnosis_id"))
+    nos = first.select(F.col("first_policy_no").alias("policy_no"))
+    return _rollup_groups(_sum_lines(lines, header, details.filter(of_line), nos))
+
+
+def premium_rollup_of_first(first: DataFrame, premium: DataFrame, fees: DataFrame,
+                            held: Callable[[Column], Column]) -> DataFrame:
+    """:func:`premium_rollup` of the policy numbers of ``first``; ``held`` keeps other policies' rows from the shuffle."""
+    nos = first.select(F.col("first_policy_no").alias("policy_no"))
+    kept = held(F.col("policy_no"))
+    return premium_rollup(premium.filter(kept), fees.filter(kept), policy_nos=nos)
 
 
 # -- B7 ----------------------------------------------------------------------

@@ -1,10 +1,12 @@
 """The funnel's first table is built from its holders' first policies: other policies' rows aren't widened or written."""
 
+import datetime as dt
 import re
 from decimal import Decimal as D
 
 from pyspark.sql import functions as F
 
+from cohortforge.operators.bloom import maybe_among
 from cohortforge.plans import funnel as FN
 from cohortforge.plans import inforce as IN
 from cohortforge.registry import Run
@@ -34,8 +36,8 @@ def test_equals_first_policy_of_the_aggregate(spark, table):
     prem = spark.createDataFrame([("P1", 1, D(9), None), ("P3", 2, None, D(4)), (None, 1, D(1), D(1))],
                                  "policy_no string, earncount bigint, earned_pre decimal(18,2), earned_fee decimal(18,2)")
     referred = spark.createDataFrame([("I1", 3), (None, 5)], "vi_insured string, policy_referred_count bigint")
-    args = detail, claims, prem, group, referred
-    whole, first = IN.inforce_aggregate(*args), IN.first_policy_aggregate(*args)
+    whole = IN.inforce_aggregate(detail, claims, prem, group, referred)
+    first = IN.first_policy_aggregate(detail, IN.first_policies(detail, group, referred), claims, prem, group)
     assert first.schema == whole.schema and tuple(first.columns) == IN.FINAL_COLUMNS
     want = rows(FN.first_policy(whole, whole.select("insured_code", "policy_no")))
     assert rows(first) == want
@@ -43,6 +45,64 @@ def test_equals_first_policy_of_the_aggregate(spark, table):
     assert rows(first, "policyid") == [(1,), (2,), (2,), (4,), (9,), (9,), (10,)]
 
 
+def test_filter_lets_every_key_through_and_few_others(spark):
+    keys = spark.range(3000).selectExpr("if(id % 100 = 7, null, concat('P', id)) as k")
+    held = maybe_among(keys, "k")
+    every = spark.range(60000).selectExpr("concat('P', id) as k").filter(held(F.col("k")))
+    known = keys.filter("k is not null")
+    assert known.join(every, "k", "left_anti").count() == 0 and every.count() < 3000 + 0.1 * 57000
+    assert keys.filter("k is null").filter(held(F.col("k"))).count() == 0
+    assert known.filter(maybe_among(keys.limit(0), "k")(F.col("k"))).count() == 0
+
+
+def _warehouse(table):
+    """Four policies of one or two terms, each with two claims; a policy listed twice and rows without keys."""
+    header = table("policy_header", [dict(policyid=i, policy_no=p) for i, p in (
+        (1, "P1"), (2, "P1"), (3, "P2"), (4, "P3"), (5, "P4"), (5, "P4"), (6, None), (None, "P1"))])
+    ids = [(10 * i + n, i) for i in (1, 2, 3, 4, 5, 6) for n in (0, 1)]
+    claims = table("claim_header", [dict(claim_id=c, policyid=i, claim_no=None if c % 3 == 0 else f"C{c // 2}")
+                                    for c, i in ids] + [dict(claim_id=None, policyid=1), dict(claim_id=99, policyid=None)])
+    revision = table("claim_revision", [dict(claim_id=c, claim_revision_no=n, claim_revision_status=s)
+                                        for c, _ in ids for n, s in ((1, "Filed"), (2, "Closed"), (3, "Reopened"), (4, None))])
+    diagnosis = table("claim_diagnosis", [dict(claim_diagnosis_id=10 * c + n, claim_id=c, claim_revision_no=n,
+                                               claim_coverage_id=1 + (c + n) % 3) for c, _ in ids for n in (1, 1, 2, 3)])
+    details = table("claim_details", [dict(claim_diagnosis_id=10 * c + n, claimedamount=D(c), paidamount=D(n),
+                                           eligibleamount=None if n == 1 else D(5)) for c, _ in ids for n in (1, 2, 2, 3)]
+                    + [dict(claim_diagnosis_id=None, claimedamount=D(7))])
+    coverage = table("dim_coverage", [dict(coverage_id=1, coverage_product_type="Base"),
+                                      dict(coverage_id=2, coverage_product_type="Wellcare"), dict(coverage_id=3)])
+    return header, claims, revision, diagnosis, details, coverage
+
+
+def test_totals_of_first_policies_are_those_of_all(spark, table):
+    first = spark.createDataFrame([("I1", "P1"), ("I2", "P3"), ("I3", "P3"), ("I4", "P4"), ("I5", "P8")],
+                                  "insured_code string, first_policy_no string")
+    held, nos = maybe_among(first, "first_policy_no"), first.selectExpr("first_policy_no as policy_no")
+    args = _warehouse(table)
+    got = rows(IN.claim_rollups_of_first(first, *args, held))
+    assert got == rows(IN.claim_rollups(*args, policy_nos=nos)) and [r[0] for r in got] == ["P1", "P3", "P4"]
+    day = dt.date(2013, 1, 1)
+    premium = table("epremium", [dict(policy_no=n, policy_renew_no=r, reportperiod=day, earnedpremium=D(3))
+                                 for n, r in (("P1", 0), ("P1", 0), ("P1", None), (None, 0), ("P2", 0), ("P3", 1))])
+    fees = table("efees", [dict(policy_no=n, policy_renew_no=r, reportperiod=day, earnedfees=D(1))
+                           for n, r in (("P1", 0), ("P1", 0), ("P1", None), (None, 0), ("P2", 0), ("P3", 0))])
+    got = rows(IN.premium_rollup_of_first(first, premium, fees, held))
+    assert got == rows(IN.premium_rollup(premium, fees, nos)) == [("P1", 5, D(15), D(4)), ("P3", 1, D(3), None)]
+
+
+def test_other_policies_rows_are_filtered_before_the_shuffle(spark):
+    r = Run(spark, SF_SMALL)
+    plan = r._premium_of_first()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("scalar-subquery") >= 2      # a filter on each of the two scans
+    w = r.w
+    passed = w.epremium.filter(r["first_policy_filter"](F.col("policy_no")))
+    wanted = r["first_policies"].selectExpr("first_policy_no as policy_no").distinct()
+    needed = w.epremium.join(wanted, "policy_no", "left_semi")
+    assert needed.exceptAll(passed).count() == 0 and passed.count() < 0.75 * w.epremium.count()
+    assert rows(r["premium_of_first"]) == rows(r["premium_for_inforce"].join(wanted, "policy_no", "left_semi"))
+    assert rows(r["claims_of_first"]) == rows(r["claim_totals"].join(wanted, "policy_no", "left_semi"))
+
+
 def test_f1a_needs_no_inforce_final_and_shuffles_wide_rows_once(spark):
     keys = {"spark.sql.autoBroadcastJoinThreshold": "12000", "spark.sql.adaptive.enabled": "false"}
     old = {k: spark.conf.get(k) for k in keys}
