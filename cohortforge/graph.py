@@ -127,9 +127,9 @@ class Stages:
             fin = self["inforce_final"]
             return FN.first_policy(fin, fin.select("insured_code", "policy_no"))
         # nobody has asked for the whole in-force table: B6 - B8 fused, other policies' rows aren't widened or written
-        self._ready("claims_of_first", "premium_of_first")
+        self._ready("claims_of_first", "premium_of_first", "first_row_filter")
         return IN.first_policy_aggregate(self["inforce_detail"], self["first_policies"], self["claims_of_first"],
-                                         self["premium_of_first"], self.w.dim_group)
+                                         self["premium_of_first"], self.w.dim_group, self["first_row_filter"])
 
     def _first_policies(self):
         w = self.w
@@ -138,6 +138,9 @@ class Stages:
     def _first_policy_filter(self):
         return maybe_among(self["first_policies"], "first_policy_no")
 
+    def _first_row_filter(self):
+        return maybe_among(self["first_policies"], "insured_code", "first_policy_no")
+
     def _claims_of_first(self):
         w = self.w
         return IN.claim_rollups_of_first(self["first_policies"], w.policy_header, w.claim_header, w.claim_revision,

@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortforge.sources.staging import stage
 
@@ -21,11 +22,13 @@ BITS_A_ROW = 16
 MOST_BITS = 1 << 26
 
 
-def _places(key: Column, bits: int, hashes: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key.cast("string"), F.lit(i)), F.lit(bits)) for i in range(hashes)]
+def _places(key: Column, bits: int, hashes: int, as_text: bool = True) -> list[Column]:
+    key = key.cast("string") if as_text else key
+    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)) for i in range(hashes)]
 
 
-def bloom_filters(lists: Sequence[tuple[DataFrame, str]], bits: int = BITS, hashes: int = HASHES) -> DataFrame:
+def bloom_filters(lists: Sequence[tuple[DataFrame, str]], bits: int = BITS, hashes: int = HASHES,
+                  as_text: bool = True) -> DataFrame:
     """One row with a column f0, f1, ... per (frame, key): the filter's bits over all non-NULL keys, 64 a number.
 
     All filters come from one aggregation: (filter, word) pairs with partial
@@ -39,7 +42,8 @@ def bloom_filters(lists: Sequence[tuple[DataFrame, str]], bits: int = BITS, hash
         F.lit(0).cast("long").alias("bits"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))
     for i, (right, key) in enumerate(lists):
-        place = right.filter(F.col(key).isNotNull()).select(F.explode(F.array(*_places(F.col(key), bits, hashes))).alias("p"))
+        place = right.filter(F.col(key).isNotNull()).select(F.explode(F.array(*_places(F.col(key), bits, hashes, as_text)))
+                                                             .alias("p"))
         every = every.unionByName(place.select(F.lit(i).alias("which"), F.floor(F.col("p") / 64).cast("int").alias("word"),
                                                one.alias("bits")))
     filled = every.groupBy("which", "word").agg(F.bit_or("bits").alias("bits"))
@@ -52,25 +56,38 @@ def bloom_filter(right: DataFrame, key: str, bits: int = BITS) -> DataFrame:
     return bloom_filters([(right, key)], bits).select(F.col("f0").alias("words"))
 
 
-def maybe_in(key: Column, words: Column, bits: int = BITS, hashes: int = HASHES) -> Column:
+def maybe_in(key: Column, words: Column, bits: int = BITS, hashes: int = HASHES, as_text: bool = True) -> Column:
     """False only if ``key`` is NULL or surely not among the filter's keys."""
     found = F.lit(True)
-    for p in _places(key, bits, hashes):
+    for p in _places(key, bits, hashes, as_text):
         word = F.get(words, F.shiftright(p, 6).cast("int"))
         found = found & (F.call_function("getbit", word, p.bitwiseAND(F.lit(63)).cast("int")) == 1)
     return key.isNotNull() & found
 
 
-def maybe_among(keys: DataFrame, column: str) -> Callable[[Column], Column]:
-    """A test for rows that meet ``keys`` in an exact join later: False only if the key is NULL or surely not there.
+def maybe_among(keys: DataFrame, *columns: str) -> Callable[..., Column]:
+    """A test for rows that meet ``keys`` in an exact join later: False only if a key is NULL or surely not there.
 
-    The filter has one bit set a key and 16 bits a row of ``keys`` (one other
-    key in sixteen passes) up to ``MOST_BITS``, beyond which more others pass.
-    ``keys`` is read twice: stage it.
+    The test takes as many columns as the join has.  The filter has one bit
+    set a key and 16 bits a row of ``keys`` (one other key in sixteen passes)
+    up to ``MOST_BITS``, beyond which more others pass.  ``keys`` is read
+    twice: stage it.  Whole numbers are hashed as they are, without their text.
     """
+    kinds = ["bigint" if isinstance(keys.schema[c].dataType, T.IntegralType) else "string" for c in columns]
+
+    def one(values: Sequence[Column]) -> Column:
+        typed = [v.try_cast(kind) for v, kind in zip(values, kinds, strict=True)]
+        if len(typed) == 1:
+            return typed[0]
+        known = typed[0].isNotNull()
+        for t in typed[1:]:
+            known &= t.isNotNull()
+        return F.when(known, F.xxhash64(*typed))
+
     bits = min(MOST_BITS, max(1 << 12, 1 << (BITS_A_ROW * keys.count() - 1).bit_length()))
-    held = stage(bloom_filters([(keys, column)], bits, hashes=1), "key_filter").select(F.struct("*")).scalar()
-    return lambda key: maybe_in(key, held["f0"], bits, hashes=1)
+    key = keys.select(one([F.col(c) for c in columns]).alias("__key"))
+    held = stage(bloom_filters([(key, "__key")], bits, hashes=1, as_text=False), "key_filter").select(F.struct("*")).scalar()
+    return lambda *values: maybe_in(one(values), held["f0"], bits, hashes=1, as_text=False)
 
 
 def anti_join_bloom(left: DataFrame, rights: Sequence[tuple[Column, DataFrame, str]], bits: int = BITS) -> DataFrame:

@@ -419,7 +419,7 @@ def first_policies(detail: DataFrame, group: DataFrame, referral_counts: DataFra
 
 
 def first_policy_aggregate(detail: DataFrame, first: DataFrame, claims: DataFrame, prem: DataFrame,
-                           group: DataFrame) -> DataFrame:
+                           group: DataFrame, held: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """The rows of :func:`inforce_aggregate` that hold their holder's lowest policy number (B6 - B8 in one).
 
     No join of the aggregate drops a row, so a holder's lowest policy number
@@ -430,6 +430,8 @@ def first_policy_aggregate(detail: DataFrame, first: DataFrame, claims: DataFram
     """
     totals = _with_totals(first, "first_policy_no", claims, prem, first.columns)
     totals = totals.withColumnsRenamed({"insured_code": "__holder", "first_policy_no": "__no"})
+    if held is not None:
+        detail = detail.filter(held(F.col("insured_code"), F.col("policy_no")))
     # joined on both, a holder of very many policies is no hot key
     a = detail.join(totals, (detail["insured_code"] == totals["__holder"]) & (detail["policy_no"] == totals["__no"]))
     return _with_group_name(a, group).select(*_aggregate_columns(detail, "policy_referred_count" in first.columns))

@@ -55,6 +55,38 @@ def test_filter_lets_every_key_through_and_few_others(spark):
     assert known.filter(maybe_among(keys.limit(0), "k")(F.col("k"))).count() == 0
 
 
+def test_filter_over_two_keys_and_whole_numbers(spark):
+    keys = spark.range(3000).selectExpr("if(id % 100 = 7, null, concat('I', id)) as h", "concat('P', id % 50) as n")
+    held = maybe_among(keys, "h", "n")
+    every = spark.range(3000).selectExpr("concat('I', id) as h", "explode(sequence(0, 49)) as k").selectExpr("h", "concat('P', k) as n")
+    passed = every.filter(held(F.col("h"), F.col("n")))
+    known = keys.filter("h is not null")
+    assert known.exceptAll(passed).count() == 0 and passed.count() < 3000 + 0.1 * 147_000
+    assert keys.filter("h is null").filter(held(F.col("h"), F.col("n"))).count() == 0
+    assert known.filter(held(F.lit("P1"), F.lit("I1"))).count() == 0
+    number = maybe_among(spark.range(500).selectExpr("if(id = 3, null, id * 7) as k"), "k")
+    for kind in ("bigint", "int", "decimal(18,2)", "string"):
+        probe = spark.range(7 * 500).selectExpr(f"cast(id as {kind}) as k", "id").filter(number(F.col("k")))
+        assert probe.filter("id % 7 = 0 and id <> 21").count() == 499 and probe.count() < 499 + 0.1 * 3000
+    assert spark.sql("select cast(null as bigint) as k").filter(number(F.col("k"))).count() == 0
+
+
+def test_other_policies_wide_rows_are_filtered_before_the_shuffle(spark):
+    r = Run(spark, SF_SMALL)
+    plan = r._f1a()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("scalar-subquery") == 1      # all other tables it reads are written by then
+    detail = r["inforce_detail"]
+    passed = detail.filter(r["first_row_filter"](F.col("insured_code"), F.col("policy_no")))
+    kept = r["f1a"].select(*detail.columns)
+    assert kept.distinct().exceptAll(passed.distinct()).count() == 0
+    assert passed.count() < kept.count() + 0.2 * (detail.count() - kept.count())
+    small, first = _detail(spark), IN.first_policies(_detail(spark), r.w.dim_group)
+    held = maybe_among(first, "insured_code", "first_policy_no")
+    args = small, first, r["claims_of_first"].limit(0), r["premium_of_first"].limit(0), r.w.dim_group
+    got = rows(IN.first_policy_aggregate(*args, held))
+    assert got == rows(IN.first_policy_aggregate(*args)) and len(got) > 0
+
+
 def _warehouse(table):
     """Four policies of one or two terms, each with two claims; a policy listed twice and rows without keys."""
     header = table("policy_header", [dict(policyid=i, policy_no=p) for i, p in (
