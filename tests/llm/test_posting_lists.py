@@ -117,3 +117,95 @@ def test_many_distinct_vectors_tie_by_id(spark):
         near = np.round(v @ v[q - 1000], 9)
         order = [1000 + j for j in np.lexsort((np.arange(200), -near)).tolist() if 1000 + j != q]
         assert [got[q][k] for k in range(1, 6)] == order[:5]
+
+
+def normal_table(spark, n=3000, kind="float"):
+    x = np.random.default_rng(6).normal(size=(n, 16))
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+
+
+def test_a_vector_is_moved_once_whatever_its_lists(spark, monkeypatch):
+    seen, scan = [], P._scan
+
+    def held(stored, *rest):
+        seen.append(stored.count())
+        return scan(stored, *rest)
+
+    monkeypatch.setattr(P, "_scan", held)
+    P.nearest(normal_table(spark), lambda i: i % 50 == 0, list_size=50).count()
+    assert seen == [3000]
+
+
+def test_trials_take_no_part_in_the_fit(spark, monkeypatch):
+    seen, fit, calibrate = [], P.fit_centroids, P.calibrate
+    monkeypatch.setattr(P, "fit_centroids", lambda sample, *rest: seen.append(sample) or fit(sample, *rest))
+    monkeypatch.setattr(P, "calibrate", lambda *given: seen.append(given[2]) or calibrate(*given))
+    P.nearest(normal_table(spark), lambda i: i % 50 == 0, list_size=50).count()
+    fitted, trials = ({x.tobytes() for x in part} for part in seen)
+    assert len(fitted) + len(trials) == 3000 and not fitted & trials
+
+
+def test_lists_grow_with_the_table():
+    assert [P.list_count(n) for n in (1, 2000, 1 << 20)] == [1, 7, 4096]
+    assert P.list_count(1 << 24) == 4 * 4096
+
+
+def test_block_finds_the_best_of_the_lists_that_are_read():
+    rng = np.random.default_rng(7)
+    for dtype in (np.float32, np.float64):
+        v, q = (P._even(rng.normal(size=(n, 12)).astype(dtype)) for n in (3000, 40))
+        v[500:900] = v[500] * rng.integers(1, 3, (400, 1)).astype(dtype)
+        member, read = rng.random((3000, 60)) < 0.03, rng.random((40, 60)) < 0.1
+        first = rng.permutation(3000)
+        row, name = np.nonzero(member)
+        block = P.Block(v, first, name, member.sum(axis=1), 60, 6)
+        own, rows, score = block.best(q, np.full(40, -2, np.float32), np.nonzero(read)[1], read.sum(axis=1))
+        for i in range(40):
+            at = np.flatnonzero((member & read[i]).any(axis=1))
+            exact = P.cosines(v[at], q, np.full(len(at), i))
+            order = np.lexsort((first[at], -exact))[:6]
+            assert rows[own == i].tolist() == at[order].tolist()
+            assert score[own == i].tolist() == exact[order].tolist()
+
+
+def test_cosines_are_those_of_extended_precision():
+    rng = np.random.default_rng(8)
+    v, q = rng.normal(size=(500, 33)), rng.normal(size=(500, 33))
+    a, b = ((x / np.abs(x).max(axis=1, keepdims=True)).astype(np.longdouble) for x in (v, q))
+    want = (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+    assert (np.abs(P.cosines(v, q, np.arange(500)) - want) <= 2 ** -53 * np.abs(want)).all()
+
+
+def test_blocks_and_batches_do_not_change_the_result(spark, monkeypatch):
+    df = normal_table(spark, kind="double")
+    want = {tuple(r) for r in P.nearest(df, lambda i: i % 50 == 0).collect()}
+    monkeypatch.setattr(P, "BLOCK_BYTES", 16 * 8 * 450)
+    assert {tuple(r) for r in P.nearest(df, lambda i: i % 50 == 0).collect()} == want
+
+
+def test_list_numbers_come_back():
+    lists = [np.array([5, 0, 255, 256, 1000]), np.array([254]), np.array([60000, 3]), np.array([255])]
+    names, counts = P.open_gaps(*P.close_gaps(lists))
+    assert counts.tolist() == [5, 1, 2, 1]
+    assert names.tolist() == [x for y in lists for x in sorted(y.tolist())]
+
+
+def test_links_lead_to_centroids_that_are_no_entries():
+    rng = np.random.default_rng(9)
+    c = P.unit(rng.normal(size=(300, 16)))
+    graph = P.CentroidGraph.build(c, entries=20)
+    x = P.unit(rng.normal(size=(200, 16)))
+    ids, sims = graph.search(x, 10)
+    exact = np.argsort(-(x @ c.T), axis=1)[:, :10]
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(ids, exact)]) > 9.5
+    assert np.allclose(sims, np.take_along_axis(x @ c.T, ids, 1))
+
+
+def test_best_of_holds_what_single_precision_cannot_tell_apart():
+    rng = np.random.default_rng(10)
+    names = P.unit(rng.normal(size=64) + 1e-5 * rng.normal(size=(2000, 64)))
+    x = P.unit(rng.normal(size=64) + 0.1 * rng.normal(size=(30, 64)))
+    rows, scores = P.best_of(names, x, 6)
+    exact = x @ names.T
+    assert np.allclose(scores, -np.sort(-exact, axis=1)[:, :6], rtol=0, atol=1e-15)
+    assert (np.take_along_axis(exact, rows, 1) >= scores - 1e-15).all()
