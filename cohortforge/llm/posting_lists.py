@@ -502,9 +502,10 @@ class Block:
         return order, np.concatenate([[0], np.cumsum(np.bincount(lists, minlength=self.k))])
 
     def _parts(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(rows, their unit vectors), 256 at a time: that shape is multiplied fastest."""
-        for lo in range(0, len(rows), 256):
-            at = rows[lo:lo + 256]
+        """(rows, their unit vectors), in even parts of about 256: that shape is multiplied fastest."""
+        step = -(-len(rows) // max(1, round(len(rows) / 256)))
+        for lo in range(0, len(rows), step):
+            at = rows[lo:lo + step]
             yield at, (self.v.take(at, axis=0) * self.inverse[at]).astype(np.float32, copy=False)
 
     def best(self, q: np.ndarray, bound: np.ndarray, lists: np.ndarray, counts: np.ndarray
@@ -532,11 +533,12 @@ class Block:
                     own = asked[lo:lo + step]
                     sims = space[:len(own) * len(rows)].reshape(len(own), len(rows))
                     np.matmul(unit_q.take(own, axis=0), v.T, out=sims)
-                    flat = reached(sims, bound[own][:, None])
-                    if len(flat):
-                        i = flat // len(rows)
-                        hits.append((own[i], rows[flat - i * len(rows)], sims.ravel()[flat]))
-                        held += len(flat)
+                    some = np.flatnonzero(sims.max(axis=1) >= bound[own])
+                    if len(some):
+                        own, few = own[some], sims[some]
+                        i, at = np.nonzero(few >= bound[own][:, None])
+                        hits.append((own[i], rows[at], few[i, at]))
+                        held += len(i)
                         if held > HITS:
                             hits = [self._cut(q, hits, bound)[:3]]
                             held = len(hits[0][0])
